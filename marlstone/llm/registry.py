@@ -13,6 +13,7 @@ from .common import ready
 QUERIES = {
     "op5_secret_scan": ("secret_scan", "op5_secret_scan", "OP5_SQL"),
     "op6_line_dedup": ("line_dedup", "op6_line_dedup", "OP6_SQL"),
+    "op10_language_id": ("language_id", "op10_language_id", None),
     "op9_sentencepiece": ("sentencepiece_codec", "op9_sentencepiece", None),
     "op8_sharding": ("sharding", "op8_sharding", None),
 }
