@@ -15,6 +15,7 @@ QUERIES = {
     "op6_line_dedup": ("line_dedup", "op6_line_dedup", "OP6_SQL"),
     "op10_language_id": ("language_id", "op10_language_id", None),
     "op9_sentencepiece": ("sentencepiece_codec", "op9_sentencepiece", None),
+    "op7_toxicity": ("toxicity", "op7_toxicity", None),
     "op8_sharding": ("sharding", "op8_sharding", None),
 }
 
