@@ -11,6 +11,7 @@ from .common import ready
 
 # query name: (module, function, name of its SQL constant or None)
 QUERIES = {
+    "op1_html_extraction": ("html_extraction", "op1_html_extraction", None),
     "op5_secret_scan": ("secret_scan", "op5_secret_scan", "OP5_SQL"),
     "op6_line_dedup": ("line_dedup", "op6_line_dedup", "OP6_SQL"),
     "op10_language_id": ("language_id", "op10_language_id", None),
