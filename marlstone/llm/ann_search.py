@@ -127,7 +127,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     rows = rows.filter(F.size("v") == dim)
     # Every batch of queries meets every block: a row is sent to the pairs that it belongs to.
     here = rows.select(F.lit(False).alias("q"), "id", "v", F.pmod(F.xxhash64("id", F.lit("b")), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("p"))
-    asks = rows.filter("q").select(F.lit(True).alias("q"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("b"), F.pmod(F.xxhash64("id", F.lit("p")), F.lit(batches)).cast("int").alias("p"))
+    asks = rows.filter("q").select(F.lit(True).alias("q"), "id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"), F.pmod(F.xxhash64("id", F.lit("p")), F.lit(batches)).cast("int").alias("p"))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf["q"].to_numpy()
