@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zlib
 
 import pandas as pd
@@ -47,3 +48,33 @@ def held_out_py(doc_id) -> bool:
 def lines(column: pd.Series) -> list[str]:
     """Texts of a batch, null as the empty text."""
     return [x if isinstance(x, str) else "" for x in column]
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table to the shared checkpoint folder and read again: computed once, lineage cut.
+
+    A lost executor costs no more than a task that reads the table.
+    """
+    spark = ready(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label for the ends of all edges: label is the least node of the connected component.
+
+    Least labels travel along edges, then labels jump to their labels' labels, until nothing changes; every round is
+    a table in the shared folder. Hubs cost a partial minimum, never a collected list.
+    """
+    both = settle(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).filter("x <> y").distinct(), "edges")
+    labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = settle(labels, "labels")
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        near = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
+        new = settle(jump.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        labels = new.select("node", "label")
+        if new.filter("was <> label").isEmpty():
+            return labels
