@@ -152,15 +152,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "d
     return both.mapInPandas(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_key for every row of docs.
-
-    Two texts are linked if they are equal or if their five-word shingle sets (words in lower case; a shorter text
-    has one shingle) have a Jaccard similarity of 0.8 or more; a class is a connected component, class_id its smallest
-    id, class_key the smallest text digest in it. Texts without words link to equal texts only. Null text counts as
-    empty, null ids do not name a class (class_id is null if a class has no other); repeated rows keep their rows; other
-    columns are not used; an empty table gives an empty result.
-    """
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, first_id, class_key, class_id of every distinct text; see near_duplicates."""
     nodes = settle(classes(docs, doc_id, text), "nodes")
     pairs, large = bucket_pairs(nodes)
     pairs = settle(pairs, "pairs")
@@ -181,11 +174,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             labels = connected(links.union(more))
     marked = nodes.select("key", "first_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("label", "key"))
     named_class = marked.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
-    of_key = settle(marked.select("key", "class_key").join(named_class, "class_key"), "classes")
+    return settle(marked.select("key", "first_id", "class_key").join(named_class, "class_key"), "classes")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, class_key for every row of docs.
+
+    Two texts are linked if they are equal or if their five-word shingle sets (words in lower case; a shorter text
+    has one shingle) have a Jaccard similarity of 0.8 or more; a class is a connected component, class_id its smallest
+    id, class_key the smallest text digest in it. Texts without words link to equal texts only. Null text counts as
+    empty, null ids do not name a class (class_id is null if a class has no other); repeated rows keep their rows; other
+    columns are not used; an empty table gives an empty result.
+    """
+    of_key = text_classes(docs, doc_id, text).select("key", "class_id", "class_key")
     rows = docs.select(F.col(doc_id).alias("doc_id"), _text_key(text).alias("key"))
     return rows.join(of_key, "key").select("doc_id", "class_id", F.lower(F.hex("class_key")).alias("class_key"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with only one of each class: that of the smallest id (then the smallest text digest), all columns kept.
+
+    Cases as for near_duplicates; of repeated rows one stays; in a class without any id the row of its first text stays.
+    """
+    none = F.lit(-(2**63)).cast("long")
+    of_key = text_classes(docs, doc_id, text).withColumn("__id", F.coalesce("first_id", none))
+    chosen = of_key.groupBy("class_key").agg(F.min(F.struct(F.col("first_id").isNull(), "__id", "key")).alias("m")).select(F.col("m.key").alias("__key"), F.col("m.__id").alias("__id"))
+    rows = docs.withColumns({"__key": _text_key(text), "__id": F.coalesce(F.col(doc_id).cast("long"), none)})
+    kept = rows.join(chosen.hint("shuffle_hash"), ["__key", "__id"], "left_semi")
+    # Rows that repeat both id and text are rare: only they are gathered by key.
+    twice = settle(rows.groupBy("__key", "__id").count().filter("count > 1").select("__key", "__id"), "twice")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(twice, ["__key", "__id"], "left_anti")
+    return once.unionByName(kept.join(twice, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"])).select(*docs.columns)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")

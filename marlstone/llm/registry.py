@@ -12,6 +12,7 @@ from .common import ready
 # query name: (module, function, name of its SQL constant or None)
 QUERIES = {
     "op1_html_extraction": ("html_extraction", "op1_html_extraction", None),
+    "op2_decontamination": ("decontamination", "op2_decontamination", None),
     "op3_near_duplicates": ("minhash_dedup", "op3_near_duplicates", None),
     "op4_nearest_neighbours": ("ann_search", "op4_nearest_neighbours", None),
     "op5_secret_scan": ("secret_scan", "op5_secret_scan", "OP5_SQL"),

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lines, table
 
@@ -336,12 +338,36 @@ def token_digests(docs: DataFrame, model: bytes | None = None, doc_id: str = "do
             rows = list(codec.digests(lines(batch["text"])))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
-    from pyspark.sql import functions as F
-
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with `ids`, the text's ids with the end id last; cases as for token_digests, other columns stay."""
+    data = model if model is not None else default_model()
+    columns = [c for c in docs.columns if c != ids]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = codec_of(data)
+        for batch in batches:
+            yield batch.assign(**{ids: [codec.encode(t) for t in lines(batch[text])]})
+
+    return docs.select(*columns).mapInPandas(run, T.StructType([*docs.select(*columns).schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+
+
+def decode(docs: DataFrame, model: bytes | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """docs with `text`, the text of their ids (null for null ids); other columns stay."""
+    data = model if model is not None else default_model()
+    columns = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model_ = codec_of(data).model
+        for batch in batches:
+            yield batch.assign(**{text: [None if x is None else model_.decode([int(i) for i in x]) for x in batch[ids]]})
+
+    return docs.select(*columns).mapInPandas(run, docs.select(*columns).schema.add(text, "string"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return token_digests(table(spark, sf_dir, "documents"))
