@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from marlstone.llm import decontamination, language_id, line_dedup, minhash_dedup, sentencepiece_codec
+from marlstone.llm.common import ready, settle, table
+
+LEAST_SCORE = 0.4  # of a language, of four or more that are told apart
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows; those without a letter or a likely language go."""
+    ready(spark)
+    seen = language_id.predict(docs, language_id.train(docs))
+    return seen.filter((F.col("lang_pred") != language_id.NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of repeated lines; those that lose every line go."""
+    ready(spark)
+    left = line_dedup.line_dedup(docs)
+    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    ready(spark)
+    return minhash_dedup.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    ready(spark)
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of their decoded text."""
+    ready(spark)
+    return sentencepiece_codec.token_digests(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("sentencepiece", tokenize),
+]
+# The network and the alignment are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents, each stage's output a table that the next one reads."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name)
     return docs
