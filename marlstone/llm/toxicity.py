@@ -35,7 +35,7 @@ WORD = re.compile(r"\w+(?:'t)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 KINDS = ("plain", "directed", "negated", "reported", "threat")
 STEM = 5  # letters of a stem: learned insults are whole words or stems, written with a star
-PRIOR = np.array([1.6, 2.0, 0.3, 0.6, 1.2, -3.0])  # of the kinds and the constant, before any data
+PRIOR = np.array([2.0, 3.0, 0.3, 0.6, 2.8, -3.0])  # of the kinds and the constant, before any data
 
 
 class Transducer:
