@@ -1,0 +1,4 @@
+"""Registered queries over the business tables."""
+
+from . import analytics, domain, scoped  # noqa: F401
+from .registry import QUERIES  # noqa: F401
