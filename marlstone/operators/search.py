@@ -25,10 +25,13 @@ class Page:
 
 @dataclass
 class SearchSpec:
-    """What a search may ask: keyword columns, sorts by name, the default sort and the unique key that ends it."""
+    """What a search may ask: keyword columns, sorts by name, the default sort and the unique key that ends it.
+
+    A sort is a list of column names, each with " desc" after it where it descends.
+    """
 
     keyword_columns: list[str] = field(default_factory=list)
-    sorts: dict[str, list[Column]] = field(default_factory=dict)
+    sorts: dict[str, list[str]] = field(default_factory=dict)
     default_sort: str = ""
     key: str = "id"
     number_key: str | None = None
@@ -77,7 +80,8 @@ def search(rows: DataFrame, spec: SearchSpec, keyword: str | None = None, filter
     elif spec.keyword_columns:
         rows = rows.filter(keyword_filter(spec.keyword_columns, keyword))
     order = spec.sorts.get((sort or "").strip(), spec.sorts.get(spec.default_sort, []))
-    return rows.orderBy(*order, F.col(spec.key).asc())
+    columns = [F.col(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c).asc() for c in order]
+    return rows.orderBy(*columns, F.col(spec.key).asc())
 
 
 def clamp(index: int, size: int) -> tuple[int, int]:

@@ -33,7 +33,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 CUSTOMERS = "(select c.*, n.n_regionkey, n.n_name from customer c join nation n on c.c_nationkey = n.n_nationkey)"
 SUPPLIERS = "(select s.*, n.n_regionkey, n.n_name from supplier s join nation n on s.s_nationkey = n.n_nationkey)"
-CUSTOMER_SEARCH = S.SearchSpec(["c_name", "c_mktsegment"], {"balance": [F.col("c_acctbal").desc()], "name": [F.col("c_name").asc()]}, "name", "c_custkey", "c_custkey")
+CUSTOMER_SEARCH = S.SearchSpec(["c_name", "c_mktsegment"], {"balance": ["c_acctbal desc"], "name": ["c_name"]}, "name", "c_custkey", "c_custkey")
 
 
 @query(f"""select c_custkey, c_name, c_mktsegment from {CUSTOMERS} where n_regionkey = 1 and (contains(lower(c_name), 'build') or contains(lower(c_mktsegment), 'build'))
@@ -103,7 +103,7 @@ def share_set_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PART_SEARCH = S.SearchSpec(
     ["p_name", "p_brand", "p_type"],
-    {"price": [F.col("p_retailprice").asc()], "price_desc": [F.col("p_retailprice").desc()], "name": [F.col("p_name").asc()], "size": [F.col("p_size").desc()]},
+    {"price": ["p_retailprice"], "price_desc": ["p_retailprice desc"], "name": ["p_name"], "size": ["p_size desc"]},
     "name",
     "p_partkey",
     "p_partkey",
