@@ -102,7 +102,7 @@ def upsert_stream(source: DataFrame, target: ParquetTable, key: str, content: st
 
 def advance_cursor(state: DataFrame, batch: DataFrame, channel: list[str], time: str, incremental: bool = True) -> DataFrame:
     """Checkpoint rows after a batch: watermarks widen, counters add up, an incremental run starts again at cursor 1."""
-    seen = batch.groupBy(*channel).agg(F.max(time).alias("h"), F.min(time).alias("l"), F.count("*").alias("s"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("Created", "Changed", "Failed")])
+    seen = batch.groupBy(*channel).agg(F.max(time).alias("h"), F.min(time).alias("l"), F.count("*").alias("s"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("Created", "Changed", "Failed")])
     j = state.join(seen, channel, "full")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select(
@@ -110,9 +110,9 @@ def advance_cursor(state: DataFrame, batch: DataFrame, channel: list[str], time:
         F.greatest("high_watermark", "h").alias("high_watermark"),
         F.least("low_watermark", "l").alias("low_watermark"),
         (n("scanned") + n("s")).alias("scanned"),
-        (n("created") + n("Created")).alias("created"),
-        (n("changed") + n("Changed")).alias("changed"),
-        (n("failed") + n("Failed")).alias("failed"),
+        (n("created") + n("n_Created")).alias("created"),
+        (n("changed") + n("n_Changed")).alias("changed"),
+        (n("failed") + n("n_Failed")).alias("failed"),
         (F.lit(1) if incremental else n("next_cursor") + F.when(F.col("s").isNotNull(), 1).otherwise(0)).cast("long").alias("next_cursor"),
     )
 
