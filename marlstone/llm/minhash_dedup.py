@@ -8,7 +8,7 @@ occur with the weighted Jaccard similarity of two texts.
 
 Bands of the signature are joined, and candidates are verified by the exact Jaccard similarity of their shingle sets.
 Equal texts are one node. A bucket of few nodes gives all its pairs. A larger one is tied to its most central member, and
-members which the links so far do not join to that one's component meet all other members of the bucket: no bucket is
+members which the links so far do not join to that one's component meet all other members in blocks: no bucket is
 capped, and no pair within a component already joined is written out.
 """
 
@@ -27,6 +27,7 @@ from .shingles import jaccard, mix, shingles
 COORDINATES, ROWS = 64, 4  # coordinates of a signature, rows of a band: 16 bands
 SIMILAR = 0.8
 SMALL = 16  # nodes of a bucket whose pairs are all written out
+BLOCK = 256  # nodes of a large group that a task compares with as many others
 _U = np.uint64
 
 
@@ -123,16 +124,16 @@ def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return close.union(star).distinct(), large
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The pairs a, b whose shingle sets have a Jaccard similarity of at least `similar`.
-
-    One text per node is fetched by its id and key, so a text with many copies moves once.
-    """
+def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key, text for the given keys: one text per node, fetched by its id and key, so a text with many copies moves once."""
     none = F.lit(-(2**63)).cast("long")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "first_id"), "key")
+    wanted = keys.distinct().join(nodes.select("key", F.coalesce("first_id", none).alias("id")), "key")
     rows = docs.select(_text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    one = rows.join(wanted.select("key", F.coalesce("first_id", none).alias("id")).hint("shuffle_hash"), ["key", "id"]).dropDuplicates(["key"])
-    texts = settle(one.select("key", "text"), "texts")
+    return settle(rows.join(wanted.hint("shuffle_hash"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least `similar`."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,24 +153,60 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "d
     return both.mapInPandas(run, "a binary, b binary")
 
 
+def link_apart(members: DataFrame, apart: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links a, b between nodes of different labels in a group: every node of `apart` against every one of `members`.
+
+    members, apart: grp, key, label. Both are cut into blocks of about BLOCK nodes; a task compares two blocks and
+    gives, for each node apart, one link to each other label that it reaches, never all pairs.
+    """
+    blocks = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(members, "mb").join(blocks(apart, "ab"), "grp")
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = apart.join(sizes, "grp").select("grp", "key", "label", F.lit(True).alias("asks"), part("ab").alias("p"), every("mb").alias("q"))
+    right = members.join(sizes, "grp").select("grp", "key", "label", F.lit(False).alias("asks"), every("ab").alias("p"), part("mb").alias("q"))
+    both = left.unionByName(right).join(texts, "key")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["asks"].to_numpy()
+        there, here = pdf[~ask], pdf[ask]
+        out: list[tuple[bytes, bytes]] = []
+        if len(there) and len(here):
+            own = [shingles(t)[0] for t in there["text"]]
+            sizes_ = np.array([len(x) for x in own])
+            filled = np.flatnonzero(sizes_)
+            labels, keys = there["label"].tolist(), there["key"].tolist()
+            if len(filled):
+                values, place = np.unique(np.concatenate([own[i] for i in filled]), return_inverse=True)
+                starts = np.cumsum(sizes_[filled]) - sizes_[filled]
+                for key, label, text in zip(here["key"], here["label"], here["text"], strict=True):
+                    mine = shingles(text)[0]
+                    at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                    flag = np.zeros(len(values), np.int64)
+                    flag[at[values[at] == mine]] = 1
+                    both_ = np.add.reduceat(flag[place], starts)
+                    near = filled[both_ >= similar * (sizes_[filled] + len(mine) - both_)]
+                    out += [(key, k) for k in {labels[i]: keys[i] for i in near.tolist() if labels[i] != label}.values()]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return both.groupBy("grp", "p", "q").applyInPandas(compare, "a binary, b binary")
+
+
 def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key, first_id, class_key, class_id of every distinct text; see near_duplicates."""
     nodes = settle(classes(docs, doc_id, text), "nodes")
     pairs, large = bucket_pairs(nodes)
     pairs = settle(pairs, "pairs")
-    links = settle(verify(pairs, nodes, docs, doc_id, text), "links")
+    links = settle(verify(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), nodes, docs, doc_id, text)), "links")
     labels = connected(links)
-    # Members of a large bucket outside its hub's component: all their pairs across components, exactly.
-    named = large.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    named = named.join(hub_label, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    named = settle(named.select("bucket", "key", "label", "hub_label"), "named")
-    apart = named.filter("label <> hub_label").select("bucket", F.col("key").alias("k"), F.col("label").alias("l"))
-    rest = apart.join(named.select("bucket", "key", "label"), "bucket").filter("label <> l")
-    rest = rest.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
-    rest = settle(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = settle(verify(rest, nodes, docs, doc_id, text), "more")
+    # Members of a large bucket outside its hub's component meet all other members of the buckets of that component.
+    own = labels.withColumnRenamed("node", "key")
+    named = large.join(own, "key", "left").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("grp")), "hub", "left")
+    named = settle(named.select(F.coalesce("grp", "hub").alias("grp"), "key", F.coalesce("label", "key").alias("label")).distinct(), "named")
+    apart = named.filter("label <> grp")
+    if not apart.isEmpty():
+        members = named.join(apart.select("grp").distinct(), "grp", "left_semi")
+        more = settle(link_apart(members, apart, texts_of(members.select("key"), nodes, docs, doc_id, text)), "more")
         if not more.isEmpty():
             labels = connected(links.union(more))
     marked = nodes.select("key", "first_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("label", "key"))
