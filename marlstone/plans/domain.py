@@ -46,7 +46,7 @@ def value_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with l as (select l_suppkey, count(*) as needed, count(*) filter (l_returnflag <> 'R') as valid, count(*) filter (l_returnflag = 'R') as missing from lineitem where l_quantity >= 45 group by 1),
 b as (select s_suppkey, s_acctbal, s_nationkey, coalesce(needed, 0) as needed, coalesce(valid, 0) as valid, coalesce(missing, 0) as missing from supplier left join l on l_suppkey = s_suppkey),
-s as (select *, greatest(0, least(100, round_even(20 + case when s_nationkey % 3 = 0 then 25 else 8 end + case when s_nationkey < 10 then 10 else 3 end + greatest(0, least(100, cast(s_acctbal / 100 as decimal(10,2)))) / 10
+s as (select *, greatest(0, least(100, round_even(20 + case when s_nationkey % 3 = 0 then 25 else 8 end + case when s_nationkey < 10 then 10 else 3 end + greatest(0, least(100, cast(floor(s_acctbal / 100) as decimal(10,2)))) / 10
 + case when needed = 0 then 25 else round_even(cast(30 as decimal(10,4)) * valid / needed, 2) end, 2))) as score from b)
 select s_suppkey, cast(score as double) as score, case when score >= 75 and missing = 0 then 'High' when score >= 50 then 'Medium' else 'Low' end as level,
 case when score >= 70 and missing = 0 then 'Candidate' when score >= 50 then 'Caution' else 'NotRecommended' end as recommendation,
@@ -58,7 +58,7 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(proof, "s_suppkey", "left").fillna(0, ["needed", "valid", "missing"])
     zero = F.lit(0)
     score = scoring.supplier_match(
-        F.lit("category"), F.col("s_nationkey") % 3 == 0, F.lit(1), F.col("s_nationkey") < 10, (F.col("s_acctbal") / 100).cast("decimal(10,2)"), F.col("needed"), F.col("valid"), F.col("missing"), zero, zero
+        F.lit("category"), F.col("s_nationkey") % 3 == 0, F.lit(1), F.col("s_nationkey") < 10, F.floor(F.col("s_acctbal") / 100), F.col("needed"), F.col("valid"), F.col("missing"), zero, zero
     )
     return rows.select("s_suppkey", score.alias("s")).select("s_suppkey", F.col("s.score").cast("double").alias("score"), "s.level", "s.recommendation", "s.flags")
 
