@@ -305,18 +305,17 @@ def asof_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.asof_within(orders, lines, ["o_orderkey"], "o_orderdate", "l_shipdate", ["o_orderkey"], 7, 3, tie).select("o_orderkey", "l_linenumber", "l_partkey", "place")
 
 
-@query("""with p as (select p_partkey as a, p_name, p_brand, p_type, p_size from part where p_partkey % 50 = 1), q as (select p_partkey as b, p_name, p_brand, p_type, p_size from part where p_partkey % 50 = 2),
-h as (select a, b, case when p.p_name = q.p_name and p.p_brand = q.p_brand then 1 when p.p_name = q.p_name then 2 when p.p_brand = q.p_brand and p.p_type = q.p_type then 3
-when p.p_brand = q.p_brand and p.p_size = q.p_size then 4 end as rule from p join q on p.p_name = q.p_name or p.p_brand = q.p_brand), m as (select a, min(rule) as r from h group by 1)
-select h.a, h.b, h.rule from h join m on h.a = m.a and h.rule = m.r""")
+@query("""with q as (select * from (select *, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as r from part) where r = 1)
+select p.p_partkey as a, q.p_partkey as b, case when p.p_name = q.p_name then 1 when p.p_type = q.p_type then 2 when p.p_size = q.p_size then 3 else 4 end as rule from part p join q using (p_brand)""")
 def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN14: the first rule that any pair fulfils; every rule is a hash join."""
+    """JN14: every part and the cheapest one of its brand, by the first rule that holds; every rule is a hash join."""
     part = table(spark, sf_dir, "part")
-    p = part.filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("a"), *[F.col(f"p_{c}").alias(f"{c}_a") for c in ("name", "brand", "type", "size")])
-    q = part.filter("p_partkey % 50 = 2").select(F.col("p_partkey").alias("b"), *[F.col(f"p_{c}").alias(f"{c}_b") for c in ("name", "brand", "type", "size")])
-    same = lambda *cols: [F.col(f"{c}_a") == F.col(f"{c}_b") for c in cols]
-    both = lambda x: x[0] if len(x) == 1 else x[0] & x[1]
-    return J.cascade(p, q, "a", "b", [both(same("name", "brand")), both(same("name")), both(same("brand", "type")), both(same("brand", "size"))])
+    cheapest = A.first_per_key(part, ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")])
+    fields = ("brand", "name", "type", "size")
+    p = part.select(F.col("p_partkey").alias("a"), *[F.col(f"p_{c}").alias(f"{c}_a") for c in fields])
+    q = cheapest.select(F.col("p_partkey").alias("b"), *[F.col(f"p_{c}").alias(f"{c}_b") for c in fields])
+    same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
+    return J.cascade(p, q, "a", "b", [same("name"), same("type"), same("size"), F.lit(True)], same("brand"))
 
 
 @query("with n as (select distinct p_name from part) select p_name from n where not exists (select 1 from n m where length(m.p_name) > length(n.p_name) and contains(lower(m.p_name), lower(n.p_name)))")
@@ -325,13 +324,12 @@ def subsumed_rows_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.without_fragments(table(spark, sf_dir, "part").select("p_name").distinct(), [], "p_name")
 
 
-@query("""select o_orderkey, kind, moment, detail from (select o_orderkey, 'Ordered' as kind, o_orderdate as moment, o_orderpriority as detail from orders where o_orderkey < 500
-union all select l_orderkey, 'Shipped', l_shipdate, l_returnflag || l_linestatus from lineitem where l_orderkey < 500
-union all select l_orderkey, 'Returned', max(l_shipdate), cast(count(*) as varchar) from lineitem where l_orderkey < 500 and l_returnflag = 'R' group by 1)""")
+@query("""select o_orderkey, kind, moment, detail from (select o_orderkey, 'Ordered' as kind, o_orderdate as moment, o_orderpriority as detail from orders
+union all select l_orderkey, 'Shipped', l_shipdate, l_returnflag || l_linestatus from lineitem
+union all select l_orderkey, 'Returned', max(l_shipdate), cast(count(*) as varchar) from lineitem where l_returnflag = 'R' group by 1)""")
 def timeline_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SE6: events of three sources in one shape; the key range is the screen's filter."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey < 500")
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
+    """SE6: events of three sources in one shape."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     a = orders.select("o_orderkey", F.lit("Ordered").alias("kind"), F.col("o_orderdate").alias("moment"), F.col("o_orderpriority").alias("detail"))
     b = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("Shipped").alias("kind"), F.col("l_shipdate").alias("moment"), F.concat("l_returnflag", "l_linestatus").alias("detail"))
     c = lines.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit("Returned").alias("kind"), F.max("l_shipdate").alias("moment"), F.count("*").cast("string").alias("detail"))

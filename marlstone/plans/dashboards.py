@@ -88,24 +88,25 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", seconds.alias("seconds")).agg(F.count("*").alias("n"))
 
 
-@query("""with a as (select o_orderkey as award_id, cast(o_custkey % 40 as varchar) as package_no, o_orderpriority as project from orders where o_orderkey % 20 = 1),
-t as (select o_orderkey as tender_id, cast(o_custkey % 40 as varchar) as package_no, o_orderpriority as project from orders where o_orderkey % 20 = 2),
+@query("""with a as (select o_orderkey as award_id, o_custkey as package_no, o_orderpriority as project from orders where o_orderstatus = 'F'),
+t as (select o_orderkey as tender_id, o_custkey as package_no, o_orderpriority as project from orders where o_orderstatus = 'O'),
 r as (select award_id, tender_id, row_number() over (partition by award_id order by tender_id) as n from a join t using (package_no, project)) select award_id, tender_id from r where n = 1""")
 def award_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN12, JN13, DA7: the tender of each award, by package, lot and project."""
     orders = table(spark, sf_dir, "orders")
     blank = F.lit("")
-    keys = [(F.col("o_custkey") % 40).cast("string").alias("package_no"), blank.alias("lot_no"), blank.alias("lot_name"), F.col("o_orderpriority").alias("project_code"), blank.alias("project_name")]
-    awards = orders.filter("o_orderkey % 20 = 1").select(F.col("o_orderkey").alias("award_id"), *keys)
-    tenders = orders.filter("o_orderkey % 20 = 2").select(F.col("o_orderkey").alias("tender_id"), *keys)
+    keys = [F.col("o_custkey").cast("string").alias("package_no"), blank.alias("lot_no"), blank.alias("lot_name"), F.col("o_orderpriority").alias("project_code"), blank.alias("project_name")]
+    awards = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("award_id"), *keys)
+    tenders = orders.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("tender_id"), *keys)
     return linkage.link(awards, tenders, "award_id", "tender_id", False).select("award_id", F.col("o_tender_id").alias("tender_id"))
 
 
-@query("""select event_id, case when n = 1 then 'ok' when n > 1 then 'conflict' else 'missing' end as package from (select e.event_id, count(p.p_partkey) as n from events e left join part p on p.p_partkey % 700 = e.event_id and p.p_size > 25 where e.event_id < 1000 group by 1)""")
+@query("""with p as (select floor(p_retailprice) as price, count(*) as n from part group by 1)
+select event_id, case when n = 1 then 'ok' when n > 1 then 'conflict' else 'missing' end as package from events left join p on price = 900 + user_id""")
 def package_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN19: one match is fine, several conflict, none is missing."""
-    part = table(spark, sf_dir, "part").filter("p_size > 25").groupBy((F.col("p_partkey") % 700).alias("event_id")).agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id").join(part, "event_id", "left")
+    part = table(spark, sf_dir, "part").groupBy((F.floor("p_retailprice") - 900).alias("user_id")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id").join(part, "user_id", "left")
     return rows.select("event_id", classify.ladder([(F.col("n") == 1, "ok"), (F.col("n") > 1, "conflict")], "missing").alias("package"))
 
 
@@ -141,13 +142,13 @@ def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.retained(table(spark, sf_dir, "events"), "ts", F.lit("2024-01-30").cast("timestamp_ntz"), 7).select("event_id", "event_type")
 
 
-@query("""with d as (select o_orderkey as id, o_totalprice as v from orders where o_orderkey % 2 = 0), o as (select o_orderkey as id, o_totalprice - 1 as v, o_orderstatus = 'F' as confirmed from orders where o_orderkey % 3 = 0)
+@query("""with d as (select o_orderkey as id, o_totalprice as v from orders where o_orderpriority <> '5-LOW'), o as (select o_orderkey as id, o_totalprice - 1 as v, o_orderstatus = 'F' as confirmed from orders)
 select id, v from o where confirmed union all select id, v from d where id not in (select id from o where confirmed)""")
 def refreshed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SG14: confirmed rows stay, the others give way to the drafts."""
     orders = table(spark, sf_dir, "orders")
-    old = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") - 1).alias("v"), (F.col("o_orderstatus") == "F").alias("confirmed"))
-    drafts = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit(False).alias("confirmed"))
+    old = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") - 1).alias("v"), (F.col("o_orderstatus") == "F").alias("confirmed"))
+    drafts = orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit(False).alias("confirmed"))
     return ingest.refreshed_links(old, drafts, "id", "confirmed").select("id", "v")
 
 

@@ -105,13 +105,13 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.quality_score(table(spark, sf_dir, "orders").select("o_orderkey"), _issues(spark, sf_dir), "o_orderkey", ["MissingLotOrPackage"])
 
 
-@query("""with n as (select distinct p_name, regexp_replace(p_name, '[\\s[:punct:]]', '', 'g') as k from part), p as (select a.p_name as a, b.p_name as b, a.k as x, b.k as y from n a join n b on a.p_name < b.p_name)
+@query("""with n as (select distinct p_name, regexp_replace(p_name, '[\\s[:punct:]]', '', 'g') as k from part), p as (select a.p_name as a, b.p_name as b, a.k as x, b.k as y from n a join n b on a.p_name < b.p_name and len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) > 0)
 select a, b, case when lower(x) = lower(y) then 1.0 when contains(lower(x), lower(y)) or contains(lower(y), lower(x)) then 0.88
 else round(len(list_intersect(string_split(x, ''), string_split(y, ''))) / greatest(length(x), length(y)), 6) end as similarity from p""")
 def char_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC21, SE4, JN17: shared characters of the few distinct names; a name's pairs come from one block, its kind of table."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("k", F.lit(1))
-    pairs = J.pairs_in_block(names, ["k"], "p_name", [])
+    """SC21, SE4, JN17: shared characters of distinct names that share a word, which is the block."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("word", F.explode(F.array_distinct(F.split("p_name", " "))))
+    pairs = J.pairs_in_block(names, ["word"], "p_name", []).select("p_name_a", "p_name_b").distinct()
     return pairs.select(F.col("p_name_a").alias("a"), F.col("p_name_b").alias("b"), F.round(text.similarity(F.col("p_name_a"), F.col("p_name_b")), 6).alias("similarity"))
 
 
@@ -155,11 +155,11 @@ def amount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, 0.9 as rate from documents where false")
+@query("""select doc_id, cast(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(%)?', 1) as double) / 100 as rate from (select doc_id, replace(text, ',', '') as t from documents)
+where contains(t, '%') and regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(%)?', 2) = '%'""")
 def rates_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC9: documents whose first words are a rate; the tables have none."""
-    rate = parse_rate(F.substring("text", 1, 40))
-    found = table(spark, sf_dir, "documents").select("doc_id", rate.alias("r")).filter("r is not null and r.rate_type = 'DiscountRate'")
+    """SC9: documents whose first number is a percentage."""
+    found = table(spark, sf_dir, "documents").select("doc_id", parse_rate(F.col("text")).alias("r")).filter("r.rate_type = 'Unknown'")
     return found.select("doc_id", F.col("r.rate_value").cast("double").alias("rate"))
 
 
@@ -179,15 +179,15 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.components(close, "o_orderkey_a", "o_orderkey_b")
 
 
-@query("""with old as (select doc_id as id, sha256(coalesce(text, '')) as h, source from documents where doc_id % 3 <> 0), new as (select doc_id as id, sha256(coalesce(text, '') || case when doc_id % 5 = 0 then '!' else '' end) as h,
-case when doc_id % 7 = 0 then 'moved' else source end as source from documents where doc_id % 2 = 0)
+@query("""with old as (select doc_id as id, sha256(coalesce(text, '')) as h, source from documents where source <> 'src1'), new as (select doc_id as id, sha256(coalesce(text, '') || case when lang = 'de' then '!' else '' end) as h,
+case when lang = 'fr' then 'moved' else source end as source from documents)
 select new.id, case when old.id is null then 'Created' when old.h <> new.h then 'Changed' when old.source <> new.source then 'IdentityUpdated' else 'Refreshed' end as outcome from new left join old using (id)""")
 def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SG3: what a load does to each row."""
+    """SG3: what a full load does to each row of a table that lacks one source."""
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"), "source")
-    changed = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))
-    new = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.sha2(changed, 256).alias("h"), F.when(F.col("doc_id") % 7 == 0, "moved").otherwise(F.col("source")).alias("source"))
+    old = docs.filter("source <> 'src1'").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"), "source")
+    changed = F.concat("text", F.when(F.col("lang") == "de", "!").otherwise(""))
+    new = docs.select(F.col("doc_id").alias("id"), F.sha2(changed, 256).alias("h"), F.when(F.col("lang") == "fr", "moved").otherwise(F.col("source")).alias("source"))
     return classify_upsert(new, old, "id", "h", ["source"]).select("id", "outcome")
 
 

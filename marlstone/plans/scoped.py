@@ -50,22 +50,22 @@ def missing_scope_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).scan("customers", AccessContext(AS_OF)).select("c_custkey", "c_name")
 
 
-@query(f"select s_suppkey, s_name from {SUPPLIERS} where n_regionkey = 2 and s_nationkey in (8, 9, 12)")
+@query(f"select s_suppkey, s_name from {SUPPLIERS} where n_regionkey = 2 and s_nationkey in (2, 7, 12)")
 def shared_store_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL4: rows of shared stores."""
-    return catalog(spark, sf_dir).scan("suppliers", AccessContext(AS_OF, tenant_id=2, share_ids=(8, 9, 12))).select("s_suppkey", "s_name")
+    return catalog(spark, sf_dir).scan("suppliers", AccessContext(AS_OF, tenant_id=2, share_ids=(2, 7, 12))).select("s_suppkey", "s_name")
 
 
-@query(f"select c_custkey, c_acctbal from {CUSTOMERS} where n_regionkey = 3 and c_nationkey = 7")
+@query(f"select c_custkey, c_acctbal from {CUSTOMERS} where n_regionkey = 2 and c_nationkey = 7")
 def store_only_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL3: rows of the own store."""
-    return catalog(spark, sf_dir).scan("store_customers", AccessContext(AS_OF, tenant_id=3, store_id=7)).select("c_custkey", "c_acctbal")
+    return catalog(spark, sf_dir).scan("store_customers", AccessContext(AS_OF, tenant_id=2, store_id=7)).select("c_custkey", "c_acctbal")
 
 
-@query(f"select c_custkey from {CUSTOMERS} where n_regionkey = 1 and c_nationkey in (1, 2)")
+@query(f"select c_custkey from {CUSTOMERS} where n_regionkey = 1 and c_nationkey in (1, 6, 11)")
 def policy_assigned_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC3, FIL5: a resource policy on top of the tenant."""
-    return catalog(spark, sf_dir).scan("customers", AccessContext(AS_OF, tenant_id=1, assigned_store_ids=(1, 2)), "assigned_stores").select("c_custkey")
+    return catalog(spark, sf_dir).scan("customers", AccessContext(AS_OF, tenant_id=1, assigned_store_ids=(1, 6, 11)), "assigned_stores").select("c_custkey")
 
 
 @query(f"select c_custkey, c_name from {CUSTOMERS} where n_regionkey = 4")
@@ -74,10 +74,10 @@ def explicit_tenant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).scan("customers", AccessContext(AS_OF, tenant_id=1), tenant_id=4).select("c_custkey", "c_name")
 
 
-@query(f"select c_custkey, c_name, c_acctbal from {CUSTOMERS} where n_regionkey = 0 and c_custkey = (select min(c_custkey) from {CUSTOMERS} where n_regionkey = 0 and c_custkey >= 16) and c_custkey = 16")
+@query(f"select c_custkey, c_name, c_acctbal from {CUSTOMERS} where n_regionkey = 2 and c_custkey = 16")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5: one row by id, within scope."""
-    return catalog(spark, sf_dir).by_id("customers", AccessContext(AS_OF, tenant_id=0), 16).select("c_custkey", "c_name", "c_acctbal")
+    return catalog(spark, sf_dir).by_id("customers", AccessContext(AS_OF, tenant_id=2), 16).select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("select c_custkey, c_name from customer where c_custkey > 100 order by c_custkey limit 50")
