@@ -24,7 +24,7 @@ SAMPLE_ROWS = 3000  # labelled rows that the network is fitted on, at most
 SAMPLE_CHARS = 3000  # of each of those, at most; predictions read whole texts
 HIDDEN, EMBED = 16, 10
 UNIT = 48  # bytes of a unit; longer stretches without white space are cut there
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 SHARPEN = 8.0
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$=+-_~/\\0123456789"  # around words, they say nothing of a language
 LETTER = re.compile(r"[^\W\d_]")

@@ -25,7 +25,7 @@ from .common import lines, table
 MARK = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in the model file
 NONE = np.iinfo(np.int64).max
-REMEMBERED = 600_000  # words that a worker keeps encoded; beyond that it starts anew
+REMEMBERED = 400_000  # words that a worker keeps encoded; beyond that it starts anew
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -239,12 +239,13 @@ def _cut_run(word: str, longest: int) -> list[str]:
 
 
 class Codec:
-    """Encodes texts through a bounded memory of words."""
+    """Encodes texts through a bounded memory of words: their ids as text, and their decoded text where it is not the word."""
 
     def __init__(self, data: bytes):
         self.model = PieceModel(data)
         self.plain = [p.replace(MARK, " ") if k == NORMAL else None for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def _plain(self, ids: list[int]) -> str:
         """Text of a word's ids with every blank kept; the document drops its leading one."""
@@ -253,14 +254,24 @@ class Codec:
         except TypeError:  # None stands for a byte
             return self.model.decode([*self.model.byte_ids[[32]].tolist(), *ids])[self.model.dummy_prefix ^ 1 :]
 
+    def _learn(self, words: list[str]) -> None:
+        for w, ids in zip(words, self.model.encode_words(words), strict=True):
+            self.known[w] = " ".join(map(str, ids))
+            if (text := self._plain(ids)) != w.replace(MARK, " "):
+                self.odd[w] = text
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
-        return [int(i) for w in self.words(text) for i in self._of(w)[1].split()] + [self.model.eos]
+        words = self.words(text)
+        self._know({w for w in words})
+        return [int(i) for w in words for i in self.known[w].split()] + [self.model.eos]
 
-    def _of(self, word: str) -> tuple[int, str, str]:
-        if word not in self.known:
-            self._learn_all([word])
-        return self.known[word]
+    def _know(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known, self.odd, new = {}, {}, words
+            self._learn(sorted(new))
 
     def words(self, text: str) -> list[str]:
         """A text cut into the words that merge by themselves."""
@@ -278,30 +289,20 @@ class Codec:
         for text in texts:
             block.append(self.words(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from self._digests(block)
                 block, size = [], 0
         yield from self._digests(block)
 
     def _digests(self, block: list[list[str]]) -> Iterator[tuple[int, str, str]]:
-        new = {w for words in block for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = {w for words in block for w in words}
-            self._learn_all(sorted(new))
-        known, eos = self.known, str(self.model.eos)
+        self._know(set().union(*block))
+        known, odd, eos = self.known, self.odd, str(self.model.eos)
         for words in block:
-            got = [known[w] for w in words]
-            ids = " ".join([x[1] for x in got] + [eos])
-            text = "".join([x[2] for x in got])
+            ids = " ".join([known[w] for w in words] + [eos])
+            text = "".join([odd.get(w, w) for w in words] if odd and not odd.keys().isdisjoint(words) else words).replace(MARK, " ")
             if self.model.dummy_prefix and text.startswith(" "):
                 text = text[1:]
-            yield sum([x[0] for x in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-    def _learn_all(self, words: list[str]) -> None:
-        for w, ids in zip(words, self.model.encode_words(words), strict=True):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), self._plain(ids))
+            yield ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _CODECS: dict[bytes, Codec] = {}
