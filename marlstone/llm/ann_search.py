@@ -13,8 +13,6 @@ are the result. The work is queries times rows, in blocks, with a verified share
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +22,7 @@ from .common import table
 
 TOP = 20
 BLOCK_ROWS = 32_768  # vectors of a block, about
-QUERY_ROWS = 1_024  # queries of a batch, about
+QUERY_ROWS, FEW_QUERIES = 16_384, 512  # queries of a batch, at most, and where a batch is cut no finer to give all cores work
 ALPHA = 0.82  # collision threshold, as a share of the projections
 BETA, AT_LEAST = 0.05, 14  # verified: this share of a block and so many times the wanted neighbours, or more
 FIRST, STEP = 1.1, 1.06  # first window in standard deviations of the projected values, and its widening
@@ -115,15 +113,19 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     once (their largest vector, as arrays compare). An empty table gives an empty result. Other columns are not used.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
+    if dict(rows.dtypes)["v"] not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     rows = rows.filter(F.col("id").isNotNull() & finite(F.col("v")))
     rows = rows.groupBy("id").agg(F.max("v").alias("v"), F.max("q").alias("q"))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("s")).orderBy(F.desc("n"), "d").first()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("s")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, norm = sizes["d"], float(np.sqrt(sizes["s"]))
     blocks = max(1, -(-sizes["n"] // block_rows))
-    batches = max(1, -(-(sizes["q"] or 0) // QUERY_ROWS))
+    # Every batch of queries is sent to every block and every block to every batch: large batches move a block less often.
+    asked, wanted = sizes["q"] or 0, -(-2 * spark.sparkContext.defaultParallelism // blocks)
+    batches = max(1, -(-asked // QUERY_ROWS), min(wanted, -(-asked // FEW_QUERIES)))
     rows = rows.filter(F.size("v") == dim)
     # Every batch of queries meets every block: a row is sent to the pairs that it belongs to.
     here = rows.select(F.lit(False).alias("q"), "id", "v", F.pmod(F.xxhash64("id", F.lit("b")), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("p"))

@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+BATCH_ROWS = "1000"  # documents in an Arrow batch, at most: long texts make large batches
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure checkpoints have a folder.
+    """Let Python workers import this package, bound Arrow batches, and make sure checkpoints have a folder.
 
-    The checkpoint folder is the one the cluster names in spark.checkpoint.dir; only where that is
+    A batch holds BATCH_ROWS rows at most, fewer where the session says so. The checkpoint folder is the one the cluster names in spark.checkpoint.dir; only where that is
     unset (tests on one machine) a temporary folder is used.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if PACKAGE_PARENT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_PARENT, known) if x)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "0")) <= int(BATCH_ROWS):
+        spark.conf.set(rows, BATCH_ROWS)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
     return spark

@@ -108,7 +108,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs a, b to verify; members bucket, key, hub of the larger buckets) from key, bands."""
     members = nodes.select(F.explode("bands").alias("bucket"), "key")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Aggregates are settled before they are joined back: the join then stands alone and a hot bucket can be split.
+    sizes = settle(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = settle(members.join(sizes, "bucket"), "buckets")
     few = shared.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("own"))
     pair = F.flatten(
@@ -118,7 +119,7 @@ def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # In a large bucket the member that shares most buckets with most others is the hub: texts copied often are that.
     many = shared.filter(F.col("n") > SMALL)
     central = many.groupBy("key").agg(F.sum("n").alias("met"))
-    hubs = many.join(central, "key").groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("top")).select("bucket", F.col("top.key").alias("hub"))
+    hubs = settle(many.join(central, "key").groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("top")).select("bucket", F.col("top.key").alias("hub")), "hubs")
     large = settle(many.select("bucket", "key").join(hubs, "bucket"), "large")
     star = large.filter("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
     return close.union(star).distinct(), large

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: st
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "found")
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-    scanned = scan_blobs(unseen, "text", rules).select("blob", "found")
+    # Settled before it is joined back: scanned once for both results, and a hot blob's paths can be split.
+    scanned = settle(scan_blobs(unseen, "text", rules).select("blob", "found"), "scanned")
     news = scanned.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "found")
     found = scanned if ledger is None else scanned.unionByName(known)
     found = found.filter(F.size("found") > 0)
