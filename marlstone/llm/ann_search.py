@@ -7,8 +7,11 @@ exact inner products, until enough have been. The projections are orthonormal di
 the counts follow the distances closely.
 
 Largest inner product is turned into smallest distance by one more coordinate that gives all vectors the largest
-norm. Queries meet each block in batches; a block yields a query's best few, and the best of all blocks
-are the result. The work is queries times rows, in blocks, with a verified share of about BETA.
+norm. That holds only among like norms, for beside a few long vectors all others differ in little but this coordinate:
+a block is cut into bands of norms within a factor of RANGE, each lifted to its own largest norm, and every band
+verifies as many vectors as the block as a whole would. Vectors of thinly filled bands are all verified.
+Queries meet each block in batches; a block yields a query's best few, and the best of all blocks
+are the result. The work is queries times rows, in blocks, with a verified share of about BETA for one range of norms.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ ALPHA = 0.82  # collision threshold, as a share of the projections
 BETA, AT_LEAST = 0.05, 14  # verified: this share of a block and so many times the wanted neighbours, or more
 FIRST, STEP = 1.1, 1.06  # first window in standard deviations of the projected values, and its widening
 LEAST_PROJECTIONS = 48
+RANGE = 1.5  # largest norm of a band by its smallest
 
 
 def directions(dim: int, seed: int = 5) -> np.ndarray:
@@ -36,16 +40,37 @@ def directions(dim: int, seed: int = 5) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(frames)], axis=1)
 
 
-class Block:
-    """Sorted projections of a block of vectors."""
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, without overflow on the way."""
+    high = np.abs(vectors).max(axis=1, keepdims=True, initial=0.0)
+    return high[:, 0] * np.sqrt(((vectors / np.where(high > 0, high, 1.0)) ** 2).sum(axis=1))
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+
+def bands(norm: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(places of the vectors of each band of at least `least`, places of all others), both ascending."""
+    order = np.argsort(-norm, kind="stable")
+    falling = norm[order]
+    out: list[np.ndarray] = []
+    rest: list[np.ndarray] = []
+    at = int(np.isinf(falling).sum())
+    if at:
+        rest.append(order[:at])
+    while at < len(order):
+        end = int(np.searchsorted(-falling, -falling[at] / RANGE, side="right"))
+        (out if end - at >= least else rest).append(np.sort(order[at:end]))
+        at = end
+    return out, np.sort(np.concatenate(rest)) if rest else np.zeros(0, np.int64)
+
+
+class Band:
+    """Sorted projections of vectors of like norms; `extra` is added to the number that is verified."""
+
+    def __init__(self, vectors: np.ndarray, norm: float, extra: int):
+        self.vectors, self.extra = vectors, extra
         lift = np.sqrt(np.maximum(0.0, norm**2 - (self.vectors**2).sum(axis=1)))
         self.axes = directions(vectors.shape[1] + 1)
         projected = np.column_stack([self.vectors, lift]) @ self.axes
-        self.norm, self.n, self.m = norm, len(ids), self.axes.shape[1]
+        self.norm, self.n, self.m = norm, len(vectors), self.axes.shape[1]
         self.where = np.argsort(projected, axis=0, kind="stable").T.ravel()
         values = np.sort(projected, axis=0, kind="stable").T
         # One ascending array of all projections: each is shifted behind the one before.
@@ -60,11 +85,11 @@ class Block:
         self.first = min([self.collide(self.vectors[i], self.wanted(TOP))[1] for i in own]) / STEP if self.n else self.first
 
     def wanted(self, top: int) -> int:
-        return min(self.n, int(AT_LEAST * top + BETA * self.n))
+        return min(self.n, int(AT_LEAST * top + self.extra))
 
     def collide(self, query: np.ndarray, wanted: int) -> tuple[np.ndarray, float]:
         """Vectors above the collision threshold, at least `wanted` of them, and the window that it took."""
-        target = (np.append(query * (self.norm / np.sqrt((query**2).sum())), 0.0) @ self.axes)[:, None] + self.shift
+        target = (np.append(query * (self.norm / norms(query[None, :])[0]), 0.0) @ self.axes)[:, None] + self.shift
         # A vector outside a window has missed it. The windows hold most of an array, so misses are counted:
         # a vector collides in m - misses windows.
         missed, width = np.zeros(self.n, np.int64), self.first
@@ -84,9 +109,21 @@ class Block:
                 return found, width
             width *= STEP
 
+
+class Block:
+    """A block of vectors in bands of like norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        norm, extra = norms(self.vectors), int(BETA * len(ids))
+        self.places, self.rest = bands(norm, AT_LEAST * TOP + extra)
+        self.bands = [Band(self.vectors[k], float(norm[k].max()), extra) for k in self.places]
+
     def search(self, query_id: int, query: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, inner products) of the best verified vectors, never the query's own row."""
-        found, _ = self.collide(query, self.wanted(top))
+        found = [self.rest, *(k[band.collide(query, band.wanted(top))[0]] for k, band in zip(self.places, self.bands, strict=True))]
+        found = np.sort(np.concatenate(found))
         found = found[self.ids[found] != query_id]
         score = (self.vectors[found] * query).sum(axis=1)
         if len(found) > top:
@@ -118,10 +155,10 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     rows = rows.filter(F.col("id").isNotNull() & finite(F.col("v")))
     rows = rows.groupBy("id").agg(F.max("v").alias("v"), F.max("q").alias("q"))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("s")).orderBy(F.desc("n"), "d").first()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, norm = sizes["d"], float(np.sqrt(sizes["s"]))
+    dim = sizes["d"]
     blocks = max(1, -(-sizes["n"] // block_rows))
     # Every batch of queries is sent to every block and every block to every batch: large batches move a block less often.
     asked, wanted = sizes["q"] or 0, -(-2 * spark.sparkContext.defaultParallelism // blocks)
@@ -137,7 +174,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         ids = pdf["id"].to_numpy()
         out: list[pd.DataFrame] = []
         if ask.any() and (~ask).any():
-            block = Block(ids[~ask], v[~ask], norm)
+            block = Block(ids[~ask], v[~ask])
             for i, q in zip(ids[ask].tolist(), v[ask], strict=True):
                 near, score = block.search(i, q, top)
                 out.append(pd.DataFrame({"query_id": i, "vec_id": near, "score": score}))

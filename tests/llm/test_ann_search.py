@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marlstone.llm.ann_search import search
+from marlstone.llm.ann_search import Block, search
 
 
 def brute(rows, top=20):
@@ -40,3 +40,30 @@ def test_few_and_none(llm_spark):
     got = [(r.query_id, r.vec_id, r.score) for r in search(few, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 20, 2.0), (0, 1, 0.5), (0, 2, 0.5), (20, 0, 2.0), (20, 1, 1.5), (20, 2, 1.5)]
     assert search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_beside_long_vectors(llm_spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 32))
+    x *= (rng.uniform(0.8, 1.2, 6000) / np.sqrt((x**2).sum(axis=1)))[:, None]
+    x[:8] *= np.array([2, 3, 5, 8, 10, 15, 20, 30])[:, None]
+    asked = list(range(40, 6000, 149))
+    df = llm_spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(df, F.col("vec_id").isin(asked)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(got[q] & set(w)) for q, w in zip(asked, want.tolist(), strict=True)) >= 0.9 * want.size
+
+
+def test_bands_of_any_norms():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 8)) * 10.0 ** rng.uniform(-120, 120, (3000, 1))
+    block = Block(np.arange(3000), x)
+    assert sorted([*block.rest, *(k for p in block.places for k in p)]) == list(range(3000))
+    ids, score = block.search(5, x[5] / np.abs(x[5]).max(), 20)
+    exact = x @ (x[5] / np.abs(x[5]).max())
+    exact[5] = -np.inf
+    assert ids.tolist() == np.argsort(-exact, kind="stable")[:20].tolist() and np.allclose(score, np.sort(exact)[::-1][:20])
