@@ -1,10 +1,10 @@
 """Near duplicates by DartMinHash signatures, banded joining and exact verification.
 
-Each distinct five-word shingle is an element with a weight (one and the binary logarithm of its count). An element throws
+Each distinct five-word shingle is an element of weight one, however often it occurs, as in the check of candidates. An element throws
 darts that depend on its hash alone into the plane of weight and rank, cell by cell, one a cell on
 average; a text sees those darts that lie below its element's weight and below a rank bound that leaves a few
 hundred darts whatever its length. Every dart has a coordinate; the earliest dart of each coordinate is the signature. Equal coordinates
-occur with the weighted Jaccard similarity of two texts.
+occur with the weighted Jaccard similarity of two texts, which at equal weights is that of their shingle sets.
 
 Bands of the signature are joined, and candidates are verified by the exact Jaccard similarity of their shingle sets.
 Equal texts are one node. A bucket of few nodes gives all its pairs. A larger one is tied to its most central member, and
@@ -85,8 +85,8 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def text_bands(text: str) -> np.ndarray:
     """Band keys of a text; none for a text without words."""
-    elements, counts = shingles(text)
-    return band_keys(dart_signature(elements, 1.0 + np.log2(counts)))
+    elements = shingles(text)[0]
+    return band_keys(dart_signature(elements, np.ones(len(elements))))
 
 
 def _text_key(text: str):

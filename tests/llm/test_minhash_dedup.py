@@ -71,3 +71,19 @@ def test_repeated_and_null_ids(make_docs, prose):
     assert sorted(r.text for r in one_of_each(make_docs(rows)).collect()) == sorted([t, u])
     assert [r.class_id for r in near_duplicates(make_docs([(None, t)])).collect()] == [None]
     assert near_duplicates(make_docs([])).count() == 0 and one_of_each(make_docs([])).count() == 0
+
+
+def test_repeats_do_not_hide_copies(make_docs, prose):
+    rows = []
+    for k in range(20):
+        t = prose(300 + k, 120)
+        block = prose(500 + k, 12)
+        rows += [(100 * k, t), (100 * k + 1, f"{t} {t}"), (100 * k + 2, " ".join([t] * 4))]
+        rows += [(100 * k + 10, prose(700 + k, 120) + f" {block}"), (100 * k + 11, prose(700 + k, 120) + f" {block}" * 60)]
+        rows += [(100 * k + 20, prose(800 + k, 120)), (100 * k + 21, prose(800 + k, 60))]
+    got = {}
+    for r in near_duplicates(make_docs(rows)).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    want = {frozenset(rows[i][0] for i in c) for c in brute(rows)}
+    assert {frozenset(v) for v in got.values()} == want
+    assert all({100 * k, 100 * k + 1, 100 * k + 2} in want and {100 * k + 10, 100 * k + 11} in want for k in range(20))
