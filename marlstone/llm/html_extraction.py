@@ -2,8 +2,8 @@
 
 A streaming pass of the standard library's parser cuts a page into lines (one a block element) and counts the
 tags met on the way to each. The text-to-tag ratios are smoothed by a Gaussian; lines above a threshold
-are content, and runs of them form clusters. The region is the element that holds most of the clustered text:
-an article or main element, else the deepest element around nearly all of it. Every line of the region that is not
+are content, and runs of them form clusters. The region is what holds most of the clustered text: articles side by
+side, or a main element, else the deepest element around nearly all of it. Every line of the region that is not
 in an excluded element belongs to the article, also the short ones between long paragraphs.
 """
 
@@ -36,6 +36,7 @@ MARKED = re.compile(
 )
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
 SAYS_LITTLE = ("has-", "no-", "with-", "without-", "is-", "not-")  # classes that tell of other elements
+TOPIC = ("category-", "tag-", "type-", "status-", "format-")  # classes of articles that tell what they are about
 TITLE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 SIGMA, REACH = 1.5, 4  # of the Gaussian, in lines
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
@@ -49,6 +50,7 @@ class Element:
     out: bool  # excluded, itself or by an element around it
     silent: bool
     comment: bool
+    marked: bool = False  # excluded by its own name or attributes
 
 
 @dataclass
@@ -59,11 +61,43 @@ class Line:
     linked: int
 
 
+class Ends(HTMLParser):
+    """Which elements, numbered as they open, may lack their end tag: they or an element of their name around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int]] = []
+        self.closed: set[int] = set()
+        self.around: dict[int, int] = {}
+        self.n = 0
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in VOID:
+            return
+        self.n += 1
+        self.around[self.n] = next((n for t, n in reversed(self.open) if t == tag), 0)
+        self.open.append((tag, self.n))
+
+    def handle_endtag(self, tag: str) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                self.closed.add(self.open[k][1])
+                del self.open[k:]
+                return
+
+    def missing(self, number: int) -> int:
+        """The innermost element without end tag that can have lent this one its own; 0 if none."""
+        while number in self.closed:
+            number = self.around[number]
+        return number
+
+
 class PageLines(HTMLParser):
     """Lines of a page from parser events, with the elements around each."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.html, self.ends = html, None
         self.stack: list[Element] = [Element("#page", 0, False, False, False)]
         self.names = {0: "#page"}
         self.lines: list[Line] = []
@@ -84,9 +118,10 @@ class PageLines(HTMLParser):
         said = " ".join(own.get(k, "") for k in ("class", "id", "role"))
         said = " ".join(w for w in said.split() if not w.lower().startswith(SAYS_LITTLE))
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
-        if tag in ("html", "body", "article", "main"):
-            comment = tag == "article" and bool(COMMENT.search(said))
-            return comment, comment
+        if tag in ("html", "body", "main"):
+            return False, False
+        if tag == "article":
+            said = " ".join(w for w in said.split() if not w.lower().startswith(TOPIC))
         inside = any(e.tag in ("article", "main") for e in self.stack)
         named = tag in EXCLUDED and not (tag == "header" and inside)
         if inside:  # an article's own header holds its title
@@ -94,6 +129,18 @@ class PageLines(HTMLParser):
         marked = bool(said.strip()) and bool(MARKED.search(said)) and not (inside and tag in HEADINGS)
         return named or marked or hidden, bool(COMMENT.search(said))
 
+    def _never_closed(self) -> bool:
+        """Whether all marked elements around may lack their end tag; the page is read once more for that."""
+        if self.ends is None:
+            self.ends = Ends()
+            self.ends.feed(self.html)
+            self.ends.close()
+        lacking = {self.ends.missing(e.number) for e in self.stack if e.marked}
+        if 0 in lacking:
+            return False
+        self.ends.closed |= lacking  # each missing end tag explains one place only
+        return True
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -102,7 +149,7 @@ class PageLines(HTMLParser):
             self._close_open("p", {"article", "section", "div", "td", "th", "li", "blockquote", "main", "body", "aside", "nav", "footer", "header", "form"})
         if tag == "li":
             self._close_open("li", {"ul", "ol", "menu"})
-        if tag in ("article", "main") and self.stack[-1].out and not any(e.comment or e.tag in ("aside", "form", "footer", "dialog") for e in self.stack):
+        if tag in ("article", "main") and self.stack[-1].out and not any(e.comment or e.tag in ("aside", "form", "footer", "dialog") for e in self.stack) and self._never_closed():
             # An advert, menu or header that was never closed doesn't swallow the article.
             while self.stack[-1].out:
                 self.stack.pop()
@@ -112,7 +159,7 @@ class PageLines(HTMLParser):
         top = self.stack[-1]
         number = len(self.names)
         self.names[number] = tag
-        self.stack.append(Element(tag, number, out or top.out, top.silent or tag in SILENT, comment or top.comment))
+        self.stack.append(Element(tag, number, out or top.out, top.silent or tag in SILENT, comment or top.comment, out))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -157,40 +204,43 @@ def content_lines(found: list[Line]) -> np.ndarray:
     return smooth >= THRESHOLD * smooth.std()
 
 
-def region(found: list[Line], content: np.ndarray, names: dict[int, str]) -> int:
-    """The element whose lines are the article."""
+def region(found: list[Line], content: np.ndarray, names: dict[int, str]) -> list[int]:
+    """The elements whose lines are the article: several only if they are articles side by side."""
     mass: dict[int, int] = {}
+    around: dict[int, int] = {}
     for line, good in zip(found, content.tolist(), strict=True):
         if good:
-            for e in line.path:
+            for outer, e in zip((0, *line.path), line.path, strict=False):
                 mass[e] = mass.get(e, 0) + len(line.text)
+                around[e] = outer
     if not mass:
-        return 0
-    for tag, share in (("article", 0.5), ("main", 0.5)):
-        named = [e for e in mass if names[e] == tag]
-        if named and mass[best := max(named, key=lambda e: (mass[e], -e))] >= share * mass[0]:
+        return [0]
+    beside: dict[int, list[int]] = {}
+    for e in mass:
+        if names[e] == "article":
+            beside.setdefault(around[e], []).append(e)
+    for groups in (list(beside.values()), [[e] for e in mass if names[e] == "main"]):
+        best = max(groups, key=lambda g: (sum(mass[e] for e in g), -min(g)), default=[])
+        if best and sum(mass[e] for e in best) >= 0.5 * mass[0]:
             return best
-    named = [e for e in mass if names[e] in ("article", "main")]
-    if named:
-        return max(named, key=lambda e: (mass[e], -e))
     holding = [e for e in mass if mass[e] >= 0.9 * mass[0] and names[e] != "p"]
-    return max(holding)  # elements are numbered as they open: the last is the deepest
+    return [max(holding)]  # elements are numbered as they open: the last is the deepest
 
 
 def main_text(html: str) -> str:
     """The article's text: blocks in page order, one space between them; empty if there is none."""
-    page = PageLines()
+    page = PageLines(html)
     page.feed(html)
     page.close()
     page.flush()
     if not page.lines:
         return ""
     content = content_lines(page.lines)
-    within = region(page.lines, content, page.names)
-    kept = [x for x in page.lines if within in x.path]
-    if page.names[within] not in ("article", "main"):
+    within = set(region(page.lines, content, page.names))
+    kept = [x for x in page.lines if within.intersection(x.path)]
+    if page.names[min(within)] not in ("article", "main"):
         # Without a named region, unmarked menus are lines that are links and little else, off the clusters.
-        kept = [x for x, good in zip(page.lines, content.tolist(), strict=True) if within in x.path and (good or x.linked < 0.8 * len(x.text))]
+        kept = [x for x, good in zip(page.lines, content.tolist(), strict=True) if within.intersection(x.path) and (good or x.linked < 0.8 * len(x.text))]
     return " ".join(x.text for x in kept)
 
 

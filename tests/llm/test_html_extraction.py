@@ -33,3 +33,21 @@ def test_rows(llm_spark):
     got = extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r.page_id, r.n_chars) for r in got][2:] == [(2, 0), (None, 249_999)] and got[0] == got[1]
     assert extract(llm_spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STORY = "A long paragraph of many plain words that make the content of this page here. "
+
+
+def test_cards_do_not_replace_the_story():
+    cards = "".join(f"<article><p>Card {k} tells in one sentence of another story.</p></article>" for k in range(3))
+    main = f"<div id='story'><h1>Head</h1>{('<p>' + STORY * 4 + '</p>') * 6}</div>"
+    want = " ".join(["Head", *[STORY * 4] * 6]).split()
+    for page in (f"<body>{main}<div class='related'>{cards}</div></body>", f"<body><div>{main}</div><div class='teasers'><div>{cards}</div></div></body>", f"<body>{main}{cards.replace('<article>', '<article class=teaser>')}</body>"):
+        assert main_text(page).split() == want
+    assert main_text(f"<body>{main}<section>{cards}</section></body>").split()[: len(want)] == want
+    assert main_text("<div class='ad'>Buy" + f"<article class='post tag-search'><p>{STORY}</p></article><div class='related'>{cards}</div>").split() == STORY.split()
+
+
+def test_sibling_articles_stay():
+    page = "<body><div>" + "".join(f"<article><p>{k} {STORY * k}</p></article>" for k in (5, 2, 2)) + "</div></body>"
+    assert main_text(page).split() == " ".join(f"{k} {STORY * k}" for k in (5, 2, 2)).split()
