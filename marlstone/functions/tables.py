@@ -71,6 +71,30 @@ class _Tables(HTMLParser):
         self.cell = None
 
 
+_TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.I)
+_TAG = re.compile(r"<[^>]*>")
+
+
+def _html_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the outermost HTML tables; one that never ends reaches as far as its last row or cell tag's line."""
+    tags = [(m.start(), m.end(), bool(m[1])) for m in _TABLE_TAG.finditer(text)]
+    out: list[tuple[int, int]] = []
+    depth, begin = 0, 0
+    for at, end, closes in tags:
+        if not closes:
+            begin = begin if depth else at
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                out.append((begin, end))
+    if depth:
+        last = max((m.end() for m in re.finditer(r"</?(?:table|t[hdr])\b[^>]*>", text[begin:], re.I)), default=0) + begin
+        line = text.find("\n", last)
+        out.append((begin, len(text) if line < 0 else line))
+    return out
+
+
 def _html(text: str) -> list[list[list[str]]]:
     parser = _Tables()
     parser.feed(text)
@@ -81,18 +105,19 @@ def _html(text: str) -> list[list[list[str]]]:
     return parser.done
 
 
-def _runs(text: str, cut, least: int) -> list[list[list[str]]]:
-    """Runs of neighbouring lines that `cut` splits into at least `least` cells."""
+def _runs(text: str) -> list[list[list[str]]]:
+    """Runs of neighbouring lines of one form, pipes or blanks, with at least two cells each."""
     out: list[list[list[str]]] = []
     run: list[list[str]] = []
-    for line in [*text.split("\n"), ""]:
-        cells = cut(line)
-        if cells and len(cells) >= least:
-            run.append(cells)
-        else:
+    form = None
+    for line in [*re.split(r"\r\n?|\n", text), ""]:
+        cells, own = next(((c, cut) for cut in (_pipe, _blank) if (c := cut(line)) and len(c) >= 2), ([], None))
+        if own is not form:
             if len(run) >= 2:
                 out.append(run)
-            run = []
+            run, form = [], own
+        if own:
+            run.append(cells)
     return out
 
 
@@ -108,8 +133,17 @@ def _blank(line: str) -> list[str] | None:
 
 
 def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
-    """(headers, rows) of all tables: HTML, else pipe tables, else columns set apart by blanks."""
-    found = _html(text) if "<table" in text.lower() else _runs(text, _pipe, 2) or _runs(text, _blank, 2)
+    """(headers, rows) of all tables in text order: HTML, pipe tables and columns set apart by blanks.
+
+    Lines of an HTML table are not read again; other tags between the tables are dropped before lines are read.
+    """
+    spans = _html_spans(text)
+    bare = (lambda t: _TAG.sub("", t)) if spans else (lambda t: t)
+    found, at = [], 0
+    for start, end in spans:
+        found += _runs(bare(text[at:start])) + _html(text[start:end])
+        at = end
+    found += _runs(bare(text[at:]))
     out = []
     for rows in found:
         rows = [r for r in rows if any(c for c in r) and not all(re.fullmatch(r":?-{2,}:?", c or "--") for c in r)]

@@ -61,6 +61,21 @@ def test_tables(spark):
     assert [(r.package_no, r.budget, r.ceiling) for r in T.tender_rows(T.parse_tables(tender, "id"), "id").collect()] == [("3", 1500000, 1400000)]
 
 
+def test_tables_of_mixed_forms(spark):
+    blank = "包号  成交供应商  成交金额（万元）\n包7  丙有限公司  8"
+    pipes = "| 包号 | 预算金额 |\n| --- | --- |\n| 包3 | 150万元 |"
+    mixed = f"<p>公告</p>\n{blank}\n{pipes}\n<div>{AWARD}</div>\n{CAND}\n<p>完</p>"
+    cut = f"{CAND}\n<table><tr><th>A</th><th>B</th></tr>\n<tr><td>1</td><td>2</td>\n{pipes}"
+    docs = spark.createDataFrame([(1, mixed), (2, cut), (3, f"{blank}\n\n{CAND}")], "id long, text string")
+    t = T.parse_tables(docs, "id")
+    assert [(r.id, r.table_index, r.row_index, r.raw) for r in t.orderBy("id", "table_index", "row_index").collect()] == [
+        (1, 0, 0, "包7 | 丙有限公司 | 8"), (1, 1, 0, "包3 | 150万元"), (1, 2, 0, "包1 | 甲有限公司 | 65.88"), (1, 2, 1, " | 乙有限公司 | 3"), (1, 3, 0, "包2 | 甲有限公司 | 乙有限公司"),
+        (2, 0, 0, "包2 | 甲有限公司 | 乙有限公司"), (2, 1, 0, "1 | 2"), (2, 2, 0, "包3 | 150万元"), (3, 0, 0, "包7 | 丙有限公司 | 8"), (3, 1, 0, "包2 | 甲有限公司 | 乙有限公司"),
+    ]
+    assert [r.supplier for r in T.award_rows(t.filter("id = 1"), "id").orderBy("table_index", "row_index").collect()] == ["丙有限公司", "甲有限公司", "乙有限公司"]
+    assert T.candidate_rows(t.filter("id = 1 and table_index = 3"), "id").count() == 2 and T.tender_rows(t.filter("id = 1"), "id").count() == 4
+
+
 def test_amounts(spark):
     text = "成交金额：65.88万元\n" + "-" * 50 + "\n预算金额 150 万元\n" + "-" * 50 + "\n投标保证金：5000元\n" + "-" * 50 + "\n折扣率：八五折\n" + "-" * 50 + "\n下浮率：12.5%\n" + "-" * 50 + "\n综合费率：1.5%"
     got = [(r.amount_type, float(r.value), r.status, r.line) for r in T.extract_amounts(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id").orderBy("at").collect()]
