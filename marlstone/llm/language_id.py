@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 The network reads a text in units that end at white space, so equal units have equal results and are computed once a
-worker. In a unit every byte is a position: forward and backward states meet there and give label
-probabilities for that position; a document pools the log probabilities of all its positions, over its whole text.
-Training is backpropagation through time with Adam on units of a bounded, documented sample of labelled rows.
+worker. Every byte of a unit and the blank behind it is a position, whatever it holds: forward and backward states meet
+there and give label probabilities for that position; a document pools the log probabilities of all its positions,
+over its whole text. States start anew at white space. Training is backpropagation through time with Adam on units
+drawn from the whole texts of a bounded number of labelled rows; that number is the only bound.
 """
 
 from __future__ import annotations
@@ -20,14 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out, lines, table
 
-SAMPLE_ROWS = 3000  # labelled rows that the network is fitted on, at most
-SAMPLE_CHARS = 3000  # of each of those, at most; predictions read whole texts
+SAMPLE_ROWS = 3000  # labelled rows that the network is fitted on, at most; their whole texts count
 HIDDEN, EMBED = 16, 10
-UNIT = 48  # bytes of a unit; longer stretches without white space are cut there
-REMEMBERED = 250_000
+UNIT = 48  # bytes of a unit; longer stretches without white space are cut there, between characters
+REMEMBERED = 250_000  # units whose results a worker keeps before it starts anew
 SHARPEN = 8.0
-EDGES = ".,;:!?\"'()[]{}<>|*#%&$=+-_~/\\0123456789"  # around words, they say nothing of a language
-LETTER = re.compile(r"[^\W\d_]")
+LETTERLIKE = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
 
 
@@ -35,15 +34,24 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def units_of(text: str) -> Iterator[bytes]:
-    """The byte units of a text; only those with a letter count."""
-    for w in text.split():
-        b = w.encode("utf-8", "replace")
-        if len(b) <= UNIT:
-            yield b
-        else:
-            for k in range(0, len(b), UNIT):
-                yield b[k : k + UNIT]
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of the Unicode categories L; numerals such as fractions are none."""
+    return any(m.group().isalpha() or any(map(str.isalpha, m.group())) for m in LETTERLIKE.finditer(text))
+
+
+def units_of(word: str) -> list[bytes]:
+    """The byte units of a stretch without white space: itself, or pieces of at most UNIT bytes of whole characters."""
+    whole = word.encode("utf-8", "replace")
+    if len(whole) <= UNIT:
+        return [whole]
+    out, at = [], 0
+    while at < len(whole):
+        end = min(len(whole), at + UNIT)
+        while end < len(whole) and whole[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(whole[at:end])
+        at = end
+    return out
 
 
 def packed(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,15 +174,22 @@ class ByteGru:
             grad["emb"] += dgates @ self.p[f"w_{d}"].T
         return loss, grad
 
-    def fit(self, units: list[bytes], y: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 3) -> float:
-        """Adam with a falling rate; returns the last mean loss."""
+    def fit(self, units: list[Counter[bytes]], steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 3) -> float:
+        """Adam with a falling rate on units drawn by how often each label's texts hold them, all labels alike.
+
+        units: those of each label. Returns the last mean loss.
+        """
         rng = np.random.default_rng(seed)
+        named = [k for k, own in enumerate(units) if own]
+        lists = {k: list(units[k]) for k in named}
+        upto = {k: np.cumsum(np.fromiter(units[k].values(), np.int64, len(units[k]))) for k in named}
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
         loss = 0.0
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(units), batch)
-            x, _ = packed([units[i] for i in pick.tolist()])
-            now, grad = self.gradients(x, y[pick])
+            y = rng.permutation(np.resize(rng.permutation(named), batch))
+            drawn = [lists[k][int(np.searchsorted(upto[k], rng.integers(upto[k][-1]), "right"))] for k in y.tolist()]
+            x, _ = packed(drawn)
+            now, grad = self.gradients(x, y)
             loss = now if step == 1 else 0.95 * loss + 0.05 * now
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * (1 - step / (steps + 1)) ** 0.5
@@ -187,7 +202,7 @@ class ByteGru:
 
 
 class Scorer:
-    """Document probabilities through a bounded memory of words: a row of label sums and the positions of each."""
+    """Document probabilities through a bounded memory of words: label sums, positions and a letter mark of each."""
 
     def __init__(self, net: ByteGru):
         self.net, self.width = net, len(net.labels)
@@ -195,28 +210,25 @@ class Scorer:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1, self.width + 1), np.float32)  # row 0: no letter, no say
-        self.used = 1
+        self.rows = np.zeros((1024, self.width + 2), np.float32)
 
     def _learn(self, words: list[str]) -> None:
         parts, owner = [], []
-        for w in words:
-            if not LETTER.search(w):
-                self.known[w] = 0
-                continue
-            self.known[w] = self.used
-            for u in units_of(w):
-                parts.append(u)
-                owner.append(self.used)
-            self.used += 1
-        if self.used > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(self.used, len(self.rows)), self.width + 1), np.float32)])
-        if parts:
-            np.add.at(self.rows, owner, np.column_stack([self.net.unit_scores(parts), [len(u) + 1 for u in parts]]).astype(np.float32))
+        begin = len(self.known)
+        for at, w in enumerate(words, begin):
+            self.known[w] = at
+            own = units_of(w)
+            parts += own
+            owner += [at] * len(own)
+        used = begin + len(words)
+        if used > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(used, len(self.rows)), self.width + 2), np.float32)])
+        np.add.at(self.rows, owner, np.column_stack([self.net.unit_scores(parts), [len(u) + 1 for u in parts], np.zeros(len(parts))]).astype(np.float32))
+        self.rows[begin:used, -1] = [has_letter(w) for w in words]
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, pooled probability) of each whole text."""
-        split = [[w.strip(EDGES) for w in t.split()] for t in texts]
+        split = [t.split() for t in texts]
         known = self.known
         new = {w for words in split for w in words if w not in known}
         if new:
@@ -224,56 +236,50 @@ class Scorer:
                 self._reset()
                 known, new = self.known, {w for words in split for w in words}
             self._learn(sorted(new))
-        sums = np.zeros((len(split), self.width + 1))
+        sums = np.zeros((len(split), self.width + 2))
         for i, words in enumerate(split):
             if words:
                 sums[i] = self.rows[[known[w] for w in words]].sum(axis=0, dtype=np.float64)
         # Log probabilities pool as a mean over positions, sharpened: positions of a word are not independent.
-        mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1) * SHARPEN
+        mean = sums[:, :-2] / np.maximum(sums[:, -2:-1], 1) * SHARPEN
         prob = np.exp(mean - mean.max(axis=1, keepdims=True))
         prob /= prob.sum(axis=1, keepdims=True)
         best = prob.argmax(axis=1)
         return [(self.net.labels[k], float(p[k])) if n else (NO_LANGUAGE, 0.0) for k, p, n in zip(best.tolist(), prob, sums[:, -1], strict=True)]
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ByteGru | None:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> ByteGru | None:
     """A network fitted on at most sample_rows rows of the training part, those with the smallest hash of their text.
 
-    The sample is drawn within each language in turn (the first rows of each by that hash), so rare languages are
-    seen. The hash hides ids and order. None where no row is labelled.
+    Each language gives as many rows, its first by that hash, so rare languages are seen; equal texts of a language are
+    one row. With more languages than sample_rows, the commonest sample_rows give one row each. The hash hides ids and
+    order. Whole texts are read. None where no row is labelled.
     """
     from pyspark.sql import Window as W
 
     rows = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, sample_chars).alias("text"), F.xxhash64(text).alias("h"))
-    # Two steps keep every language's rows bounded before they meet: a share by hash, then the first by hash.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    # Two steps keep every language's rows bounded before texts move: a share by hash, then the first by hash.
+    tally = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    counts = {r["lang"]: max(1, r["n"]) for r in tally.orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
     span = 2**64
-    bounds = [(k, int(-(2**63) + min(span - 1, span * min(1.0, 4 * each / n)))) for k, n in counts.items()]
+    bounds = [(k, int(-(2**63) + min(span - 1, span * min(1.0, (2 * each + 32) / n)))) for k, n in counts.items()]
     spark = docs.sparkSession
     few = rows.join(F.broadcast(spark.createDataFrame(bounds, "lang string, top long")), "lang").filter(F.col("h") <= F.col("top"))
-    first = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= each).select("lang", "text")
-    sample = sorted((r["lang"], r["text"]) for r in first.collect())
+    first = few.dropDuplicates(["lang", "h"]).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= each).select("lang", "text")
     labels = sorted(counts)
     at = {k: i for i, k in enumerate(labels)}
-    units: list[bytes] = []
-    y: list[int] = []
-    for k, t in sample:
-        own = [u for u in units_of(t) if LETTER.search(u.decode("utf-8", "ignore"))][:200]
-        units += own
-        y += [at[k]] * len(own)
-    # Classes weigh alike: units are drawn again for the smaller ones.
-    y_ = np.array(y, np.int64)
-    if not len(y_):
-        return None
-    rng = np.random.default_rng(11)
-    most = max(Counter(y).values())
-    pick = np.concatenate([rng.permutation(np.resize(np.flatnonzero(y_ == i), min(most, 40_000))) for i in sorted(set(y))])
+    units: list[Counter[bytes]] = [Counter() for _ in labels]
+    for r in first.toLocalIterator():
+        own = Counter(r["text"].split())
+        for w, n in own.items():
+            for u in units_of(w):
+                units[at[r["lang"]]][u] += n
     net = ByteGru(labels)
-    net.fit([units[i] for i in pick.tolist()], y_[pick])
+    net.fit([Counter(dict(sorted(u.items()))) for u in units])
     return net
 
 
