@@ -20,8 +20,9 @@ BATCH_ROWS = "1000"  # documents in an Arrow batch, at most: long texts make lar
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, bound Arrow batches, and make sure checkpoints have a folder.
 
-    A batch holds BATCH_ROWS rows at most, fewer where the session says so. The checkpoint folder is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a temporary folder is used.
+    A batch holds BATCH_ROWS rows at most, fewer where the session says so. The checkpoint folder is the one the cluster
+    names in spark.checkpoint.dir. Only a local master, where driver and tasks share one disk, may do without: it gets
+    a temporary folder. Any other master without that setting is refused, for executors would not see each other's files.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
@@ -31,7 +32,10 @@ def ready(spark: SparkSession) -> SparkSession:
     if not 0 < int(spark.conf.get(rows, "0")) <= int(BATCH_ROWS):
         spark.conf.set(rows, BATCH_ROWS)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-"))
     return spark
 
 
@@ -59,19 +63,40 @@ def lines(column: pd.Series) -> list[str]:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written as a table to the shared checkpoint folder and read again: computed once, lineage cut.
 
-    A lost executor costs no more than a task that reads the table.
+    A lost executor costs no more than a task that reads the table. `discard` removes a table that is read no more.
     """
     spark = ready(df.sparkSession)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read again."""
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def complete(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path if its writer ended well, else None."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return None
+    return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a settled table; its rows must not be read again."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label for the ends of all edges: label is the least node of the connected component.
 
     Least labels travel along edges, then labels jump to their labels' labels, until nothing changes; every round is
-    a table in the shared folder. Hubs cost a partial minimum, never a collected list.
+    a table in the shared folder, removed when the next one stands. Hubs cost a partial minimum, never a collected list.
     """
     both = settle(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).filter("x <> y").distinct(), "edges")
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label"))
@@ -81,6 +106,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
         new = settle(jump.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("was <> label").isEmpty():
+        discard(labels)
+        moved = not new.filter("was <> label").isEmpty()
+        labels = new.drop("was")
+        labels.settled_path = new.settled_path
+        if not moved:
+            discard(both)
             return labels

@@ -2,26 +2,74 @@ import random
 import zlib
 from collections import defaultdict
 
-from marlstone.llm.sharding import best_fit_decreasing, fewest_bins, shard_documents
+import pytest
 
+from marlstone.llm.sharding import OpenBins, least_capacity, pack, shard_documents, shard_groups
 
-def test_best_fit():
-    rnd = random.Random(2)
-    items = [(rnd.randint(1, 100), i) for i in range(500)]
-    placed = best_fit_decreasing(items, 7)
-    load = defaultdict(int)
-    for size, k in items:
-        load[placed[k]] += size
-    assert len(load) == 7 and max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
-    assert best_fit_decreasing([], 3) == {} and set(best_fit_decreasing([(9, "a"), (1, "b")], 2).values()) == {0, 1}
-    few = fewest_bins([(6, "a"), (5, "b"), (5, "c"), (4, "d"), (30, "e")], 10)
-    assert len(set(few.values())) == 3 and few["a"] == few["d"] and few["b"] == few["c"]
 
+def one_by_one(runs, capacity, bins):
+    """Best fit decreasing of single items over a plain list: the sorted loads, or None."""
+    room = [capacity] * bins
+    for size, count in runs:
+        for _ in range(count):
+            fits = [(r, k) for k, r in enumerate(room) if r >= size]
+            if not fits:
+                return None
+            room[min(fits)[1]] -= size
+    return room
 
-def test_documents(make_docs):
+
+def loads(cuts, bins, capacity):
+    room = [capacity] * bins
+    for size, own in cuts:
+        before = 0
+        for upto, b in own:
+            room[b] -= size * (upto - before)
+            before = upto
+    return room
+
+
+def test_tree_finds_the_tightest():
+    rnd = random.Random(1)
+    tree, plain = OpenBins(), []
+    for k in range(3000):
+        if rnd.random() < 0.6:
+            plain.append((rnd.randint(0, 50), k))
+            tree.add(*plain[-1])
+        else:
+            size = rnd.randint(0, 60)
+            want = min((p for p in plain if p[0] >= size), default=None)
+            assert tree.take_tightest(size) == want
+            if want:
+                plain.remove(want)
+    assert tree.root.height <= 15
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_are_packed_as_single_items(seed):
+    rnd = random.Random(seed)
+    runs = sorted({rnd.randint(1, 400): rnd.randint(1, 30) for _ in range(60)}.items(), reverse=True)
+    total = sum(s * n for s, n in runs)
+    for capacity in (total // 7 + 1, total // 7 + 50, total // 5):
+        mine, plain = pack(runs, capacity, 7), one_by_one(runs, capacity, 7)
+        assert (mine is None) == (plain is None) and (mine is None or loads(mine, 7, capacity) == plain)
+    best = least_capacity(runs, 7)
+    assert all(own[-1][0] == n for (_, own), (_, n) in zip(best, runs, strict=True)) and min(loads(best, 7, 0)) >= -(total / 7) * 1.01
+    few = pack(runs, 500, None)
+    used = {b for _, own in few for _, b in own}
+    assert used == set(range(len(used))) and len(used) <= 11 / 9 * -(-total // 500) + 1 and min(loads(few, len(used), 500)) >= 0
+    assert pack([], 5, None) == [] and least_capacity([], 3) == [] and pack([(30, 2), (4, 1)], 10, None) == [(30, [(1, 0), (2, 1)]), (4, [(1, 2)])]
+
+
+def rows_of_test():
     rnd = random.Random(5)
     rows = [(i, "x" * rnd.randint(0, 400) + str(rnd.randint(0, 700))) for i in range(2000)]
-    rows += [(3000 + i, "copy" * 10) for i in range(30)] + [(4000, None), (4001, ""), (4002, "é" * 100), (4003, "long " * 300), (4000, None), (None, "copy" * 10)]
+    rows += [(5000 + i, f"{i:04d}") for i in range(900)]  # one size, many groups
+    return rows + [(3000 + i, "copy" * 10) for i in range(30)] + [(4000, None), (4001, ""), (4002, "é" * 100), (4003, "long " * 300), (4000, None), (None, "copy" * 10)]
+
+
+def test_documents(llm_spark, make_docs):
+    rows = rows_of_test()
     got = shard_documents(make_docs(rows)).collect()
     assert sorted(((r.doc_id or -1), r.size, r.text_crc32) for r in got) == sorted(((i or -1), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     by_text, load, slots = defaultdict(set), defaultdict(int), defaultdict(list)
@@ -31,6 +79,36 @@ def test_documents(make_docs):
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
     assert all(len(s) == 1 for s in by_text.values()) and set(load) == set(range(40))
-    assert max(load.values()) <= 1.1 * min(load.values())
+    assert max(load.values()) <= 1.02 * min(load.values())
+    # The loads are those of packing the groups one by one at the same capacity.
+    groups = defaultdict(int)
+    for i, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 16
+    count = defaultdict(int)
+    for s in groups.values():
+        count[s] += 1
+    runs = sorted(count.items(), reverse=True)
+    assert sorted(load.values()) == sorted(-x for x in loads(least_capacity(runs, 40), 40, 0))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r.law for r in got} == {"bytes"}
     assert shard_documents(make_docs([])).count() == 0
+
+
+def test_places_do_not_depend_on_the_session(llm_spark, make_docs):
+    rows = [(i, t) for i, t in rows_of_test() if i is not None]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    place = lambda df: {r.doc_id: (r.shard, r.slot) for r in df.collect()}
+    first = place(shard_documents(make_docs(rows)))
+    before = llm_spark.conf.get("spark.sql.shuffle.partitions")
+    llm_spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert place(shard_documents(make_docs(rows[::-1]))) == first
+    finally:
+        llm_spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fixed_capacity(llm_spark):
+    df = llm_spark.createDataFrame([("a", 6, 1), ("b", 5, 2), ("c", 5, 3), ("d", 4, 4), (None, 20, 5), (None, 10, 6), ("z", None, 7)], "g string, size int, shard int")
+    got = {(r.g, r["size"]): r.shard for r in shard_groups(df, ["g"], "size", None, 10).collect()}
+    assert got["a", 6] == got["d", 4] and got["b", 5] == got["c", 5] and got[None, 20] == got[None, 10] and len(set(got.values())) == 4
+    with pytest.raises(ValueError):
+        shard_groups(df, ["g"], "size", 3, 10)
