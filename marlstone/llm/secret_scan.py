@@ -1,11 +1,11 @@
 """Secret scan over an incremental blob ledger, in DataFrame operations only.
 
-Every text version is addressed by its content (SHA-256). A ledger of (blob, rule version) pairs says
-what has been scanned; only unseen pairs are scanned, once per blob however many paths hold it, and the
+Every text version is addressed by its content (SHA-256). A ledger says with which version of which rule a
+blob has been scanned, clean blobs included; only unseen pairs of blob and rule version are scanned, and the
 findings are joined back to all paths.
 
 Match positions come without a UDF: `split` gives the pieces between the matches of a rule and
-`regexp_extract_all` the matches, so running sums of their lengths are the starts and ends, in code points.
+`regexp_extract_all` the matches; a running sum of their lengths, one row a match, gives starts and ends in code points.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -31,6 +32,12 @@ class Rule:
     least: int
     hint: str
     base: bool = False
+    version: int = 1
+
+    @property
+    def name(self) -> str:
+        """How the ledger calls this version of the rule."""
+        return f"{self.kind}:{self.version}"
 
 
 # The three base rules of the contract, in the order in which ties are listed.
@@ -47,79 +54,104 @@ EXTRA_RULES = (
     Rule("uri_password", r"([a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,128}@)", 1, 8, "://"),
 )
 RULES = BASE_RULES + EXTRA_RULES
-RULE_VERSION = 1
+FOUND = "array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean,version:int>>"
+NEAR_BLOBS = 500_000  # blobs, of some 100 bytes each, that are sent to all tasks at most; more are joined by shuffle
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of one rule's counting matches, leftmost and non-overlapping."""
+def _parts(text: Column, rule: Rule) -> Column:
+    """array<struct<gap, len, size>> of one rule's matches: characters before it since the last one, in it, in its measured group."""
     pieces, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.measured))
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(pieces, 1, F.size(matches)),
         F.arrays_zip(matches.alias("m"), measured.alias("g")),
         lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m["m"]).alias("len"), F.length(m["g"]).alias("size")),
     )
-    none = F.array().cast("array<struct<start:bigint,end:bigint,size:int>>")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["len"]).alias("end"), p["size"].alias("size")))).alias("out"),
-        ),
-        lambda acc: F.filter(acc["out"], lambda s: s["size"] >= rule.least),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,size:int>>")
-    return F.when(text.rlike(rule.hint), placed).otherwise(empty)
 
 
-def scan_blobs(blobs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blobs with `found`: array<struct<start, rank, kind, end, base>> by start, then rule order."""
+def suspect(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text may hold a match of any of the rules."""
+    out = F.lit(False)
+    for rule in rules:
+        out = out | text.rlike(rule.hint)
+    return out
 
-    def tagged(rank: int, rule: Rule) -> Column:
-        return F.transform(
-            _spans(F.col(text), rule),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.lit(rule.base).alias("base")),
-        )
 
-    return blobs.withColumn("found", F.array_sort(F.concat(*[tagged(i, rule) for i, rule in enumerate(rules)])))
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, found of those rows of (blob, text, due) with a finding; only rules whose name is in `due` are applied.
+
+    found is ordered by start, then rule order. Work and memory follow the number of matches: each is a row.
+    """
+    none = F.array().cast("array<struct<gap:int,len:int,size:int>>")
+    each = [
+        F.struct(
+            F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"),
+            F.when(F.array_contains("due", rule.name) & F.col("text").rlike(rule.hint), _parts(F.col("text"), rule)).otherwise(none).alias("parts"),
+        )
+        for rank, rule in enumerate(rules)
+    ]
+    by_rule = blobs.select("blob", F.inline(F.array(*each))).filter(F.size("parts") > 0)
+    match = by_rule.select("blob", "rank", "kind", "base", "version", "least", F.posexplode("parts").alias("at", "p"))
+    upto = F.sum(F.col("p.gap") + F.col("p.len")).over(W.partitionBy("blob", "rank").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    placed = match.withColumn("end", upto.cast("bigint")).filter(F.col("p.size") >= F.col("least"))
+    one = F.struct((F.col("end") - F.col("p.len")).alias("start"), "rank", "kind", "end", "base", "version")
+    return placed.groupBy("blob").agg(F.sort_array(F.collect_list(one)).cast(FOUND).alias("found"))
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
     """A ledger that has seen nothing."""
-    return spark.createDataFrame([], "blob string, rule_version int, found array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean>>")
+    return spark.createDataFrame([], f"blob string, rules array<string>, found {FOUND}")
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Findings of every path, and what a caller appends to the ledger.
 
     versions: one row per historical version (path, text); the same text may stand under many paths.
-    ledger: blob, rule_version, found of earlier runs; null or empty scans everything.
-    Returns (findings, news): findings has `path`, `blob`, `found` for every row of versions; news holds the
-    blobs scanned now. Null text counts as empty, null paths keep their row, repeated rows stay repeated,
+    ledger: blob, rules (names of the rule versions that it was scanned with), found, of earlier runs; null scans everything.
+    Returns (findings, news): findings has `path`, `blob`, `found` for every row of versions; news has a row for every
+    blob scanned now, clean ones too. Null text counts as empty, null paths keep their row, repeated rows stay repeated,
     other columns are dropped (so clashing names do no harm), an empty table gives empty results.
 
-    One text per blob crosses the network; a blob's paths are grouped by the smallest path with partial
-    aggregation, so a text under a third of all paths is no hot key there.
+    With a ledger, digests alone meet it first; a text is read again, at one of its paths, only where a pair is
+    unseen. Without one every pair is unseen, so digest and hints come in one pass and only texts with a hint are kept for the
+    patterns. A text under a third of all paths is no hot key: blobs are distinct before anything is joined but the paths themselves.
     """
-    rows = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
-    paths = rows.select("path", "blob")
-    # A text that meets no rule's hint has no finding: that is decided on the map side, so that only
-    # texts with something to place are moved.
-    suspect = F.lit(False)
-    for rule in rules:
-        suspect = suspect | F.col("text").rlike(rule.hint)
-    unseen = rows.filter(suspect).groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "found")
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+    spark = versions.sparkSession
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = versions.select(F.col(path).alias("path"), content.alias("text"))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    none = F.array().cast(FOUND)
+    if ledger is None:
+        read = settle(rows.select("path", F.sha2("text", 256).alias("blob"), F.when(suspect(F.col("text"), rules), F.col("text")).alias("text")), "read")
+        paths = read.select("path", "blob")
+        due = paths.select("blob").distinct().withColumn("due", names)
+        texts = read.filter("text is not null").groupBy("blob").agg(F.first("text").alias("text")).withColumn("due", names)
+        known = None
+    else:
+        mark = F.xxhash64("text")
+        read = settle(rows.select("path", mark.alias("mark"), F.sha2("text", 256).alias("blob")), "read")
+        paths = read.select("path", "blob")
+        blobs = read.groupBy("blob").agg(F.min(F.struct("path", "mark")).alias("one"))
+        past = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.flatten(F.collect_list("found")).alias("found"))
+        met = settle(blobs.join(past, "blob", "left").select("blob", "one", F.array_except(names, F.coalesce("rules", F.array().cast("array<string>"))).alias("due"), "found"), "met")
+        due = met.filter(F.size("due") > 0).select("blob", "due")
+        # Findings of rule versions that stand no more are left out.
+        current = F.filter("found", lambda f: F.array_contains(names, F.concat_ws(":", f["kind"], f["version"])))
+        known = met.filter(F.size("found") > 0).select("blob", current.alias("found"))
+        n = due.count()
+        if n == 0:
+            texts = None
+        else:
+            wanted = met.filter(F.size("due") > 0).select("blob", "due", F.col("one.path").alias("__path"), F.col("one.mark").alias("__mark"))
+            wanted = F.broadcast(wanted) if n <= NEAR_BLOBS else wanted
+            at = rows.join(wanted, F.col("path").eqNullSafe(F.col("__path")) & (mark == F.col("__mark")))
+            texts = at.filter(suspect(F.col("text"), rules)).dropDuplicates(["blob"]).select("blob", "text", "due")
     # Settled before it is joined back: scanned once for both results, and a hot blob's paths can be split.
-    scanned = settle(scan_blobs(unseen, "text", rules).select("blob", "found"), "scanned")
-    news = scanned.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "found")
-    found = scanned if ledger is None else scanned.unionByName(known)
-    found = found.filter(F.size("found") > 0)
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean>>")
+    scanned = settle(scan_blobs(texts, rules), "scanned") if texts is not None else spark.createDataFrame([], f"blob string, found {FOUND}")
+    news = due.join(scanned, "blob", "left").select("blob", F.col("due").alias("rules"), F.coalesce("found", none).alias("found"))
+    found = scanned
+    if known is not None:
+        found = known.unionByName(scanned).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
     joined = paths.join(found, "blob", "left").select("path", "blob", F.coalesce("found", none).alias("found"))
     return joined, news
 

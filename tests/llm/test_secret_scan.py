@@ -1,7 +1,10 @@
 import hashlib
 import re
 
-from marlstone.llm.secret_scan import empty_ledger, scan_versions
+import time
+from dataclasses import replace
+
+from marlstone.llm.secret_scan import RULES, empty_ledger, scan_versions
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -30,7 +33,9 @@ def test_spans(llm_spark, make_docs):
         assert [(s.kind, s.start, s.end) for s in r.found if s.base] == base(text)
         assert r.blob == hashlib.sha256(text.encode()).hexdigest()
     assert {s.kind for s in next(r for r in rows if r.path == 9).found} == {"private_key", "uri_password"}
-    assert {r.blob for r in rows if r.found} <= {r.blob for r in news.collect()}
+    # The ledger takes every blob, clean ones too, with all rules.
+    told = {r.blob: r for r in news.collect()}
+    assert set(told) == {r.blob for r in rows} and all(told[r.blob].found == r.found and len(told[r.blob].rules) == len(RULES) for r in rows)
 
 
 def test_ledger_is_incremental(llm_spark, make_docs):
@@ -40,3 +45,34 @@ def test_ledger_is_incremental(llm_spark, make_docs):
     assert [hashlib.sha256(TEXTS[4].encode()).hexdigest()] == [r.blob for r in none.collect()]
     assert all([(s.kind, s.start, s.end) for s in r.found if s.base] == base(TEXTS[4] if r.path == 3 else TEXTS[3]) for r in again.collect())
     assert scan_versions(make_docs([]))[0].count() == 0
+
+
+def test_second_run_applies_no_pattern(llm_spark, make_docs):
+    docs = make_docs([(i, t) for i, t in enumerate(TEXTS)] + [(50, TEXTS[3]), (None, TEXTS[4])])
+    found, news = scan_versions(docs)
+    # A pattern that Java refuses fails wherever it is applied.
+    broken = tuple(replace(r, pattern="(", hint="(") for r in RULES)
+    again, none = scan_versions(docs, news, rules=broken)
+    key = lambda r: (r.path is None, r.path, r.blob)
+    assert sorted(again.collect(), key=key) == sorted(found.collect(), key=key) and none.count() == 0
+
+
+def test_changed_rule_alone_is_scanned_again(llm_spark, make_docs):
+    docs = make_docs(list(enumerate(TEXTS)))
+    _, news = scan_versions(docs, empty_ledger(llm_spark))
+    rules = tuple(replace(r, version=2, least=20) if r.kind == "access" else replace(r, pattern="(", hint="no such hint") for r in RULES)
+    found, more = scan_versions(docs, news, rules=rules)
+    assert {tuple(r.rules) for r in more.collect()} == {("access:2",)}
+    for r in found.collect():
+        text = TEXTS[r.path] or ""
+        want = [f for f in base(text) if f[0] != "access" or f[2] - f[1] >= 20]
+        assert [(s.kind, s.start, s.end) for s in r.found if s.base] == want
+    third, none = scan_versions(docs, news.unionByName(more), rules=rules)
+    assert none.count() == 0 and sorted(map(tuple, third.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_many_matches_are_placed_in_linear_time(llm_spark, make_docs):
+    text = "token=abcdefgh1 x " * 60_000
+    began = time.perf_counter()
+    found = scan_versions(make_docs([(1, text)]))[0].first().found
+    assert len(found) == 60_000 and found[-1].end == len(text) - 3 and time.perf_counter() - began < 60
