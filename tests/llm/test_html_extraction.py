@@ -1,3 +1,7 @@
+import random
+import time
+from html import escape
+
 from marlstone.llm.html_extraction import extract, main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="nav-open">
@@ -51,3 +55,45 @@ def test_cards_do_not_replace_the_story():
 def test_sibling_articles_stay():
     page = "<body><div>" + "".join(f"<article><p>{k} {STORY * k}</p></article>" for k in (5, 2, 2)) + "</div></body>"
     assert main_text(page).split() == " ".join(f"{k} {STORY * k}" for k in (5, 2, 2)).split()
+
+
+def test_open_head_and_marked_words():
+    assert main_text("<html><head><title>t</title><body><p>Some words of the page.</p>") == "Some words of the page."
+    page = f"<article><p>See the <span class='search'>search page</span> and <a class='share-link' href='/x'>this link</a> at the end.</p><p>{STORY}</p></article>"
+    assert main_text(page).startswith("See the search page and this link at the end. A long")
+
+
+def test_sections_named_like_boxes():
+    page = f"<article><p>{STORY * 3}</p><section class='related-work'><h2>Related work</h2><p>Others {STORY * 3}</p></section><div class='related-links'><a href='/a'>{STORY}</a></div></article>"
+    assert main_text(page).split() == f"{STORY * 3} Related work Others {STORY * 3}".split()
+
+
+def test_depth_costs_no_more_than_length():
+    # Of divs that are never closed, the deepest that holds 0.9 of the text is the region.
+    for page, size in (("<div>x " * 50_000, 89_999), ("<b>" * 50_000 + "<hr>y" * 50_000, 99_999)):
+        began = time.perf_counter()
+        assert len(main_text(page)) == size and time.perf_counter() - began < 20
+    began = time.perf_counter()
+    main_text("<div class='ad'>" * 20_000 + "<article>y" * 20_000 + "</div>" * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_planted_articles_come_back():
+    """Pages built around a known text, with everything that is not the article, give exactly that text."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abdeghilmnoprstuvé&<") for _ in range(rnd.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    boxes = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/x>{escape(word())}</a>' for _ in range(6))}</ul></nav>", lambda: f"<div class='ad-slot'>{escape(prose(12))}</div>",
+        lambda: f"<aside><p>{escape(prose(20))}</p></aside>", lambda: f"<div id=cookie-banner>{escape(prose(15))}</div>", lambda: f"<form><label>{escape(prose(3))}</label><input></form>",
+        lambda: f"<section class='comments'><p>{escape(prose(40))}</p></section>", lambda: f"<script>{word().replace('<', '')}</script><!-- {word().replace('<', '')} -->", lambda: f"<footer>{escape(prose(25))}</footer>",
+    ]
+    for _ in range(60):
+        blocks = [prose(rnd.randint(3, 8))] + [prose(rnd.choice([4, 40, 90])) for _ in range(rnd.randint(3, 9))] + [prose(60)]
+        body = [f"<h1>{escape(blocks[0])}</h1>", *(f"<p>{escape(b)}{rnd.choice(['</p>', ''])}" for b in blocks[1:])]
+        for _ in range(rnd.randint(0, 2)):
+            body.insert(rnd.randint(1, len(body) - 1), rnd.choice(boxes[1:4])())
+        around = [rnd.choice(boxes)() for _ in range(rnd.randint(0, 4))]
+        behind = [rnd.choice(boxes)() for _ in range(rnd.randint(0, 3))]
+        page = f"<html><head><title>{escape(word())}</title>{rnd.choice(['</head>', ''])}<body>{''.join(around)}<article>{''.join(body)}</article>{''.join(behind)}"
+        assert main_text(page) == " ".join(" ".join(b.split()) for b in blocks), page
