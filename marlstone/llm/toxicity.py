@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer turns words into symbols (insult, threat, target, negation, reported speech, other). Three
-small transducers mark what stands in the scope of a negation, of a reporting verb and of a target; composed,
-they read a clause in one walk and emit matched patterns such as a directed or a negated insult. A document's score comes
-from the matched clauses: the lexical weights of each kind of pattern are summed, damped and weighted.
-The insult lexicon and the weights of the kinds are learned from a bounded, documented sample of labelled rows.
+A lexical transducer turns words into symbols (insult, harm, target, negation, reported speech, intent, other). Five small
+transducers work on the symbols: three mark what stands in the scope of a negation, of a reporting verb and of a
+target before it; the insult transducer closes an insult by a target behind it, and the threat transducer makes a
+threat of harm that is intended or whose target follows. Composed, they read a clause in one walk and emit matched
+patterns such as a directed or a negated insult or a reported threat. A document's score comes from the matched
+clauses: the lexical weights of each kind of pattern are summed, damped and weighted. The insult lexicon and the weights
+of the kinds are learned from a bounded number of labelled rows.
 """
 
 from __future__ import annotations
@@ -21,21 +23,23 @@ from pyspark.sql import functions as F
 from .common import held_out, lines, table
 
 SAMPLE_ROWS = 12_000  # labelled rows read for training, at most: two thirds for the lexicon, the rest for the weights
-LEXEMES = 2_000  # learned insults, at most
 LEAST_TEXTS, LEAST_ODDS = 4, 2.5  # different toxic texts with a learned insult, and its log odds
 
 # Cue words in the languages of the corpus.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile idiota imbécil estúpido basura connard abruti crétin ordure trottel dummkopf abschaum widerlich".split()
-THREATS = "kill hurt destroy burn beat shoot stab töte schlage tuer frapper matar golpear".split()
+HARMS = "kill hurt destroy burn beat shoot stab töte schlage tuer frapper matar golpear".split()
+INTENTS = "will shall gonna going ll hope deserve deserves werde werden wirst wird vais va allons voy va vamos merece mérite".split()
 TARGETS = "you your yours u he she they him her them du dich dir ihr euch tu toi vous te tú usted ustedes".split()
 NEGATIONS = "not never no isn't aren't nicht kein keine ne pas jamais nunca".split()
 REPORTS = "said says say called calls wrote writes claimed quoted reported sagte schrieb nannte disait écrit dijo escribió llamó".split()
 
 WORD = re.compile(r"\w+(?:'t)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-KINDS = ("plain", "directed", "negated", "reported", "threat")
+KINDS = ("plain", "directed", "negated", "reported", "threat", "reported threat")
 STEM = 5  # letters of a stem: learned insults are whole words or stems, written with a star
-PRIOR = np.array([2.0, 3.0, 0.3, 0.6, 2.8, -3.0])  # of the kinds and the constant, before any data
+PRIOR = np.array([2.0, 3.0, 0.3, 0.6, 2.8, 0.9, -3.0])  # of the kinds and the constant, before any data
+NEGATED, REPORTED, TARGETED, CLOSED, THREAT = "~", '"', "!", "^", "t"  # marks on a symbol
+SCOPES = {"negation": 2, "report": 8, "target": 4, "behind": 3, "intent": 4}  # symbols that each reaches
 
 
 class Transducer:
@@ -62,6 +66,32 @@ class Transducer:
         return self
 
 
+    @classmethod
+    def closing(cls, opener: str, length: int, symbols: set[str], intent: int = 0) -> Transducer:
+        """An opener (with its marks) waits `length` symbols for a target, which then bears CLOSED or THREAT and its marks.
+
+        With `intent` the opener is harm, and a threat at once within so many symbols after an intent.
+        """
+        done = THREAT if intent else CLOSED
+        marks = sorted({s[1:] for s in symbols if s[0] == opener})
+        states = [(i, left, m) for i in range(intent + 1) for left in range(length + 1) for m in (marks if left else [""])]
+        arcs, out = {}, set()
+        for i, left, m in states:
+            for s in symbols:
+                near = intent if s[0] == "f" and intent else max(0, i - 1)
+                if s[0] == opener:
+                    to, o = ((near, 0, ""), s + done) if i else ((near, length, s[1:]), s)
+                elif s[0] == "y" and left:
+                    to, o = (near, 0, ""), s + done + m
+                else:
+                    to, o = (near, left - 1, m if left > 1 else "") if left else (near, 0, ""), s
+                arcs[(i, left, m), s] = (to, o)
+                out.add(o)
+        self = cls((0, 0, ""), arcs, symbols)
+        self.outputs = out
+        return self
+
+
 def compose(first: Transducer, second: Transducer) -> Transducer:
     """The transducer that feeds the outputs of `first` to `second`, over the states that can be reached."""
     start, arcs, todo = (first.start, second.start), {}, [(first.start, second.start)]
@@ -82,21 +112,27 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 
 def grammar() -> Transducer:
-    """Negation, then reported speech, then target; insults and threats come out with their marks."""
-    symbols = {"i", "t", "y", "n", "r", "o"}
-    negation = Transducer.scope("n", 2, "~", "it", symbols)
-    report = Transducer.scope("r", 8, '"', "it", negation.outputs)
-    target = Transducer.scope("y", 4, "!", "it", report.outputs)
-    return compose(compose(negation, report), target)
+    """Negation, reported speech and target before; then insults and threats, closed by a target behind them."""
+    symbols = {"i", "h", "y", "n", "r", "f", "o"}
+    made = Transducer.scope("n", SCOPES["negation"], NEGATED, "ih", symbols)
+    made = compose(made, Transducer.scope("r", SCOPES["report"], REPORTED, "ih", made.outputs))
+    made = compose(made, Transducer.scope("y", SCOPES["target"], TARGETED, "ih", made.outputs))
+    made = compose(made, Transducer.closing("i", SCOPES["behind"], made.outputs))
+    return compose(made, Transducer.closing("h", SCOPES["behind"], made.outputs, SCOPES["intent"]))
+
+
+def kind_of(marks: str) -> str:
+    """The kind of an insult with these marks."""
+    return "negated" if NEGATED in marks else "reported" if REPORTED in marks else "directed" if TARGETED in marks or CLOSED in marks else "plain"
 
 
 class Matcher:
     """Scores of the matched clauses of a text."""
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray):
-        self.weight = {w: 1.0 for w in (*INSULTS, *THREATS)} | lexicon
-        self.symbol = {w: "r" for w in REPORTS} | {w: "n" for w in NEGATIONS} | {w: "y" for w in TARGETS} | {w: "t" for w in THREATS} | {w: "i" for w in lexicon} | {w: "i" for w in INSULTS}
-        self.cues = frozenset(w for w, s in self.symbol.items() if s in "it")
+        self.weight = {w: 1.0 for w in (*INSULTS, *HARMS)} | lexicon
+        self.symbol = {w: "f" for w in INTENTS} | {w: "r" for w in REPORTS} | {w: "n" for w in NEGATIONS} | {w: "y" for w in TARGETS} | {w: "h" for w in HARMS} | {w: "i" for w in lexicon} | {w: "i" for w in INSULTS}
+        self.cues = frozenset(w for w, s in self.symbol.items() if s in "ih")
         self.stems = {w[:-1] for w in lexicon if w.endswith("*")}
         self.grammar, self.weights = grammar(), weights
 
@@ -109,6 +145,31 @@ class Matcher:
             word = word[:STEM] + "*"
         return self.symbol.get(word, "o"), self.weight.get(word, 0.0)
 
+    def patterns(self, words: list[str]) -> list[tuple[str, float]]:
+        """(kind, lexical weight) of each pattern that the grammar matches in a clause's words."""
+        state, out = self.grammar.start, []
+        insult = harm = 0  # places in out of the last insult and weight of the last harm
+        for w in words:
+            symbol, weight = self._read(w)
+            state, o = self.grammar.step(state, symbol)
+            threat: str | None = None
+            if o[0] == "i":
+                insult = len(out)
+                out.append((kind_of(o), weight))
+            elif o[0] == "h":
+                harm = weight
+                if o.endswith(THREAT) or TARGETED in o:
+                    threat = o
+            elif o[0] == "y":
+                head, _, marks = o.partition(THREAT)
+                if CLOSED in head:
+                    out[insult] = (kind_of(head), out[insult][1])
+                if THREAT in o and TARGETED not in marks:  # else it was one already
+                    threat = marks
+            if threat is not None and NEGATED not in threat:
+                out.append(("reported threat" if REPORTED in threat else "threat", harm))
+        return out
+
     def features(self, text: str) -> np.ndarray:
         """Damped sum of the lexical weights of each kind of matched pattern, over the whole text."""
         sums = dict.fromkeys(KINDS, 0.0)
@@ -118,15 +179,8 @@ class Matcher:
                 words = WORD.findall(clause)
                 if not self._hits(words):
                     continue
-                state = self.grammar.start
-                for w in words:
-                    symbol, weight = self._read(w)
-                    state, out = self.grammar.step(state, symbol)
-                    if out[0] == "i":
-                        kind = "negated" if "~" in out else "reported" if '"' in out else "directed" if "!" in out else "plain"
-                        sums[kind] += weight
-                    elif out[0] == "t" and "!" in out and "~" not in out:
-                        sums["threat"] += weight
+                for kind, weight in self.patterns(words):
+                    sums[kind] += weight
         return np.log1p(np.array([sums[k] for k in KINDS]))
 
     def score(self, text: str) -> float:
@@ -152,7 +206,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Matcher:
     """A matcher from at most sample_rows labelled rows of the training part (those first by a hash).
 
-    A word's texts are counted by a minimum hash of their words, so that near copies of one text count once.
+    A word's texts are counted by the three least hashes of their words, so that near copies of one text count once.
+    The lexicon holds every word and stem that passes, and so no more than the vocabulary of the sample.
     Without labels the fixed cue words and the prior weights stand.
     """
     rows = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -160,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     own = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(sample, "doc_id")
     own = own.withColumn("third", F.pmod(F.xxhash64("text"), F.lit(3)))
     words = own.filter("third > 0").select("toxic", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("words"))
-    words = words.withColumn("text_key", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    words = words.withColumn("text_key", F.xxhash64(F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)))
     totals = words.groupBy("toxic").agg(F.countDistinct("text_key").alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in totals}
     lexicon: dict[str, float] = {}
@@ -170,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         )
         odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
         top = each.filter(F.col("t") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-        lexicon = {r["word"]: min(2.0, r["odds"] / 4) for r in top.orderBy(F.desc("odds"), F.desc("t"), "word").limit(LEXEMES).collect()}
+        lexicon = {r["word"]: min(2.0, r["odds"] / 4) for r in top.select("word", "odds").collect()}
     matcher = Matcher(lexicon, PRIOR)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +244,7 @@ def predict(docs: DataFrame, matcher: Matcher, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted; every other column stays, none of them is looked at.
 
     Null and empty texts get the score of a text without a match; repeated rows stay; an empty table stays
-    empty. No shuffle; the matcher is bounded by LEXEMES.
+    empty. No shuffle; the matcher is bounded by the sample's vocabulary.
     """
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
