@@ -4,9 +4,10 @@ The word n-grams of the test items are counted over the whole corpus. In every s
 rarest one is a seed, so an item has seeds however common its words are, and any copied run of words
 longer than a stretch holds one. A document that contains a seed is aligned with the item around the place where the seed
 says it should lie; the score is the local alignment's share of a full copy's, so that edits, insertions and gaps lower it
-without losing the match.
+without losing the match. Long items are aligned in overlapping passages.
 
-The items go to the documents, in blocks of bounded size; documents are never moved.
+One scan of the documents counts the n-grams of all items, sifted by a bit table of bounded size; seeds are chosen by windows over
+the items' own n-grams. The items then go to the documents, in blocks of bounded size; documents are never moved.
 """
 
 from __future__ import annotations
@@ -16,165 +17,214 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lines, table
+from .common import lines, settle, table
 from .shingles import blocks_of, grams, words, words_of_all
 
 GRAM = 3  # words of a seed
-STRETCH = 4  # consecutive n-grams of which the rarest is a seed
+STRETCH = 2  # consecutive n-grams of which the rarest is a seed: a run of 4 unchanged words always holds one
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5  # share of a full copy's alignment score from which a document is contaminated
+LEAST_WORDS = 6  # a match is worth so many matched words at least, or all words of a shorter item
+PASSAGE = 200  # words of an item that are aligned at a time; longer ones are cut into passages that overlap by half
 ITEM_BLOCK_BYTES = 16_000_000  # of item text that tasks hold at a time
+SIEVE_BITS = 28  # the bit table of all items' n-grams has 2**SIEVE_BITS bits at most
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman with linear gaps: (best score, first and last matched word of the passage)."""
+    """Smith-Waterman with linear gaps: (best score, first and last matched word of the passage).
+
+    Two rows are held. A cell is its score in the high half of an integer and the place where its path began in the low one.
+    """
     n = len(passage)
-    slide = np.arange(n + 1) * GAP
-    row, best, where = np.zeros(n + 1, np.int64), 0, (0, 0)
-    rows = [row]
-    for i, w in enumerate(item):
-        now = np.zeros(n + 1, np.int64)
-        now[1:] = np.maximum(row[:-1] + np.where(passage == w, MATCH, MISMATCH), row[1:] + GAP)
+    unit, low = 1 << 32, (1 << 32) - 1
+    fresh = np.arange(n + 1)  # a path of score 0 that begins here
+    slide = fresh * (GAP * unit)
+    row, best, where = fresh.copy(), 0, (0, 0)
+    now = np.empty(n + 1, np.int64)
+    for w in item:
+        now[0] = 0
+        now[1:] = np.maximum(row[:-1] + np.where(passage == w, MATCH * unit, MISMATCH * unit), row[1:] + GAP * unit)
+        np.maximum(now, fresh, out=now)
         # A gap in the item: the best of what stands left, less the way.
-        row = np.maximum(np.maximum.accumulate(np.maximum(now, 0) - slide) + slide, 0)
-        rows.append(row)
-        if (top := int(row.max())) > best:
-            best, where = top, (i + 1, int(row.argmax()))
-    i, j = where
-    end = j
-    while i > 0 and j > 0 and rows[i][j] > 0:
-        same = MATCH if item[i - 1] == passage[j - 1] else MISMATCH
-        if rows[i][j] == rows[i - 1][j - 1] + same:
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
+        row = np.maximum(np.maximum.accumulate(now - slide) + slide, fresh)
+        at = int(row.argmax())
+        if (top := int(row[at]) >> 32) > best:
+            best, where = top, (int(row[at]) & low, at)
+    return best, *where
+
+
+def enough(score: float, n: int, least: float) -> bool:
+    """Whether a share of a full copy's score means that a text contains an item of n words."""
+    return score >= max(least, min(1.0, LEAST_WORDS / n))
+
+
+def passages(own: np.ndarray) -> list[np.ndarray]:
+    """An item's words, cut where they are more than PASSAGE; the last passage is as long as the others."""
+    if len(own) <= PASSAGE:
+        return [own]
+    starts = [*range(0, len(own) - PASSAGE, PASSAGE // 2), len(own) - PASSAGE]
+    return [own[s : s + PASSAGE] for s in starts]
+
+
+class Sieve:
+    """A bit table that holds all of a set of n-grams, and by chance a few others."""
+
+    def __init__(self, bits: int, table_: np.ndarray | None = None):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.table = np.zeros(1 << max(0, bits - 6), np.uint64) if table_ is None else table_
+
+    def add(self, values: np.ndarray) -> None:
+        low = values & self.mask
+        np.bitwise_or.at(self.table, (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        low = values & self.mask
+        return (self.table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
+
+
+def bits_for(n: int) -> int:
+    """Bits of a sieve for n values: 16 to 32 a value, within bounds."""
+    return min(SIEVE_BITS, max(16, (32 * n - 1).bit_length() if n else 16))
+
+
+def sifted(texts: list[str], sieve: Sieve) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, its word hashes, places of n-grams that pass the sieve, those n-grams) for texts that hold any."""
+    for at, block in blocks_of(texts):
+        hashes, begins = words_of_all(block)
+        every = grams(hashes, GRAM)
+        maybe = np.flatnonzero(sieve.holds(every))
+        # An n-gram belongs to the text of its first word and must end in it.
+        owner = np.searchsorted(begins, maybe, "right") - 1
+        whole = maybe + GRAM <= begins[np.minimum(owner + 1, len(begins) - 1)]
+        maybe, owner = maybe[whole], owner[whole]
+        cut = np.flatnonzero(np.diff(owner)) + 1
+        for own in np.split(maybe, cut) if len(maybe) else []:
+            k = int(np.searchsorted(begins, own[0], "right")) - 1
+            yield at + k, hashes[begins[k] : begins[k + 1]], own - begins[k], every[own]
+        # Texts shorter than an n-gram have one gram of all their words.
+        short = np.flatnonzero((np.diff(begins) < GRAM) & (np.diff(begins) > 0))
+        for k in short.tolist():
+            own = hashes[begins[k] : begins[k + 1]]
+            gram = grams(own, GRAM)
+            if sieve.holds(gram)[0]:
+                yield at + k, own, np.zeros(1, np.int64), gram
 
 
 class Items:
-    """Test items of a block: word hashes, n-grams, and seeds once counts are known."""
+    """Passages of the items of a block: ids, word hashes and seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[object, bytes, list[int]]]):
         self.ids = [r[0] for r in rows]
-        self.words = [words(r[1] or "")[0] for r in rows]
-        self.grams = [grams(w, GRAM) for w in self.words]
-        self.all = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-
-    def occurring(self, texts: list[str], wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, its word hashes, places of wanted n-grams in it, those n-grams) for texts that hold any.
-
-        wanted: ascending. A table of the low bits sorts out nearly all n-grams before the exact search.
-        """
-        if not len(wanted):
-            return
-        table_ = np.zeros(1 << 20, bool)
-        low_bits = np.uint64((1 << 20) - 1)
-        table_[wanted & low_bits] = True
-        for at, block in blocks_of(texts):
-            hashes, begins = words_of_all(block)
-            every = grams(hashes, GRAM)
-            maybe = np.flatnonzero(table_[every & low_bits])
-            place = np.minimum(np.searchsorted(wanted, every[maybe]), len(wanted) - 1)
-            maybe = maybe[wanted[place] == every[maybe]]
-            # An n-gram belongs to the text of its first word and must end in it.
-            owner = np.searchsorted(begins, maybe, "right") - 1
-            whole = maybe + GRAM <= begins[np.minimum(owner + 1, len(begins) - 1)]
-            maybe, owner = maybe[whole], owner[whole]
-            for k in np.unique(owner).tolist():
-                own = maybe[owner == k]
-                yield at + k, hashes[begins[k] : begins[k + 1]], own - begins[k], every[own]
-            # Texts shorter than an n-gram have one gram of all their words.
-            short = np.flatnonzero((np.diff(begins) < GRAM) & (np.diff(begins) > 0))
-            for k in short.tolist():
-                own = hashes[begins[k] : begins[k + 1]]
-                gram = grams(own, GRAM)
-                if np.isin(gram, wanted).all():
-                    yield at + k, own, np.zeros(1, np.int64), gram
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        """For each of the items' n-grams, the number of texts that hold it."""
-        total = np.zeros(len(self.all), np.int64)
-        for _, _, _, found in self.occurring(texts, self.all):
-            total[np.searchsorted(self.all, np.unique(found))] += 1
-        return total
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds: in every stretch of an item the n-gram in the fewest documents, the first of equals."""
-        seeds: list[tuple[int, int, int]] = []
-        for k, own in enumerate(self.grams):
-            df = counts[np.searchsorted(self.all, own)]
-            picked = {s + int(np.argmin(df[s : s + STRETCH])) for s in range(max(1, len(own) - STRETCH + 1))} if len(own) else set()
-            seeds += [(int(own[p]), k, p) for p in sorted(picked)]
-        seeds.sort()
+        self.words = [np.frombuffer(r[1], np.uint64) for r in rows]
+        seeds = sorted((int(g[p]), k, p) for k, (r, g) in enumerate(zip(rows, [grams(w, GRAM) for w in self.words], strict=True)) for p in r[2])
         self.seed = np.array([s[0] for s in seeds], np.uint64)
         self.seed_item, self.seed_at = np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
+        self.sieve = Sieve(bits_for(len(seeds)))
+        self.sieve.add(np.unique(self.seed))
 
-    def matches(self, texts: list[str], least: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def matches(self, texts: list[str], least: float) -> Iterator[tuple[int, object, float, int, int]]:
         """(text, item id, score, first and last word of the text) for each item that a text contains well enough."""
-        for t, own, places, found in self.occurring(texts, np.unique(self.seed)):
+        if not len(self.seed):
+            return
+        for t, own, places, found in sifted(texts, self.sieve):
             first, last = np.searchsorted(self.seed, found, "left"), np.searchsorted(self.seed, found, "right")
             n = last - first
             at = np.repeat(places, n)
             seed = np.repeat(first, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             item, begin = self.seed_item[seed], at - self.seed_at[seed]
+            best: dict[object, tuple[float, int, int]] = {}
             for k in np.unique(item).tolist():
                 target = self.words[k]
                 slack = len(target) // 2 + 4
-                best = (0.0, 0, 0)
-                # Seeds that want the item at about one place are one region.
+                # Seeds that want the passage at about one place are one region.
                 starts = np.unique(begin[item == k])
                 for region in np.split(starts, np.flatnonzero(np.diff(starts) > slack) + 1):
                     low, high = max(0, int(region[0]) - slack), min(len(own), int(region[-1]) + len(target) + slack)
                     score, a, b = align(target, own[low:high])
-                    best = max(best, (score / (MATCH * len(target)), low + a, low + b), key=lambda x: x[0])
-                if best[0] >= least:
-                    yield (t, self.ids[k], *best)
+                    share = score / (MATCH * len(target))
+                    if enough(share, len(target), least):
+                        best[self.ids[k]] = max(best.get(self.ids[k], (0.0, 0, 0)), (share, low + a, low + b), key=lambda x: x[0])
+            for i, b in best.items():
+                yield (t, i, *b)
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most block_bytes of text (or one item), by a hash of the id."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes))
-    if size == 0:
-        return
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()]
+def item_passages(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """row (one number an item's row), id, part, words (64-bit hashes as bytes) of every passage of every item with words."""
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r, i, k, p.tobytes()) for r, i, t in zip(batch["row"], batch["id"], lines(batch["text"]), strict=True) for k, p in enumerate(passages(words(t)[0])) if len(p)]
+            yield pd.DataFrame(out, columns=["row", "id", "part", "words"])
 
-def chosen_items(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator:
-    """A broadcast of each block of items with its seeds, from document counts over all of docs."""
-    spark = docs.sparkSession
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        own = Items(block)
-        sent = spark.sparkContext.broadcast(own)
+    rows = items.select(F.monotonically_increasing_id().alias("row"), F.col(item_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    kind = dict(rows.dtypes)["id"]
+    return settle(rows.mapInPandas(cut, f"row long, id {kind}, part int, words binary"), "passages")
 
-        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(sent.value.all), np.int64)
-            for batch in batches:
-                total += sent.value.count(lines(batch["text"]))
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": at, "n": total[at]})
 
-        # Document counts of the items' own n-grams: bounded by the block, summed a task before they move.
-        counts = np.zeros(len(own.all), np.int64)
-        for r in docs.select(F.col(text).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["gram"]] = r["n"]
-        own.choose(counts)
-        yield spark.sparkContext.broadcast(own)
+def gram_counts(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
+    """gram, df: the number of rows of docs that hold each n-gram of own(gram) that any holds, from one scan of docs."""
+    bits = bits_for(own.select(F.approx_count_distinct("gram")).first()[0] or 0)
+    low = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
+    cells = own.select(F.shiftright(low, 6).alias("cell"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("word")).toArrow()
+    table_ = np.zeros(1 << max(0, bits - 6), np.uint64)
+    table_[cells["cell"].to_numpy()] = cells["word"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(Sieve(bits, table_))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [np.unique(found) for _, _, _, found in sifted(lines(batch["text"]), sent.value)]
+            gram, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"gram": gram.view(np.int64), "n": n})
+
+    told = docs.select(F.col(text).alias("text")).mapInPandas(count, "gram long, n long")
+    return told.groupBy("gram").agg(F.sum("n").alias("df")).join(own.select("gram").distinct(), "gram", "left_semi")
+
+
+def seeded(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """id, words, seeds (places of seed n-grams) of every passage: in every stretch the n-gram in the fewest documents, the first of equals."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r, k, w in zip(batch["row"], batch["part"], batch["words"], strict=True):
+                own = grams(np.frombuffer(w, np.uint64), GRAM)
+                yield pd.DataFrame({"row": r, "part": k, "place": np.arange(len(own), dtype=np.int32), "gram": own.view(np.int64)})
+
+    cut = item_passages(items, item_id, item_text)
+    own = settle(cut.select("row", "part", "words").mapInPandas(take, "row long, part int, place int, gram long"), "grams")
+    counts = settle(gram_counts(docs, text, own), "counts")
+    rated = own.join(counts, "gram", "left").select("row", "part", "place", F.coalesce("df", F.lit(0)).alias("df"))
+    key = W.partitionBy("row", "part")
+    ahead = key.orderBy("place").rowsBetween(0, STRETCH - 1)
+    least = rated.withColumn("n", F.count("*").over(key)).withColumn("seed", F.min(F.struct("df", "place")).over(ahead)["place"])
+    seeds = least.filter(F.col("place") <= F.greatest(F.lit(0), F.col("n") - STRETCH)).groupBy("row", "part").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
+    return settle(cut.join(seeds, ["row", "part"]), "seeded")
+
+
+def chosen_items(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator:
+    """A broadcast of each block of passages with their seeds: block_bytes of item text, about, in each."""
+    ready_ = seeded(docs, text, items, item_id, item_text)
+    size = ready_.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    if size == 0:
+        return
+    blocks = -(-size // block_bytes)  # a word hash takes about as many bytes as a word
+    for k in range(blocks):
+        part = ready_ if blocks == 1 else ready_.filter(F.pmod(F.xxhash64("row", "part"), F.lit(blocks)) == k)
+        rows = [(r["id"], bytes(r["words"]), r["seeds"]) for r in part.orderBy("row", "part").collect()]
+        yield docs.sparkSession.sparkContext.broadcast(Items(rows))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the test items that each document contains.
 
-    Score is the best local alignment of the item with the document divided by that of a full copy (1.0). Words compare in
+    Score is the best local alignment of the item with the document divided by that of a full copy (1.0); a document
+    contains an item from `score` on, and where the match is worth LEAST_WORDS matched words, or a whole item of fewer. Items
+    of more than PASSAGE words count as passages of that length, and the best one is told, so that an excerpt of a long item
+    is found. Items of fewer than GRAM words match only texts of just these words. Words compare in
     lower case, without punctuation. Null texts and items and those without words never match; null ids keep their
-    matches; repeated rows match each by itself; equal items match each; an empty table gives an empty result; other
+    matches; repeated rows match each by itself; items of equal text match each; an empty table gives an empty result; other
     columns are not used. Whole texts are searched.
     """
     spark = docs.sparkSession

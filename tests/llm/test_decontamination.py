@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from marlstone.llm.decontamination import GAP, MATCH, MISMATCH, align, contaminated, without_contaminated
+from marlstone.llm.shingles import words
 
 
 def brute(item, passage):
@@ -52,3 +53,38 @@ def test_empty(llm_spark, make_docs):
     none = llm_spark.createDataFrame([], "item_id long, text string")
     assert contaminated(make_docs([(1, "a b c")]), none).count() == 0
     assert contaminated(make_docs([]), llm_spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0
+
+
+def test_against_aligning_all_pairs(llm_spark, make_docs, prose):
+    """Seeds lose no match that aligning every item with every document finds, under random edits of any kind."""
+    rnd = random.Random(8)
+    items = [(i, prose(200 + i, rnd.choice([7, 12, 20, 35]), 60)) for i in range(14)]
+    docs = []
+    for d in range(150):
+        own = rnd.choice(items)[1].split()
+        k = rnd.randint(0, len(own) - 1)
+        part = own[k : k + rnd.randint(1, len(own))] if d % 3 else own
+        for _ in range(rnd.randint(0, max(1, len(part) // 5))):
+            at = rnd.randint(0, len(part) - 1)
+            part = rnd.choice([part[:at] + part[at + 1 :], [*part[:at], "new", *part[at:]], [*part[:at], "other", *part[at + 1 :]]]) or part
+        docs.append((d, " ".join([prose(1000 + d, 25, 60), *part, prose(2000 + d, 25, 60)])))
+    want = {}
+    for d, t in docs:
+        hashes = words(t)[0]
+        for i, u in items:
+            own = words(u)[0]
+            share = brute(own, hashes) / (MATCH * len(own))
+            if share >= max(0.5, min(1.0, 6 / len(own))):
+                want[d, i] = share
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(make_docs(docs), llm_spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 40 and set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_short_and_long_items(llm_spark, make_docs, prose):
+    long = prose(50, 30_000)
+    own = long.split()
+    items = [(1, "alpha beta gamma delta epsilon"), (2, long), (3, "two words")]
+    docs = [(1, "so alpha beta gamma delta epsilon it is"), (2, "so alpha beta gamma delta it is"), (3, prose(51, 50) + " " + " ".join(own[20_000:20_150]) + " " + prose(52, 50)), (4, prose(53, 400)), (5, "two words more"), (6, "Two words!"), (7, " ".join(own[:9000] * 2))]
+    got = {(r.doc_id, r.item_id) for r in contaminated(make_docs(docs), llm_spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (6, 3), (7, 2)}
