@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import lines, settle, table
 from .shingles import blocks_of, grams, words, words_of_all
+from .sieve import Sieve, bits_for, sieve_of
 
 GRAM = 3  # words of a seed
 STRETCH = 2  # consecutive n-grams of which the rarest is a seed: a run of 4 unchanged words always holds one
@@ -30,7 +31,6 @@ SCORE = 0.5  # share of a full copy's alignment score from which a document is c
 LEAST_WORDS = 6  # a match is worth so many matched words at least, or all words of a shorter item
 PASSAGE = 200  # words of an item that are aligned at a time; longer ones are cut into passages that overlap by half
 ITEM_BLOCK_BYTES = 16_000_000  # of item text that tasks hold at a time
-SIEVE_BITS = 28  # the bit table of all items' n-grams has 2**SIEVE_BITS bits at most
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -69,27 +69,6 @@ def passages(own: np.ndarray) -> list[np.ndarray]:
     return [own[s : s + PASSAGE] for s in starts]
 
 
-class Sieve:
-    """A bit table that holds all of a set of n-grams, and by chance a few others."""
-
-    def __init__(self, bits: int, table_: np.ndarray | None = None):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.table = np.zeros(1 << max(0, bits - 6), np.uint64) if table_ is None else table_
-
-    def add(self, values: np.ndarray) -> None:
-        low = values & self.mask
-        np.bitwise_or.at(self.table, (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
-
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        low = values & self.mask
-        return (self.table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
-
-
-def bits_for(n: int) -> int:
-    """Bits of a sieve for n values: 16 to 32 a value, within bounds."""
-    return min(SIEVE_BITS, max(16, (32 * n - 1).bit_length() if n else 16))
-
-
 def sifted(texts: list[str], sieve: Sieve) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, its word hashes, places of n-grams that pass the sieve, those n-grams) for texts that hold any."""
     for at, block in blocks_of(texts):
@@ -166,12 +145,7 @@ def item_passages(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def gram_counts(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
     """gram, df: the number of rows of docs that hold each n-gram of own(gram) that any holds, from one scan of docs."""
-    bits = bits_for(own.select(F.approx_count_distinct("gram")).first()[0] or 0)
-    low = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    cells = own.select(F.shiftright(low, 6).alias("cell"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("word")).toArrow()
-    table_ = np.zeros(1 << max(0, bits - 6), np.uint64)
-    table_[cells["cell"].to_numpy()] = cells["word"].to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(Sieve(bits, table_))
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(own, "gram"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

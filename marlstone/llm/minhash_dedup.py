@@ -9,7 +9,8 @@ occur with the weighted Jaccard similarity of two texts, which at equal weights
 Bands of the signature are joined, and candidates are verified by the exact Jaccard similarity of their shingle sets.
 Equal texts are one node. A bucket of few nodes gives all its pairs. A larger one is tied to its most central member, and
 members which the links so far do not join to that one's component meet all other members in blocks: no bucket is
-capped, and no pair within a component already joined is written out.
+capped, and no pair within a component already joined is written out. Only texts of nodes with candidates are moved, and a node
+with many candidates goes with them in blocks, so that its text is copied once a block.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import connected, lines, settle, table
 from .shingles import jaccard, mix, shingles
+from .sieve import passing, sieve_of
 
 COORDINATES, ROWS = 64, 4  # coordinates of a signature, rows of a band: 16 bands
 SIMILAR = 0.8
 SMALL = 16  # nodes of a bucket whose pairs are all written out
-BLOCK = 256  # nodes of a large group that a task compares with as many others
+BLOCK = 256  # candidates of a node that a task verifies at a time
+BLOCK_BYTES = 8_000_000  # of text, about, of a large group that a task compares with as much other
+REMEMBERED = 50_000  # texts whose bands a worker keeps, so that copies are signed once a worker
 _U = np.uint64
 
 
@@ -97,8 +101,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """key, first_id, bands: one row per distinct text, by its MD5 (null as empty), with its smallest id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "bands": [text_bands(t) for t in lines(batch["text"])]})
+            bands = []
+            for key, t in zip(batch["key"], lines(batch["text"]), strict=True):
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = text_bands(t)
+                bands.append(known[key])
+            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "bands": bands})
 
     rows = docs.select(_text_key(text).alias("key"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = rows.mapInPandas(run, "key binary, id long, bands array<long>")
@@ -126,41 +138,56 @@ def bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """key, text for the given keys: one text per node, fetched by its id and key, so a text with many copies moves once."""
+    """key, text for the given keys: one text per node, fetched by its id and key, so a text with many copies moves once.
+
+    A sieve of the wanted rows keeps nearly all other texts where they are.
+    """
     none = F.lit(-(2**63)).cast("long")
-    wanted = keys.distinct().join(nodes.select("key", F.coalesce("first_id", none).alias("id")), "key")
-    rows = docs.select(_text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return settle(rows.join(wanted.hint("shuffle_hash"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "texts")
+    mark = F.xxhash64("key", "id")
+    wanted = settle(keys.distinct().join(nodes.select("key", F.coalesce("first_id", none).alias("id")), "key").withColumn("mark", mark), "wanted")
+    rows = docs.select(_text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", mark)
+    some = passing(rows, "mark", sieve_of(wanted, "mark"))
+    return settle(some.join(wanted.select("key", "id").hint("shuffle_hash"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "texts")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs a, b whose shingle sets have a Jaccard similarity of at least `similar`."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least `similar`.
 
-        def of(t: str) -> np.ndarray:
-            if t not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[t] = shingles(t)[0]
-            return known[t]
+    The end of a pair that stands in more pairs takes the others with it, about BLOCK at a time: its text is copied once a
+    block, and no task gets all candidates of one node.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    known = pairs.join(ends.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    led = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("na", "nb").alias("n"))
+    led = settle(led.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n"), "led")
+    ends_ = led.select("lead", "part", F.col("lead").alias("key")).distinct().withColumn("turn", F.lit(0))
+    rows = led.select("lead", "part", "key", F.lit(1).alias("turn")).unionByName(ends_).join(texts, "key")
+    dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "turn", "key")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = [jaccard(of(x), of(y)) >= similar for x, y in zip(batch["ta"], batch["tb"], strict=True)]
-            yield batch.loc[ok, ["a", "b"]]
+            out: list[tuple[bytes, bytes]] = []
+            for lead, key, turn, t in zip(batch["lead"], batch["key"], batch["turn"], batch["text"], strict=True):
+                if turn == 0:
+                    own = shingles(t)[0]
+                elif jaccard(own, shingles(t)[0]) >= similar:
+                    out.append((lead, key))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    return both.mapInPandas(run, "a binary, b binary")
+    return dealt.mapInPandas(run, "a binary, b binary")
 
 
 def link_apart(members: DataFrame, apart: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Links a, b between nodes of different labels in a group: every node of `apart` against every one of `members`.
 
-    members, apart: grp, key, label. Both are cut into blocks of about BLOCK nodes; a task compares two blocks and
-    gives, for each node apart, one link to each other label that it reaches, never all pairs.
+    members, apart: grp, key, label. Both are cut into blocks of about BLOCK_BYTES of text; a task compares two blocks and
+    gives, for each node apart, one link to each other label that it reaches, never all pairs. A text is copied once for each
+    block that its own meets, which is its group's text by BLOCK_BYTES.
     """
-    blocks = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sized = texts.select("key", (F.octet_length("text") + 64).alias("bytes"))
+    blocks = lambda df, name: df.join(sized, "key").groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias(name))
     sizes = blocks(members, "mb").join(blocks(apart, "ab"), "grp")
     part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -178,15 +205,23 @@ def link_apart(members: DataFrame, apart: DataFrame, texts: DataFrame, similar:
             filled = np.flatnonzero(sizes_)
             labels, keys = there["label"].tolist(), there["key"].tolist()
             if len(filled):
+                # Members by their number of shingles: a text meets only those whose number allows the similarity.
+                filled = filled[np.argsort(sizes_[filled], kind="stable")]
+                size = sizes_[filled]
                 values, place = np.unique(np.concatenate([own[i] for i in filled]), return_inverse=True)
-                starts = np.cumsum(sizes_[filled]) - sizes_[filled]
+                upto = np.concatenate([[0], np.cumsum(size)])
+                flag = np.zeros(len(values), np.int64)
                 for key, label, text in zip(here["key"], here["label"], here["text"], strict=True):
                     mine = shingles(text)[0]
+                    first, last = np.searchsorted(size, [len(mine) * similar * (1 - 1e-9), len(mine) / similar * (1 + 1e-9)], "left")
+                    if first == last:
+                        continue
                     at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
-                    flag = np.zeros(len(values), np.int64)
-                    flag[at[values[at] == mine]] = 1
-                    both_ = np.add.reduceat(flag[place], starts)
-                    near = filled[both_ >= similar * (sizes_[filled] + len(mine) - both_)]
+                    at = at[values[at] == mine]
+                    flag[at] = 1
+                    both_ = np.add.reduceat(flag[place[upto[first] : upto[last]]], upto[first:last] - upto[first])
+                    flag[at] = 0
+                    near = filled[first:last][both_ >= similar * (size[first:last] + len(mine) - both_)]
                     out += [(key, k) for k in {labels[i]: keys[i] for i in near.tolist() if labels[i] != label}.values()]
         return pd.DataFrame(out, columns=["a", "b"])
 
