@@ -11,7 +11,8 @@ norm. That holds only among like norms, for beside a few long vectors all others
 a block is cut into bands of norms within a factor of RANGE, each lifted to its own largest norm, and every band
 verifies as many vectors as the block as a whole would. Vectors of thinly filled bands are all verified.
 Queries meet each block in batches; a block yields a query's best few, and the best of all blocks
-are the result. The work is queries times rows, in blocks, with a verified share of about BETA for one range of norms.
+are the result. A block holds fewer of a query's neighbours the more blocks there are, and those stand out more: the verified share
+falls with the number of blocks, from BETA to a fixed multiple of the wanted neighbours. Counting remains queries times rows, in blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ TOP = 20
 BLOCK_ROWS = 32_768  # vectors of a block, about
 QUERY_ROWS, FEW_QUERIES = 16_384, 512  # queries of a batch, at most, and where a batch is cut no finer to give all cores work
 ALPHA = 0.82  # collision threshold, as a share of the projections
-BETA, AT_LEAST = 0.05, 14  # verified: this share of a block and so many times the wanted neighbours, or more
-FIRST, STEP = 1.1, 1.06  # first window in standard deviations of the projected values, and its widening
+BETA, AT_LEAST = 0.05, 14  # verified: this share of a single block and so many times the wanted neighbours, or more
+FALL = 0.4  # of several blocks, each verifies the share BETA / blocks**FALL
+FIRST, STEP = 1.1, 1.03  # first window in standard deviations of the projected values, and its widening
 LEAST_PROJECTIONS = 48
 RANGE = 1.5  # largest norm of a band by its smallest
 
@@ -63,18 +65,18 @@ def bands(norm: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 class Band:
-    """Sorted projections of vectors of like norms; `extra` is added to the number that is verified."""
+    """Sorted projections of vectors of like norms, in units of the largest; `extra` is added to the number that is verified."""
 
     def __init__(self, vectors: np.ndarray, norm: float, extra: int):
-        self.vectors, self.extra = vectors, extra
-        lift = np.sqrt(np.maximum(0.0, norm**2 - (self.vectors**2).sum(axis=1)))
+        self.vectors, self.extra = vectors / norm, extra
+        lift = np.sqrt(np.maximum(0.0, 1.0 - (self.vectors**2).sum(axis=1)))
         self.axes = directions(vectors.shape[1] + 1)
         projected = np.column_stack([self.vectors, lift]) @ self.axes
-        self.norm, self.n, self.m = norm, len(vectors), self.axes.shape[1]
+        self.n, self.m = len(vectors), self.axes.shape[1]
         self.where = np.argsort(projected, axis=0, kind="stable").T.ravel()
         values = np.sort(projected, axis=0, kind="stable").T
         # One ascending array of all projections: each is shifted behind the one before.
-        self.shift = (np.arange(self.m) * (4.0 * float(np.abs(values).max(initial=1.0)) + 4.0 * norm))[:, None]
+        self.shift = (np.arange(self.m) * (4.0 * float(np.abs(values).max(initial=1.0)) + 4.0))[:, None]
         self.values = (values + self.shift).ravel()
         self.starts = np.arange(self.m) * self.n
         self.spread = float(projected.std()) or 1.0
@@ -89,7 +91,9 @@ class Band:
 
     def collide(self, query: np.ndarray, wanted: int) -> tuple[np.ndarray, float]:
         """Vectors above the collision threshold, at least `wanted` of them, and the window that it took."""
-        target = (np.append(query * (self.norm / norms(query[None, :])[0]), 0.0) @ self.axes)[:, None] + self.shift
+        high = np.abs(query).max()  # twice scaled, so that neither very long nor very short queries overflow
+        query = query / high
+        target = (np.append(query / np.sqrt((query**2).sum()), 0.0) @ self.axes)[:, None] + self.shift
         # A vector outside a window has missed it. The windows hold most of an array, so misses are counted:
         # a vector collides in m - misses windows.
         missed, width = np.zeros(self.n, np.int64), self.first
@@ -107,16 +111,16 @@ class Band:
             found = np.flatnonzero(missed <= self.m - self.need)
             if len(found) >= wanted:
                 return found, width
-            width *= STEP
+            width *= STEP  # all vectors are within a width of 2: the search ends
 
 
 class Block:
-    """A block of vectors in bands of like norms."""
+    """One of `blocks` blocks of vectors, in bands of like norms."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, blocks: int = 1):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        norm, extra = norms(self.vectors), int(BETA * len(ids))
+        norm, extra = norms(self.vectors), int(BETA * len(ids) / blocks**FALL)
         self.places, self.rest = bands(norm, AT_LEAST * TOP + extra)
         self.bands = [Band(self.vectors[k], float(norm[k].max()), extra) for k in self.places]
 
@@ -125,7 +129,12 @@ class Block:
         found = [self.rest, *(k[band.collide(query, band.wanted(top))[0]] for k, band in zip(self.places, self.bands, strict=True))]
         found = np.sort(np.concatenate(found))
         found = found[self.ids[found] != query_id]
-        score = (self.vectors[found] * query).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (self.vectors[found] * query).sum(axis=1)
+            if not np.isfinite(score).all():  # beyond doubles: by scaled vectors, so that only the result is infinite
+                bad = np.flatnonzero(~np.isfinite(score))
+                high, own = np.abs(query).max(), np.abs(self.vectors[found[bad]]).max(axis=1)
+                score[bad] = ((self.vectors[found[bad]] / own[:, None]) * (query / high)).sum(axis=1) * own * high
         if len(found) > top:
             # Ties at the last place all stay in the choice; ids are ascending, so a stable sort prefers small ones.
             last = np.partition(score, len(score) - top)[len(score) - top]
@@ -174,7 +183,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         ids = pdf["id"].to_numpy()
         out: list[pd.DataFrame] = []
         if ask.any() and (~ask).any():
-            block = Block(ids[~ask], v[~ask])
+            block = Block(ids[~ask], v[~ask], blocks)
             for i, q in zip(ids[ask].tolist(), v[ask], strict=True):
                 near, score = block.search(i, q, top)
                 out.append(pd.DataFrame({"query_id": i, "vec_id": near, "score": score}))

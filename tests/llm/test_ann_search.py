@@ -67,3 +67,34 @@ def test_bands_of_any_norms():
     exact = x @ (x[5] / np.abs(x[5]).max())
     exact[5] = -np.inf
     assert ids.tolist() == np.argsort(-exact, kind="stable")[:20].tolist() and np.allclose(score, np.sort(exact)[::-1][:20])
+
+
+def test_extreme_components_end(llm_spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 8))
+    for scale, asked in ((1e155, 1e-200), (1e307, 1e-200), (1e-300, 1e10)):
+        block = Block(np.arange(600), x * scale)
+        ids, _ = block.search(3, x[3] * asked, 20)
+        exact = x @ x[3]
+        exact[3] = -np.inf
+        assert ids.tolist() == np.argsort(-exact, kind="stable")[:20].tolist()
+    rows = [(i, (v * 1e160).tolist()) for i, v in enumerate(x)]
+    got = search(llm_spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert len(got) == 20
+
+
+def test_recall_over_many_blocks():
+    """Each of many blocks verifies a smaller share, and the best of all blocks are still found."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((8 * 8192, 48))
+    x *= (rng.uniform(0.8, 1.2, len(x)) / np.sqrt((x**2).sum(axis=1)))[:, None]
+    blocks = [Block(np.arange(k * 8192, (k + 1) * 8192), x[k * 8192 : (k + 1) * 8192], 8) for k in range(8)]
+    hit = 0
+    for q in range(0, 8192 * 8, 2621):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(np.argsort(-score)[:20].tolist())
+        found = [block.search(q, x[q], 20) for block in blocks]
+        ids, scores = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        hit += len(want & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert hit >= 0.9 * 20 * len(range(0, 8192 * 8, 2621))
