@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline as cp
 
 
@@ -24,3 +26,36 @@ def test_stages_on_planted_rows(llm_spark, make_docs, prose, tmp_path):
     assert seen["near_dedup"] == seen["line_dedup"] - {102}
     assert seen["decontamination"] == seen["near_dedup"] - {103} == seen["sentencepiece"]
     assert cp.ORACLE_SQL is None and len(cp.STAGES) == 5
+
+
+def test_odd_tables_and_resuming(llm_spark, make_docs, prose, tmp_path, monkeypatch):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    llm_spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make_docs([]).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(llm_spark, str(tmp_path)).count() == 0
+    # Repeated rows are one document after near dedup; clashing extra columns travel along until the last stage.
+    text = "\n".join(prose(40 + k, 30) for k in range(3))
+    docs = make_docs([(1, text), (1, text), (None, text), (2, prose(90, 60)), (3, "word " * 30_000)])
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(llm_spark, docs, str(tmp_path))
+        assert docs.columns == make_docs([]).columns
+    assert docs.filter("doc_id = 1 or doc_id is null").count() == 1 and docs.filter("doc_id = 2").first().key == "clash"
+    # A run that broke off is taken up behind its last whole stage.
+    make_docs([(k, prose(100 + k, 40)) for k in range(20)]).select(*columns).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    seen, broken = [], [True]
+
+    def watched(name, stage):
+        def call(*args):
+            seen.append(name)
+            if name == "near_dedup" and broken[0]:
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return call
+
+    monkeypatch.setattr(cp, "STAGES", [(n, watched(n, s)) for n, s in cp.STAGES])
+    with pytest.raises(RuntimeError):
+        cp.run(llm_spark, str(tmp_path), f"{tmp_path}/run")
+    broken[0] = False
+    assert cp.run(llm_spark, str(tmp_path), f"{tmp_path}/run").count() == 20
+    assert seen == ["language_id", "line_dedup", "near_dedup", "near_dedup", "decontamination", "sentencepiece"]
