@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontamination, language_id, line_dedup, minhash_dedup, sentencepiece_codec
-from marlstone.llm.common import ready, settle, table
+from marlstone.llm.common import complete, ready, settle, table, written
 
 LEAST_SCORE = 0.4  # of a language, of four or more that are told apart
 
@@ -55,10 +55,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's output a table that the next one reads."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents, each stage's output a table that the next one reads.
+
+    With a folder that the executors share, stages stand there under their names, and a run that broke off goes on behind
+    the last one that ended well; the caller names another folder for other inputs. Without, each run has its own tables.
+    """
     ready(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        if folder is None:
+            docs = settle(stage(spark, docs, sf_dir), name)
+            continue
+        path = f"{folder}/{k}-{name}"
+        done = complete(spark, path)
+        docs = written(stage(spark, docs, sf_dir), path) if done is None else done
     return docs
