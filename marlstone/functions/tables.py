@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codes import clean_org_name, normalize_package_no, parse_rank
-from .money import amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
+from .money import WRITTEN_DIGITS, amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
 from .text import clean_value
 
 # Header words of the documents' language by the field that they name.
@@ -25,6 +25,7 @@ FIELDS = {
     "amount": ["中标金额", "成交金额", "中标价", "成交价", "投标报价", "最终报价", "报价"],
     "budget": ["预算金额", "预算", "概算"],
     "ceiling": ["最高限价", "限价", "控制价"],
+    "guide": ["指导价", "指导价格", "参考价"],
     "scope": ["采购范围", "项目概况", "采购内容"],
     "qualification": ["资格要求", "专用资格", "资质要求"],
 }
@@ -223,22 +224,76 @@ def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
 
 
 def tender_rows(tables: DataFrame, key: str) -> DataFrame:
-    """Tender packages: scope, budget, ceiling price, qualification."""
+    """Tender packages: scope, budget, ceiling price, guide price, qualification."""
     rows = tables.withColumn("package", cell("package_no")).filter("package <> ''")
     money = lambda f: parse_money(cell(f), unit_context(_header(f), F.lit(""))).alias(f)
-    return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), cell("package_name").alias("package_name"), cell("scope").alias("scope"), money("budget"), money("ceiling"), cell("qualification").alias("qualification"))
+    return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), cell("package_name").alias("package_name"), cell("scope").alias("scope"), money("budget"), money("ceiling"), money("guide"), cell("qualification").alias("qualification"))
 
 
-# Written amounts, percents and folds; and words around a number that make it money.
-MONEY = re.compile(r"(?P<currency>[¥￥]|人民币)?\s*(?P<amount>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?P<unit>亿元|亿|万元|万|元)?(?![\d%％折])")
-PERCENT = re.compile(r"(?P<amount>\d+(?:\.\d+)?)\s*[%％]")
-FOLD = re.compile(r"(?P<amount>\d+(?:\.\d+)?|[零〇一二两三四五六七八九]{1,2})\s*折(?!扣)")
-MONEY_WORDS = re.compile("金额|报价|价格|单价|总价|限价|预算|保证金|费用|服务费|中标价|成交价")
+# Currencies, units and words around a number that make it money.
+CURRENCIES = ("人民币", "RMB", "CNY", "￥", "¥")
+UNITS = ("亿元", "亿", "万元", "万", "元")
+MONEY_WORDS = ("金额", "报价", "价格", "单价", "总价", "限价", "预算", "保证金", "费用", "服务费", "中标价", "成交价")
 AROUND = 42
+NUMBER = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")
+WRITTEN = re.compile(f"[{''.join(WRITTEN_DIGITS)}]+")
+
+
+def _grouped(digits: str) -> str:
+    """As much of a number as its commas group by thousands: 1,234 whole, of 12,34 the 12."""
+    whole, dot, rest = digits.partition(".")
+    groups = whole.split(",")
+    if len(groups) == 1 or (0 < len(groups[0]) <= 3 and all(len(g) == 3 for g in groups[1:])):
+        return digits
+    return groups[0]
+
+
+def scan_amounts(text: str) -> list[tuple[int, int, str, str, str, bool]]:
+    """(start, end, form, number, unit, with a currency) of all amounts, percents and folds, form by form, in text order.
+
+    Every number is money with the currency before it and the unit behind it, blanks between; a percent sign
+    or a fold behind it makes it that as well; folds may be one or two written digits. Which of them count is for the caller.
+    """
+    money, percents, folds = [], [], []
+
+    def behind(at: int) -> int:
+        while at < len(text) and text[at].isspace():
+            at += 1
+        return at
+
+    def before(at: int) -> int:
+        while at and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    for m in NUMBER.finditer(text):
+        at = m.start()
+        while at < m.end():
+            number = _grouped(text[at : m.end()])
+            end, after = at + len(number), behind(at + len(number))
+            edge = before(at)
+            currency = next((c for c in CURRENCIES if text.endswith(c, 0, edge)), "")
+            unit = next((u for u in UNITS if text.startswith(u, after)), "")
+            start = edge - len(currency) if currency else at
+            money.append((start, after + len(unit) if unit else end, "money", number, unit, bool(currency)))
+            plain = number.rpartition(",")[2]
+            if text[after : after + 1] in ("%", "％"):
+                percents.append((end - len(plain), after + 1, "percent", plain, "", False))
+            elif text.startswith("折", after):
+                folds.append((end - len(plain), after + 1, "fold", plain, "", False))
+            at = end
+            while at < m.end() and not text[at].isdigit():
+                at += 1
+    for m in WRITTEN.finditer(text):
+        after = behind(m.end())
+        if text.startswith("折", after):
+            number = m.group()[-2:]
+            folds.append((m.end() - len(number), after + 1, "fold", number, "", False))
+    return money + percents + sorted(folds)
 
 
 def extract_amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, at, raw, form, value, unit, amount_type, status, confidence, line: amounts, percents and folds with their places.
+    """key, at, raw, form, value, unit, amount_type, status, reason, confidence, line: amounts, percents and folds with their places.
 
     A span is claimed by the first form that reads it. A bare number counts only among words of money. Context is
     what stands within AROUND characters, on both sides.
@@ -250,13 +305,12 @@ def extract_amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             rows = []
             for k, t in zip(batch[key], batch[text], strict=True):
                 taken: set[tuple[int, int]] = set()
-                for form, pattern in (("money", MONEY), ("percent", PERCENT), ("fold", FOLD)) if isinstance(t, str) else ():
-                    for m in pattern.finditer(t):
-                        around = t[max(0, m.start() - AROUND) : m.end() + AROUND]
-                        if m.span() in taken or form == "money" and not (m["unit"] or m["currency"] or MONEY_WORDS.search(around)):
-                            continue
-                        taken.add(m.span())
-                        rows.append((k, m.start(), m.group().strip(), form, m["amount"], (m.groupdict().get("unit") or ""), around, t.count("\n", 0, m.start()) + 1))
+                for start, end, form, number, unit, currency in scan_amounts(t) if isinstance(t, str) else ():
+                    around = t[max(0, start - AROUND) : end + AROUND]
+                    if (start, end) in taken or form == "money" and not (unit or currency or any(w in around for w in MONEY_WORDS)):
+                        continue
+                    taken.add((start, end))
+                    rows.append((k, start, t[start:end].strip(), form, number, unit, around, t.count("\n", 0, start) + 1))
             yield pd.DataFrame(rows, columns=[key, "at", "raw", "form", "number", "unit", "around", "line"])
 
     found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, at int, raw string, form string, number string, unit string, around string, line int")
@@ -267,4 +321,4 @@ def extract_amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     type_ = F.when(F.col("form") == "money", F.col("kind")).when(F.col("form") == "fold", F.lit("DiscountRate")).when(F.col("kind").isin("DiscountRate", "ReductionRate"), F.col("kind")).otherwise(F.lit("Rate"))
     unit = F.when(F.col("form") == "money", F.col("m.unit")).when(F.col("form") == "percent", F.lit("rate")).otherwise(F.lit("discount"))
     out = out.withColumns({"value": value, "amount_type": type_, "unit": unit}).filter("value is not null")
-    return out.withColumn("s", amount_status(F.col("amount_type"), F.col("value"))).select(key, "at", "raw", "form", "value", "unit", "amount_type", "s.status", "s.confidence", "line")
+    return out.withColumn("s", amount_status(F.col("amount_type"), F.col("value"))).select(key, "at", "raw", "form", "value", "unit", "amount_type", "s.status", "s.reason", "s.confidence", "line")
