@@ -1,4 +1,4 @@
 """Registered queries over the business tables."""
 
-from . import analytics, dashboards, domain, scoped  # noqa: F401
+from . import analytics, dashboards, domain, notices, scoped  # noqa: F401
 from .registry import QUERIES  # noqa: F401
