@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import RATE_OR_SCORE, TEN_THOUSAND
+from ..functions.text import contains_any
+from .joins import contained_either_way
+
 SCORE = "decimal(5,2)"
 
 
@@ -94,3 +98,81 @@ def quality_score(keys: DataFrame, issues: DataFrame, key: str, reparse: list[st
     out = out.withColumn("risk", risk)
     advice = F.when(F.col("risk") == "Low", "BatchConfirmCandidate").when((F.col("risk") == "High") & (n("reparse_count") > 0), "NeedsReparse").otherwise("NeedsReview")
     return out.select(key, "score", "risk", n("issue_count").alias("issue_count"), n("high_count").alias("high_count"), advice.alias("recommendation"))
+
+
+def evidence_checks(requirements: DataFrame, documents: DataFrame, key: list[str], block: list[str], as_of: Column) -> DataFrame:
+    """Each requirement with its best document and state: Missing, Expired, ExpiringSoon or Valid.
+
+    requirements: key columns, block columns, required_type; documents: block columns, document_id, document_type,
+    document_name, status, valid_to. A document fits if its type or name holds the required one or lies in it; valid ones go before
+    others, then the latest expiry, then the smallest id: a partial maximum per requirement.
+    """
+    fits = contained_either_way(F.col("document_type"), F.col("required_type")) | contained_either_way(F.col("document_name"), F.col("required_type"))
+    rank = F.struct((F.col("status") == "Valid").alias("good"), F.coalesce(F.col("valid_to"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("until"), (-F.col("document_id")).alias("first"), "status", "valid_to")
+    best = requirements.join(documents, block).filter(fits).groupBy(*key).agg(F.max(rank).alias("__d"))
+    state = (
+        F.when(F.col("__d").isNull(), "Missing").when((F.col("__d.status") == "Expired") | (F.col("__d.valid_to") < as_of), "Expired")
+        .when((F.col("__d.status") == "ExpiringSoon") | (F.col("__d.valid_to") <= as_of + F.expr("INTERVAL 30 DAYS")), "ExpiringSoon").otherwise("Valid")
+    )
+    return requirements.join(best, key, "left").select(*requirements.columns, (-F.col("__d.first")).alias("document_id"), F.coalesce(state, F.lit("Valid")).alias("state"))
+
+
+def resolved_amounts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, amount, source: of the columns in order, the first whose positive amounts, to two decimals, are one value in the group."""
+    amount = lambda c: F.bround(F.when(F.col(c) > 0, F.col(c).cast("decimal(18,4)")), 2)
+    each = rows.groupBy(key).agg(*[F.min(amount(c)).alias(f"__lo_{c}") for c in columns], *[F.max(amount(c)).alias(f"__hi_{c}") for c in columns])
+    one = [F.when(F.col(f"__lo_{c}") == F.col(f"__hi_{c}"), F.struct(F.col(f"__lo_{c}").alias("amount"), F.lit(c).alias("source"))) for c in columns]
+    return each.select(key, F.coalesce(*one).alias("__a")).select(key, F.col("__a.amount").alias("amount"), F.col("__a.source").alias("source"))
+
+
+def completeness(supplier: Column, outcome: Column, package_no: Column, package_name: Column, lot_no: Column, lot_name: Column, evidence: Column, figures: Column, project: Column) -> Column:
+    """Points for what an extract holds, 100 at most; `figures` and `project` tell whether any of theirs is there."""
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    rules = [(there(supplier), 25), (there(outcome), 10), (there(package_no) | there(package_name), 15), (there(lot_no), 20), (there(lot_name), 10), (there(evidence), 10), (figures, 5), (project, 5)]
+    return F.least(F.lit(100), points(rules).cast("int"))
+
+
+def evidence_points(text: Column, row_text: Column, placed: Column, supplier: Column, package_no: Column, lot_no: Column, lot_name: Column, field_evidence: Column) -> Column:
+    """Points for how far the source text bears an extract out, 100 at most; without text 20 if single fields have evidence.
+
+    `placed` tells of a sequence or page number; names are looked for in the text without case.
+    """
+    own = F.trim(F.coalesce(F.when(F.trim(F.coalesce(text, F.lit(""))) != "", text).otherwise(row_text), F.lit("")))
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    holds = lambda c: there(c) & F.contains(F.lower(own), F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    package = there(package_no) & F.contains(own, F.concat(F.lit("包"), package_no))
+    score = F.when(F.length(own).between(12, 2000), 15).otherwise(5) + points([(there(row_text), 5), (placed, 5), (holds(supplier), 30), (package, 20), (~package & F.contains(own, F.lit("包")), 12), (holds(lot_no), 25), (holds(lot_name), 10)]).cast("int")
+    return F.when(own == "", F.when(field_evidence, 20).otherwise(0)).otherwise(F.least(F.lit(100), score))
+
+
+def unit_suspects(rows: DataFrame, key: str, cells: str, amounts: list[str]) -> DataFrame:
+    """key, issue_type, field, header: cells of an original row that tell of a wrong unit or of a rate in an amount field.
+
+    cells: a JSON object of header and text. A rate whose number equals an amount (to 0.01) stands in the wrong field; a cell in
+    ten thousands whose bare number equals an amount, while ten thousand times it equals none, was not scaled. Rows whose JSON can't
+    be read have no cells.
+    """
+    shown = F.from_json(F.col(cells), "map<string,string>")
+    held = F.filter(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("decimal(18,4)").alias("value")) for c in amounts]), lambda a: a["value"].isNotNull())
+    each = rows.select(key, held.alias("held"), F.explode(shown).alias("header", "text"))
+    number = F.regexp_extract(F.replace(F.col("text"), F.lit(","), F.lit("")), r"-?[0-9]+(?:\.[0-9]+)?", 0).try_cast("decimal(18,4)")
+    rate = contains_any(F.col("header"), RATE_OR_SCORE) | contains_any(F.col("text"), ["%", "％"])
+    many = contains_any(F.col("header"), TEN_THOUSAND + ["（万", "(万"]) | contains_any(F.col("text"), ["万"])
+    near = lambda value: F.filter("held", lambda a: F.abs(a["value"] - value) < F.lit(0.01).cast("decimal(18,4)"))
+    met = each.withColumns({"n": number, "rate": rate, "many": many}).filter(F.col("n").isNotNull() & (F.col("rate") | F.col("many")))
+    met = met.withColumns({"bare": near(F.col("n")), "scaled": near(F.col("n") * 10000)})
+    issue = F.when(F.col("rate"), "RateOrDiscountInAmountColumn").when(F.size("scaled") == 0, "AmbiguousAmountUnit")
+    return met.filter(F.size("bare") > 0).select(key, issue.alias("issue_type"), F.col("bare")[0]["field"].alias("field"), "header").filter("issue_type is not null")
+
+
+def maintenance(active: DataFrame, deadline: str, changed: str, watched: Column, action_due: Column, now: Column, warning_days: int, stale_days: int) -> DataFrame:
+    """One row: active opportunities, those with a deadline near, overdue and urgent ones, watched ones with an action or deadline due, stale ones."""
+    due = F.col(deadline) <= now + F.expr(f"INTERVAL {warning_days} DAYS")
+    return active.agg(
+        F.count("*").alias("opportunities"),
+        F.count_if(due).alias("risks"),
+        F.count_if(F.col(deadline) < now).alias("overdue"),
+        F.count_if((F.col(deadline) >= now) & (F.col(deadline) <= now + F.expr("INTERVAL 3 DAYS"))).alias("urgent"),
+        F.count_if(watched & (action_due | F.coalesce(due, F.lit(False)))).alias("watched"),
+        F.count_if(F.col(changed) < now - F.expr(f"INTERVAL {stale_days} DAYS")).alias("stale"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import ladder
+from ..functions.classify import ladder, stage_progress
 from ..operators.analytics import first_per_key
 
 
@@ -105,3 +105,20 @@ def effective_permissions(users: DataFrame, roles: DataFrame, grants: DataFrame,
 def last_wins(commands: DataFrame, key: str) -> DataFrame:
     """The last command of each key, by `ordinal`."""
     return first_per_key(commands, [key], [F.desc("ordinal")])
+
+
+def pursued(rows: DataFrame, wanted: DataFrame, steps: dict[str, int], closed: str = "Closed") -> DataFrame:
+    """Pursuits after a load of wanted stages (id, stage): new ids are created, known ones move; status and progress follow the stage."""
+    now = rows.select("id", F.col("stage").alias("__was")).join(wanted.select("id", F.col("stage").alias("__to")), "id", "full")
+    stage = F.coalesce("__to", "__was")
+    outcome = ladder([(F.col("__was").isNull(), "Created"), (F.col("__to").isNotNull() & (F.col("__to") != F.col("__was")), "Updated")], "Unchanged")
+    return now.select("id", stage.alias("stage"), F.when(stage == closed, closed).otherwise("Active").alias("status"), stage_progress(stage, steps).alias("progress"), outcome.alias("outcome"))
+
+
+def renumbered(rows: DataFrame, changes: DataFrame, deleted: DataFrame, key: str, required: str) -> tuple[DataFrame, DataFrame]:
+    """(rows after manual updates and deletes, refused changes): a change without its required value or without its row is refused."""
+    known = changes.join(rows.select(key), key, "left_semi")
+    good = known.filter(F.trim(F.coalesce(required, F.lit(""))) != "")
+    refused = changes.join(good.select(key), key, "left_anti")
+    kept = rows.join(deleted.select(key), key, "left_anti")
+    return kept.join(good.select(key), key, "left_anti").unionByName(good.join(kept.select(key), key, "left_semi").select(*rows.columns)), refused

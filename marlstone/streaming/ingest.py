@@ -122,6 +122,11 @@ def run_is_done(batch: DataFrame) -> bool:
     return batch.filter(F.col("outcome").isin("Created", "Changed", "Failed")).isEmpty()
 
 
+def quiet_channels(batch: DataFrame, channel: list[str]) -> DataFrame:
+    """Channels whose page had no created, changed or failed row: their incremental run ends."""
+    return batch.groupBy(*channel).agg(F.count_if(F.col("outcome").isin("Created", "Changed", "Failed")).alias("__n")).filter("__n = 0").select(*channel)
+
+
 def enqueue(queue: DataFrame, jobs: DataFrame, key: str = "deduplication_key") -> DataFrame:
     """Jobs to append: those whose key is not waiting or running, one per key; jobs without a key all stay."""
     active = queue.filter(F.col("status").isin("Pending", "Running") & F.col(key).isNotNull()).select(key)
@@ -158,7 +163,11 @@ def unseen(batch: DataFrame, inbox: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dispatch_stream(outbox: DataFrame, handle: Callable[[DataFrame], None], inbox: ParquetTable, keys: list[str], checkpoint: str):
-    """Outbox to consumer, at least once; the inbox makes the effect happen once per key."""
+    """Outbox to consumer, at least once. The inbox keeps keys that were handled from being handled again by later batches.
+
+    The effect comes before its record: a crash between the two repeats the effect of that batch, so `handle` has to be
+    idempotent by key (a merge, or a write that replaces its keys).
+    """
 
     def deliver(batch: DataFrame, _: int) -> None:
         rows = batch.dropDuplicates(keys) if not inbox.exists() else unseen(batch, inbox.read(), keys)
@@ -182,19 +191,27 @@ def refreshed_links(old: DataFrame, drafts: DataFrame, key: str, confirmed: str)
     return fixed.unionByName(drafts.join(fixed.select(key), key, "left_anti").select(*old.columns))
 
 
-def reconciled(exports: DataFrame, jobs: DataFrame) -> DataFrame:
-    """exports with `action`: Link, Fail, Requeue or Unchanged, by what became of their job."""
-    j = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
+def reconciled(exports: DataFrame, jobs: DataFrame, key: str = "deduplication_key") -> DataFrame:
+    """exports with `action` (Fail, Requeue, Link or Unchanged) and the `job_id` found: by their own job id, else by their key.
+
+    A dead or cancelled job fails the export, no job at all queues it again, a job that the export doesn't name is linked.
+    Exports that are Ready or Failed stay as they are. Of several jobs with one key the newest counts.
+    """
+    by_id = jobs.select(F.col("id").alias("background_job_id"), F.col("status").alias("__own"))
+    by_key = jobs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("id", "status")).alias("__other"))
+    met = exports.join(by_id, "background_job_id", "left").join(by_key, key, "left")
+    found = F.when(F.col("__own").isNotNull(), F.struct(F.col("background_job_id").alias("id"), F.col("__own").alias("status"))).otherwise(F.col("__other"))
+    met = met.withColumn("__job", found)
     action = ladder(
         [
             (F.col("status").isin("Ready", "Failed"), "Unchanged"),
-            (F.col("job_id").isNull(), "Requeue"),
-            (F.col("job_status").isin("DeadLetter", "Cancelled"), "Fail"),
-            (F.col("background_job_id").isNull(), "Link"),
+            (F.col("__job.status").isin("DeadLetter", "Cancelled"), "Fail"),
+            (F.col("__job.id").isNull(), "Requeue"),
+            (~F.col("__job.id").eqNullSafe(F.col("background_job_id")), "Link"),
         ],
         "Unchanged",
     )
-    return exports.join(j, exports.background_job_id == j.job_id, "left").withColumn("action", action).drop("job_id", "job_status")
+    return met.withColumn("action", action).select(*exports.columns, "action", F.col("__job.id").alias("job_id"))
 
 
 def due_channels(channels: DataFrame, as_of: Column, most: int) -> DataFrame:
