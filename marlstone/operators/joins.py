@@ -68,13 +68,31 @@ def contained_either_way(a: Column, b: Column) -> Column:
     return (p != "") & (q != "") & (F.contains(p, q) | F.contains(q, p))
 
 
+def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame:
+    """group, inner, outer: distinct names of a group of which one lies in another, different one, ignoring case.
+
+    The join has a key: of the inner name one run of three characters (that of the least hash; all of a shorter name),
+    of the outer every run of one to three. So no pair is made that shares no such run, wherever words end.
+    """
+    low = names.select(*group, F.col(name).alias("n"), F.lower(name).alias("low")).filter("low <> ''").distinct()
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
+    some = lambda size: F.when(F.length("low") >= size, runs(size)).otherwise(F.array().cast("array<string>"))
+    key = F.when(F.length("low") <= 3, F.col("low")).otherwise(F.array_min(F.transform(runs(3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"])
+    inner = low.select(*group, F.col("n").alias("inner"), F.col("low").alias("__i"), key.alias("__k"))
+    outer = low.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("n").alias("outer"), F.col("low").alias("__o"), F.explode(F.array_distinct(F.concat(some(1), some(2), some(3)))).alias("__run"))
+    on = F.col("__k") == F.col("__run")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return inner.join(outer, on).filter((F.col("inner") != F.col("outer")) & F.contains("__o", F.col("__i"))).select(*group, "inner", "outer")
+
+
 def without_fragments(rows: DataFrame, group: list[str], name: str) -> DataFrame:
-    """Rows whose name is not a proper part of another name of the same group."""
-    names = rows.select(*[F.col(g).alias(f"__{g}") for g in group], F.col(name).alias("__longer")).distinct()
-    on = (F.length("__longer") > F.length(name)) & F.contains(F.lower("__longer"), F.lower(name))
+    """Rows whose name is not a proper part of another name of the same group; blank names stay."""
+    parts = containing_pairs(rows, group, name).filter(F.length("outer") > F.length("inner")).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("inner").alias("__inner")).distinct()
+    on = F.col(name) == F.col("__inner")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    return rows.join(names, on, "left_anti")
+    return rows.join(parts, on, "left_anti")
 
 
 def pairs_in_block(rows: DataFrame, block: list[str], key: str, columns: list[str]) -> DataFrame:

@@ -6,27 +6,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .analytics import first_per_key
-from .joins import components, pairs_in_block
+from ..functions.codes import supplier_compatible
+from .joins import components, contained_either_way, pairs_in_block
+from .scoring import points
 
 
-def merge_records(rows: DataFrame, block: list[str], key: str, compared: list[str], score: Column, threshold: Column | int, best: list[Column], fill: list[str]) -> DataFrame:
+COMPARED = ["source", "outcome_type", "rank", "supplier", "package_no", "sequence_no", "page", "evidence", "lot_no", "lot_name", "amount"]
+
+
+def _both(c: str, same: Column | None = None) -> Column:
+    """Both sides have a value and it is alike."""
+    a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
+    return F.coalesce((F.trim(a.cast("string")) != "") & (F.trim(b.cast("string")) != "") & (F.upper(a.cast("string")) == F.upper(b.cast("string")) if same is None else same), F.lit(False))
+
+
+def _compatible(c: str) -> Column:
+    """One side lacks a value, or one holds the other."""
+    a, b = F.trim(F.coalesce(f"{c}_a", F.lit(""))), F.trim(F.coalesce(f"{c}_b", F.lit("")))
+    return (a == "") | (b == "") | contained_either_way(a, b)
+
+
+def outcome_pair_score() -> Column:
+    """Points of a pair of outcome records over COMPARED; 0 where type, rank, supplier, package or lots contradict each other."""
+    clash = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
+    supplier = supplier_compatible(F.col("supplier_a"), F.col("supplier_b"))
+    page = _both("page")
+    evidence_ = _both("evidence", (F.upper("evidence_a") == F.upper("evidence_b")) | ((F.least(F.length("evidence_a"), F.length("evidence_b")) >= 12) & contained_either_way(F.col("evidence_a"), F.col("evidence_b"))))
+    hard = (F.col("outcome_type_a") == F.col("outcome_type_b")) & ~clash("rank") & supplier & ~clash("package_no") & _compatible("lot_no") & _compatible("lot_name")
+    rules = [
+        (supplier, 40), (_both("package_no"), 25), (_both("sequence_no") & ~clash("page"), 30), (evidence_, 30), (_compatible("lot_no"), 25), (_compatible("lot_name"), 15),
+        (F.abs(F.col("amount_a") - F.col("amount_b")) < F.lit(0.01).cast("decimal(18,2)"), 10), (F.col("outcome_type_a") == F.col("outcome_type_b"), 10), (page, 10),
+    ]
+    return F.when(hard, points(rules)).otherwise(F.lit(0))
+
+
+def outcome_threshold() -> Column:
+    """Points from which two records are one: 65 between a model's and a PDF table's, 70 where one side is either, else 85."""
+    of = lambda s: (F.col("source_a") == s, F.col("source_b") == s)
+    (ai_a, ai_b), (pdf_a, pdf_b) = of("ai"), of("pdf")
+    return F.when((ai_a & pdf_b) | (pdf_a & ai_b), 65).when(ai_a | ai_b | pdf_a | pdf_b, 70).otherwise(85)
+
+
+def merge_records(rows: DataFrame, block: list[str], key: str, compared: list[str], score: Column, threshold: Column | int, best: list[Column], fill: list[str], fill_order: list[Column] | None = None, members: str | None = None) -> DataFrame:
     """One row per component of pairs scored at or above the threshold: the best row, its empty fields filled from the others.
 
-    Pairs are made within a block. `score` and `threshold` are over the columns suffixed _a and _b; `best` ranks
-    survivors and must end in a unique key; a field is filled with the value of the best row that has one.
+    Pairs are made within a block, which is one document's records and so bounded. `score` and `threshold` are over the columns
+    suffixed _a and _b; `best` ranks survivors and must end in a unique key; a field is filled with the value of the first row
+    that has one, by `fill_order` (by `best` where not given). `members` names a column for the size of the component.
     """
     pairs = pairs_in_block(rows, block, key, compared).filter(score >= threshold).select(f"{key}_a", f"{key}_b")
     labels = components(pairs, f"{key}_a", f"{key}_b").select(F.col("node").alias(key), F.col("label").alias("__group"))
     grouped = rows.join(labels, key, "left").withColumn("__group", F.coalesce("__group", key))
-    survivor = first_per_key(grouped, ["__group"], best)
-    if not fill:
-        return survivor.drop("__group")
-    place = F.row_number().over(Window.partitionBy("__group").orderBy(*best))
-    ranked = grouped.withColumn("__p", place)
-    filled = ranked.groupBy("__group").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__p"))).alias(f"__{c}") for c in fill])
-    out = survivor.join(filled, "__group")
-    return out.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in fill else F.col(c) for c in rows.columns])
+    w = Window.partitionBy("__group")
+    ranked = grouped.withColumns({"__rn": F.row_number().over(w.orderBy(*best)), "__p": F.row_number().over(w.orderBy(*(fill_order or best)))})
+    first = [F.min_by(F.struct(*rows.columns), "__rn").alias("__s"), F.count("*").alias("__n")]
+    filled = ranked.groupBy("__group").agg(*first, *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__p"))).alias(f"__{c}") for c in fill])
+    out = [F.coalesce(F.col(f"__s.{c}"), F.col(f"__{c}")).alias(c) if c in fill else F.col(f"__s.{c}").alias(c) for c in rows.columns]
+    return filled.select(*out, *([F.col("__n").alias(members)] if members else []))
 
 
 def greedy_uncovered(rows: DataFrame, group: list[str], order: list[str], covers, schema: str | None = None) -> DataFrame:

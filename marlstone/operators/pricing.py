@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.classify import ladder
 from ..functions.money import plain_number
+from ..functions.text import let
 
 AMOUNT = "decimal(18,2)"
 
 
-def _decision(amount: Column, kind: Column | str, stage: str, base: Column, base_type: Column | str, formula: Column, confidence: Column | float, review: Column | bool) -> Column:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        amount.cast(AMOUNT).alias("amount"),
-        lit(kind).alias("kind"),
-        F.lit(stage).alias("stage"),
-        base.cast(AMOUNT).alias("base_amount"),
-        lit(base_type).alias("base_type"),
-        formula.alias("formula"),
-        lit(confidence).cast("decimal(5,4)").alias("confidence"),
-        lit(review).alias("needs_review"),
-    )
-
-
 def base_amount(guide: Column, ceiling: Column, budget: Column, package_no: Column, budget_first: bool) -> Column:
     """struct(amount, type): the guide price, else ceiling or budget where only one is given or both agree."""
     one = lambda a, t: F.struct(a.cast(AMOUNT).alias("amount"), F.lit(t).alias("type"))
@@ -38,21 +26,60 @@ def price_decision(award: Column, quote: Column, quote_rank: Column, quote_match
     Direct award, then the candidate's quote at rank 1 or where the supplier matched one candidate only, then rate times
     base, then the procurement amount, then unknown. A rate without a clear meaning stops the search.
     """
-    none, text = F.lit(None), F.lit(None).cast("string")
-    base, fallback = base_amount(guide, ceiling, budget, package_no, False), base_amount(guide, ceiling, budget, package_no, True)
-    times = F.when(rate_type == "ReductionRate", 1 - rate).otherwise(rate)
-    inferred = F.bround(base["amount"] * times, 2)
-    formula = F.when(rate_type == "ReductionRate", F.concat(plain_number(base["amount"]), F.lit(" * (1 - "), plain_number(rate), F.lit(")"))).otherwise(F.concat(plain_number(base["amount"]), F.lit(" * "), plain_number(rate)))
-    first = quote_rank.eqNullSafe(F.lit(1))
-    kind = F.when(rate_type == "ReductionRate", "InferredFromReductionRate").when(rate_type == "Coefficient", "InferredFromCoefficient").otherwise("InferredFromDiscountRate")
-    guided = lambda b, yes, no: F.when(b["type"] == "PackageGuidePrice", yes).otherwise(no)
-    unknown = lambda stage: _decision(none, "Unknown", stage, none, "Unknown", text, 0.0, True)
-    return (
-        F.when(award.isNotNull(), _decision(award, "DirectAwardAmount", "AwardNotice", none, "Unknown", text, 0.98, False))
-        .when(quote.isNotNull() & (first | (quote_matches == 1)), _decision(quote, "CandidateFinalQuote", "CandidateNotice", none, "Unknown", text, F.when(first, 0.95).otherwise(0.88), ~first))
-        .when(rate_type == "Unknown", unknown("AwardNotice"))
-        .when(rate_type.isNotNull() & base.isNotNull(), _decision(inferred, kind, "AwardNotice", base["amount"], base["type"], formula, guided(base, 0.84, 0.78), True))
-        .when(fallback.isNotNull(), _decision(fallback["amount"], "DefaultedFromProcurementPackageAmount", "TenderNotice", fallback["amount"], fallback["type"], text, guided(fallback, 0.76, 0.72), True))
-        .when(rate_type.isNotNull(), unknown("AwardNotice"))
-        .otherwise(unknown("Unknown"))
+    inputs = F.struct(
+        award.cast(AMOUNT).alias("award"), quote.cast(AMOUNT).alias("quote"), quote_rank.eqNullSafe(F.lit(1)).alias("first"), (quote_matches == 1).alias("only"), rate_type.alias("rate_type"), rate.cast("decimal(18,6)").alias("rate"),
+        base_amount(guide, ceiling, budget, package_no, False).alias("base"), base_amount(guide, ceiling, budget, package_no, True).alias("fallback"),
+    )
+    return let(inputs, _decided)
+
+
+# The rules by number: (kind, stage, confidence, confidence with a guide price, needs review); None where the inputs tell.
+DIRECT, QUOTED, UNCLEAR, INFERRED, DEFAULTED, BASELESS, NOTHING = range(7)
+RULES = {
+    DIRECT: ("DirectAwardAmount", "AwardNotice", 0.98, 0.98, False),
+    QUOTED: ("CandidateFinalQuote", "CandidateNotice", 0.88, 0.88, None),
+    UNCLEAR: ("Unknown", "AwardNotice", 0.0, 0.0, True),
+    INFERRED: (None, "AwardNotice", 0.78, 0.84, True),
+    DEFAULTED: ("DefaultedFromProcurementPackageAmount", "TenderNotice", 0.72, 0.76, True),
+    BASELESS: ("Unknown", "AwardNotice", 0.0, 0.0, True),
+    NOTHING: ("Unknown", "Unknown", 0.0, 0.0, True),
+}
+
+
+def _decided(t: Column) -> Column:
+    """The rule's number first, from the inputs computed once; then each field by that number."""
+    rate_known = t["rate_type"].isNotNull()
+    number = ladder(
+        [
+            (t["award"].isNotNull(), DIRECT),
+            (t["quote"].isNotNull() & (t["first"] | t["only"]), QUOTED),
+            (t["rate_type"] == "Unknown", UNCLEAR),
+            (rate_known & t["base"].isNotNull(), INFERRED),
+            (t["fallback"].isNotNull(), DEFAULTED),
+            (rate_known, BASELESS),
+        ],
+        NOTHING,
+    )
+    return let(number, lambda rule: _fields(t, rule))
+
+
+def _fields(t: Column, rule: Column) -> Column:
+    reduced = t["rate_type"] == "ReductionRate"
+    inferred, base = rule == INFERRED, F.when(rule == INFERRED, t["base"]).when(rule == DEFAULTED, t["fallback"])
+    guided = F.coalesce(base["type"] == "PackageGuidePrice", F.lit(False))
+    at = lambda k: F.get(F.array(*[F.lit(r[k]) for r in RULES.values()]), rule)
+    amount = F.when(rule == DIRECT, t["award"]).when(rule == QUOTED, t["quote"]).when(inferred, F.bround(t["base"]["amount"] * F.when(reduced, 1 - t["rate"]).otherwise(t["rate"]), 2)).when(rule == DEFAULTED, t["fallback"]["amount"])
+    kind = F.when(inferred, F.when(reduced, "InferredFromReductionRate").when(t["rate_type"] == "Coefficient", "InferredFromCoefficient").otherwise("InferredFromDiscountRate")).otherwise(at(0))
+    shown = lambda x: plain_number(x)
+    formula = F.when(inferred, F.when(reduced, F.concat(shown(t["base"]["amount"]), F.lit(" * (1 - "), shown(t["rate"]), F.lit(")"))).otherwise(F.concat(shown(t["base"]["amount"]), F.lit(" * "), shown(t["rate"]))))
+    confidence = F.when((rule == QUOTED) & t["first"], F.lit(0.95)).when(guided, at(3)).otherwise(at(2))
+    return F.struct(
+        amount.cast(AMOUNT).alias("amount"),
+        kind.alias("kind"),
+        at(1).alias("stage"),
+        base["amount"].alias("base_amount"),
+        F.coalesce(base["type"], F.lit("Unknown")).alias("base_type"),
+        formula.alias("formula"),
+        confidence.cast("decimal(5,4)").alias("confidence"),
+        F.when(rule == QUOTED, ~t["first"]).otherwise(at(4)).alias("needs_review"),
     )

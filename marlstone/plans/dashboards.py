@@ -138,7 +138,7 @@ def last_command_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, event_type from events where ts >= timestamp '2024-01-30' - interval 7 days")
 def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SG11, SNK9: what a retention of a week leaves."""
+    """SG11: what a retention of a week leaves."""
     return ingest.retained(table(spark, sf_dir, "events"), "ts", F.lit("2024-01-30").cast("timestamp_ntz"), 7).select("event_id", "event_type")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, masking, text
 from ..functions.money import parse_rate
 from ..operators import joins as J
+from ..operators import merging
 from ..operators import scoring
 from ..operators.pricing import price_decision
 from ..session import table
@@ -52,7 +53,7 @@ select s_suppkey, cast(score as double) as score, case when score >= 75 and miss
 case when score >= 70 and missing = 0 then 'Candidate' when score >= 50 then 'Caution' else 'NotRecommended' end as recommendation,
 concat_ws(',', case when s_nationkey % 3 <> 0 then 'CategoryMismatch' end, case when s_nationkey >= 10 then 'RegionMismatch' end, case when missing > 0 then 'MissingEvidence' end) as flags from s""")
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DA1, DA2, JN11: a supplier's score, level, advice and flags."""
+    """DA1: a supplier's score, level, advice and flags."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45")
     proof = lines.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("needed"), F.count_if(F.col("l_returnflag") != "R").alias("valid"), F.count_if(F.col("l_returnflag") == "R").alias("missing"))
     rows = table(spark, sf_dir, "supplier").join(proof, "s_suppkey", "left").fillna(0, ["needed", "valid", "missing"])
@@ -141,11 +142,23 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)([A-Z0-9._%+-])[A-Z0-9._%+-]{0,63}(@[A-Z0-9.-]+\\.[A-Z]{2,})', '\\1***\\2', 'g'),
-'\\b(\\d{4})\\d{7,11}(\\d{4})\\b', '\\1********\\2', 'g'), '(?i)((?:password|passwd|pwd|token|secret|api[-_]?key)\\s*[:=])\\s*[^,\\s;}]+', '\\1***REDACTED***', 'g'), '\\b\\d{15,19}\\b', '***REDACTED***', 'g') as masked from documents""")
+MASKED = r"""with t as (select doc_id, coalesce(text, '') || ' 139' || lpad(cast(doc_id % 100000000 as varchar), 8, '0') || ',1101011990' || lpad(cast(doc_id % 10000000 as varchar), 7, '0') || 'X;' || repeat('7', cast(12 + doc_id % 9 as int)) || '.' as t from documents),
+e as (select doc_id, regexp_replace(t, '(?i)([A-Z0-9._%+-])[A-Z0-9._%+-]{0,63}(@[A-Z0-9.-]+\.[A-Z]{2,})', '\1***\2', 'g') as t from t),
+p as (select doc_id, regexp_replace(t, '(^|[^0-9])(1[3-9]\d)\d{4}(\d{4})($|[^0-9])', '\1\2****\3\4', 'g') as t from e),
+p2 as (select doc_id, regexp_replace(t, '(^|[^0-9])(1[3-9]\d)\d{4}(\d{4})($|[^0-9])', '\1\2****\3\4', 'g') as t from p),
+i as (select doc_id, regexp_replace(t, '\b(\d{6})\d{8}(\d{3}[\dXx])\b', '\1********\2', 'g') as t from p2),
+b as (select doc_id, regexp_replace(t, '\b(\d{4})\d{7,11}(\d{4})\b', '\1********\2', 'g') as t from i),
+s as (select doc_id, regexp_replace(t, '(?i)((?:password|passwd|pwd|token|secret|api[-_]?key)\s*[:=])\s*[^,\s;}]+', '\1***REDACTED***', 'g') as t from b)
+select doc_id, regexp_replace(t, '\b\d{15,19}\b|\b\d{17}[\dXx]\b', '***REDACTED***', 'g') as masked from s""".replace("\\\\", "\\")
+
+
+@query(MASKED)
 def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC29: masks of text that holds no phone or identity card numbers."""
-    return table(spark, sf_dir, "documents").select("doc_id", masking.mask_text(F.col("text")).alias("masked"))
+    """SC29: all six rules over every text, with a phone, an identity card and a card number set behind each."""
+    n = F.col("doc_id")
+    digits = lambda k: F.lpad((n % 10**k).cast("string"), k, "0")
+    x = F.concat(F.coalesce("text", F.lit("")), F.lit(" 139"), digits(8), F.lit(",1101011990"), digits(7), F.lit("X;"), F.repeat(F.lit("7"), (n % 9 + 12).cast("int")), F.lit("."))
+    return table(spark, sf_dir, "documents").select("doc_id", masking.mask_text(x).alias("masked"))
 
 
 @query("""select doc_id, token, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s*(?:%|元|万)')) as token from documents) group by 1, 2""")
@@ -155,11 +168,11 @@ def amount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, cast(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(%)?', 1) as double) / 100 as rate from (select doc_id, replace(text, ',', '') as t from documents)
-where contains(t, '%') and regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(%)?', 2) = '%'""")
+@query("select doc_id, (doc_id % 100 / 100.0)::double as rate from documents")
 def rates_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC9: documents whose first number is a percentage."""
-    found = table(spark, sf_dir, "documents").select("doc_id", parse_rate(F.col("text")).alias("r")).filter("r.rate_type = 'Unknown'")
+    """SC9: the rate of texts whose first number is a percentage, set before each whole text."""
+    x = F.concat(F.lit("占比 "), F.col("doc_id") % 100, F.lit("% "), F.coalesce("text", F.lit("")))
+    found = table(spark, sf_dir, "documents").select("doc_id", parse_rate(x).alias("r")).filter("r.rate_type = 'Unknown'")
     return found.select("doc_id", F.col("r.rate_value").cast("double").alias("rate"))
 
 
@@ -223,3 +236,55 @@ def channel_health(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("ok").isNull(), "NeverSucceeded").when(minutes > 2880, "Stale").when(minutes >= 1440, "Due").otherwise("Healthy")
     )
     return rows.select("user_id", health.alias("health"))
+
+
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, (l_orderkey + l_linenumber) % 9 as m, cast(l_extendedprice as decimal(18,2)) as p, cast(l_discount as decimal(18,6)) as d, l_partkey % 2 = 0 as e from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, case m when 0 then 'DirectAwardAmount' when 1 then 'CandidateFinalQuote' when 2 then 'CandidateFinalQuote' when 5 then 'InferredFromReductionRate' when 6 then 'InferredFromCoefficient' when 8 then 'DefaultedFromProcurementPackageAmount' else 'Unknown' end as kind,
+case m when 1 then 'CandidateNotice' when 2 then 'CandidateNotice' when 3 then 'Unknown' when 8 then 'TenderNotice' else 'AwardNotice' end as stage, (case m when 0 then p when 1 then p + 1 when 2 then p + 1 when 5 then round_even(p * (1 - d), 2) when 6 then round_even(p * d, 2) when 8 then p end)::double as amount,
+case m when 5 then 'PackageGuidePrice' when 6 then 'PackageMaxPrice' when 8 then case when e then 'PackageBudget' else 'PackageMaxPrice' end else 'Unknown' end as base_type, (case m when 0 then 0.98 when 1 then 0.95 when 2 then 0.88 when 5 then 0.84 when 6 then 0.78 when 8 then 0.72 else 0 end)::double as confidence,
+m not in (0, 1) as needs_review from r""")
+def price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA5: all seven rules: direct award, quotes by rank or by a single match, unclear rates, inferred from guide or ceiling, default, baseless, nothing."""
+    m = (F.col("l_orderkey") + F.col("l_linenumber")) % 9
+    p, none = F.col("l_extendedprice").cast("decimal(18,2)"), F.lit(None)
+    even = F.col("l_partkey") % 2 == 0
+    on = lambda *k: m.isin(*k)
+    decided = price_decision(
+        F.when(on(0), p), F.when(on(1, 2, 3), p + 1), F.when(on(1), 1).when(on(2, 3), 2), F.when(on(2), 1).otherwise(2), F.when(on(4), "Unknown").when(on(5), "ReductionRate").when(on(6), "Coefficient").when(on(7), "DiscountRate"), F.col("l_discount").cast("decimal(18,6)"),
+        F.when(on(5), p).otherwise(none), F.when(on(6) | on(5) | (on(8)), p), F.when(on(8) & even, p), F.when(on(5, 6, 8), "1").otherwise(" "),
+    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", decided.alias("d"))
+    keys = rows.columns[:-1]
+    return rows.select(*keys, "d.kind", "d.stage", F.col("d.amount").cast("double").alias("amount"), "d.base_type", F.col("d.confidence").cast("double").alias("confidence"), "d.needs_review")
+
+
+RECORDS = """with b as (select l_orderkey as notice, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as id, ['ai', 'pdf', 'text'][l_partkey % 3 + 1] as source, case when l_returnflag = 'N' then 'Awarded' else 'Candidate' end as outcome_type,
+  case when l_partkey % 2 = 1 then l_suppkey % 2 + 1 end as rank, 'S' || l_suppkey % 2 || '电力有限公司' as supplier, case when l_partkey % 4 > 0 then cast(l_linenumber % 2 as varchar) end as package_no, case when l_suppkey % 3 > 0 then cast(l_suppkey % 3 as varchar) end as sequence_no, l_partkey % 2 as page,
+  'row ' || l_suppkey % 3 || ' of the evidence' as evidence, case when l_partkey % 5 > 2 then 'L' || l_linenumber % 2 end as lot_no, case when l_quantity % 3 > 0 then cast(l_quantity % 3 as decimal(18,2)) end as amount, l_partkey % 3 * 30 as trust, l_suppkey * 7 % 100 as strength, cast(l_tax as decimal(5,4)) as confidence from lineitem),
+p as (select x.id as x, y.id as y from b x join b y on x.notice = y.notice and x.id < y.id where x.outcome_type = y.outcome_type and x.supplier = y.supplier and coalesce(x.rank = y.rank, true) and coalesce(x.package_no = y.package_no, true) and coalesce(x.lot_no = y.lot_no, true)
+  and 40 + 25 + 15 + 10 + case when x.package_no = y.package_no then 25 else 0 end + case when x.sequence_no = y.sequence_no and x.page = y.page then 30 else 0 end + case when x.evidence = y.evidence then 30 else 0 end + case when abs(x.amount - y.amount) < 0.01 then 10 else 0 end + case when x.page = y.page then 10 else 0 end
+  >= case when (x.source = 'ai' and y.source = 'pdf') or (x.source = 'pdf' and y.source = 'ai') then 65 when 'ai' in (x.source, y.source) or 'pdf' in (x.source, y.source) then 70 else 85 end),
+"""
+
+
+@query("with recursive " + RECORDS[5:] + """e as (select x, y from p union all select y, x from p), r as (select id as node, id as label from b union select e.y, r.label from r join e on e.x = r.node), g as (select node, min(label) as grp from r group by 1),
+t as (select b.*, grp, row_number() over (partition by grp order by trust desc, strength desc, lot_no is not null desc, package_no is not null desc, amount is not null desc, confidence desc, id) as place, row_number() over (partition by grp order by strength desc, id) as turn from b join g on node = id),
+f as (select grp, count(*) as members, arg_min(rank, turn) filter (rank is not null) as rank, arg_min(package_no, turn) filter (package_no is not null) as package_no, arg_min(lot_no, turn) filter (lot_no is not null) as lot_no, arg_min(amount, turn) filter (amount is not null) as amount from t group by 1)
+select t.notice, t.id, f.members, coalesce(t.rank, f.rank) as rank, coalesce(t.package_no, f.package_no) as package_no, coalesce(t.lot_no, f.lot_no) as lot_no, coalesce(t.amount, f.amount)::double as amount from t join f using (grp) where place = 1""")
+def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA11: records of a notice that tell of one outcome: scored pairs over their threshold, components, a survivor, its gaps filled."""
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    c = F.col
+    text_if = lambda condition, x: F.when(condition, x.cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("notice"), (c("l_orderkey") * 1000 + i).alias("id"), F.get(F.array(F.lit("ai"), F.lit("pdf"), F.lit("text")), (c("l_partkey") % 3).cast("int")).alias("source"), F.when(c("l_returnflag") == "N", "Awarded").otherwise("Candidate").alias("outcome_type"),
+        F.when(c("l_partkey") % 2 == 1, c("l_suppkey") % 2 + 1).alias("rank"), F.concat(F.lit("S"), c("l_suppkey") % 2, F.lit("电力有限公司")).alias("supplier"), text_if(c("l_partkey") % 4 > 0, c("l_linenumber") % 2).alias("package_no"), text_if(c("l_suppkey") % 3 > 0, c("l_suppkey") % 3).alias("sequence_no"),
+        (c("l_partkey") % 2).alias("page"), F.concat(F.lit("row "), c("l_suppkey") % 3, F.lit(" of the evidence")).alias("evidence"), F.when(c("l_partkey") % 5 > 2, F.concat(F.lit("L"), c("l_linenumber") % 2)).alias("lot_no"), F.lit(None).cast("string").alias("lot_name"),
+        F.when(c("l_quantity") % 3 > 0, (c("l_quantity") % 3).cast("decimal(18,2)")).alias("amount"), (c("l_partkey") % 3 * 30).alias("trust"), (c("l_suppkey") * 7 % 100).alias("strength"), c("l_tax").cast("decimal(5,4)").alias("confidence"),
+    )
+    there = lambda x: c(x).isNotNull().desc()
+    best = [F.desc("trust"), F.desc("strength"), there("lot_no"), there("package_no"), there("amount"), F.desc("confidence"), c("id")]
+    merged = merging.merge_records(rows, ["notice"], "id", merging.COMPARED, merging.outcome_pair_score(), merging.outcome_threshold(), best, ["rank", "package_no", "lot_no", "amount"], [F.desc("strength"), c("id")], "members")
+    return merged.select("notice", "id", "members", "rank", "package_no", "lot_no", c("amount").cast("double").alias("amount"))

@@ -110,10 +110,10 @@ PART_SEARCH = S.SearchSpec(
 )
 
 
-@query("select p_partkey, p_name, p_retailprice from part where p_retailprice >= 1000 and p_retailprice <= 1500 order by p_retailprice desc, p_partkey limit 100")
+@query("select p_partkey, p_name, p_retailprice from part where p_retailprice >= 900.5 and p_retailprice <= 960 order by p_retailprice desc, p_partkey limit 100")
 def price_range_named_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL10, ST4: a range with a named sort."""
-    found = S.search(table(spark, sf_dir, "part"), PART_SEARCH, filters=[S.range_filter("p_retailprice", 1000, 1500)], sort="price_desc")
+    found = S.search(table(spark, sf_dir, "part"), PART_SEARCH, filters=[S.range_filter("p_retailprice", 900.5, 960)], sort="price_desc")
     return found.limit(100).select("p_partkey", "p_name", "p_retailprice")
 
 
