@@ -29,18 +29,26 @@ def project_match(a_code: Column, b_code: Column, a_name: Column, b_name: Column
 
 
 def link(awards: DataFrame, others: DataFrame, key: str, other_key: str, suppliers: bool) -> DataFrame:
-    """The best other row of each award: an equi join on package_no, then lots, project and, if asked, supplier.
+    """The best other row of each award: by package number and project code, else by package number and a like project name.
 
     Both sides: package_no, lot_no, lot_name, project_code, project_name (and supplier). Columns of `others` come out
-    prefixed o_, with `match`.
+    prefixed o_, with `match`. Package numbers are small and common, so the first join takes the code into its key; only awards
+    that it leaves without a row, and only against names, meet all rows of their package number.
     """
-    o = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns])
-    met = awards.join(o, (F.col("package_no") == F.col("o_package_no")) & (F.col("package_no") != ""))
-    met = met.filter(lot_compatible(F.col("lot_no"), F.col("o_lot_no"), F.col("lot_name"), F.col("o_lot_name")))
-    if suppliers:
-        met = met.filter(supplier_compatible(F.col("supplier"), F.col("o_supplier")))
-    met = met.withColumn("match", project_match(F.col("project_code"), F.col("o_project_code"), F.col("project_name"), F.col("o_project_name"))).filter("match > 0")
-    return first_per_key(met, [key], [F.desc("match"), F.col(f"o_{other_key}")])
+    o = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns]).withColumn("__ocode", project_code_key(F.col("o_project_code")))
+    a = awards.withColumn("__code", project_code_key(F.col("project_code"))).filter("package_no <> ''")
+    best = [F.desc("match"), F.col(f"o_{other_key}")]
+
+    def fitting(met: DataFrame) -> DataFrame:
+        met = met.filter(lot_compatible(F.col("lot_no"), F.col("o_lot_no"), F.col("lot_name"), F.col("o_lot_name")))
+        return met.filter(supplier_compatible(F.col("supplier"), F.col("o_supplier"))) if suppliers else met
+
+    same = F.col("package_no") == F.col("o_package_no")
+    by_code = fitting(a.filter("__code <> ''").join(o, same & (F.col("__code") == F.col("__ocode")))).withColumn("match", F.lit(1.0))
+    by_code = first_per_key(by_code, [key], best)
+    rest = fitting(a.filter("trim(coalesce(project_name, '')) <> ''").join(by_code.select(key), key, "left_anti").join(o, same))
+    rest = rest.withColumn("match", similarity(F.col("project_name"), F.col("o_project_name"))).filter(F.col("match") >= NAME_ALIKE)
+    return by_code.unionByName(first_per_key(rest, [key], best)).drop("__code", "__ocode")
 
 
 def closures(awards: DataFrame, candidates: DataFrame, tenders: DataFrame) -> DataFrame:

@@ -280,3 +280,35 @@ def word_box_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rows.select("l_orderkey", F.inline(cells)).unionByName(rows.select("l_orderkey").distinct().select("l_orderkey", F.inline(F.array(*[word(t, x, F.lit(0.0)) for t, x in head]))))
     out = tables.award_rows(files.word_tables(words.withColumn("page", F.lit(1)), "l_orderkey"), "l_orderkey")
     return out.select("l_orderkey", "row_index", "package_no", F.regexp_replace("supplier", " ", "").alias("supplier"), F.col("amount").cast("double").alias("amount"))
+
+
+@query("""with r as (select o_orderkey as k, o_orderkey % 7 as m, o_orderpriority as t, o_clerk from (select *, 'Clerk é ' || o_custkey as o_clerk from orders))
+select 'f' || k || ['.txt', '.CSV', '.html', '.bin', '.docx', '.xlsx', '.zip'][m + 1] || case when m = 6 then '!in/a.txt' else '' end as path, case when m = 6 then 1 else 0 end as depth,
+case m when 0 then t || chr(10) || o_clerk when 1 then 'a,b' || chr(10) || k || ',"' || o_clerk || '"' when 2 then 'T ' || t || ' & ' || o_clerk when 3 then 'ascii ' || k || chr(10) || 'wide ' || k when 4 then o_clerk || chr(10) || '| k | t |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || k || ' | ' || t || ' |'
+when 5 then '# Sheet é' || chr(10) || '| A |  | ' || t || ' |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || k || ' | 2 |  |' else 'in ' || t end as text, null::varchar as error from r
+union all select 'f' || k || '.zip!../bad.txt', 1, null, 'unsafe path' from r where m = 6
+union all select 'f' || k || '.zip!deep.zip!b.html', 2, o_clerk, null from r where m = 6""")
+def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC9, SRC10, SRC12, SRC13, SRC15, SRC17: text of files by kind: plain, CSV, HTML, printable runs, DOCX, XLSX, archives in archives."""
+    k, t = F.col("o_orderkey"), F.col("o_orderpriority")
+    clerk = _s("Clerk é ", F.col("o_custkey"))
+    raw = lambda x: F.encode(x, "UTF-8")
+    entry = lambda name, x: F.struct(F.lit(name).alias("name"), raw(x).alias("content"))
+    p = lambda x: _s("<w:p><w:r><w:t>", x, "</w:t></w:r></w:p>")
+    row = lambda *cells: F.concat(F.lit("<w:tr>"), *[_s("<w:tc>", p(c), "</w:tc>") for c in cells], F.lit("</w:tr>"))
+    document = _s('<w:document xmlns:w="x"><w:body>', p(clerk), "<w:tbl>", row(F.lit("k"), F.lit("t")), row(k, t), "</w:tbl></w:body></w:document>")
+    sheet = _s('<worksheet><sheetData><row><c r="A1" t="s"><v>1</v></c><c r="C1" t="s"><v>0</v></c></row><row><c r="A2"><v>', k, '</v></c><c r="B2"><v>2</v></c></row></sheetData></worksheet>')
+    xlsx = [entry("xl/workbook.xml", F.lit('<workbook><sheets><sheet name="Sheet é"/></sheets></workbook>')), entry("xl/sharedStrings.xml", _s("<sst><si><t>", t, "</t></si><si><t>A</t></si></sst>")), entry("xl/worksheets/sheet1.xml", sheet)]
+    inner = files.zipped(F.array(entry("b.html", _s("<style>x</style><b>", clerk, "</b>"))))
+    archive = F.array(entry("in/a.txt", _s("in ", t)), entry("../bad.txt", F.lit("x")), F.struct(F.lit("deep.zip").alias("name"), F.col("inner").alias("content")))
+    plain = F.get(
+        F.array(
+            raw(_s("\ufeff", t, "\n", clerk)), raw(_s("a,b\n", k, ',"', clerk, '"')), raw(_s("<p>T <b>", t, "</b> &amp; ", clerk, "</p><script>no</script>")),
+            F.concat(F.lit(bytes([1, 2])), raw(_s("ascii ", k)), F.lit(bytes([0, 1, 0])), F.encode(_s("wide ", k), "UTF-16LE")),
+        ),
+        (k % 7).cast("int"),
+    )
+    rows = table(spark, sf_dir, "orders").select(k, t, "o_custkey").withColumn("inner", inner)
+    packed = F.when(k % 7 == 4, F.array(entry("word/document.xml", document))).when(k % 7 == 5, F.array(*xlsx)).when(k % 7 == 6, archive).otherwise(F.array().cast("array<struct<name:string,content:binary>>"))
+    name = _s("f", k, _pick(k, ".txt", ".CSV", ".html", ".bin", ".docx", ".xlsx", ".zip"))
+    return files.texts_of_files(rows.select(name.alias("path"), F.when(k % 7 < 4, plain).otherwise(files.zipped(packed)).alias("content")))

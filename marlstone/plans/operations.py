@@ -386,3 +386,32 @@ def maintenance_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("1998-01-01").cast("timestamp_ntz")
     rows = _orders(spark, sf_dir).filter("o_orderstatus = 'O'")
     return scoring.maintenance(rows, "day", "day", (F.col("id") % 3 == 0), (F.col("id") % 5 == 0), now, 7, 14)
+
+
+CLOSURES = """with k as (select o_orderkey as id, cast(o_custkey % 20 + 1 as varchar) as package_no, 'L' || o_orderkey % 2 as lot_no, case when o_orderkey % 5 > 0 then 'PC' || o_custkey end as code, 'S' || o_orderkey % 3 || '电力有限公司' as supplier, o_orderkey % 3 as sup, o_orderkey, o_orderstatus as s, cast(o_totalprice as decimal(18,2)) as p, 'project number ' || o_custkey as name, o_orderkey % 4 as m from orders),
+a as (select * from k where s = 'F'), c as (select * from k where s = 'O' and o_orderkey % 2 = 0), t as (select * from k where s = 'O' and o_orderkey % 2 = 1),
+mc as (select a.id, c.id as cid, c.p as quote, c.m as rank, row_number() over (partition by a.id order by c.id) as n from a join c on a.package_no = c.package_no and a.code = c.code and a.lot_no = c.lot_no and a.sup = c.sup),
+mt as (select a.id, t.id as tid, t.p as ceiling, row_number() over (partition by a.id order by t.id) as n from a join t on a.package_no = t.package_no and a.code = t.code where a.m <> 9),
+j as (select a.id, cid, tid, quote, rank, ceiling, case when a.m = 0 then a.p end as award from a left join mc on mc.id = a.id and mc.n = 1 left join mt on mt.id = a.id and mt.n = 1)
+select id as award_id, cid as candidate_id, tid as tender_id, (case when award is not null then award when cid is not null then quote when tid is not null then ceiling end)::double as amount,
+case when award is not null then 'DirectAwardAmount' when cid is not null then 'CandidateFinalQuote' when tid is not null then 'DefaultedFromProcurementPackageAmount' else 'Unknown' end as kind,
+concat_ws(',', case when cid is null then 'Candidate' end, case when tid is null then 'Tender' end, case when award is null and cid is null and tid is null then 'Amount' end) as missing,
+round((case when cid is null then 0 else 1 end + case when tid is null then 0 else 1 end + case when award is not null then 0.98 when cid is not null then case when rank = 1 then 0.95 else 0.88 end when tid is not null then 0.72 else 0 end) / 3, 4)::double as confidence,
+case when award is not null then false when cid is not null then rank <> 1 else true end or cid is null or tid is null as needs_review from j"""
+
+
+@query(CLOSURES)
+def package_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN12, DA7: awards with their candidate (lot, supplier and project) and tender, the price that follows, what is missing, and whether to review."""
+    n, c = F.col("id"), F.col("o_custkey")
+    rows = _orders(spark, sf_dir).select(
+        "id", (c % 20 + 1).cast("string").alias("package_no"), F.concat(F.lit("L"), n % 2).alias("lot_no"), F.lit("").alias("lot_name"), F.when(n % 5 > 0, F.concat(F.lit("pc "), c)).alias("project_code"), F.lit("").alias("project_name"),
+        F.concat(F.lit("S"), n % 3, F.lit("电力有限公司")).alias("supplier"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"), "o_orderstatus",
+    )
+    keys = ["package_no", "lot_no", "lot_name", "project_code", "project_name", "supplier"]
+    none = F.lit(None)
+    awards = rows.filter("o_orderstatus = 'F'").select(n.alias("award_id"), *keys, F.when(n % 4 == 0, F.col("p")).alias("amount"), none.cast("string").alias("rate_type"), none.cast("decimal(18,6)").alias("rate_value"))
+    candidates = rows.filter("o_orderstatus = 'O' and id % 2 = 0").select(n.alias("candidate_id"), *keys, (n % 4).cast("int").alias("rank"), F.col("p").alias("quote"))
+    tenders = rows.filter("o_orderstatus = 'O' and id % 2 = 1").withColumn("lot_no", F.lit("")).select(n.alias("tender_id"), *keys, none.cast("decimal(18,2)").alias("guide"), F.col("p").alias("ceiling"), none.cast("decimal(18,2)").alias("budget"))
+    out = linkage.closures(awards, candidates, tenders)
+    return out.select("award_id", "candidate_id", "tender_id", F.col("decision.amount").cast("double").alias("amount"), F.col("decision.kind").alias("kind"), F.array_join("missing", ",").alias("missing"), "confidence", "needs_review")

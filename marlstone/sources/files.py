@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEPTH, ENTRIES, ENTRY_BYTES = 5, 100, 20 * 1024 * 1024  # of archives: nesting, entries of one, bytes of an entry
 RUN = 4  # characters of a printable run in other binaries
@@ -129,6 +130,11 @@ def parts_of(path: str, data: bytes, depth: int = 0) -> Iterator[Part]:
 
 def extract_files(spark: SparkSession, pattern: str) -> DataFrame:
     """path, depth, text, error of all files under a path, read by Spark's binaryFile source."""
+    return texts_of_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern))
+
+
+def texts_of_files(files: DataFrame) -> DataFrame:
+    """path, depth, text, error of files given as path and content; an archive gives a row for each entry."""
     readers = dict(READERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,10 +143,25 @@ def extract_files(spark: SparkSession, pattern: str) -> DataFrame:
             rows = [(p.path, p.depth, p.text, p.error) for path, data in zip(batch["path"], batch["content"], strict=True) for p in parts_of(path, data)]
             yield pd.DataFrame(rows, columns=["path", "depth", "text", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
     return files.select("path", "content").mapInPandas(run, "path string, depth int, text string, error string")
 
 
+def zipped(entries: Column) -> Column:
+    """A ZIP archive from array<struct<name: string, content: binary>>, with fixed times, so that equal entries give equal bytes."""
+
+    def pack(column: pd.Series) -> pd.Series:
+        out = []
+        for own in column:
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                for e in own:
+                    z.writestr(zipfile.ZipInfo(e["name"]), e["content"])
+            out.append(data.getvalue())
+        return pd.Series(out)
+
+    return F.pandas_udf(pack, "binary")(entries)
+
+
 @dataclass
 class Word:
     """A word's box on a page: left, top, right, bottom."""
