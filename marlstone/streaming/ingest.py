@@ -42,39 +42,74 @@ def merged(target: DataFrame, changes: DataFrame, key: list[str], delete: str |
 
 
 class ParquetTable:
-    """A table as numbered snapshots under one folder: a merge writes the next snapshot, then readers see it.
+    """A table as a snapshot and change sets after it, under one folder: a merge appends its changes, readers put them together.
 
-    Single writer; a half-written snapshot has no _SUCCESS file and is never read. Only Spark's writers and
-    Hadoop's file system touch the folder.
+    A merge costs what its changes cost, not what the table does. The latest change of a key wins; after COMPACT change
+    sets the next snapshot is written, and all but the last two snapshots go. Single writer; a half-written folder has no _SUCCESS file
+    and is never read. Only Spark's writers and Hadoop's file system touch the folder.
     """
 
+    COMPACT = 16
+    GONE, TURN = "__gone", "__turn"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _folders(self) -> list[str]:
         root = self._hadoop(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return [n for n in names if n.startswith("v") and self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._folders() if n[1:].isdigit())
+
+    def _changes(self, version: int) -> list[tuple[int, list[str], str]]:
+        """(turn, key, folder) of the change sets after a snapshot; folders are named v<snapshot>-<turn>-<key columns>."""
+        parts = [(n.split("-", 2), n) for n in self._folders() if n.startswith(f"v{version}-")]
+        return sorted((int(p[1]), p[2].split(","), n) for p, n in parts)
 
     def exists(self) -> bool:
         return bool(self._versions())
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._versions()[-1]}")
+        last = self._versions()[-1]
+        out = self.spark.read.parquet(f"{self.path}/v{last}")
+        changes = self._changes(last)
+        if not changes:
+            return out
+        key = changes[0][1]
+        turns = None
+        for turn, _, folder in changes:
+            part = self.spark.read.parquet(f"{self.path}/{folder}").withColumn(self.TURN, F.lit(turn))
+            turns = part if turns is None else turns.unionByName(part)
+        latest = turns.groupBy(*key).agg(F.max_by(F.struct(*[c for c in turns.columns if c not in key]), self.TURN).alias("__c"))
+        live = latest.filter(~F.col(f"__c.{self.GONE}")).select(*[F.col(c) if c in key else F.col(f"__c.{c}").alias(c) for c in out.columns])
+        return out.join(latest.select(*key), key, "left_anti").unionByName(live)
 
     def replace(self, rows: DataFrame) -> None:
-        """Write the next snapshot and drop all but the last two."""
+        """Write the next snapshot and drop all but the last two, with their change sets."""
         have = self._versions()
         rows.write.mode("overwrite").parquet(f"{self.path}/v{(have[-1] if have else 0) + 1}")
         for v in have[:-1]:
-            self._fs.delete(self._hadoop(f"{self.path}/v{v}"), True)
+            for folder in [f"v{v}", *(n for _, _, n in self._changes(v))]:
+                self._fs.delete(self._hadoop(f"{self.path}/{folder}"), True)
 
     def merge(self, changes: DataFrame, key: list[str], delete: str | None = None) -> None:
-        self.replace(merged(self.read(), changes, key, delete) if self.exists() else changes if delete is None else changes.filter(~F.col(delete)).drop(delete))
+        """Rows matched by key are replaced, new ones added, rows marked in `delete` dropped; one key a table."""
+        gone = F.lit(False) if delete is None else F.coalesce(F.col(delete), F.lit(False))
+        if not self.exists():
+            self.replace(changes.filter(~gone).drop(*([delete] if delete else [])))
+            return
+        last = self._versions()[-1]
+        sets = self._changes(last)
+        if len(sets) >= self.COMPACT or (sets and sets[0][1] != key):
+            self.replace(self.read())
+            last, sets = last + 1, []
+        out = changes.withColumn(self.GONE, gone).drop(*([delete] if delete else []))
+        turn = sets[-1][0] + 1 if sets else 1
+        out.write.mode("overwrite").parquet(f"{self.path}/v{last}-{turn}-{','.join(key)}")
 
 
 def upsert_stream(source: DataFrame, target: ParquetTable, key: str, content: str, order: list[Column], identity: list[str], checkpoint: str, counts: ParquetTable | None = None):

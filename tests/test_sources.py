@@ -147,3 +147,17 @@ def test_cursor(spark):
     batch = spark.createDataFrame([("c", 7, "Created"), ("c", 1, "Refreshed"), ("d", 4, "Failed")], "ch string, t long, outcome string")
     got = {r.ch: tuple(r)[1:] for r in ingest.advance_cursor(state, batch, ["ch"], "t", incremental=False).collect()}
     assert got == {"c": (7, 1, 12, 2, 0, 0, 4), "d": (4, 4, 1, 0, 0, 1, 1)} and not ingest.run_is_done(batch)
+
+
+def test_parquet_table_appends_changes(spark, tmp_path):
+    t = ingest.ParquetTable(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "k long, v string, gone boolean")
+    t.merge(make([(1, "a", False), (2, "b", False), (9, "x", True)]), ["k"], "gone")
+    want = {1: "a", 2: "b"}
+    for n in range(t.COMPACT + 3):
+        t.merge(make([(n % 4, f"v{n}", n % 5 == 0), (100 + n, "new", False)]), ["k"], "gone")
+        want.pop(n % 4, None) if n % 5 == 0 else want.update({n % 4: f"v{n}"})
+        want[100 + n] = "new"
+        if n == 1:  # changes are appended, the snapshot stays
+            assert t._versions() == [1] and len(t._changes(1)) == 2
+    assert {r.k: r.v for r in t.read().collect()} == want and t._versions() == [1, 2]
