@@ -30,6 +30,21 @@ FIELDS = {
     "qualification": ["资格要求", "专用资格", "资质要求"],
 }
 CANDIDATES = ["第一", "第二", "第三"]
+# Of procurement lists: the words of the columns that describe a package, and of those that ask something of suppliers.
+LISTED = {
+    "lot_no": ["分标编号", "分标号", "标段编号"],
+    "lot_name": ["分标名称", "标段名称"],
+    "package_no": ["包号", "包件号", "标包号", "分包编号", "分包号"],
+    "package_name": ["包名称", "包件名称", "标包名称"],
+    "project_name": ["项目名称", "子项目名称"],
+    "period": ["服务期", "服务期限", "框架协议有效期", "工期", "首批交货日期"],
+    "place": ["实施地点", "服务地点", "交货地点", "履约地点"],
+    "quantity": ["数量", "采购数量"],
+    "budget": ["预算金额", "概算金额", "估算金额", "分项估算金额", "包估算金额", "采购金额", "预估金额"],
+    "max_price": ["最高限价", "最高应答限价", "行报价最高限价", "最高投标限价", "应答限价", "报价限价", "控制价", "指导价"],
+}
+ASKED = {"Qualification": ["资质要求", "资格要求"], "Performance": ["业绩要求", "业绩"], "Personnel": ["人员要求", "人员"], "Other": ["资格条件其他", "其他要求"]}
+SEQUENCE = "序号"
 
 
 class _Tables(HTMLParser):
@@ -230,6 +245,93 @@ def tender_rows(tables: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), cell("package_name").alias("package_name"), cell("scope").alias("scope"), money("budget"), money("ceiling"), money("guide"), cell("qualification").alias("qualification"))
 
 
+def procurement_packages(tables: DataFrame, key: str) -> DataFrame:
+    """Packages of procurement lists: key, lot_no, lot_name, package_no, n_rows, and of each other field the first value that a row of the package has.
+
+    Lots are carried down; a package's number stands in its name or in a column of its own; rows without one are left out.
+    Amounts are in yuan by their header's unit.
+    """
+    at = lambda f: find_column(F.col("headers"), LISTED[f]).cast("int")
+    value = lambda f: clean_value(F.get("cells", at(f)))
+    rows = tables.filter(at("package_no").isNotNull() | at("package_name").isNotNull())
+    rows = filled(rows.withColumns({f: value(f) for f in ("lot_no", "lot_name")}), key, ["lot_no", "lot_name"])
+    name = F.when(at("package_name").isNotNull(), value("package_name")).otherwise(value("project_name"))
+    inside = normalize_package_no(F.regexp_extract(name, "(?:包|标包)\\s*([0-9一二三四五六七八九十]+)", 1))
+    number = F.when(inside != "", inside).otherwise(normalize_package_no(value("package_no")))
+    money = lambda f: parse_money(value(f), unit_context(F.get("headers", at(f)), F.lit("")))
+    shown = {"package_name": name, "quantity": F.replace(value("quantity"), F.lit(","), F.lit("")).try_cast("decimal(18,4)"), "budget": money("budget"), "max_price": money("max_price"), "place": value("place"), "period": value("period")}
+    rows = rows.withColumns({"package_no": number, **shown}).filter("package_no <> ''")
+    order = F.struct("table_index", "row_index")
+    there = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    return rows.groupBy(key, "lot_no", "lot_name", "package_no").agg(F.count("*").alias("n_rows"), *[F.min_by(c, F.when(there(c), order)).alias(c) for c in shown])
+
+
+def asked_of_suppliers(tables: DataFrame, key: str) -> DataFrame:
+    """key, table_index, row_index, kind, text: what the columns of a list ask of suppliers."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), clean_value(F.get("cells", find_column(F.col("headers"), words).cast("int"))).alias("text")) for k, words in ASKED.items()])
+    return tables.select(key, "table_index", "row_index", F.inline(each)).filter("text <> ''")
+
+
+def wrapped_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
+    """(headers, rows) of tables whose cells wrap over lines: a header with a sequence column, then records numbered 1, 2, ...
+
+    A record begins at a line that starts with the next number; other lines go on with it. Text belongs to the column that
+    begins last at or before it. A blank line behind a record, or one that starts left of the second column without the next
+    number, ends the table.
+    """
+    out: list[tuple[list[str], list[list[str]]]] = []
+    starts: list[int] = []
+    headers: list[str] = []
+    rows: list[list[str]] = []
+
+    def end() -> None:
+        if rows:
+            out.append((headers, list(rows)))
+        rows.clear()
+        starts.clear()
+
+    for line in [*text.split("\n"), ""]:
+        found = [(m.start(), m.group()) for m in re.finditer(r"\S+(?: \S+)*", line)]
+        if found and found[0][1] == SEQUENCE and len(found) > 1:
+            end()
+            headers, starts = [t for _, t in found], [at for at, _ in found]
+            continue
+        if not starts:
+            continue
+        first = found[0][1] if found and found[0][0] < starts[1] else None
+        if not found or (first is not None and first != str(len(rows) + 1)):
+            end()
+            continue
+        if first is not None:
+            rows.append([""] * len(starts))
+        if not rows:
+            end()
+            continue
+        for at, piece in found:
+            k = max(i for i, s in enumerate(starts) if s <= at) if at >= starts[0] else 0
+            have = rows[-1][k]
+            glue = " " if have and have[-1].isascii() and piece[0].isascii() else ""
+            rows[-1][k] = have + glue + piece
+    return out
+
+
+def wrapped_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, table_index, row_index, headers, cells, raw of tables with wrapped cells; null text has none."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (k, ti, ri, headers, cells, " | ".join(cells))
+                for k, t in zip(batch[key], batch[text], strict=True)
+                for ti, (headers, body) in enumerate(wrapped_of(t) if isinstance(t, str) else [])
+                for ri, cells in enumerate(body)
+            ]
+            yield pd.DataFrame(rows, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
+
+
 # Currencies, units and words around a number that make it money.
 CURRENCIES = ("人民币", "RMB", "CNY", "￥", "¥")
 UNITS = ("亿元", "亿", "万元", "万", "元")

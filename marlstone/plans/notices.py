@@ -312,3 +312,30 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = F.when(k % 7 == 4, F.array(entry("word/document.xml", document))).when(k % 7 == 5, F.array(*xlsx)).when(k % 7 == 6, archive).otherwise(F.array().cast("array<struct<name:string,content:binary>>"))
     name = _s("f", k, _pick(k, ".txt", ".CSV", ".html", ".bin", ".docx", ".xlsx", ".zip"))
     return files.texts_of_files(rows.select(name.alias("path"), F.when(k % 7 < 4, plain).otherwise(files.zipped(packed)).alias("content")))
+
+
+@query(AWARD_SQL.replace("p * 10000", "p").replace("cast(max(case when i % 2 = 0 then l_linenumber end) over (partition by l_orderkey order by i) as varchar)", "cast(l_linenumber as varchar)"))
+def wrapped_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TB7: text tables whose records are told apart by sequence numbers and whose names wrap over two lines."""
+    rows = _lines(spark, sf_dir).withColumn("i", F.row_number().over(_by_line()))
+    line = F.concat(F.rpad(F.col("i").cast("string"), 8, " "), F.rpad(_s("包", F.col("l_linenumber")), 8, " "), F.rpad(_s("S", F.col("l_suppkey"), "电力"), 20, " "), _cents("l_extendedprice").cast("string"), F.lit("\n" + " " * 16 + "有限公司"))
+    head = "结果公告\n\n" + "序号".ljust(8) + "包号".ljust(8) + "中标人".ljust(20) + "中标金额（元）\n"
+    out = tables.award_rows(tables.wrapped_tables(_joined(rows, line, head, "\n\n以上。\n", "\n"), "l_orderkey"), "l_orderkey")
+    return out.select("l_orderkey", "row_index", "package_no", "supplier", F.col("amount").cast("double").alias("amount"))
+
+
+@query("""with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, cast(l_extendedprice as decimal(18,2)) as p from lineitem),
+g as (select l_orderkey, 'FB' || l_orderkey as lot_no, cast(l_linenumber % 2 + 1 as varchar) as package_no, count(*) as n_rows, min(i) as i0, min(case when l_quantity > 10 then i end) as iq, min(case when i > 1 then i end) as ib from r group by 1, 2, 3)
+select g.l_orderkey, g.lot_no, '线路' as lot_name, g.package_no, n_rows, a.l_linenumber % 2 + 1 || '包 材料' || a.l_partkey as package_name, cast(q.l_quantity as int)::double as quantity, (b.p * 10000)::double as budget, a.p::double as max_price, '地点' || a.l_suppkey as place
+from g join r a on a.l_orderkey = g.l_orderkey and a.i = g.i0 left join r q on q.l_orderkey = g.l_orderkey and q.i = g.iq left join r b on b.l_orderkey = g.l_orderkey and b.i = g.ib""".replace("'包 材料'", "' 材料'").replace("a.l_linenumber % 2 + 1 || ' 材料'", "'包' || (a.l_linenumber % 2 + 1) || ' 材料'"))
+def procurement_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TB8: procurement lists with other header words: lots carried down, package numbers inside names, rows of a package put together."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(_by_line()))
+    first = F.col("i") == 1
+    line = _s(
+        "| ", F.when(first, _s("FB", F.col("l_orderkey"))).otherwise(""), " | ", F.when(first, "线路").otherwise(""), " | 包", F.col("l_linenumber") % 2 + 1, " 材料", F.col("l_partkey"), " | ", F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("int").cast("string")).otherwise(""),
+        " | ", F.when(~first, _cents("l_extendedprice").cast("string")).otherwise("-"), " | ", _cents("l_extendedprice"), "元 | 地点", F.col("l_suppkey"), " |",
+    )
+    docs = _joined(rows, line, "采购清单\n| 分标号 | 标段名称 | 标包名称 | 采购数量 | 概算金额（万元） | 行报价最高限价 | 交货地点 |\n| --- | --- | --- | --- | --- | --- | --- |\n", "\n", "\n")
+    out = tables.procurement_packages(tables.parse_tables(docs, "l_orderkey"), "l_orderkey")
+    return out.select("l_orderkey", "lot_no", "lot_name", "package_no", "n_rows", "package_name", *[F.col(c).cast("double").alias(c) for c in ("quantity", "budget", "max_price")], "place")
