@@ -25,8 +25,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
 
     Windows travel as two 64-bit hashes, the id and a position. The first place of each window is a
     partially aggregated minimum, so a passage in a third of the documents is no hot group there; the join back
-    has one row per repeated window on one side, which AQE can split. Texts are moved once, only for
-    documents that lose a line.
+    has one row per repeated window on one side, which AQE can split. Texts are moved once, when the marks
+    of their lines meet them by id and content.
     """
     least = F.lit(-(2**63)).cast("long")
     rows = docs.withColumns(
