@@ -79,19 +79,19 @@ def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame
     some = lambda size: F.when(F.length("low") >= size, runs(size)).otherwise(F.array().cast("array<string>"))
     key = F.when(F.length("low") <= 3, F.col("low")).otherwise(F.array_min(F.transform(runs(3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"])
     inner = low.select(*group, F.col("n").alias("inner"), F.col("low").alias("__i"), key.alias("__k"))
-    outer = low.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("n").alias("outer"), F.col("low").alias("__o"), F.explode(F.array_distinct(F.concat(some(1), some(2), some(3)))).alias("__run"))
+    outer = low.select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("n").alias("outer"), F.col("low").alias("__o"), F.explode(F.array_distinct(F.concat(some(1), some(2), some(3)))).alias("__run"))
     on = F.col("__k") == F.col("__run")
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
     return inner.join(outer, on).filter((F.col("inner") != F.col("outer")) & F.contains("__o", F.col("__i"))).select(*group, "inner", "outer")
 
 
 def without_fragments(rows: DataFrame, group: list[str], name: str) -> DataFrame:
     """Rows whose name is not a proper part of another name of the same group; blank names stay."""
-    parts = containing_pairs(rows, group, name).filter(F.length("outer") > F.length("inner")).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("inner").alias("__inner")).distinct()
+    parts = containing_pairs(rows, group, name).filter(F.length("outer") > F.length("inner")).select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("inner").alias("__inner")).distinct()
     on = F.col(name) == F.col("__inner")
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
     return rows.join(parts, on, "left_anti")
 
 

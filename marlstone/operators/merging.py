@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import supplier_compatible
+from .analytics import first_per_key
 from .joins import components, contained_either_way, pairs_in_block
 from .scoring import points
 
@@ -84,6 +85,21 @@ def greedy_uncovered(rows: DataFrame, group: list[str], order: list[str], covers
     return rows.groupBy(*group).applyInPandas(walk, schema or rows.schema)
 
 
+def less_specific_pruned(rows: DataFrame, group: list[str], package: str, supplier: str, lot_no: str, lot_name: str, order: list[Column]) -> DataFrame:
+    """Rows left of each group (package, outcome, rank): one a supplier, and none without a lot where a row with package and lot stands.
+
+    The preferred row of a supplier is the first by lot number, lot name, package, then `order`, which must be total.
+    """
+    there = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    lot = there(lot_no) | there(lot_name)
+    one = first_per_key(rows, [*group, supplier], [there(lot_no).desc(), lot.desc(), there(package).desc(), *order])
+    strong = one.filter(lot & there(package)).select(*[F.col(g).alias(f"__of_{g}") for g in group]).distinct()
+    on = ~lot
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return one.join(strong, on, "left_anti")
+
+
 def fill_or_update(old: DataFrame, new: DataFrame, key: str, fill: list[str], update: list[str]) -> DataFrame:
     """Master data after a load: keys of either side; `fill` columns keep their value unless null, `update` columns take the new one unless null."""
     o, n = old.select(*[F.col(c).alias(f"o_{c}") for c in [key, *fill, *update]]), new.select(*[F.col(c).alias(f"n_{c}") for c in [key, *fill, *update]])

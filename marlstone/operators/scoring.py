@@ -67,6 +67,23 @@ def notice_match(code: Column, name: Column, lot: Column, package: Column, suppl
     return F.struct(F.least(F.lit(1), F.bround(total, 3)).cast("decimal(5,4)").alias("confidence"), F.when(total >= 0.75, "High").when(total >= 0.45, "Medium").otherwise("Low").alias("level"))
 
 
+def notice_text_match(code: Column, name_alike: Column, package: Column, expected: Column) -> Column:
+    """struct(confidence, reasons, missing) of a notice by its text: its project code, a name alike (similarity, 0.72 or more), a package number, and its kind.
+
+    expected: Candidate or Tender where the notice is of the kind that is looked for, else null.
+    """
+    rules = [
+        (code, 0.45, "ProjectCode exact match"), (name_alike >= 0.72, 0.25, "ProjectName similarity match"), (package, 0.15, "PackageNo normalized hint matched"),
+        (expected == "Candidate", 0.15, "Notice type/title indicates candidate announcement"), (expected == "Tender", 0.12, "Notice type/title indicates tender/procurement announcement"),
+    ]
+    total = points([(c, w) for c, w, _ in rules])
+    return F.struct(
+        F.least(F.lit(1), total).cast("decimal(5,4)").alias("confidence"),
+        F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, _, r in rules])).alias("reasons"),
+        F.when(total <= 0, "project code/name/package hint not matched").alias("missing"),
+    )
+
+
 def lead_score(same_package: Column, same_lot: Column, category: Column, keyword: Column, same_project: Column, awarded: Column) -> Column:
     """Score of a historical supplier lead, 1 at most."""
     return F.least(F.lit(1), points([(same_package, 0.35), (same_lot, 0.25), (category, 0.35), (keyword, 0.2), (same_project, 0.1), (awarded, 0.05)])).cast("decimal(5,4)")

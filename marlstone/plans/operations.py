@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import AccessContext
-from ..functions import classify, text
+from ..functions import classify, codes, text
 from ..operators import analytics as A
 from ..operators import linkage, merging, scoring
 from ..session import table
@@ -415,3 +415,53 @@ def package_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenders = rows.filter("o_orderstatus = 'O' and id % 2 = 1").withColumn("lot_no", F.lit("")).select(n.alias("tender_id"), *keys, none.cast("decimal(18,2)").alias("guide"), F.col("p").alias("ceiling"), none.cast("decimal(18,2)").alias("budget"))
     out = linkage.closures(awards, candidates, tenders)
     return out.select("award_id", "candidate_id", "tender_id", F.col("decision.amount").cast("double").alias("amount"), F.col("decision.kind").alias("kind"), F.array_join("missing", ",").alias("missing"), "confidence", "needs_review")
+
+
+@query("""with k as (select o_orderkey as id, o_orderkey % 4 as m, o_orderkey % 3 as n, o_orderkey % 5 as g, o_orderstatus as s from orders),
+t as (select id, case when m < 2 then 45 else 0 end as c, case when n < 2 then 25 else 0 end as a, case when g < 3 then 15 else 0 end as p, case s when 'F' then 15 when 'O' then 12 else 0 end as e from k)
+select id, (least(100, c + a + p + e) / 100.0)::double as confidence, (c > 0)::int + (a > 0)::int + (p > 0)::int + (e > 0)::int as n_reasons, c + a + p + e = 0 as missing from t""")
+def notice_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA6, SC18, SC21: the second notice score, from the text: code, like name, package number and kind, with reasons."""
+    n, c = F.col("id"), F.col("o_custkey")
+    digits = F.lpad((n % 10000).cast("string"), 4, "0")
+    code, name = F.concat(F.lit("PC"), digits), F.concat(F.lit("变电站改造工程"), digits)
+    t = F.concat(
+        F.when(n % 4 == 0, F.concat(F.lit("项目编号：pc"), digits, F.lit("-7\n"))).when(n % 4 == 1, F.concat(F.lit("招标编号: PC"), digits, F.lit("\n"))).otherwise(F.lit("项目编号：无\n")),
+        F.lit("项目名称："), F.when(n % 3 == 0, name).when(n % 3 == 1, F.concat(name, F.lit("（二）"))).otherwise(F.lit("道路养护")), F.lit("\n"), F.when(n % 5 < 3, F.concat(F.lit("包"), c)).otherwise(F.lit("无")),
+    )
+    rows = _orders(spark, sf_dir).select("id", t.alias("t"), code.alias("code"), name.alias("name"), F.concat(F.lit("包"), c).alias("package"), "o_orderstatus")
+    kind = F.when(F.col("o_orderstatus") == "F", "Candidate").when(F.col("o_orderstatus") == "O", "Tender")
+    m = scoring.notice_text_match(codes.extract_project_code(F.col("t")) == F.col("code"), text.similarity(codes.extract_project_name(F.col("t")), F.col("name")), F.contains("t", "package"), kind)
+    return rows.select("id", m.alias("m")).select("id", F.col("m.confidence").cast("double").alias("confidence"), F.size("m.reasons").alias("n_reasons"), F.col("m.missing").isNotNull().alias("missing"))
+
+
+@query("""with r as (select l_orderkey as g, l_returnflag as o, 'Sup' || l_suppkey % 12 as s, case when l_partkey % 3 = 0 then 'L' || l_partkey end as lot, case when l_orderkey % 5 > 0 then 'P' end as pk, l_linenumber * 1000000 + l_partkey as id, l_extendedprice as x from lineitem),
+one as (select * from (select *, row_number() over (partition by g, o, s order by lot is not null desc, x, id) as n from r) where n = 1)
+select g, o, s, lot from one a where pk is null or lot is not null or not exists (select 1 from one b where b.g = a.g and b.o = a.o and b.lot is not null)""")
+def specific_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA13: one row a supplier of a package and outcome, without those that a row with a lot makes idle."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("g"), c("l_returnflag").alias("o"), F.concat(F.lit("Sup"), c("l_suppkey") % 12).alias("s"), F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("L"), c("l_partkey"))).alias("lot"), F.lit(None).cast("string").alias("lot_name"),
+        F.when(c("l_orderkey") % 5 > 0, "P").alias("pk"), (c("l_linenumber") * 1000000 + c("l_partkey")).alias("id"), c("l_extendedprice").alias("x"),
+    )
+    return merging.less_specific_pruned(rows, ["g", "o"], "pk", "s", "lot", "lot_name", [c("x"), c("id")]).select("g", "o", "s", "lot")
+
+
+@query("""select 'jobs' as metric, count(*) as n from orders union all select 'running', count(*) from orders where o_orderstatus = 'O' union all select 'dead', count(*) from orders where o_orderstatus = 'P' union all select 'created_today', count(*) from orders where o_orderdate >= timestamp '1998-01-01'
+union all select 'fetched_today', count(*) from events where ts >= timestamp '2024-01-15' union all select 'failed_notices', count(*) from events where event_type = 'error' union all select 'pending_files', count(*) from lineitem where l_linestatus = 'O' or l_returnflag = 'N' union all select 'failed_files', count(*) from lineitem where l_returnflag = 'R'
+union all select 'recent_failed_' || row_number() over (order by o_orderdate desc, o_orderkey), o_orderkey from (select * from orders where o_orderstatus = 'P' order by o_orderdate desc, o_orderkey limit 8)""")
+def operations_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA17: the operations half: one multi-aggregate a table, and the eight last failed jobs."""
+    jobs, events, files = _orders(spark, sf_dir), _events(spark, sf_dir), table(spark, sf_dir, "lineitem")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    frames = [
+        jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("o_orderstatus") == "O").alias("running"), F.count_if(F.col("o_orderstatus") == "P").alias("dead"), F.count_if(F.col("day") >= at("1998-01-01")).alias("created_today")),
+        events.agg(F.count_if(F.col("ts") >= at("2024-01-15")).alias("fetched_today"), F.count_if(F.col("event_type") == "error").alias("failed_notices")),
+        files.agg(F.count_if((F.col("l_linestatus") == "O") | (F.col("l_returnflag") == "N")).alias("pending_files"), F.count_if(F.col("l_returnflag") == "R").alias("failed_files")),
+    ]
+    last = jobs.filter("o_orderstatus = 'P'").orderBy(F.desc("day"), "id").limit(8).withColumn("all", F.lit(1))
+    out = A.ranked(last, ["all"], [F.desc("day"), F.col("id")], "place").select(F.concat(F.lit("recent_failed_"), "place").alias("metric"), F.col("id").alias("n"))
+    for df in frames:
+        out = out.unionByName(df.unpivot([], df.columns, "metric", "n"))
+    return out
