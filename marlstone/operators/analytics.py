@@ -18,7 +18,7 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Columns of the row with the greatest order values of each key: one partial aggregate, no sort of the groups."""
-    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("__m"))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("__m"))
     return best.select(*keys, *[F.col(f"__m.{c}").alias(c) for c in columns])
 
 
@@ -72,9 +72,11 @@ def unique_value(column: Column) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column))
 
 
-def joined_distinct(column: Column, most: int, separator: str = ",") -> Column:
-    """As an aggregate: the first `most` distinct values in ascending order, joined."""
-    return F.array_join(F.slice(F.sort_array(F.collect_set(column)), 1, most), separator)
+def joined_distinct(rows: DataFrame, keys: list[str], column: Column, most: int, name: str, separator: str = ",") -> DataFrame:
+    """keys, name: the first `most` distinct values of each key in ascending order, joined; no more than those are ever gathered."""
+    each = rows.select(*keys, column.alias("__v")).filter("__v is not null").distinct()
+    few = ranked(each, keys, [F.col("__v")], "__p").filter(F.col("__p") <= most)
+    return few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("__v")), separator).alias(name))
 
 
 def rollup_status(confirmed: Column, rejected: Column) -> Column:

@@ -156,7 +156,7 @@ def duplicate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG18, AG20: distinct flags joined, five at most."""
     flag = F.concat("l_returnflag", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(A.joined_distinct(flag, 5).alias("flags"))
+    return A.joined_distinct(table(spark, sf_dir, "lineitem"), ["l_suppkey"], flag, 5, "flags")
 
 
 @query("""with l as (select l_suppkey, count(*) as n, count(*) filter (l_returnflag = 'R') as returned, count(distinct l_partkey) as parts from lineitem group by 1),
@@ -178,8 +178,7 @@ def supplier_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select * exclude (r) from (select user_id, event_id, ts, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN1, WN13: the latest row by a partial maximum, no sort."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m"))
-    return last.select("user_id", "m.event_id", "m.ts", "m.event_type")
+    return A.latest_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type"])
 
 
 @query("select * exclude (r) from (select user_id, event_type, event_id, ts, row_number() over (partition by user_id, event_type order by ts, event_id) as r from events) where r = 1")

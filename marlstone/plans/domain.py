@@ -183,13 +183,17 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query()
+@query("""with o as (select o_orderkey, o_custkey, o_orderpriority, date_trunc('month', o_orderdate) as m from orders), j as (select *, lag(m) over w as was from o window w as (partition by o_custkey, o_orderpriority order by m, o_orderkey)),
+g as (select *, sum(case when was is null or m > was + interval 1 month then 1 else 0 end) over (partition by o_custkey, o_orderpriority order by m, o_orderkey) as grp from j)
+select node, label from (select o_orderkey as node, min(o_orderkey) over w as label, count(*) over w as n from g window w as (partition by o_custkey, o_orderpriority, grp)) where n > 1""")
 def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DA11: orders of a customer that are of one month and priority merge, month by month chained; rows only, for it iterates."""
+    """DA11: orders of a customer and priority that follow each other within a month merge: neighbours by month are the links, never all pairs."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("month", "o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.trunc("o_orderdate", "MM").alias("month"))
-    pairs = J.pairs_in_block(orders, ["o_custkey", "o_orderpriority"], "o_orderkey", ["month"])
-    close = pairs.filter(F.abs(F.months_between("month_a", "month_b")) <= 1)
-    return J.components(close, "o_orderkey_a", "o_orderkey_b")
+    chained = orders.select("o_orderkey", "month", F.lag("o_orderkey").over(w).alias("before"), F.lag("month").over(w).alias("was"))
+    return J.components(chained.filter(F.months_between("month", "was") <= 1), "before", "o_orderkey")
 
 
 @query("""with old as (select doc_id as id, sha256(coalesce(text, '')) as h, source from documents where source <> 'src1'), new as (select doc_id as id, sha256(coalesce(text, '') || case when lang = 'de' then '!' else '' end) as h,

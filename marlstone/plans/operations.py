@@ -282,8 +282,7 @@ select l_suppkey, n, awarded, total, cast(m[1] as timestamp) as last_time, m[4]
 def latest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG10: per supplier counts, sum and the latest row itself, from one partial aggregation; the top 50."""
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 1")
-    latest = A.latest_by(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], ["l_partkey"])
-    latest = rows.groupBy("l_suppkey").agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")).alias("m")).select("l_suppkey", F.col("m.l_shipdate").cast("timestamp_ntz").alias("last_time")).join(latest.select("l_suppkey", F.col("l_partkey").alias("last_part")), "l_suppkey")
+    latest = A.latest_by(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], ["l_shipdate", "l_partkey"]).select("l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("last_time"), F.col("l_partkey").alias("last_part"))
     sums = rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("awarded"), F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice").cast("decimal(18,2)"))).cast("double").alias("total"))
     total = F.coalesce("total", F.lit(0.0))
     return sums.join(latest, "l_suppkey").select("l_suppkey", "n", "awarded", "total", "last_time", "last_part").orderBy((total > 0).desc(), total.desc(), F.desc("awarded"), F.desc("n"), "l_suppkey").limit(50)
