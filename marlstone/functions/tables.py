@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .codes import clean_org_name, normalize_package_no, parse_rank
 from .money import WRITTEN_DIGITS, amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
-from .text import clean_value
+from .text import clean_value, let
 
 # Header words of the documents' language by the field that they name.
 FIELDS = {
@@ -189,15 +189,13 @@ def parse_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def find_column(headers: Column, aliases: list[str]) -> Column:
     """0-based place of the first header that holds an alias, earlier aliases first; null if none does."""
     clean = F.transform(headers, lambda h: F.regexp_replace(h, r"[\s（）()：:]", ""))
+    words = F.array(*[F.lit(a) for a in aliases])
 
-    def place(alias: str) -> Column:
-        return F.array_position(F.transform(clean, lambda h: F.contains(h, F.lit(alias))), True)
+    def first(own: Column) -> Column:
+        places = F.transform(words, lambda w: F.array_position(F.transform(own, lambda h: F.contains(h, w)), True))
+        return F.get(F.filter(places, lambda p: p > 0), F.lit(0)) - 1
 
-    places = [place(a) for a in aliases]
-    out = None
-    for p in places:
-        out = F.when(p > 0, p - 1) if out is None else out.when(p > 0, p - 1)
-    return out
+    return let(clean, first)
 
 
 def cell(field: str) -> Column:
