@@ -203,13 +203,17 @@ def rows_of_words(words: list[Word], gap: float = 12.0) -> list[list[str]]:
 def word_tables(words: DataFrame, key: str) -> DataFrame:
     """key, table_index (the page), row_index, headers, cells, raw from word boxes: key, page, text, x0, y0, x1, y1.
 
-    A page's first row is its header; a blank box keeps its row's first cell. A group is one page.
+    A page's first row is its header; a row whose first cell is empty goes on with the one above. A group is one page's boxes.
     """
     kind = dict(words.dtypes)[key]
 
-    def page_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = rows_of_words([Word(r.text, r.x0, r.y0, r.x1, r.y1) for r in pdf.itertuples()])
-        own = [(pdf[key].iloc[0], int(pdf["page"].iloc[0]), i, rows[0], cells, " | ".join(cells)) for i, cells in enumerate(rows[1:])]
-        return pd.DataFrame(own, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
-
-    return words.groupBy(key, "page").applyInPandas(page_rows, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, page, boxes in zip(batch[key], batch["page"], batch["boxes"], strict=True):
+                rows = rows_of_words([Word(b["text"], b["x0"], b["y0"], b["x1"], b["y1"]) for b in boxes])
+                out += [(k, page, i, rows[0], cells, " | ".join(cells)) for i, cells in enumerate(rows[1:])]
+            yield pd.DataFrame(out, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
+
+    pages = words.groupBy(key, F.col("page").cast("int").alias("page")).agg(F.collect_list(F.struct("text", "x0", "y0", "x1", "y1")).alias("boxes"))
+    return pages.mapInPandas(run, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
