@@ -6,10 +6,14 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -60,6 +64,30 @@ def lines(column: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in column]
 
 
+def arrow_lines(column: pa.Array) -> list[bytes]:
+    """Texts of an Arrow column in UTF-8, null as the empty text."""
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def map_arrow(df: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], tuple[list[int] | None, list]], added: str) -> DataFrame:
+    """df's `keep` columns and those that `work` adds to each Arrow batch, described by the DDL text `added`.
+
+    work returns the row of the batch that each of its rows belongs to (None: one for each, in order) and its columns. Kept columns stay
+    Arrow arrays, so that 64-bit ids beside nulls stay what they are; through pandas they would become floating-point numbers.
+    """
+    new = T._parse_datatype_string(added)
+    schema = T.StructType([*df.select(*keep).schema, *new])
+    kinds = list(to_arrow_schema(new).types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns = work(batch)
+            kept = [batch[c] if rows is None else batch[c].take(pa.array(rows, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written as a table to the shared checkpoint folder and read again: computed once, lineage cut.
 

@@ -21,6 +21,9 @@ QUERIES = {
     "op9_sentencepiece": ("sentencepiece_codec", "op9_sentencepiece", None),
     "op7_toxicity": ("toxicity", "op7_toxicity", None),
     "op8_sharding": ("sharding", "op8_sharding", None),
+    "op11_source_divergence": ("divergence", "op11_source_divergence", "OP11_SQL"),
+    "op12_best_fit_packing": ("packing", "op12_best_fit_packing", None),
+    "op13_periodic_runs": ("periodic_runs", "op13_periodic_runs", None),
 }
 
 
