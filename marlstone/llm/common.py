@@ -64,6 +64,20 @@ def lines(column: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in column]
 
 
+def _whole(df: DataFrame, doc_id: str) -> bool:
+    return isinstance(df.schema[doc_id].dataType, T.IntegralType)
+
+
+def plain_id(df: DataFrame, doc_id: str) -> Column:
+    """The id as a long where it is a whole number, else as a string."""
+    return F.col(doc_id).cast("long" if _whole(df, doc_id) else "string")
+
+
+def no_id(df: DataFrame, doc_id: str) -> Column:
+    """What stands for a null id beside plain_id: the least of all."""
+    return F.lit(-(2**63)).cast("long") if _whole(df, doc_id) else F.lit("")
+
+
 def arrow_lines(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column in UTF-8, null as the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lines, settle, table
+from .common import arrow_lines, lines, map_arrow, settle, table
 from .shingles import blocks_of, grams, words, words_of_all
 from .sieve import Sieve, bits_for, sieve_of
 
@@ -133,14 +134,12 @@ class Items:
 def item_passages(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """row (one number an item's row), id, part, words (64-bit hashes as bytes) of every passage of every item with words."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(r, i, k, p.tobytes()) for r, i, t in zip(batch["row"], batch["id"], lines(batch["text"]), strict=True) for k, p in enumerate(passages(words(t)[0])) if len(p)]
-            yield pd.DataFrame(out, columns=["row", "id", "part", "words"])
+    def cut(batch: pa.RecordBatch) -> tuple[list[int], list]:
+        out = [(at, k, p.tobytes()) for at, t in enumerate(arrow_lines(batch["text"])) for k, p in enumerate(passages(words(t.decode())[0])) if len(p)]
+        return [x[0] for x in out], [[x[1] for x in out], [x[2] for x in out]]
 
     rows = items.select(F.monotonically_increasing_id().alias("row"), F.col(item_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    kind = dict(rows.dtypes)["id"]
-    return settle(rows.mapInPandas(cut, f"row long, id {kind}, part int, words binary"), "passages")
+    return settle(map_arrow(rows, ["row", "id"], cut, "part int, words binary"), "passages")
 
 
 def gram_counts(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
@@ -203,20 +202,17 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind, item_kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word int, last_word int"
+    kind, added = dict(docs.dtypes)[doc_id], f"item_id {dict(items.dtypes)[item_id]}, score double, first_word int, last_word int"
     out = None
     for chosen in chosen_items(rows, "text", items, item_id, item_text, block_bytes):
 
-        def search(batches: Iterator[pd.DataFrame], chosen=chosen) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = pd.DataFrame(chosen.value.matches(lines(batch["text"]), score), columns=["at", "item_id", "score", "first_word", "last_word"])
-                ids = batch["doc_id"].iloc[found["at"].astype("int64")]
-                yield found.assign(doc_id=ids.to_numpy()).drop(columns="at")
+        def search(batch: pa.RecordBatch, chosen=chosen) -> tuple[list[int], list]:
+            found = list(chosen.value.matches([t.decode() for t in arrow_lines(batch["text"])], score))
+            return [m[0] for m in found], [[m[k] for m in found] for k in range(1, 5)]
 
-        part = rows.mapInPandas(search, schema)
+        part = map_arrow(rows, ["doc_id"], search, added)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, {added}")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
@@ -224,12 +220,12 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
     out = docs
     for chosen in chosen_items(docs, text, items, item_id, item_text, block_bytes):
 
-        def clean(batches: Iterator[pd.DataFrame], chosen=chosen) -> Iterator[pd.DataFrame]:
+        def clean(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = {m[0] for m in chosen.value.matches(lines(batch[text]), score)}
-                yield batch.loc[[k not in hit for k in range(len(batch))]]
+                hit = {m[0] for m in chosen.value.matches([t.decode() for t in arrow_lines(batch[text])], score)}
+                yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInPandas(clean, docs.schema)
+        out = out.mapInArrow(clean, docs.schema)
     return out
 
 

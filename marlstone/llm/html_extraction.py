@@ -13,16 +13,15 @@ with its depth.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lines, table
+from .common import arrow_lines, map_arrow, table
 
 # Element names and the words of class, id and role that mark what is not the article.
 BLOCKS = frozenset(
@@ -325,15 +324,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     Null html counts as empty and gives an empty text, as does a page without an article. Null ids, repeated rows and
     other columns do no harm; an empty table gives an empty result. Whole pages are read, without a shuffle.
     """
-    kinds = dict(pages.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(x) for x in lines(batch["html"])]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
+        texts = [main_text(x.decode()) for x in arrow_lines(batch["html"])]
+        return None, [texts, [len(t) for t in texts]]
 
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, f"page_id {kinds[page_id]}, url string, text string, n_chars long")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    return map_arrow(rows, ["page_id", "url"], work, "text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,13 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, lines, table
+from .common import arrow_lines, held_out, map_arrow, table
 
 SAMPLE_ROWS = 3000  # labelled rows that the network is fitted on, at most; their whole texts count
 HIDDEN, EMBED = 16, 10
@@ -294,27 +293,23 @@ def scorer_of(blob: bytes) -> Scorer:
     return _SCORERS[blob]
 
 
-def predict(docs: DataFrame, net: ByteGru | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; every other column stays.
+def predict(docs: DataFrame, net: ByteGru | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (`names`); every other column stays.
 
     `und` with score 0 where the text is null or has no letter, or where there is no network. Repeated rows and
     null ids keep their rows; an empty table stays empty. No shuffle; memory holds a batch and REMEMBERED words.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    columns = [c for c in docs.columns if c not in names]
     blob = pickle.dumps(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_of(blob) if net is not None else None
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512].copy()
-                got = scorer.score(lines(part[text])) if scorer else [(NO_LANGUAGE, 0.0)] * len(part)
-                part["lang_pred"] = [g[0] for g in got]
-                part["score"] = [g[1] for g in got]
-                yield part
-
-    return docs.select(*columns).mapInPandas(run, schema)
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
+        scorer, got = scorer_of(blob) if net is not None else None, []
+        for k in range(0, batch.num_rows, 512):
+            part = batch[text].slice(k, 512)
+            got += scorer.score([t.decode() for t in arrow_lines(part)]) if scorer else [(NO_LANGUAGE, 0.0)] * len(part)
+        return None, [[g[0] for g in got], [g[1] for g in got]]
+
+    return map_arrow(docs, columns, work, f"`{names[0]}` string, `{names[1]}` double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import no_id, plain_id, table
 
 WINDOW = 3
 BLANKS = " \t\r\f\u00a0"
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """Remove lines that lie in a later occurrence of a repeated window of consecutive lines.
 
     Lines are split at line feeds; they compare without surrounding blanks. Blank lines are never counted
@@ -19,8 +19,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     with the smallest (doc_id, position) is the first, and every other one marks its positions. Marked
     positions of a document merge, and their lines go. Every removed line stays at its first place.
 
-    Returns docs with `text` replaced, and n_lines, n_removed (long). Null text stays null with 0 lines; texts
-    of fewer than `window` non-blank lines hold no window; null ids sort first; rows that share id and text
+    Returns docs with `text` replaced, and n_lines, n_removed (long; `counts` names them otherwise). Null text stays null with 0 lines; texts
+    of fewer than `window` non-blank lines hold no window; null ids sort first; ids that are no whole numbers sort as strings, null like the empty one; rows that share id and text
     are the same occurrence, so neither is later than the other. Other columns stay.
 
     Windows travel as two 64-bit hashes, the id and a position. The first place of each window is a
@@ -28,10 +28,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     has one row per repeated window on one side, which AQE can split. Texts are moved once, when the marks
     of their lines meet them by id and content.
     """
-    least = F.lit(-(2**63)).cast("long")
     rows = docs.withColumns(
         {
-            "__id": F.coalesce(F.col(doc_id).cast("long"), least),
+            "__id": F.coalesce(plain_id(docs, doc_id), no_id(docs, doc_id)),
             "__h": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
             "__null": F.col(text).isNull(),
             "__lines": F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1),
@@ -60,11 +59,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     out = out.withColumns(
         {
             text: F.when(~F.col("__null"), F.array_join(left, "\n")),
-            "n_lines": F.when(F.col("__null"), 0).otherwise(F.size("__lines")).cast("long"),
-            "n_removed": F.size(gone).cast("long"),
+            counts[0]: F.when(F.col("__null"), 0).otherwise(F.size("__lines")).cast("long"),
+            counts[1]: F.size(gone).cast("long"),
         }
     )
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    return out.select(*docs.columns, *[c for c in counts if c not in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

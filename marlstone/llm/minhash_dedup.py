@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, lines, settle, table
+from .common import arrow_lines, connected, map_arrow, no_id, plain_id, settle, table
 from .shingles import jaccard, mix, shingles
 from .sieve import passing, sieve_of
 
@@ -100,20 +101,20 @@ def _text_key(text: str):
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key, first_id, bands: one row per distinct text, by its MD5 (null as empty), with its smallest id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            bands = []
-            for key, t in zip(batch["key"], lines(batch["text"]), strict=True):
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[key] = text_bands(t)
-                bands.append(known[key])
-            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "bands": bands})
-
-    rows = docs.select(_text_key(text).alias("key"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = rows.mapInPandas(run, "key binary, id long, bands array<long>")
+    known: dict[bytes, np.ndarray] = {}  # each task has its own
+
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
+        bands = []
+        for key, t in zip(batch["key"].to_pylist(), arrow_lines(batch["text"]), strict=True):
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = text_bands(t.decode())
+            bands.append(known[key])
+        return None, [bands]
+
+    rows = docs.select(_text_key(text).alias("key"), plain_id(docs, doc_id).alias("id"), F.col(text).alias("text"))
+    signed = map_arrow(rows, ["key", "id"], work, "bands array<long>")
     return signed.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"))
 
 
@@ -142,10 +143,10 @@ def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, te
 
     A sieve of the wanted rows keeps nearly all other texts where they are.
     """
-    none = F.lit(-(2**63)).cast("long")
+    none = no_id(docs, doc_id)
     mark = F.xxhash64("key", "id")
     wanted = settle(keys.distinct().join(nodes.select("key", F.coalesce("first_id", none).alias("id")), "key").withColumn("mark", mark), "wanted")
-    rows = docs.select(_text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", mark)
+    rows = docs.select(_text_key(text).alias("key"), F.coalesce(plain_id(docs, doc_id), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", mark)
     some = passing(rows, "mark", sieve_of(wanted, "mark"))
     return settle(some.join(wanted.select("key", "id").hint("shuffle_hash"), ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "texts")
 
@@ -256,7 +257,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Two texts are linked if they are equal or if their five-word shingle sets (words in lower case; a shorter text
     has one shingle) have a Jaccard similarity of 0.8 or more; a class is a connected component, class_id its smallest
     id, class_key the smallest text digest in it. Texts without words link to equal texts only. Null text counts as
-    empty, null ids do not name a class (class_id is null if a class has no other); repeated rows keep their rows; other
+    empty, null ids do not name a class (class_id is null if a class has no other); ids that are no whole numbers compare
+    as strings, where null stands with the empty one; repeated rows keep their rows; other
     columns are not used; an empty table gives an empty result.
     """
     of_key = text_classes(docs, doc_id, text).select("key", "class_id", "class_key")
@@ -269,10 +271,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Cases as for near_duplicates; of repeated rows one stays; in a class without any id the row of its first text stays.
     """
-    none = F.lit(-(2**63)).cast("long")
+    none = no_id(docs, doc_id)
     of_key = text_classes(docs, doc_id, text).withColumn("__id", F.coalesce("first_id", none))
     chosen = of_key.groupBy("class_key").agg(F.min(F.struct(F.col("first_id").isNull(), "__id", "key")).alias("m")).select(F.col("m.key").alias("__key"), F.col("m.__id").alias("__id"))
-    rows = docs.withColumns({"__key": _text_key(text), "__id": F.coalesce(F.col(doc_id).cast("long"), none)})
+    rows = docs.withColumns({"__key": _text_key(text), "__id": F.coalesce(plain_id(docs, doc_id), none)})
     kept = rows.join(chosen.hint("shuffle_hash"), ["__key", "__id"], "left_semi")
     # Rows that repeat both id and text are rare: only they are gathered by key.
     twice = settle(rows.groupBy("__key", "__id").count().filter("count > 1").select("__key", "__id"), "twice")

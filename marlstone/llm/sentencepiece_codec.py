@@ -15,12 +15,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import lines, table
+from .common import arrow_lines, map_arrow, table
 
 MARK = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in the model file
@@ -333,14 +332,12 @@ def token_digests(docs: DataFrame, model: bytes | None = None, doc_id: str = "do
     """
     data = model if model is not None else default_model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(data)
-        for batch in batches:
-            rows = list(codec.digests(lines(batch["text"])))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
+        rows = list(codec_of(data).digests([t.decode() for t in arrow_lines(batch["text"])]))
+        return None, [[r[k] for r in rows] for k in range(3)]
 
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return map_arrow(rows, ["doc_id"], work, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -348,12 +345,11 @@ def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", ids:
     data = model if model is not None else default_model()
     columns = [c for c in docs.columns if c != ids]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
         codec = codec_of(data)
-        for batch in batches:
-            yield batch.assign(**{ids: [codec.encode(t) for t in lines(batch[text])]})
+        return None, [[list(codec.encode(t.decode())) for t in arrow_lines(batch[text])]]
 
-    return docs.select(*columns).mapInPandas(run, T.StructType([*docs.select(*columns).schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return map_arrow(docs, columns, work, f"`{ids}` array<int>")
 
 
 def decode(docs: DataFrame, model: bytes | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -361,12 +357,11 @@ def decode(docs: DataFrame, model: bytes | None = None, ids: str = "ids", text:
     data = model if model is not None else default_model()
     columns = [c for c in docs.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
         model_ = codec_of(data).model
-        for batch in batches:
-            yield batch.assign(**{text: [None if x is None else model_.decode([int(i) for i in x]) for x in batch[ids]]})
+        return None, [[None if x is None else model_.decode(x) for x in batch[ids].to_pylist()]]
 
-    return docs.select(*columns).mapInPandas(run, docs.select(*columns).schema.add(text, "string"))
+    return map_arrow(docs, columns, work, f"`{text}` string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, lines, table
+from .common import arrow_lines, held_out, lines, map_arrow, table
 
 SAMPLE_ROWS = 12_000  # labelled rows read for training, at most: two thirds for the lexicon, the rest for the weights
 LEAST_TEXTS, LEAST_ODDS = 4, 2.5  # different toxic texts with a learned insult, and its log odds
@@ -247,16 +248,12 @@ def predict(docs: DataFrame, matcher: Matcher, text: str = "text") -> DataFrame:
     empty. No shuffle; the matcher is bounded by the sample's vocabulary.
     """
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.copy()
-            out["score"] = [matcher.score(t) for t in lines(batch[text])]
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            yield out
+    def work(batch: pa.RecordBatch) -> tuple[None, list]:
+        scores = [matcher.score(t.decode()) for t in arrow_lines(batch[text])]
+        return None, [scores, [int(s >= 0.5) for s in scores]]
 
-    return docs.select(*columns).mapInPandas(run, schema)
+    return map_arrow(docs, columns, work, "score double, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
