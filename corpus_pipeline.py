@@ -14,15 +14,15 @@ LEAST_SCORE = 0.4  # of a language, of four or more that are told apart
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; those without a letter or a likely language go."""
     ready(spark)
-    seen = language_id.predict(docs, language_id.train(docs))
-    return seen.filter((F.col("lang_pred") != language_id.NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    seen = language_id.predict(docs, language_id.train(docs), names=("__lang", "__score"))
+    return seen.filter((F.col("__lang") != language_id.NO_LANGUAGE) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated lines; those that lose every line go."""
     ready(spark)
-    left = line_dedup.line_dedup(docs)
-    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    left = line_dedup.line_dedup(docs, counts=("__n_lines", "__n_removed"))
+    left = left.filter((F.col("__n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
