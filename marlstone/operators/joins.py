@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .analytics import first_per_key, ranked
 
 SMALL_SIDE = 64 * 1024 * 1024
@@ -104,12 +103,7 @@ def pairs_in_block(rows: DataFrame, block: list[str], key: str, columns: list[st
 
 def components(spark_edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, label: label is the least node of a connected component; rounds are cut by checkpoint()."""
-    context = spark_edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark_edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-"))
+    shared_folder(spark_edges.sparkSession)
     both = spark_edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(spark_edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.select(F.col("x").alias("node")).distinct().select("node", F.col("node").alias("label")).checkpoint()
     while True:

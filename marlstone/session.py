@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where nothing else tells them its place; a cluster ships it with --py-files."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if PACKAGE_PARENT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_PARENT, known) if x)
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir, which driver and executors share.
+
+    Only a local master may do without: it gets a temporary folder. Any other master without that setting is refused.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-"))
+    return context.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own, not yet there, among the shared ones."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read again: computed once, lineage cut, safe from lost executors."""
+    path = fresh_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; only Spark's own readers touch the path."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,10 +1,8 @@
-"""Idempotent ingestion: classified upserts, cursors, queues, outbox and inbox."""
+"""Idempotent ingestion: classified upserts, cursors, queues; see `state` for what streams remember by key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import backoff_seconds, ladder
@@ -41,100 +39,6 @@ def merged(target: DataFrame, changes: DataFrame, key: list[str], delete: str |
     return kept.unionByName(live.select(*target.columns))
 
 
-class ParquetTable:
-    """A table as a snapshot and change sets after it, under one folder: a merge appends its changes, readers put them together.
-
-    A merge costs what its changes cost, not what the table does. The latest change of a key wins; after COMPACT change
-    sets the next snapshot is written, and all but the last two snapshots go. Single writer; a half-written folder has no _SUCCESS file
-    and is never read. Only Spark's writers and Hadoop's file system touch the folder.
-    """
-
-    COMPACT = 16
-    GONE, TURN = "__gone", "__turn"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _folders(self) -> list[str]:
-        root = self._hadoop(self.path)
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        return [n for n in names if n.startswith("v") and self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
-
-    def _versions(self) -> list[int]:
-        return sorted(int(n[1:]) for n in self._folders() if n[1:].isdigit())
-
-    def _changes(self, version: int) -> list[tuple[int, list[str], str]]:
-        """(turn, key, folder) of the change sets after a snapshot; folders are named v<snapshot>-<turn>-<key columns>."""
-        parts = [(n.split("-", 2), n) for n in self._folders() if n.startswith(f"v{version}-")]
-        return sorted((int(p[1]), p[2].split(","), n) for p, n in parts)
-
-    def exists(self) -> bool:
-        return bool(self._versions())
-
-    def read(self) -> DataFrame:
-        last = self._versions()[-1]
-        out = self.spark.read.parquet(f"{self.path}/v{last}")
-        changes = self._changes(last)
-        if not changes:
-            return out
-        key = changes[0][1]
-        turns = None
-        for turn, _, folder in changes:
-            part = self.spark.read.parquet(f"{self.path}/{folder}").withColumn(self.TURN, F.lit(turn))
-            turns = part if turns is None else turns.unionByName(part)
-        latest = turns.groupBy(*key).agg(F.max_by(F.struct(*[c for c in turns.columns if c not in key]), self.TURN).alias("__c"))
-        live = latest.filter(~F.col(f"__c.{self.GONE}")).select(*[F.col(c) if c in key else F.col(f"__c.{c}").alias(c) for c in out.columns])
-        return out.join(latest.select(*key), key, "left_anti").unionByName(live)
-
-    def replace(self, rows: DataFrame) -> None:
-        """Write the next snapshot and drop all but the last two, with their change sets."""
-        have = self._versions()
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{(have[-1] if have else 0) + 1}")
-        for v in have[:-1]:
-            for folder in [f"v{v}", *(n for _, _, n in self._changes(v))]:
-                self._fs.delete(self._hadoop(f"{self.path}/{folder}"), True)
-
-    def merge(self, changes: DataFrame, key: list[str], delete: str | None = None) -> None:
-        """Rows matched by key are replaced, new ones added, rows marked in `delete` dropped; one key a table."""
-        gone = F.lit(False) if delete is None else F.coalesce(F.col(delete), F.lit(False))
-        if not self.exists():
-            self.replace(changes.filter(~gone).drop(*([delete] if delete else [])))
-            return
-        last = self._versions()[-1]
-        sets = self._changes(last)
-        if len(sets) >= self.COMPACT or (sets and sets[0][1] != key):
-            self.replace(self.read())
-            last, sets = last + 1, []
-        out = changes.withColumn(self.GONE, gone).drop(*([delete] if delete else []))
-        turn = sets[-1][0] + 1 if sets else 1
-        out.write.mode("overwrite").parquet(f"{self.path}/v{last}-{turn}-{','.join(key)}")
-
-
-def upsert_stream(source: DataFrame, target: ParquetTable, key: str, content: str, order: list[Column], identity: list[str], checkpoint: str, counts: ParquetTable | None = None):
-    """Start a stream that upserts every micro-batch; a batch that is seen again changes nothing.
-
-    counts, where given, keeps per batch the number of rows of each outcome.
-    """
-
-    def load(batch: DataFrame, batch_id: int) -> None:
-        rows = newest(batch, [key], order)
-        if not target.exists():
-            outcome = rows.withColumn("outcome", F.lit("Created"))
-        else:
-            outcome = classify_upsert(rows, target.read(), key, content, identity)
-        outcome = outcome.persist()
-        changes = outcome.filter("outcome <> 'Refreshed' and outcome <> 'Skipped'").drop("outcome")
-        if counts is not None:
-            counts.merge(outcome.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("batch_id", F.lit(batch_id).cast("long")), ["batch_id", "outcome"])
-        if not changes.isEmpty():
-            target.merge(changes, [key])
-        outcome.unpersist()
-
-    return source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def advance_cursor(state: DataFrame, batch: DataFrame, channel: list[str], time: str, incremental: bool = True) -> DataFrame:
     """Checkpoint rows after a batch: watermarks widen, counters add up, an incremental run starts again at cursor 1."""
     seen = batch.groupBy(*channel).agg(F.max(time).alias("h"), F.min(time).alias("l"), F.count("*").alias("s"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("Created", "Changed", "Failed")])
@@ -197,24 +101,6 @@ def unseen(batch: DataFrame, inbox: DataFrame, keys: list[str]) -> DataFrame:
     return batch.dropDuplicates(keys).join(inbox.select(*keys), keys, "left_anti")
 
 
-def dispatch_stream(outbox: DataFrame, handle: Callable[[DataFrame], None], inbox: ParquetTable, keys: list[str], checkpoint: str):
-    """Outbox to consumer, at least once. The inbox keeps keys that were handled from being handled again by later batches.
-
-    The effect comes before its record: a crash between the two repeats the effect of that batch, so `handle` has to be
-    idempotent by key (a merge, or a write that replaces its keys).
-    """
-
-    def deliver(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(keys) if not inbox.exists() else unseen(batch, inbox.read(), keys)
-        rows = rows.persist()
-        if not rows.isEmpty():
-            handle(rows)
-            inbox.merge(rows.select(*keys), keys)
-        rows.unpersist()
-
-    return outbox.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def retained(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:
     """Rows younger than the retention."""
     return rows.filter(F.col(time) >= as_of - F.expr(f"INTERVAL {days} DAYS"))

@@ -104,32 +104,6 @@ def test_stamps(spark):
     assert sorted((r.id, r.is_deleted, r.deleted_by) for r in gone.collect()) == [(1, False, None), (2, True, 3)]
 
 
-def test_upsert_stream_is_idempotent(spark, tmp_path):
-    schema = "id long, h string, src string, at long"
-    target, counts = ingest.ParquetTable(spark, str(tmp_path / "t")), ingest.ParquetTable(spark, str(tmp_path / "c"))
-
-    def load(rows, name):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        ingest.upsert_stream(source, target, "id", "h", [F.desc("at")], ["src"], str(tmp_path / "ck"), counts).awaitTermination(120)
-
-    load([(1, "a", "s", 1), (2, "b", "s", 1), (2, "b2", "s", 2)], "one")
-    load([(1, "a", "s", 3), (2, "b3", "s", 3), (3, "c", "s", 3)], "two")
-    load([(3, "c", "moved", 4)], "three")
-    assert sorted((r.id, r.h, r.src) for r in target.read().collect()) == [(1, "a", "s"), (2, "b3", "s"), (3, "c", "moved")]
-    got = sorted((r.batch_id, r.outcome, r.n) for r in counts.read().collect())
-    assert got == [(0, "Created", 2), (1, "Changed", 1), (1, "Created", 1), (1, "Refreshed", 1), (2, "IdentityUpdated", 1)]
-
-
-def test_inbox_makes_effects_once(spark, tmp_path):
-    inbox, seen = ingest.ParquetTable(spark, str(tmp_path / "inbox")), []
-    for k in range(2):
-        spark.createDataFrame([("m1", "x"), ("m1", "x"), (f"m{k + 2}", "y")], "message_id string, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "out"))
-        source = spark.readStream.schema("message_id string, payload string").parquet(str(tmp_path / "out"))
-        ingest.dispatch_stream(source, lambda df: seen.extend(sorted(r.message_id for r in df.collect())), inbox, ["message_id"], str(tmp_path / f"ck{k}")).awaitTermination(120)
-    assert seen == ["m1", "m2", "m3"]
-
-
 def test_queue(spark):
     schema = "id long, status string, outcome string, attempt_count int, max_attempts int, lease_until timestamp_ntz, cancel_requested boolean"
     late, soon = datetime(2026, 1, 1), datetime(2026, 1, 3)
@@ -147,17 +121,3 @@ def test_cursor(spark):
     batch = spark.createDataFrame([("c", 7, "Created"), ("c", 1, "Refreshed"), ("d", 4, "Failed")], "ch string, t long, outcome string")
     got = {r.ch: tuple(r)[1:] for r in ingest.advance_cursor(state, batch, ["ch"], "t", incremental=False).collect()}
     assert got == {"c": (7, 1, 12, 2, 0, 0, 4), "d": (4, 4, 1, 0, 0, 1, 1)} and not ingest.run_is_done(batch)
-
-
-def test_parquet_table_appends_changes(spark, tmp_path):
-    t = ingest.ParquetTable(spark, str(tmp_path / "t"))
-    make = lambda rows: spark.createDataFrame(rows, "k long, v string, gone boolean")
-    t.merge(make([(1, "a", False), (2, "b", False), (9, "x", True)]), ["k"], "gone")
-    want = {1: "a", 2: "b"}
-    for n in range(t.COMPACT + 3):
-        t.merge(make([(n % 4, f"v{n}", n % 5 == 0), (100 + n, "new", False)]), ["k"], "gone")
-        want.pop(n % 4, None) if n % 5 == 0 else want.update({n % 4: f"v{n}"})
-        want[100 + n] = "new"
-        if n == 1:  # changes are appended, the snapshot stays
-            assert t._versions() == [1] and len(t._changes(1)) == 2
-    assert {r.k: r.v for r in t.read().collect()} == want and t._versions() == [1, 2]
