@@ -67,21 +67,29 @@ def html_to_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(decode_entities(y), r"\s+", " "))
 
 
+def name_core(x: Column) -> Column:
+    """A name without white space and punctuation: what similarity compares."""
+    return F.regexp_replace(clean_value(x), r"(?U)[\s\p{P}]", "")
+
+
+def distinct_letters(core: Column) -> Column:
+    """The characters of a name, each once."""
+    return F.array_distinct(F.filter(F.split(core, ""), lambda c: c != ""))
+
+
+def core_similarity(p: Column, q: Column) -> Column:
+    """similarity of two names given by their cores."""
+    lp, lq = F.lower(p), F.lower(q)
+    shared = F.size(F.array_intersect(distinct_letters(p), distinct_letters(q))) / F.greatest(F.length(p), F.length(q))
+    return F.when((p == "") | (q == ""), F.lit(0.0)).when(lp == lq, F.lit(1.0)).when(F.contains(lp, lq) | F.contains(lq, lp), F.lit(0.88)).otherwise(shared)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.88 if one holds the other, else distinct shared characters over the longer length; 0 if either is blank.
 
     Compared without white space and punctuation; equality and containment ignore case, shared characters do not.
     """
-    strip = lambda x: F.regexp_replace(clean_value(x), r"(?U)[\s\p{P}]", "")
-    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-
-    def compare(t: Column) -> Column:
-        p, q = t["p"], t["q"]
-        lp, lq = F.lower(p), F.lower(q)
-        shared = F.size(F.array_intersect(letters(p), letters(q))) / F.greatest(F.length(p), F.length(q))
-        return F.when((p == "") | (q == ""), F.lit(0.0)).when(lp == lq, F.lit(1.0)).when(F.contains(lp, lq) | F.contains(lq, lp), F.lit(0.88)).otherwise(shared)
-
-    return let(F.struct(strip(a).alias("p"), strip(b).alias("q")), compare)
+    return let(F.struct(name_core(a).alias("p"), name_core(b).alias("q")), lambda t: core_similarity(t["p"], t["q"]))
 
 
 def comparable(x: Column) -> Column:

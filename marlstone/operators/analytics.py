@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], rank: str = "rn") -> DataFrame:
     """rows numbered 1, 2, ... within keys; ties are what the order leaves."""
@@ -58,8 +60,8 @@ def zero_filled(rows: DataFrame, column: Column, fixed: list[str], extra: bool =
     if not extra:
         return out
     others = counts.filter(~F.col("label").isin(fixed) | F.col("label").isNull())
-    place = (F.row_number().over(Window.orderBy(F.desc("n"), F.col("label").asc_nulls_last())) - 1 + len(fixed)).cast("int")
-    return out.union(others.select(place.alias("position"), "label", "n"))
+    placed = numbered(others, "position", len(fixed), [F.desc("n"), F.col("label").asc_nulls_last()])
+    return out.union(placed.select(F.col("position").cast("int"), "label", "n"))
 
 
 def ratio_percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import core_similarity, distinct_letters
 from ..session import shared_folder
-from .analytics import first_per_key, ranked
+from .analytics import first_per_key
 
 SMALL_SIDE = 64 * 1024 * 1024
 
@@ -51,9 +52,32 @@ def cascade(left: DataFrame, right: DataFrame, key: str, right_key: str, rules:
 
 
 def asof_within(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, key: list[str], days: int, most: int, tie: list[Column]) -> DataFrame:
-    """For each left key the newest right rows not later than left_time plus `days`, rows without a time last, at most `most`."""
-    met = left.join(right, on).filter(F.col(right_time).isNull() | (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {days} DAYS")))
-    return ranked(met, key, [F.col(right_time).desc_nulls_last(), *tie], "place").filter(F.col("place") <= most)
+    """For each left row the newest right rows not later than left_time plus `days`, rows without a time last, at most `most`; `place` from 1.
+
+    `key` names the left rows: one each. Right rows stand in buckets of a day; how many stand in buckets before gives each its position within its key,
+    and a left row learns in its own bucket how many are not too late: the newest of these have the positions just below. So a left row
+    meets only the rows that it keeps, at most `most`, however many its key has, and a hot key is sorted a day at a time.
+    """
+    bound = F.col(left_time).cast("timestamp_ntz") + F.expr(f"INTERVAL {days} DAYS")
+    day = lambda x: F.unix_date(F.to_date(x))
+    start = -(2**31)  # the bucket of rows without a time: before all
+    r = right.withColumns({"__t": F.col(right_time).cast("timestamp_ntz"), "__b": F.coalesce(day(F.col(right_time)), F.lit(start))})
+    bucket = Window.partitionBy(*on, "__b")
+    r = r.withColumn("__turn", F.row_number().over(bucket.orderBy(F.col("__t").desc_nulls_last(), *tie)))
+    asks = left.withColumns({"__t": bound, "__b": F.coalesce(day(bound), F.lit(start))})
+    # What stands in each bucket, and before it.
+    sizes = r.groupBy(*on, "__b").agg(F.count("*").alias("__n")).unionByName(asks.select(*on, "__b", F.lit(0).cast("long").alias("__n")).distinct()).groupBy(*on, "__b").agg(F.sum("__n").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = sizes.withColumn("__upto", before)
+    placed = r.join(sizes, [*on, "__b"]).withColumn("__pos", F.col("__upto") - F.col("__turn") + 1).drop("__t", "__b", "__turn", "__n", "__upto")
+    # In its own bucket a left row counts those not later than its bound.
+    both = asks.select(*on, "__b", "__t", F.struct(*left.columns).alias("__left")).unionByName(r.select(*on, "__b", "__t", F.lit(None).cast(asks.select(F.struct(*left.columns)).schema[0].dataType).alias("__left")))
+    upto = F.sum(F.when(F.col("__left").isNull(), 1).otherwise(0)).over(bucket.orderBy(F.col("__t").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = both.withColumn("__own", upto).filter("__left is not null").join(sizes, [*on, "__b"])
+    last = F.col("__upto") - F.col("__n") + F.col("__own")
+    wanted = counted.select("__left.*", last.alias("__last")).filter("__last > 0")
+    wanted = wanted.select("*", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("__last") - most + 1), F.col("__last"))).alias("__pos"))
+    return wanted.join(placed, [*on, "__pos"]).withColumn("place", (F.col("__last") - F.col("__pos") + 1).cast("int")).drop("__pos", "__last")
 
 
 def best_match(left: DataFrame, right: DataFrame, condition: Column, left_key: str, order: list[Column]) -> DataFrame:
@@ -67,22 +91,86 @@ def contained_either_way(a: Column, b: Column) -> Column:
     return (p != "") & (q != "") & (F.contains(p, q) | F.contains(q, p))
 
 
-def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame:
-    """group, inner, outer: distinct names of a group of which one lies in another, different one, ignoring case.
+def _runs(low: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct runs of some lengths in a text."""
+    some = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[some(n) for n in sizes]))
+
+
+def _together(left: DataFrame, right: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
+    """left and right joined where all of `on` are equal, nulls as values; right's come out as __of_<name>."""
+    right = right.withColumnsRenamed({c: f"__of_{c}" for c in on})
+    condition = also if also is not None else F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return left.join(right, condition).drop(*[f"__of_{c}" for c in on])
+
 
-    The join has a key: of the inner name one run of three characters (that of the least hash; all of a shorter name),
-    of the outer every run of one to three. So no pair is made that shares no such run, wherever words end.
+def contained_pairs(inner: DataFrame, outer: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """on, a, b: distinct texts a of `inner` that lie within a text b of `outer` of the same `on`, both as they are.
+
+    The join has a key: of a the run of three characters that the fewest texts b of its group hold (all of a, where it is
+    shorter), of b every run of one to three. No pair is made that shares no such run, and common runs are keys only of texts that have no rarer one.
     """
+    inner = inner.select(*on, a).filter(F.col(a) != "").distinct()
+    held = outer.select(*on, b).filter(F.col(b) != "").distinct().select(*on, b, F.explode(_runs(F.col(b), (1, 2, 3))).alias("__run"))
+    counts = held.groupBy(*on, "__run").agg(F.count("*").alias("__n"))
+    own = inner.select(*on, a, F.explode(F.when(F.length(a) < 3, F.array(a)).otherwise(_runs(F.col(a), (3,)))).alias("__run"))
+    keyed = _together(own, counts.withColumnRenamed("__run", "__of_run"), on, F.col("__run") == F.col("__of_run"))
+    keyed = keyed.groupBy(*on, a).agg(F.min(F.struct("__n", "__run"))["__run"].alias("__key"))
+    return _together(keyed, held, on, F.col("__key") == F.col("__run")).filter(F.contains(b, F.col(a))).select(*on, a, b)
+
+
+def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame:
+    """group, inner, outer: distinct names of a group of which one lies in another, different one, ignoring case."""
     low = names.select(*group, F.col(name).alias("n"), F.lower(name).alias("low")).filter("low <> ''").distinct()
-    runs = lambda size: F.transform(F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
-    some = lambda size: F.when(F.length("low") >= size, runs(size)).otherwise(F.array().cast("array<string>"))
-    key = F.when(F.length("low") <= 3, F.col("low")).otherwise(F.array_min(F.transform(runs(3), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"])
-    inner = low.select(*group, F.col("n").alias("inner"), F.col("low").alias("__i"), key.alias("__k"))
-    outer = low.select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("n").alias("outer"), F.col("low").alias("__o"), F.explode(F.array_distinct(F.concat(some(1), some(2), some(3)))).alias("__run"))
-    on = F.col("__k") == F.col("__run")
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
-    return inner.join(outer, on).filter((F.col("inner") != F.col("outer")) & F.contains("__o", F.col("__i"))).select(*group, "inner", "outer")
+    pairs = contained_pairs(low.withColumnRenamed("low", "i"), low.withColumnRenamed("low", "o"), group, "i", "o")
+    inner = _together(pairs, low.select(*group, F.col("n").alias("inner"), "low"), group, F.col("i") == F.col("low")).drop("low")
+    both = _together(inner, low.select(*group, F.col("n").alias("outer"), "low"), group, F.col("o") == F.col("low"))
+    return both.filter(F.col("inner") != F.col("outer")).select(*group, "inner", "outer")
+
+
+def prefix_candidates(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+    """on, a, b: pairs of distinct texts that may share distinct characters in number of at least `least` times the longer length.
+
+    A text of n characters needs ceil(least * n) shared ones. Of its distinct characters, the rarest first, all but that many
+    and one are its prefix: two texts that share enough share a character of their prefixes. The lengths must allow it as well. Texts
+    with fewer distinct characters than they need have no prefix: nothing is lost, for they can't share enough.
+    """
+    need = lambda x: F.ceil(F.lit(least) * F.length(x) - 1e-9)
+    letters = lambda df, x: df.select(*on, F.col(x).alias("__t")).distinct().withColumn("__l", distinct_letters(F.col("__t")))
+    sides = [letters(left, a), letters(right, b)]
+    every = sides[0].unionByName(sides[1]).select(F.explode("__l").alias("__c"))
+    counts = every.groupBy("__c").agg(F.count("*").alias("__n"))
+
+    def prefixes(side: DataFrame, x: str) -> DataFrame:
+        each = side.filter(F.size("__l") >= need("__t")).select(*on, "__t", F.size("__l").alias("__d"), F.explode("__l").alias("__c")).join(checked_broadcast(counts), "__c")
+        rare = each.groupBy(*on, "__t", "__d").agg(F.array_sort(F.collect_list(F.struct("__n", "__c"))).alias("__l"))
+        first = F.slice("__l", F.lit(1), (F.col("__d") - need("__t") + 1).cast("int"))
+        return rare.select(*on, F.col("__t").alias(x), F.col("__d").alias(f"__d_{x}"), F.explode(F.transform(first, lambda c: c["__c"])).alias(f"__c_{x}"))
+
+    p, q = prefixes(sides[0], "__a"), prefixes(sides[1], "__b")
+    met = _together(p, q, on, F.col("__c___a") == F.col("__c___b"))
+    longest = F.greatest(need("__a"), need("__b"))
+    return met.filter((F.col("__d___a") >= longest) & (F.col("__d___b") >= longest)).select(*on, F.col("__a").alias(a), F.col("__b").alias(b)).distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+    """on, a, b, score: all pairs of distinct name cores of the same `on` whose similarity is at least `least` (0.88 at most).
+
+    Equal and containing names meet by a rare run, others by an exact prefix filter on their rarest characters: no pair is made of
+    names that have only `on` in common.
+    """
+    own = lambda df, x, y: df.select(*on, F.col(x).alias(y)).filter(F.col(y) != "").distinct()
+    p, q = own(left, a, "__p"), own(right, b, "__q")
+    low = lambda df, x: df.select(*on, F.lower(x).alias(f"{x}_low")).distinct()
+    lp, lq = low(p, "__p"), low(q, "__q")
+    inside = contained_pairs(lp, lq, on, "__p_low", "__q_low").unionByName(contained_pairs(lq, lp, on, "__q_low", "__p_low").select(*on, "__p_low", "__q_low")).distinct()
+    # Back to the names as they are written.
+    inside = _together(inside, p, on, F.col("__p_low") == F.lower("__p"))
+    inside = _together(inside, q, on, F.col("__q_low") == F.lower("__q")).select(*on, "__p", "__q")
+    some = inside.unionByName(prefix_candidates(p, q, on, "__p", "__q", least)).distinct()
+    return some.select(*on, F.col("__p").alias(a), F.col("__q").alias(b), core_similarity(F.col("__p"), F.col("__q")).alias("score")).filter(F.col("score") >= least)
 
 
 def without_fragments(rows: DataFrame, group: list[str], name: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import project_code_key, supplier_compatible
-from ..functions.text import similarity
+from ..functions.codes import keys_compatible, org_match_key, project_code_key
+from ..functions.text import name_core, similarity
 from .analytics import first_per_key
+from .joins import similar_pairs
 from .pricing import price_decision
 
 NAME_ALIKE = 0.55
@@ -32,23 +33,29 @@ def link(awards: DataFrame, others: DataFrame, key: str, other_key: str, supplie
     """The best other row of each award: by package number and project code, else by package number and a like project name.
 
     Both sides: package_no, lot_no, lot_name, project_code, project_name (and supplier). Columns of `others` come out
-    prefixed o_, with `match`. Package numbers are small and common, so the first join takes the code into its key; only awards
-    that it leaves without a row, and only against names, meet all rows of their package number.
+    prefixed o_, with `match`. Package numbers are small and common, so no join has them alone: the first takes the code into its key, the
+    second, for awards that the first leaves without a row, the pairs of like names that a similarity join finds. Match keys of
+    suppliers and cores of names are computed once a row.
     """
-    o = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns]).withColumn("__ocode", project_code_key(F.col("o_project_code")))
-    a = awards.withColumn("__code", project_code_key(F.col("project_code"))).filter("package_no <> ''")
+    o = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns]).withColumns({"__ocode": project_code_key(F.col("o_project_code")), "__oname": name_core(F.col("o_project_name"))})
+    a = awards.withColumns({"__code": project_code_key(F.col("project_code")), "__name": name_core(F.col("project_name"))}).filter("package_no <> ''")
+    if suppliers:
+        o, a = o.withColumn("__okey", org_match_key(F.col("o_supplier"))), a.withColumn("__key", org_match_key(F.col("supplier")))
     best = [F.desc("match"), F.col(f"o_{other_key}")]
 
     def fitting(met: DataFrame) -> DataFrame:
         met = met.filter(lot_compatible(F.col("lot_no"), F.col("o_lot_no"), F.col("lot_name"), F.col("o_lot_name")))
-        return met.filter(supplier_compatible(F.col("supplier"), F.col("o_supplier"))) if suppliers else met
+        return met.filter(keys_compatible(F.col("__key"), F.col("__okey"))) if suppliers else met
 
     same = F.col("package_no") == F.col("o_package_no")
     by_code = fitting(a.filter("__code <> ''").join(o, same & (F.col("__code") == F.col("__ocode")))).withColumn("match", F.lit(1.0))
     by_code = first_per_key(by_code, [key], best)
-    rest = fitting(a.filter("trim(coalesce(project_name, '')) <> ''").join(by_code.select(key), key, "left_anti").join(o, same))
-    rest = rest.withColumn("match", similarity(F.col("project_name"), F.col("o_project_name"))).filter(F.col("match") >= NAME_ALIKE)
-    return by_code.unionByName(first_per_key(rest, [key], best)).drop("__code", "__ocode")
+    rest = a.filter("__name <> ''").join(by_code.select(key), key, "left_anti")
+    names = similar_pairs(rest, o.withColumnRenamed("o_package_no", "package_no"), ["package_no"], "__name", "__oname", NAME_ALIKE)
+    alike = names.select("package_no", "__name", F.col("__oname").alias("__oalike"), F.col("score").alias("match"))
+    met = rest.join(alike, ["package_no", "__name"]).join(o, same & (F.col("__oalike") == F.col("__oname"))).drop("__oalike")
+    by_name = first_per_key(fitting(met), [key], best)
+    return by_code.unionByName(by_name.select(*by_code.columns)).drop("__code", "__ocode", "__name", "__oname", "__key", "__okey")
 
 
 def closures(awards: DataFrame, candidates: DataFrame, tenders: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import supplier_compatible
+from ..functions.codes import keys_compatible, org_match_key
+from ..session import settled
 from .analytics import first_per_key
 from .joins import components, contained_either_way, pairs_in_block
 from .scoring import points
 
 
-COMPARED = ["source", "outcome_type", "rank", "supplier", "package_no", "sequence_no", "page", "evidence", "lot_no", "lot_name", "amount"]
+SUPPLIER_KEY = "__supplier_key"
+COMPARED = ["source", "outcome_type", "rank", "supplier", "package_no", "sequence_no", "page", "evidence", "lot_no", "lot_name", "amount"]  # and, with_keys, SUPPLIER_KEY
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Outcome records with the match key of their supplier: cleaned once a row, compared once a pair."""
+    return rows.withColumn(SUPPLIER_KEY, org_match_key(F.col("supplier")))
 
 
 def _both(c: str, same: Column | None = None) -> Column:
@@ -28,9 +34,9 @@ def _compatible(c: str) -> Column:
 
 
 def outcome_pair_score() -> Column:
-    """Points of a pair of outcome records over COMPARED; 0 where type, rank, supplier, package or lots contradict each other."""
+    """Points of a pair of outcome records over COMPARED and SUPPLIER_KEY; 0 where type, rank, supplier, package or lots contradict each other."""
     clash = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
-    supplier = supplier_compatible(F.col("supplier_a"), F.col("supplier_b"))
+    supplier = keys_compatible(F.col(f"{SUPPLIER_KEY}_a"), F.col(f"{SUPPLIER_KEY}_b"))
     page = _both("page")
     evidence_ = _both("evidence", (F.upper("evidence_a") == F.upper("evidence_b")) | ((F.least(F.length("evidence_a"), F.length("evidence_b")) >= 12) & contained_either_way(F.col("evidence_a"), F.col("evidence_b"))))
     hard = (F.col("outcome_type_a") == F.col("outcome_type_b")) & ~clash("rank") & supplier & ~clash("package_no") & _compatible("lot_no") & _compatible("lot_name")
@@ -66,23 +72,28 @@ def merge_records(rows: DataFrame, block: list[str], key: str, compared: list[st
     return filled.select(*out, *([F.col("__n").alias(members)] if members else []))
 
 
-def greedy_uncovered(rows: DataFrame, group: list[str], order: list[str], covers, schema: str | None = None) -> DataFrame:
-    """Rows of a group, in order, that no row kept so far covers: a sequential choice inside one group.
+def greedy_uncovered(rows: DataFrame, on: list[str], key: str, order: list[Column], covers: Column) -> DataFrame:
+    """Rows that a walk in order keeps: one falls if a row kept before it covers it, and a row that fell covers nothing.
 
-    covers(kept: dict, row: dict) -> bool. Groups are single documents; a group is bounded by one document's records.
+    covers: over the columns of the row before, suffixed _a, and of the row in question, suffixed _b; only rows equal in `on` meet. `order` must be
+    total and `key` unique. The walk is done in rounds over all groups at once: a row stays when all rows that cover it fell, and falls when one of them stays;
+    there are as many rounds as the longest chain of such decisions. Undecided rows alone enter the next round.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        places = []
-        ordered = pdf.sort_values(order, kind="stable")
-        for i, row in zip(ordered.index, ordered.to_dict("records"), strict=True):
-            if not any(covers(k, row) for k in kept):
-                kept.append(row)
-                places.append(i)
-        return pdf.loc[places]
-
-    return rows.groupBy(*group).applyInPandas(walk, schema or rows.schema)
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(*order))
+    placed = settled(rows.withColumn("__place", place), "placed")
+    side = lambda s: placed.select(*on, *[F.col(c).alias(f"{c}{s}") for c in placed.columns if c not in on])
+    met = side("_a").join(side("_b"), on).filter((F.col("__place_a") < F.col("__place_b")) & covers)
+    edges = settled(met.select(F.col(f"{key}_a").alias("by"), F.col(f"{key}_b").alias("row")), "covers")
+    fell = None
+    while not edges.isEmpty():
+        # A row that covers and that nothing undecided covers stays: what it covers falls, and so what those cover is free of them.
+        stays = edges.select("by").distinct().join(edges.select(F.col("row").alias("by")).distinct(), "by", "left_anti")
+        falls = settled(edges.join(stays, "by", "left_semi").select("row").distinct(), "fell")
+        fell = falls if fell is None else fell.unionByName(falls)
+        left = edges.join(falls, "row", "left_anti").join(falls.select(F.col("row").alias("by")), "by", "left_anti")
+        edges = settled(left, "covers")
+    out = placed.drop("__place")
+    return out if fell is None else out.join(fell.select(F.col("row").alias(key)), key, "left_anti").select(*rows.columns)
 
 
 def less_specific_pruned(rows: DataFrame, group: list[str], package: str, supplier: str, lot_no: str, lot_name: str, order: list[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import RATE_OR_SCORE, TEN_THOUSAND
 from ..functions.text import contains_any
-from .joins import contained_either_way
+from .joins import contained_pairs
 
 SCORE = "decimal(5,2)"
 
@@ -117,21 +117,27 @@ def quality_score(keys: DataFrame, issues: DataFrame, key: str, reparse: list[st
     return out.select(key, "score", "risk", n("issue_count").alias("issue_count"), n("high_count").alias("high_count"), advice.alias("recommendation"))
 
 
-def evidence_checks(requirements: DataFrame, documents: DataFrame, key: list[str], block: list[str], as_of: Column) -> DataFrame:
+def evidence_checks(requirements: DataFrame, documents: DataFrame, block: list[str], as_of: Column) -> DataFrame:
     """Each requirement with its best document and state: Missing, Expired, ExpiringSoon or Valid.
 
-    requirements: key columns, block columns, required_type; documents: block columns, document_id, document_type,
+    requirements: block columns, required_type and others; documents: block columns, document_id, document_type,
     document_name, status, valid_to. A document fits if its type or name holds the required one or lies in it; valid ones go before
-    others, then the latest expiry, then the smallest id: a partial maximum per requirement.
+    others, then the latest expiry, then the smallest id. A block may be large: documents are reduced to the best of each text, and
+    only distinct texts meet, by a run of characters.
     """
-    fits = contained_either_way(F.col("document_type"), F.col("required_type")) | contained_either_way(F.col("document_name"), F.col("required_type"))
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     rank = F.struct((F.col("status") == "Valid").alias("good"), F.coalesce(F.col("valid_to"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("until"), (-F.col("document_id")).alias("first"), "status", "valid_to")
-    best = requirements.join(documents, block).filter(fits).groupBy(*key).agg(F.max(rank).alias("__d"))
+    # The best document of each text; then of each asked type over the texts that fit, before it meets the requirements.
+    held = documents.withColumn("__r", rank).select(*block, "__r", F.explode(F.array(low("document_type"), low("document_name"))).alias("__text")).groupBy(*block, "__text").agg(F.max("__r").alias("__r"))
+    asked = requirements.withColumn("__asked", low("required_type"))
+    texts = held.select(*block, "__text")
+    pairs = contained_pairs(asked, texts, block, "__asked", "__text").unionByName(contained_pairs(texts, asked, block, "__text", "__asked").select(*block, "__asked", "__text")).distinct()
+    best = pairs.join(held, [*block, "__text"]).groupBy(*block, "__asked").agg(F.max("__r").alias("__d"))
     state = (
         F.when(F.col("__d").isNull(), "Missing").when((F.col("__d.status") == "Expired") | (F.col("__d.valid_to") < as_of), "Expired")
         .when((F.col("__d.status") == "ExpiringSoon") | (F.col("__d.valid_to") <= as_of + F.expr("INTERVAL 30 DAYS")), "ExpiringSoon").otherwise("Valid")
     )
-    return requirements.join(best, key, "left").select(*requirements.columns, (-F.col("__d.first")).alias("document_id"), F.coalesce(state, F.lit("Valid")).alias("state"))
+    return asked.join(best, [*block, "__asked"], "left").select(*requirements.columns, (-F.col("__d.first")).alias("document_id"), F.coalesce(state, F.lit("Valid")).alias("state"))
 
 
 def resolved_amounts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

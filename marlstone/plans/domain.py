@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, masking, text
 from ..functions.money import parse_rate
 from ..operators import joins as J
-from ..operators import merging
+from ..operators import linkage, merging
 from ..operators import scoring
 from ..operators.pricing import price_decision
 from ..session import table
@@ -290,5 +290,39 @@ def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     there = lambda x: c(x).isNotNull().desc()
     best = [F.desc("trust"), F.desc("strength"), there("lot_no"), there("package_no"), there("amount"), F.desc("confidence"), c("id")]
-    merged = merging.merge_records(rows, ["notice"], "id", merging.COMPARED, merging.outcome_pair_score(), merging.outcome_threshold(), best, ["rank", "package_no", "lot_no", "amount"], [F.desc("strength"), c("id")], "members")
+    merged = merging.merge_records(merging.with_keys(rows), ["notice"], "id", [*merging.COMPARED, merging.SUPPLIER_KEY], merging.outcome_pair_score(), merging.outcome_threshold(), best, ["rank", "package_no", "lot_no", "amount"], [F.desc("strength"), c("id")], "members")
     return merged.select("notice", "id", "members", "rank", "package_no", "lot_no", c("amount").cast("double").alias("amount"))
+
+
+SIMILAR = """with n as (select distinct p_size, regexp_replace(p_name || p_type || p_brand || p_container, '[\\s[:punct:]]', '', 'g') as k from (select *, chr(cast(65 + p_partkey % 26 as int)) || chr(cast(97 + p_partkey % 19 as int)) as p_container from part)),
+p as (select a.p_size, a.k as a, b.k as b, case when lower(a.k) = lower(b.k) then 1.0 when contains(lower(a.k), lower(b.k)) or contains(lower(b.k), lower(a.k)) then 0.88
+else len(list_intersect(string_split(a.k, ''), string_split(b.k, ''))) / greatest(length(a.k), length(b.k)) end as score from n a join n b on a.p_size = b.p_size and a.k < b.k)
+select p_size, a, b, round(score, 6) as score from p where score >= 0.6"""
+
+
+@query(SIMILAR)
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN12, SC21: all pairs of like names of a group, by an index on their rarest characters and runs."""
+    n = F.col("p_partkey")
+    ends = F.concat(F.chr(65 + n % 26), F.chr(97 + n % 19))
+    names = table(spark, sf_dir, "part").select("p_size", text.name_core(F.concat("p_name", "p_type", "p_brand", ends)).alias("k"))
+    pairs = J.similar_pairs(names.withColumnRenamed("k", "a"), names.withColumnRenamed("k", "b"), ["p_size"], "a", "b", 0.6)
+    return pairs.filter("a < b").select("p_size", "a", "b", F.round("score", 6).alias("score"))
+
+
+@query("""with r as (select o_orderkey as id, o_orderstatus as s, o_custkey % 50 as package, 'S' || o_custkey % 7 || '电力有限公司' as supplier, p_name || ' ' || p_brand || ' ' || p_type as name from orders join part on p_partkey = o_custkey % (select max(p_partkey) from part) + 1),
+k as (select *, regexp_replace(name, '[\\s[:punct:]]', '', 'g') as k from r),
+m as (select a.id as award_id, b.id as candidate_id, case when lower(a.k) = lower(b.k) then 1.0 when contains(lower(a.k), lower(b.k)) or contains(lower(b.k), lower(a.k)) then 0.88 else len(list_intersect(string_split(a.k, ''), string_split(b.k, ''))) / greatest(length(a.k), length(b.k)) end as score
+from k a join k b on a.package = b.package and a.supplier = b.supplier and a.s = 'F' and b.s = 'P'),
+n as (select *, row_number() over (partition by award_id order by score desc, candidate_id) as n from m where score >= 0.55)
+select award_id, candidate_id, round(score, 6) as score from n where n = 1""")
+def award_links_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN12, JN13: the candidate of each award where no code tells: by package, compatible supplier and the likest project name."""
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    names = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("project_name"))
+    most = part.agg(F.max("p_partkey").alias("most"))
+    rows = orders.join(F.broadcast(most)).withColumn("p_partkey", F.col("o_custkey") % F.col("most") + 1).join(names, "p_partkey")
+    rows = rows.select(F.col("o_orderkey").alias("id"), "o_orderstatus", (F.col("o_custkey") % 50).cast("string").alias("package_no"), *[F.lit("").alias(c) for c in ("lot_no", "lot_name", "project_code")], "project_name", F.concat(F.lit("S"), F.col("o_custkey") % 7, F.lit("电力有限公司")).alias("supplier"))
+    of = lambda s, key: rows.filter(F.col("o_orderstatus") == s).drop("o_orderstatus").withColumnRenamed("id", key)
+    out = linkage.link(of("F", "award_id"), of("P", "candidate_id"), "award_id", "candidate_id", True)
+    return out.select("award_id", F.col("o_candidate_id").alias("candidate_id"), F.round("match", 6).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..context import AccessContext
 from ..functions import classify, codes, text
 from ..operators import analytics as A
-from ..operators import linkage, merging, scoring
+from ..operators import linkage, merging, numbering, scoring
 from ..session import table
 from ..sources import sinks
 from ..sources.catalog import Catalog, TableScope
@@ -299,7 +299,7 @@ def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     needs = table(spark, sf_dir, "part").select(k, (k % 10).alias("s"), F.concat(F.lit("T"), k % 7).alias("required_type"))
     docs = _orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("s"), F.col("id").alias("document_id"), F.lit("").alias("document_type"), F.concat(F.lit("Type T"), F.col("id") % 9).alias("document_name"), _status("Expired", "Valid", "ExpiringSoon").alias("status"), F.col("day").alias("valid_to"))
-    out = scoring.evidence_checks(needs, docs, ["p_partkey"], ["s"], F.lit("1998-07-01").cast("timestamp_ntz"))
+    out = scoring.evidence_checks(needs, docs, ["s"], F.lit("1998-07-01").cast("timestamp_ntz"))
     return out.select("p_partkey", "document_id", "state")
 
 
@@ -464,3 +464,31 @@ def operations_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     for df in frames:
         out = out.unionByName(df.unpivot([], df.columns, "metric", "n"))
     return out
+
+
+@query("""with recursive l as (select l_orderkey as g, l_linenumber as line, l_quantity as q, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem),
+r as (select g, n, [line] as kept, [n] as places from l where n = 1
+union all select l.g, l.n, case when list_any_value(list_filter(r.kept, lambda k: abs(k - l.line) <= 1)) is null then list_append(r.kept, l.line) else r.kept end,
+  case when list_any_value(list_filter(r.kept, lambda k: abs(k - l.line) <= 1)) is null then list_append(r.places, l.n) else r.places end from r join l on l.g = r.g and l.n = r.n + 1),
+w as (select g, max_by(places, n) as places from r group by g)
+select g, unnest(places) as place from w""")
+def uncovered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DA13: the sequential pass: in order of quantity, lines that no line kept before them stands next to; in rounds over all orders."""
+    order = [F.desc("l_quantity"), *[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]]
+    rows = A.ranked(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, "place").select(F.col("l_orderkey").alias("g"), "place", F.col("l_linenumber").alias("line"), F.struct("l_orderkey", "place").alias("key"))
+    next_to = F.abs(F.col("line_a") - F.col("line_b")) <= 1
+    return merging.greedy_uncovered(rows, ["g"], "key", [F.col("place")], next_to).select("g", "place")
+
+
+@query("""with p as (select o_orderkey, case when o_orderstatus = 'F' then (select max(o_orderkey) from orders) + row_number() over (partition by o_orderstatus = 'F' order by o_orderdate, o_orderkey) else o_orderkey end as id, coalesce(case when o_orderpriority <> '5-LOW' then o_orderpriority end, 'none') as note from orders)
+select p.id, note, count(l_orderkey) as n, sum(case when l_orderkey is not null then l_linenumber else 0 end)::bigint as lines from p left join lineitem on l_orderkey = o_orderkey group by 1, 2""")
+def numbered_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4: a batch to insert: gapless ids for the rows without one, defaults for nulls, ids filled into the children."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders")
+    batch = orders.select(F.when(c("o_orderstatus") != "F", c("o_orderkey")).alias("id"), c("o_orderkey").alias("ref"), "o_orderdate", F.when(c("o_orderpriority") != "5-LOW", c("o_orderpriority")).alias("note"))
+    last = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    rows = numbering.for_insert(batch, "id", last, {"note": F.lit("none")}, "ignore", [c("o_orderdate"), c("ref")])
+    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("ref"), F.lit(None).cast("long").alias("order_id"), "l_linenumber")
+    each = numbering.back_filled(lines, rows, "ref", "id", "order_id").groupBy(c("order_id").alias("id")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+    return rows.join(each, "id", "left").select("id", "note", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lines", F.lit(0)).alias("lines"))

@@ -140,7 +140,7 @@ def test_merge_and_quality(spark):
     df = spark.createDataFrame(data, "id long, doc string, name string, q long, note string")
     got = merging.merge_records(df, ["doc"], "id", ["name"], F.when(F.col("name_a") == F.col("name_b"), 70).otherwise(0), 65, [F.desc("q"), F.col("id")], ["note"])
     assert rows(got, "id", "note") == [(1, "x"), (3, "y"), (4, None)]
-    kept = merging.greedy_uncovered(df, ["doc"], ["id"], lambda k, r: k["name"] == r["name"])
+    kept = merging.greedy_uncovered(df, ["doc"], "id", [F.col("id")], F.col("name_a") == F.col("name_b"))
     assert rows(kept, "id") == [(1,), (3,), (4,)]
     issues = scoring.quality_issues(df, "id", [("A", "High", "q", F.col("q") > 4), ("B", "Low", "q", F.col("q") > 100)])
     got = scoring.quality_score(df.select("id"), issues, "id", ["A"])
