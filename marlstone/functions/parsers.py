@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import from_texts
 from .codes import clean_org_name, extract_lot_no, extract_project_code, extract_project_name, normalize_package_no
 from .money import parse_money
 from .text import text_or_empty
@@ -21,26 +20,23 @@ DATES = {"publish_time": "发布时间|公告时间|发布日期", "bid_deadline
 BUYER_LABELS, AGENCY_LABELS = "采购人|招标人|采购单位", "采购代理机构|招标代理机构|代理机构"
 
 
-def outcome_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line, package_no, supplier, amount: suppliers named line by line, each under the package last named above, with the amount that follows it before the next."""
-    kind = dict(docs.dtypes)[key]
+def _outcomes(text: str) -> list[list]:
+    rows: list[list] = []
+    package, last = "", None
+    for n, line in enumerate(text.split("\n"), 1):
+        if m := PACKAGE_LINE.search(line):
+            package, last = m[1] or m[2], None
+        if m := SUPPLIER_LINE.search(line):
+            last = [n, package, m[1], None]
+            rows.append(last)
+        if (m := AMOUNT_LINE.search(line)) and last is not None and last[3] is None:
+            last[3] = m[1]
+    return rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[list] = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                package, last = "", None
-                for n, line in enumerate(t.split("\n") if isinstance(t, str) else [], 1):
-                    if m := PACKAGE_LINE.search(line):
-                        package, last = m[1] or m[2], None
-                    if m := SUPPLIER_LINE.search(line):
-                        last = [k, n, package, m[1], None]
-                        rows.append(last)
-                    if (m := AMOUNT_LINE.search(line)) and last is not None and last[4] is None:
-                        last[4] = m[1]
-            yield pd.DataFrame(rows, columns=[key, "line", "package", "name", "amount"])
 
-    found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, line int, package string, name string, amount string")
+def outcome_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, line, package_no, supplier, amount: suppliers named line by line, each under the package last named above, with the amount that follows it before the next."""
+    found = from_texts(docs, key, text, _outcomes, "line int, package string, name string, amount string")
     return found.select(key, "line", normalize_package_no(F.col("package")).alias("package_no"), clean_org_name(F.col("name")).alias("supplier"), parse_money(F.col("amount")).alias("amount"))
 
 

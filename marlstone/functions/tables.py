@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import from_texts
 from .codes import clean_org_name, normalize_package_no, parse_rank
 from .money import WRITTEN_DIGITS, amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
 from .text import clean_value, let
@@ -168,22 +168,37 @@ def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
     return out
 
 
+# What columns are looked for, by group: fields of results and tenders, of procurement lists, what is asked of suppliers, candidates side by side.
+WANTED = {"fields": FIELDS, "listed": LISTED, "asked": ASKED, "candidates": {"first": [CANDIDATES[0]], "second": [CANDIDATES[1]], "third": [CANDIDATES[2]], "any": CANDIDATES}}
+_PLACES = ", ".join(f"{group}: struct<{', '.join(f'{name}: int' for name in names)}>" for group, names in WANTED.items())
+ROWS = f"table_index int, row_index int, headers array<string>, cells array<string>, raw string, places struct<{_PLACES}>"
+
+
+@lru_cache(maxsize=4096)
+def places_of(headers: tuple[str, ...]) -> dict:
+    """The 0-based place of every wanted column among a table's headers: the first header that holds an alias, earlier aliases first."""
+    clean = [re.sub(r"[\s（）()：:]", "", h, flags=re.ASCII) for h in headers]
+    first = lambda words: next((k for w in words for k, h in enumerate(clean) if w in h), None)
+    return {group: {name: first(words) for name, words in names.items()} for group, names in WANTED.items()}
+
+
+def table_rows(found: list[tuple[list[str], list[list[str]]]]) -> list[tuple]:
+    """ROWS of tables given as headers and rows; the places of columns are found once a table."""
+    return [(ti, ri, headers, cells, " | ".join(cells), places_of(tuple(headers))) for ti, (headers, body) in enumerate(found) for ri, cells in enumerate(body)]
+
+
 def parse_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw: one row per table row of each text; null text has none."""
-    kind = dict(docs.dtypes)[key]
+    """key, table_index, row_index, headers, cells, raw, places: one row per table row of each text; null text has none."""
+    return from_texts(docs, key, text, lambda t: table_rows(tables_of(t)), ROWS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, ti, ri, headers, cells, " | ".join(cells))
-                for k, t in zip(batch[key], batch[text], strict=True)
-                if isinstance(t, str)
-                for ti, (headers, body) in enumerate(tables_of(t))
-                for ri, cells in enumerate(body)
-            ]
-            yield pd.DataFrame(rows, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
+def with_places(tables: DataFrame) -> DataFrame:
+    """tables with `places`, also where they come from elsewhere: found once for each list of headers."""
+    if "places" in tables.columns:
+        return tables
+    groups = [F.struct(*[find_column(F.col("headers"), words).cast("int").alias(name) for name, words in names.items()]).alias(group) for group, names in WANTED.items()]
+    known = tables.select("headers").distinct().withColumn("places", F.struct(*groups))
+    return tables.join(known, "headers").select(*tables.columns, "places")
 
 
 def find_column(headers: Column, aliases: list[str]) -> Column:
@@ -198,13 +213,13 @@ def find_column(headers: Column, aliases: list[str]) -> Column:
     return let(clean, first)
 
 
-def cell(field: str) -> Column:
+def cell(field: str, group: str = "fields") -> Column:
     """Text of the cell under a field's header; empty if there is none."""
-    return clean_value(F.get("cells", find_column(F.col("headers"), FIELDS[field]).cast("int")))
+    return clean_value(F.get("cells", F.col(f"places.{group}.{field}")))
 
 
-def _header(field: str) -> Column:
-    return F.get("headers", find_column(F.col("headers"), FIELDS[field]).cast("int"))
+def _header(field: str, group: str = "fields") -> Column:
+    return F.get("headers", F.col(f"places.{group}.{field}"))
 
 
 def filled(tables: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -217,7 +232,7 @@ def filled(tables: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def award_rows(tables: DataFrame, key: str) -> DataFrame:
     """Award evidence: package, lot, supplier, amount of each row that names a supplier."""
-    rows = tables.withColumns({"package": cell("package_no"), "lot_no": cell("lot_no"), "lot_name": cell("lot_name"), "name": cell("supplier")})
+    rows = with_places(tables).withColumns({"package": cell("package_no"), "lot_no": cell("lot_no"), "lot_name": cell("lot_name"), "name": cell("supplier")})
     rows = filled(rows, key, ["package", "lot_no", "lot_name"]).filter("name <> ''")
     amount = parse_money(cell("amount"), unit_context(_header("amount"), F.lit("")))
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), "lot_no", "lot_name", clean_org_name(F.col("name")).alias("supplier"), amount.alias("amount"), "raw")
@@ -225,20 +240,20 @@ def award_rows(tables: DataFrame, key: str) -> DataFrame:
 
 def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
     """Candidate evidence, ranked by a column, or unpivoted from the first to third candidate's columns."""
-    rows = filled(tables.withColumn("package", cell("package_no")), key, ["package"])
+    rows = filled(with_places(tables).withColumn("package", cell("package_no")), key, ["package"])
     package = normalize_package_no(F.col("package")).alias("package_no")
     down = rows.withColumn("name", cell("supplier")).filter("name <> ''").select(
         key, "table_index", "row_index", package, parse_rank(cell("rank")).alias("rank"), clean_org_name(F.col("name")).alias("supplier"), parse_money(cell("amount"), unit_context(_header("amount"), F.lit(""))).alias("amount")
     )
-    across = F.array(*[F.struct(F.lit(i + 1).alias("rank"), clean_value(F.get("cells", find_column(F.col("headers"), [w]).cast("int"))).alias("name")) for i, w in enumerate(CANDIDATES)])
-    wide = rows.filter(find_column(F.col("headers"), CANDIDATES).isNotNull()).select(key, "table_index", "row_index", package, F.inline(across)).filter("name <> ''")
+    across = F.array(*[F.struct(F.lit(i + 1).alias("rank"), cell(place, "candidates").alias("name")) for i, place in enumerate(("first", "second", "third"))])
+    wide = rows.filter(F.col("places.candidates.any").isNotNull()).select(key, "table_index", "row_index", package, F.inline(across)).filter("name <> ''")
     wide = wide.select(key, "table_index", "row_index", "package_no", "rank", clean_org_name(F.col("name")).alias("supplier"), F.lit(None).cast("decimal(18,2)").alias("amount"))
     return down.unionByName(wide)
 
 
 def tender_rows(tables: DataFrame, key: str) -> DataFrame:
     """Tender packages: scope, budget, ceiling price, guide price, qualification."""
-    rows = tables.withColumn("package", cell("package_no")).filter("package <> ''")
+    rows = with_places(tables).withColumn("package", cell("package_no")).filter("package <> ''")
     money = lambda f: parse_money(cell(f), unit_context(_header(f), F.lit(""))).alias(f)
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), cell("package_name").alias("package_name"), cell("scope").alias("scope"), money("budget"), money("ceiling"), money("guide"), cell("qualification").alias("qualification"))
 
@@ -249,9 +264,9 @@ def procurement_packages(tables: DataFrame, key: str) -> DataFrame:
     Lots are carried down; a package's number stands in its name or in a column of its own; rows without one are left out.
     Amounts are in yuan by their header's unit.
     """
-    at = lambda f: find_column(F.col("headers"), LISTED[f]).cast("int")
-    value = lambda f: clean_value(F.get("cells", at(f)))
-    rows = tables.filter(at("package_no").isNotNull() | at("package_name").isNotNull())
+    at = lambda f: F.col(f"places.listed.{f}")
+    value = lambda f: cell(f, "listed")
+    rows = with_places(tables).filter(at("package_no").isNotNull() | at("package_name").isNotNull())
     rows = filled(rows.withColumns({f: value(f) for f in ("lot_no", "lot_name")}), key, ["lot_no", "lot_name"])
     name = F.when(at("package_name").isNotNull(), value("package_name")).otherwise(value("project_name"))
     inside = normalize_package_no(F.regexp_extract(name, "(?:包|标包)\\s*([0-9一二三四五六七八九十]+)", 1))
@@ -266,8 +281,8 @@ def procurement_packages(tables: DataFrame, key: str) -> DataFrame:
 
 def asked_of_suppliers(tables: DataFrame, key: str) -> DataFrame:
     """key, table_index, row_index, kind, text: what the columns of a list ask of suppliers."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), clean_value(F.get("cells", find_column(F.col("headers"), words).cast("int"))).alias("text")) for k, words in ASKED.items()])
-    return tables.select(key, "table_index", "row_index", F.inline(each)).filter("text <> ''")
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), cell(k, "asked").alias("text")) for k in ASKED])
+    return with_places(tables).select(key, "table_index", "row_index", F.inline(each)).filter("text <> ''")
 
 
 def wrapped_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
@@ -314,20 +329,8 @@ def wrapped_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
 
 
 def wrapped_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw of tables with wrapped cells; null text has none."""
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, ti, ri, headers, cells, " | ".join(cells))
-                for k, t in zip(batch[key], batch[text], strict=True)
-                for ti, (headers, body) in enumerate(wrapped_of(t) if isinstance(t, str) else [])
-                for ri, cells in enumerate(body)
-            ]
-            yield pd.DataFrame(rows, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
+    """key, table_index, row_index, headers, cells, raw, places of tables with wrapped cells; null text has none."""
+    return from_texts(docs, key, text, lambda t: table_rows(wrapped_of(t)), ROWS)
 
 
 # Currencies, units and words around a number that make it money.
@@ -392,28 +395,25 @@ def scan_amounts(text: str) -> list[tuple[int, int, str, str, str, bool]]:
     return money + percents + sorted(folds)
 
 
+def amounts_of(text: str) -> list[tuple]:
+    """(place, text, form, number, unit, surroundings, line) of the amounts that count, each span by the first form that reads it."""
+    rows, taken = [], set()
+    for start, end, form, number, unit, currency in scan_amounts(text):
+        around = text[max(0, start - AROUND) : end + AROUND]
+        if (start, end) in taken or form == "money" and not (unit or currency or any(w in around for w in MONEY_WORDS)):
+            continue
+        taken.add((start, end))
+        rows.append((start, text[start:end].strip(), form, number, unit, around, text.count("\n", 0, start) + 1))
+    return rows
+
+
 def extract_amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, at, raw, form, value, unit, amount_type, status, reason, confidence, line: amounts, percents and folds with their places.
 
     A span is claimed by the first form that reads it. A bare number counts only among words of money. Context is
     what stands within AROUND characters, on both sides.
     """
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                taken: set[tuple[int, int]] = set()
-                for start, end, form, number, unit, currency in scan_amounts(t) if isinstance(t, str) else ():
-                    around = t[max(0, start - AROUND) : end + AROUND]
-                    if (start, end) in taken or form == "money" and not (unit or currency or any(w in around for w in MONEY_WORDS)):
-                        continue
-                    taken.add((start, end))
-                    rows.append((k, start, t[start:end].strip(), form, number, unit, around, t.count("\n", 0, start) + 1))
-            yield pd.DataFrame(rows, columns=[key, "at", "raw", "form", "number", "unit", "around", "line"])
-
-    found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, at int, raw string, form string, number string, unit string, around string, line int")
+    found = from_texts(docs, key, text, amounts_of, "at int, raw string, form string, number string, unit string, around string, line int")
     money = normalize_money(F.col("number"), F.col("unit"), F.col("around"))
     kind_ = classify_amount(F.col("around"))
     out = found.withColumns({"m": money, "kind": kind_, "share": F.bround(F.col("number").try_cast("decimal(18,8)") / 100, 6).cast("decimal(18,6)"), "fold": parse_fold(F.col("number"))})

@@ -12,6 +12,9 @@ NO_SIGNAL = r"[\s_\-—–/\\|,.，。:：;；()（）\[\]【】{}<>《》]"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
 
+TO_CLEAN = r"(?U)[&?？�　]|^\s|\s$|\s\s|[^\S ]"  # what a clean value has none of
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -28,9 +31,10 @@ def is_blank(x: Column) -> Column:
 
 def decode_entities(x: Column) -> Column:
     """The common character references; others stay."""
+    y = x
     for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+        y = F.replace(y, F.lit(name), F.lit(char))
+    return F.when(F.contains(x, F.lit("&")), y).otherwise(x)
 
 
 def is_unknown_marker(x: Column) -> Column:
@@ -45,14 +49,20 @@ def is_missing(x: Column) -> Column:
 def looks_unreadable(x: Column) -> Column:
     """Only question marks once punctuation is gone, or two of them at least and otherwise digits."""
     signal = F.regexp_replace(text_or_empty(x), "(?U)" + NO_SIGNAL, "")
-    return signal.rlike("^[?？�]+$") | signal.rlike("^(?=(?:[^?？�]*[?？�]){2})[?？�0-9]+$")
+    doubted = signal.rlike("^[?？�]+$") | signal.rlike("^(?=(?:[^?？�]*[?？�]){2})[?？�0-9]+$")
+    return F.when(text_or_empty(x).rlike("[?？�]"), doubted).otherwise(F.lit(False))
 
 
 def clean_value(x: Column) -> Column:
-    """Entities decoded, wide blanks and runs of blanks made one, markers and unreadable values emptied."""
+    """Entities decoded, wide blanks and runs of blanks made one, markers and unreadable values emptied.
+
+    Most values have nothing to clean: one pattern tells, and only the others go through all steps.
+    """
+    plain = ~text_or_empty(x).rlike(TO_CLEAN)
     y = F.regexp_replace(F.translate(decode_entities(text_or_empty(x)), "�　", "? "), r"(?U)^\s+|\s+$", "")
     y = F.regexp_replace(y, r"(?U)[^\S\r\n]+", " ")
-    return let(y, lambda z: F.when(is_unknown_marker(z) | looks_unreadable(z), F.lit("")).otherwise(z))
+    cleaned = let(y, lambda z: F.when(is_unknown_marker(z) | looks_unreadable(z), F.lit("")).otherwise(z))
+    return F.when(plain, F.when(is_unknown_marker(x), F.lit("")).otherwise(text_or_empty(x))).otherwise(cleaned)
 
 
 def clean_and_truncate(x: Column, length: int) -> Column:

@@ -311,7 +311,9 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(k, t, "o_custkey").withColumn("inner", inner)
     packed = F.when(k % 7 == 4, F.array(entry("word/document.xml", document))).when(k % 7 == 5, F.array(*xlsx)).when(k % 7 == 6, archive).otherwise(F.array().cast("array<struct<name:string,content:binary>>"))
     name = _s("f", k, _pick(k, ".txt", ".CSV", ".html", ".bin", ".docx", ".xlsx", ".zip"))
-    return files.texts_of_files(rows.select(name.alias("path"), F.when(k % 7 < 4, plain).otherwise(files.zipped(packed)).alias("content")))
+    content = rows.select(name.alias("path"), F.when(k % 7 < 4, plain).otherwise(files.zipped(packed)).alias("content"))
+    files.register_table_function(spark)
+    return spark.sql("select t.path, t.depth, t.text, t.error from {found} f, lateral file_text(f.path, f.content) t", found=content)
 
 
 @query(AWARD_SQL.replace("p * 10000", "p").replace("cast(max(case when i % 2 = 0 then l_linenumber end) over (partition by l_orderkey order by i) as varchar)", "cast(l_linenumber as varchar)"))

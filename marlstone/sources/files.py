@@ -11,8 +11,15 @@ from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+from ..functions.arrow import added
+from ..functions.tables import ROWS, table_rows
+from ..session import ready
 
 DEPTH, ENTRIES, ENTRY_BYTES = 5, 100, 20 * 1024 * 1024  # of archives: nesting, entries of one, bytes of an entry
 RUN = 4  # characters of a printable run in other binaries
@@ -133,17 +140,55 @@ def extract_files(spark: SparkSession, pattern: str) -> DataFrame:
     return texts_of_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern))
 
 
-def texts_of_files(files: DataFrame) -> DataFrame:
-    """path, depth, text, error of files given as path and content; an archive gives a row for each entry."""
-    readers = dict(READERS)
+class FileText:
+    """The table function file_text(path, content [, lines => true]): path, depth, text, error of a file or of an archive's entries.
+
+    With `lines` a row is a line and its number is a column. One reader an extension; a broken file is a row with an error.
+    """
+
+    readers: dict[str, Callable[[bytes], str]] = READERS
+
+    @staticmethod
+    def analyze(path: AnalyzeArgument, content: AnalyzeArgument, lines: AnalyzeArgument | None = None) -> AnalyzeResult:
+        for argument, kind in ((path, StringType), (content, BinaryType), (lines, BooleanType)):
+            if argument is not None and not isinstance(argument.dataType, kind):
+                raise ValueError(f"file_text(path string, content binary, lines boolean): {argument.dataType.simpleString()} in place of {kind.typeName()}")
+        if lines is not None and not lines.isConstantExpression:
+            raise ValueError("file_text: lines must be constant")
+        schema = StructType().add("path", StringType()).add("depth", IntegerType())
+        if lines is not None and lines.value:
+            schema = schema.add("line", IntegerType())
+        return AnalyzeResult(schema.add("text", StringType()).add("error", StringType()))
+
+    def eval(self, path, content, lines=False):
+        if path is None or content is None:
+            return
+        READERS.update(self.readers)
+        for p in parts_of(path, bytes(content)):
+            if not lines:
+                yield p.path, p.depth, p.text, p.error
+            elif p.text is None:
+                yield p.path, p.depth, None, None, p.error
+            else:
+                for n, line in enumerate(p.text.split("\n"), 1):
+                    yield p.path, p.depth, n, line, p.error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        READERS.update(readers)
-        for batch in batches:
-            rows = [(p.path, p.depth, p.text, p.error) for path, data in zip(batch["path"], batch["content"], strict=True) for p in parts_of(path, data)]
-            yield pd.DataFrame(rows, columns=["path", "depth", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, depth int, text string, error string")
+def register_table_function(spark: SparkSession, name: str = "file_text") -> SparkSession:
+    """Make the table function known to a session, with the readers registered so far."""
+    from pyspark.sql.functions import udtf
+
+    class Extractor(FileText):
+        readers = dict(READERS)
+
+    ready(spark).udtf.register(name, udtf(Extractor))
+    return spark
+
+
+def texts_of_files(files: DataFrame) -> DataFrame:
+    """path, depth, text, error of files given as path and content; an archive gives a row for each entry."""
+    spark = register_table_function(files.sparkSession)
+    return spark.sql("select t.* from {files} f, lateral file_text(f.path, f.content) t", files=files.select("path", "content"))
 
 
 def zipped(entries: Column) -> Column:
@@ -201,19 +246,17 @@ def rows_of_words(words: list[Word], gap: float = 12.0) -> list[list[str]]:
 
 
 def word_tables(words: DataFrame, key: str) -> DataFrame:
-    """key, table_index (the page), row_index, headers, cells, raw from word boxes: key, page, text, x0, y0, x1, y1.
+    """key, table_index (the page), row_index, headers, cells, raw, places from word boxes: key, page, text, x0, y0, x1, y1.
 
     A page's first row is its header; a row whose first cell is empty goes on with the one above. A group is one page's boxes.
     """
-    kind = dict(words.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, page, boxes in zip(batch[key], batch["page"], batch["boxes"], strict=True):
-                rows = rows_of_words([Word(b["text"], b["x0"], b["y0"], b["x1"], b["y1"]) for b in boxes])
-                out += [(k, page, i, rows[0], cells, " | ".join(cells)) for i, cells in enumerate(rows[1:])]
-            yield pd.DataFrame(out, columns=[key, "table_index", "row_index", "headers", "cells", "raw"])
+    def work(batch: pa.RecordBatch) -> tuple[list[int], list]:
+        found = []
+        for at, (page, boxes) in enumerate(zip(batch["page"].to_pylist(), batch["boxes"].to_pylist(), strict=True)):
+            rows = rows_of_words([Word(**b) for b in boxes])
+            found += [(at, page, *r[1:]) for r in table_rows([(rows[0], rows[1:])])]
+        return [r[0] for r in found], [[r[k] for r in found] for k in range(1, 7)]
 
     pages = words.groupBy(key, F.col("page").cast("int").alias("page")).agg(F.collect_list(F.struct("text", "x0", "y0", "x1", "y1")).alias("boxes"))
-    return pages.mapInPandas(run, f"{key} {kind}, table_index int, row_index int, headers array<string>, cells array<string>, raw string")
+    return added(pages, [key], work, ROWS)
