@@ -31,9 +31,10 @@ def added(rows: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], tup
 
 def from_texts(rows: DataFrame, key: str, text: str, read: Callable[[str], list[tuple]], columns: str) -> DataFrame:
     """key and the rows that `read` finds in each text; a null text has none."""
+    width = len(T._parse_datatype_string(columns))
 
     def work(batch: pa.RecordBatch) -> tuple[list[int], list]:
         found = [(at, r) for at, t in enumerate(batch[text].to_pylist()) if t is not None for r in read(t)]
-        return [at for at, _ in found], [list(c) for c in zip(*(r for _, r in found), strict=True)] or [[] for _ in T._parse_datatype_string(columns)]
+        return [at for at, _ in found], [list(c) for c in zip(*(r for _, r in found), strict=True)] or [[] for _ in range(width)]
 
     return added(rows.select(key, text), [key], work, columns)
