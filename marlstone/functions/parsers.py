@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.analytics import first_per_key
 from .arrow import from_texts
-from .codes import clean_org_name, extract_lot_no, extract_project_code, extract_project_name, normalize_package_no
+from .codes import ORG_ENDS, clean_org_name, extract_lot_no, extract_project_code, extract_project_name, normalize_package_no
 from .money import parse_money
+from .tables import award_rows, parse_tables
 from .text import text_or_empty
 
 # Line labels of the documents' language.
@@ -40,6 +43,62 @@ def outcome_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.select(key, "line", normalize_package_no(F.col("package")).alias("package_no"), clean_org_name(F.col("name")).alias("supplier"), parse_money(F.col("amount")).alias("amount"))
 
 
+PACKAGE = re.compile(r"(?:采购包|分包|标包|包|第)\s*[0-9一二三四五六七八九十]+(?:\s*包)?")
+WINNERS = ("中标供应商", "成交供应商", "中标单位", "成交单位", "中标人", "成交人")
+BETWEEN = re.compile(r"[:：=\s]*")
+NAME = re.compile(r"[一-龥A-Za-z0-9（）()·\-\s]+")
+ENDING = re.compile(f"(?:{ORG_ENDS})")
+LONGEST_NAME = 120
+
+
+def award_of_sentence(sentence: str) -> tuple[str, str] | None:
+    """(package, supplier) of the first clause that names both: a package, a mark or blank, perhaps a winner's label, a name.
+
+    A name is as far as name characters go, up to the last ending of organisations in it. Another label behind the package ends its
+    clause, for its colon is no part of a name; then the next package is tried.
+    """
+    for package in PACKAGE.finditer(sentence):
+        at = BETWEEN.match(sentence, package.end()).end()
+        if at == package.end():
+            continue
+        label = next((w for w in WINNERS if sentence.startswith(w, at)), "")
+        at = BETWEEN.match(sentence, at + len(label)).end()
+        stretch = NAME.match(sentence, at, at + LONGEST_NAME + 8)
+        ends = [m.end() for m in ENDING.finditer(stretch[0]) if m.start() >= 2] if stretch else []
+        if ends:
+            return package[0], stretch[0][: ends[-1]]
+    return None
+
+
+def _awards(text: str) -> list[tuple]:
+    found = []
+    parts = [p for p in (" ".join(unescape(x).split()) for x in re.split("[\r\n。；;]", text)) if p]
+    for n, sentence in enumerate(parts, 1):
+        if award := award_of_sentence(sentence):
+            found.append((n, *award, sentence))
+    return found
+
+
+def award_sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, sentence (from 1), package_no, supplier, raw: awards told in sentences, one a sentence."""
+    found = from_texts(docs, key, text, _awards, "sentence int, package string, name string, raw string")
+    named = found.select(key, "sentence", normalize_package_no(F.col("package")).alias("package_no"), clean_org_name(F.col("name")).alias("supplier"), "raw")
+    return named.filter("supplier <> ''")
+
+
+def award_evidence(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, part (table or sentence), place, package_no, lot_no, lot_name, supplier, amount, confidence, raw: all awards of a text, the surest of equal ones.
+
+    Rows of tables with an amount count 0.93, without one 0.88, sentences 0.72. Equal are package, supplier and text.
+    """
+    rows = award_rows(parse_tables(docs, key, text), key)
+    sure = F.when(F.col("amount").isNotNull(), 0.93).otherwise(0.88)
+    of_tables = rows.select(key, F.lit("table").alias("part"), (F.col("table_index") * 100_000 + F.col("row_index")).cast("long").alias("place"), "package_no", "lot_no", "lot_name", "supplier", "amount", sure.alias("confidence"), "raw")
+    blank = F.lit("")
+    told = award_sentences(docs, key, text).select(key, F.lit("sentence").alias("part"), F.col("sentence").cast("long").alias("place"), "package_no", blank.alias("lot_no"), blank.alias("lot_name"), "supplier", F.lit(None).cast("decimal(18,2)").alias("amount"), F.lit(0.72).alias("confidence"), "raw")
+    return first_per_key(of_tables.unionByName(told), [key, "package_no", "supplier", "raw"], [F.desc("confidence"), F.desc("part"), F.col("place")])
+
+
 def _date(x: Column, labels: str) -> Column:
     pattern = rf"(?:{labels})\s*[:：]?\s*(\d{{4}})[-年/.](\d{{1,2}})[-月/.](\d{{1,2}})日?(?:\s*(\d{{1,2}})[:：时](\d{{2}}))?"
     part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(x, pattern, i), F.lit("")), F.lit(default))

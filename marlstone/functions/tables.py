@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .arrow import from_texts
 from .codes import clean_org_name, normalize_package_no, parse_rank
 from .money import WRITTEN_DIGITS, amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
-from .text import clean_value, let
+from .text import clean_value, contains_any, let
 
 # Header words of the documents' language by the field that they name.
 FIELDS = {
@@ -28,7 +28,9 @@ FIELDS = {
     "guide": ["指导价", "指导价格", "参考价"],
     "scope": ["采购范围", "项目概况", "采购内容"],
     "qualification": ["资格要求", "专用资格", "资质要求"],
+    "status": ["中标状态", "成交状态", "状态"],
 }
+NOT_AWARDED = ["未中标", "未成交", "流标", "废标", "否决"]
 CANDIDATES = ["第一", "第二", "第三"]
 # Of procurement lists: the words of the columns that describe a package, and of those that ask something of suppliers.
 LISTED = {
@@ -231,9 +233,9 @@ def filled(tables: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def award_rows(tables: DataFrame, key: str) -> DataFrame:
-    """Award evidence: package, lot, supplier, amount of each row that names a supplier."""
+    """Award evidence: package, lot, supplier, amount of each row that names a supplier and whose status is no refusal."""
     rows = with_places(tables).withColumns({"package": cell("package_no"), "lot_no": cell("lot_no"), "lot_name": cell("lot_name"), "name": cell("supplier")})
-    rows = filled(rows, key, ["package", "lot_no", "lot_name"]).filter("name <> ''")
+    rows = filled(rows, key, ["package", "lot_no", "lot_name"]).filter("name <> ''").filter(~contains_any(cell("status"), NOT_AWARDED))
     amount = parse_money(cell("amount"), unit_context(_header("amount"), F.lit("")))
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), "lot_no", "lot_name", clean_org_name(F.col("name")).alias("supplier"), amount.alias("amount"), "raw")
 

@@ -341,3 +341,27 @@ def procurement_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(rows, line, "采购清单\n| 分标号 | 标段名称 | 标包名称 | 采购数量 | 概算金额（万元） | 行报价最高限价 | 交货地点 |\n| --- | --- | --- | --- | --- | --- | --- |\n", "\n", "\n")
     out = tables.procurement_packages(tables.parse_tables(docs, "l_orderkey"), "l_orderkey")
     return out.select("l_orderkey", "lot_no", "lot_name", "package_no", "n_rows", "package_name", *[F.col(c).cast("double").alias(c) for c in ("quantity", "budget", "max_price")], "place")
+
+
+@query("""with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i, cast(l_extendedprice as decimal(18,2)) as p from lineitem),
+s as (select *, 'S' || l_suppkey || '电力有限公司' as name, l_partkey % 7 as m, cast(1 + l_linenumber % 10 as varchar) as no from r),
+t as (select *, row_number() over (partition by l_orderkey order by i) - 1 as spot from s where l_linestatus = 'O'), u as (select *, 1 + row_number() over (partition by l_orderkey order by i) as spot from s where l_linestatus <> 'O')
+select l_orderkey, 'table' as part, spot::bigint as place, no as package_no, name as supplier, (p * 10000)::double as amount, 0.93 as confidence from t where m <> 5 qualify row_number() over (partition by l_orderkey, no, name, p order by spot) = 1
+union all select l_orderkey, 'sentence', spot, no, name, null, 0.72 from (select * from u where m not in (3, 4) qualify row_number() over (partition by l_orderkey, no, name, m order by spot) = 1)""")
+def award_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TB3: awards of tables and sentences of one text: forms of package numbers, labels in between, other labels, refused rows."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(_by_line()) - 1)
+    n = 1 + c("l_linenumber") % 10
+    name, m = _s("S", c("l_suppkey"), "电力有限公司"), c("l_partkey") % 7
+    written = F.get(F.array(*[F.lit(x) for x in "一二三四五六七八九十"]), (n - 1).cast("int"))
+    # Sentences: forms of the package and the label, a competing label, a name without an ending, two clauses of which the second counts.
+    told = _pick(m, _s("包", n, "：", name), _s("经评审，第", written, "包 中标人：", name, "中标"), _s("标包0", n, " = 成交供应商 ", name), _s("包", n, "：招标人：", name), _s("分包", n, "：某个人"), _s("采购包", written, " ", name, " 等"), _s("包9：评委：甲，包", n, "　成交人：", name))
+    refused = F.when(m == 5, "流标").otherwise("已成交")
+    row = _s("<tr><td>包", n, "</td><td>", name, "</td><td>", _cents("l_extendedprice"), "</td><td>", refused, "</td></tr>")
+    lines = rows.select("l_orderkey", "i", F.when(c("l_linestatus") != "O", told).alias("told"), F.when(c("l_linestatus") == "O", row).otherwise("<tr></tr>").alias("row"))
+    own = F.array_sort(F.collect_list(F.struct("i", "told", "row")))
+    sentences = F.array_join(F.transform(F.filter("own", lambda x: x["told"].isNotNull()), lambda x: x["told"]), "。\n")
+    made = F.concat(F.lit("公告\n"), sentences, F.lit("；\n<table><tr><th>包号</th><th>中标人</th><th>中标金额（万元）</th><th>状态</th></tr>"), F.array_join(F.transform("own", lambda x: x["row"]), ""), F.lit("</table>"))
+    docs = lines.groupBy("l_orderkey").agg(own.alias("own")).select("l_orderkey", made.alias("text"))
+    return parsers.award_evidence(docs, "l_orderkey").select("l_orderkey", "part", "place", "package_no", "supplier", c("amount").cast("double").alias("amount"), "confidence")

@@ -42,3 +42,57 @@ def test_exports(spark, tmp_path):
     with pytest.raises(PermissionError):
         exports.run_export(spark, "numbers", ctx, set(), {"n": 3}, str(tmp_path))
     assert exports.run_export(spark, "numbers", ctx, {"export.numbers"}, {"n": 3}, str(tmp_path)).count() >= 2
+
+
+def test_awards_in_sentences():
+    from marlstone.functions.parsers import award_of_sentence
+
+    cases = {
+        "包1：广州丙建设有限公司": ("包1", "广州丙建设有限公司"),
+        "第二包 中标人：北京甲科技有限公司中标": ("第二包", "北京甲科技有限公司"),
+        "标包03 = 成交供应商 某某勘察院（北京）研究院": ("标包03", "某某勘察院（北京）研究院"),
+        "包1：招标人：甲有限公司": None,
+        "包1：招标人：甲有限公司，包2 成交人 乙丙电力公司": ("包2", "乙丙电力公司"),
+        "包1甲乙有限公司": None,
+        "包1：公司": None,
+        "包1：某个人": None,
+        "": None,
+    }
+    assert {s: award_of_sentence(s) for s in cases} == cases
+
+
+def test_award_evidence_of_one_text(spark):
+    from marlstone.functions.parsers import award_evidence
+
+    text = "项目编号：P-003\n包1：广州丙建设有限公司。包1：广州丙建设有限公司；\n| 包号 | 成交人 | 成交金额（万元） | 状态 |\n| 包2 | 甲乙有限公司 | 65.88 | 成交 |\n| 包3 | 丁戊有限公司 | 1 | 流标 |\n| 包4 | 己庚有限公司 |  | |"
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, text), (None, text), (7, None)], "id long, text string").coalesce(1)
+    got = sorted((r["id"] or 0, r["part"], r["package_no"], r["supplier"], float(r["amount"] or 0), float(r["confidence"])) for r in award_evidence(docs, "id").collect())
+    one = [("sentence", "1", "广州丙建设有限公司", 0.0, 0.72), ("table", "2", "甲乙有限公司", 658800.0, 0.93), ("table", "4", "己庚有限公司", 0.0, 0.88)]
+    assert got == [(0, *r) for r in one] + [(big, *r) for r in one]
+
+
+def test_parsers_keep_large_ids_beside_nulls(spark):
+    from marlstone.functions import parsers, tables
+
+    big = 2**53 + 1
+    text = "包1\n中标人：甲乙有限公司\n中标金额：5万元\n| 包号 | 中标人 |\n| 包2 | 丙丁有限公司 |"
+    docs = spark.createDataFrame([(big, text), (None, text), (None, None)], "id long, text string").coalesce(1)
+    for frame in (parsers.outcome_lines(docs, "id"), tables.parse_tables(docs, "id"), tables.extract_amounts(docs, "id")):
+        assert {r["id"] for r in frame.collect()} == {big, None}
+    assert tables.parse_tables(docs.filter("text is null"), "id").collect() == []
+
+
+def test_file_text_in_sql(spark):
+    import pytest
+
+    from marlstone.sources import files
+
+    files.register_table_function(spark)
+    rows = spark.createDataFrame([("a.txt", b"x\ny"), ("b.html", b"<p>T</p>"), ("c.zip", b"broken"), (None, b"x"), ("d.txt", None)], "path string, content binary")
+    rows.createOrReplaceTempView("some_files")
+    got = sorted(tuple(r) for r in spark.sql("select t.path, t.line, t.text, t.error is not null from some_files f, lateral file_text(f.path, f.content, lines => true) t").collect() if r["path"] != "c.zip")
+    assert got == [("a.txt", 1, "x", False), ("a.txt", 2, "y", False), ("b.html", 1, "T", False)]
+    assert spark.sql("select t.* from some_files f, lateral file_text(f.path, f.content) t where t.error is not null").count() == 1
+    with pytest.raises(Exception, match="file_text"):
+        spark.sql("select * from file_text(1, 2)").collect()
