@@ -111,6 +111,19 @@ def less_specific_pruned(rows: DataFrame, group: list[str], package: str, suppli
     return one.join(strong, on, "left_anti")
 
 
+def upsert_organisations(old: DataFrame, seen: DataFrame, name: str, fill: list[str], update: list[str], newest: list[Column]) -> DataFrame:
+    """Master data of organisations after a load of mentions: match_key and the columns of fill_or_update.
+
+    Mentions are put together by the match key of their name, which is computed once for each distinct name; of each column the newest mention that has a value counts.
+    Names without a key (blank, only marks) name nobody. old: match_key, name, fill and update columns.
+    """
+    keys = seen.select(name).distinct().withColumn("match_key", org_match_key(F.col(name))).filter("match_key <> ''")
+    rows = seen.join(keys, name).withColumn("__place", F.row_number().over(Window.partitionBy("match_key").orderBy(*newest)))
+    columns = [name, *fill, *update]
+    new = rows.groupBy("match_key").agg(*[F.min_by(c, F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.col("__place"))).alias(c) for c in columns])
+    return fill_or_update(old, new, "match_key", [name, *fill], update)
+
+
 def fill_or_update(old: DataFrame, new: DataFrame, key: str, fill: list[str], update: list[str]) -> DataFrame:
     """Master data after a load: keys of either side; `fill` columns keep their value unless null, `update` columns take the new one unless null."""
     o, n = old.select(*[F.col(c).alias(f"o_{c}") for c in [key, *fill, *update]]), new.select(*[F.col(c).alias(f"n_{c}") for c in [key, *fill, *update]])

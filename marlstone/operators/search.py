@@ -100,6 +100,12 @@ def page(ordered: DataFrame, index: int = 1, size: int = PAGE_SIZE) -> Page:
     return Page(ordered.count(), page_rows(ordered, index, size), index, size)
 
 
+def cell_text(row: Column, names: list[str], wanted: str) -> Column:
+    """The text of a row's cell by its name: the exact name, else one that ignores case, else empty. row: a struct with those fields."""
+    exact = [n for n in names if n == wanted] or [n for n in names if n.lower() == wanted.strip().lower()]
+    return F.coalesce(row[exact[0]].cast("string"), F.lit("")) if exact else F.lit("")
+
+
 def pick_columns(rows: DataFrame, wanted: list[str]) -> DataFrame:
     """Requested columns in the requested order; names ignore case; blank, repeated and unknown ones are errors."""
     known = {c.lower(): c for c in rows.columns}

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import ladder, stage_progress
+from ..functions.money import amount_status
 from ..operators.analytics import first_per_key
+from ..operators.numbering import numbered
 
 
 def promoted(staged: DataFrame, formal: DataFrame, key: str) -> DataFrame:
@@ -14,6 +16,52 @@ def promoted(staged: DataFrame, formal: DataFrame, key: str) -> DataFrame:
     return staged.join(formal.select(key), key, "left_anti")
 
 
+def promoted_tree(notices: DataFrame, packages: DataFrame, requirements: DataFrame, formal: DataFrame, last: dict[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Formal (notices, packages, requirements) of staged notices that have none yet, each with an id of its own and its parent's.
+
+    Staged rows: staging_id, parent_id (of notices the raw notice). formal: raw_id of formal notices that stand already: a second run, or a notice
+    of the same raw notice, gives nothing. last: the last id given out for `notices`, `packages`, `requirements`; ids go on
+    gapless by staging id.
+    """
+    new = first_per_key(notices, ["parent_id"], [F.col("staging_id")]).join(formal.select(F.col("raw_id").alias("parent_id")), "parent_id", "left_anti")
+
+    def numbered_(rows: DataFrame, what: str) -> DataFrame:
+        return numbered(rows, "id", last[what] + 1, [F.col("staging_id")])
+
+    def under(rows: DataFrame, parents: DataFrame) -> DataFrame:
+        ids = parents.select(F.col("staging_id").alias("parent_id"), F.col("id").alias("formal_parent_id"))
+        return rows.join(ids, "parent_id")
+
+    of_notices = numbered_(new, "notices").withColumn("formal_parent_id", F.col("parent_id"))
+    of_packages = numbered_(under(packages, of_notices), "packages")
+    return of_notices, of_packages, numbered_(under(requirements, of_packages), "requirements")
+
+
+def amount_actions(candidates: DataFrame, actions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, links) after marks of type, rejections and restorations; the last action of a candidate counts.
+
+    candidates: id, link_id, amount_type, amount_value, status, reject_reason, confidence. actions: id, ordinal, action (MarkType, Reject, Restore), amount_type,
+    reason. links: link_id, final_amount, final_source. A mark changes the type, and the status unless the candidate is selected; a rejection needs a reason, and of a
+    selected candidate clears the link's final amount where that is its own; a restoration gives the status that type and value call for.
+    """
+    do = last_wins(actions, "id").select("id", "action", F.col("amount_type").alias("__type"), "reason").filter("action <> 'Reject' or trim(coalesce(reason, '')) <> ''")
+    met = candidates.join(do, "id", "left")
+    marked, refused, restored = (F.col("action") == a for a in ("MarkType", "Reject", "Restore"))
+    kind = F.when(marked, F.col("__type")).otherwise(F.col("amount_type"))
+    met = met.withColumn("__kind", kind).withColumn("__s", amount_status(F.col("__kind"), F.col("amount_value")))
+    by_rule = restored | (marked & (F.col("status") != "Selected"))
+    out = met.select(
+        "id", "link_id", F.col("__kind").alias("amount_type"), "amount_value",
+        F.when(refused, "Rejected").when(by_rule, F.col("__s.status")).otherwise(F.col("status")).alias("status"),
+        F.when(refused, F.col("reason")).when(by_rule, F.nullif(F.col("__s.reason"), F.lit(""))).otherwise(F.col("reject_reason")).alias("reject_reason"),
+        F.when(marked, F.greatest("confidence", F.col("__s.confidence"))).otherwise(F.col("confidence")).alias("confidence"),
+    )
+    gone = met.filter(refused & (F.col("status") == "Selected")).groupBy("link_id").agg(F.collect_set("amount_value").alias("__gone"))
+    cleared = F.coalesce(F.array_contains("__gone", F.col("final_amount")), F.lit(False))
+    after = links.join(gone, "link_id", "left").withColumns({"final_source": F.when(cleared, "Missing").otherwise(F.col("final_source")), "final_amount": F.when(~cleared, F.col("final_amount"))})
+    return out, after.select(*links.columns)
+
+
 def eligible(tasks: DataFrame, ids: DataFrame, key: str, most_high: int, risks: list[str]) -> DataFrame:
     """Pending tasks among the ids, of the allowed risks and with few high-risk issues, in the order in which the ids came (`ordinal`)."""
     first = ids.groupBy(key).agg(F.min("ordinal").alias("ordinal"))
@@ -59,8 +107,9 @@ def orphans_removed(candidates: DataFrame, records: DataFrame, key: str) -> Data
 
 def propagated(links: DataFrame, sources: DataFrame, group: list[str], column: str) -> DataFrame:
     """Links whose `column` is empty get the one value that their group's sources agree on."""
-    agreed = sources.filter(F.trim(F.coalesce(column, F.lit(""))) != "").groupBy(*group).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi")).filter("__lo = __hi")
-    empty = F.trim(F.coalesce(column, F.lit(""))) == ""
+    there = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    agreed = sources.filter(there(column)).groupBy(*group).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi")).filter("__lo = __hi")
+    empty = ~there(column)
     return links.join(agreed, group, "left").withColumn(column, F.when(empty & F.col("__lo").isNotNull(), F.col("__lo")).otherwise(F.col(column))).select(*links.columns)
 
 
@@ -86,6 +135,70 @@ def job_actions(jobs: DataFrame, ids: DataFrame, retry: bool, force: bool = Fals
     return ids.select("id").distinct().join(state, "id", "left").select("id", ladder(rules, "Refused").alias("outcome"))
 
 
+def retried(jobs: DataFrame, ids: DataFrame, as_of: Column, last_id: int, priority: int, default_attempts: int) -> DataFrame:
+    """The rows to queue for jobs that may be retried by hand: a copy of each under a new id, pending now; history stays as it is.
+
+    Copies keep type, queue, payload and business link, are named as retries, get a key of their own, at least `priority` and at least one attempt.
+    """
+    may = job_actions(jobs, ids, True).filter("outcome = 'Retried'").select("id")
+    old = numbered(jobs.join(may, "id").withColumnRenamed("id", "original_id"), "id", last_id + 1, [F.col("original_id")])
+    shown = F.when(F.trim(F.coalesce("job_name", F.lit(""))) == "", F.col("job_type")).otherwise(F.concat("job_name", F.lit(" (manual retry)")))
+    tries = F.when(F.col("max_attempts") > 0, F.col("max_attempts")).otherwise(F.lit(default_attempts))
+    key = F.when(F.col("deduplication_key").isNotNull(), F.concat_ws(":", "deduplication_key", F.lit("retry"), "original_id"))
+    return old.withColumns(
+        {"job_name": shown, "deduplication_key": key, "status": F.lit("Pending"), "priority": F.greatest("priority", F.lit(priority)), "available_at": as_of, "attempt_count": F.lit(0), "max_attempts": F.greatest(F.lit(1), tries)}
+    )
+
+
+# Names and kinds of keys under which jobs carry the id of their notice.
+IN_JSON = r'(?<!\\)"(?:rawNoticeId|RawNoticeId)"\s*:\s*(?:"\s*)?\+?0*([1-9][0-9]{0,18})\s*(?:"|[,}\]])'
+IN_TEXT = r"(?:^|\W)(?:rawNoticeId|RawNoticeId)\s*=\s*0*([1-9][0-9]{0,18})(?:$|\D)"
+ID_AT_4, ID_AT_3 = ["attachment-process", "structured-parse"], ["outcome-supplier-extract", "review-outcome-ai-reparse", "manual-reparse", "approval-outcome-supplier-extract", "lifecycle-outcome-supplier-reparse"]
+
+
+def notice_id_in_json(text: Column) -> Column:
+    """The first positive notice id, at any depth, of a text that is JSON."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.nullif(F.regexp_extract(text, IN_JSON, 1), F.lit("")).try_cast("long"))
+
+
+def notice_id_in_key(key: Column) -> Column:
+    """The notice id that a deduplication key of a known kind holds: at the kind's place, else behind a part `raw`."""
+    parts = F.filter(F.transform(F.split(F.coalesce(key, F.lit("")), ":"), lambda p: F.trim(p)), lambda p: p != "")
+    number = lambda p: F.when(p.rlike("^[0-9]{1,19}$"), p.try_cast("long"))
+    positive = lambda n: F.when(n > 0, n)
+    part = lambda i: positive(number(F.get(parts, F.lit(i))))
+    kind = F.lower(F.get(parts, F.lit(1)))
+    behind = F.transform(parts, lambda p, i: F.when((i >= 2) & (F.lower(p) == "raw"), positive(number(F.get(parts, i + 1)))))
+    return F.when(F.lower(F.get(parts, F.lit(0))) == "bidops", F.coalesce(F.when(kind.isin(ID_AT_4), part(4)), F.when(kind.isin(ID_AT_3), part(3)), F.get(F.filter(behind, lambda n: n.isNotNull()), F.lit(0))))
+
+
+def inferred_links(jobs: DataFrame, module: str = "BidOps", business_type: str = "RawNotice") -> DataFrame:
+    """jobs with source_module, business_type, business_id and correlation_id filled in from queue and type, payload, key and result, where they lack them.
+
+    jobs: job_type, queue, payload, result, deduplication_key and the four. An id counts from what stands there, the payload's JSON, the key, the result's JSON, an assignment in the result, in that order.
+    """
+    own = (F.lower("queue") == module.lower()) | F.startswith(F.lower("job_type"), F.lit(module.lower() + "."))
+    filled = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = jobs.withColumns({"source_module": F.coalesce(filled("source_module"), F.when(own, F.lit(module))), "business_type": filled("business_type"), "correlation_id": filled("correlation_id"), "business_id": F.when(F.col("business_id") > 0, F.col("business_id"))})
+    told = F.nullif(F.regexp_extract(F.coalesce("result", F.lit("")), IN_TEXT, 1), F.lit("")).try_cast("long")
+    found = F.coalesce("business_id", notice_id_in_json(F.col("payload")), notice_id_in_key(F.col("deduplication_key")), notice_id_in_json(F.col("result")), told)
+    rows = rows.withColumn("__id", F.when(F.lower("source_module") == module.lower(), found))
+    known = F.col("__id").isNotNull()
+    return rows.withColumns(
+        {"business_type": F.when(known, F.coalesce("business_type", F.lit(business_type))).otherwise(F.col("business_type")), "correlation_id": F.when(known, F.coalesce("correlation_id", F.col("__id").cast("string"))).otherwise(F.col("correlation_id")), "business_id": F.coalesce("__id", "business_id")}
+    ).drop("__id")
+
+
+def backfill_batch(jobs: DataFrame, after_id: int, size: int) -> tuple[DataFrame, int | None]:
+    """(rows of the next batch by id that the inference changes, the id to go on behind; None at the end): a run that broke off goes on there."""
+    batch = jobs.filter(F.col("id") > after_id).orderBy("id").limit(size)
+    last = batch.agg(F.max("id")).first()[0]
+    links = ["source_module", "business_type", "business_id", "correlation_id"]
+    before = batch.select("id", F.struct(*links).alias("__was"))
+    changed = inferred_links(batch).join(before, "id").filter(~F.struct(*links).eqNullSafe(F.col("__was"))).drop("__was")
+    return changed, last
+
+
 def business_links(jobs: DataFrame, paths: dict[str, str]) -> DataFrame:
     """jobs with business_type and business_id from the first payload path that has a value, where they lack one."""
     found = F.coalesce(*[F.when(F.get_json_object("payload", p).isNotNull(), F.struct(F.lit(t).alias("t"), F.get_json_object("payload", p).alias("i"))) for t, p in paths.items()])
