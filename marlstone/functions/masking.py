@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 MASK = "***REDACTED***"
 # Patterns of personal data. The order of the rules is part of the result.
@@ -50,45 +46,3 @@ def mask(x: Column, kind: str) -> Column:
         "address": F.when(n <= 6, F.lit("******")).otherwise(F.concat(F.substring(x, 1, 3), F.lit("******"), F.right(x, F.lit(3)))),
     }
     return F.when(x.isNull() | (x == ""), x).otherwise(rules.get(kind, F.lit(MASK)))
-
-
-def _mask_json(value):
-    if isinstance(value, dict):
-        return {k: MASK if any(s in k.lower().replace("-", "") for s in SENSITIVE_KEYS) else _mask_json(v) for k, v in value.items()}
-    return [_mask_json(v) for v in value] if isinstance(value, list) else value
-
-
-@F.pandas_udf(StringType())
-def mask_json(x: pd.Series) -> pd.Series:
-    """JSON with the values of sensitive keys masked at any depth; what is not JSON stays."""
-
-    def one(text):
-        try:
-            return text if text is None else json.dumps(_mask_json(json.loads(text)), ensure_ascii=False)
-        except ValueError:
-            return text
-
-    return x.map(one)
-
-
-@F.pandas_udf(StringType())
-def json_find(x: pd.Series, name: pd.Series) -> pd.Series:
-    """The first scalar under a property name, at any depth, ignoring case; null if there is none."""
-
-    def find(value, key):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                if k.lower() == key and not isinstance(v, (dict, list)) and v is not None:
-                    return v if isinstance(v, str) else json.dumps(v)
-        for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else []:
-            if (got := find(v, key)) is not None:
-                return got
-        return None
-
-    def one(text, key):
-        try:
-            return None if text is None or key is None else find(json.loads(text), key.lower())
-        except ValueError:
-            return None
-
-    return pd.Series([one(t, k) for t, k in zip(x, name, strict=True)], dtype=object)

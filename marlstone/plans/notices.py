@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, codes, masking, money, parsers, tables, text
+from ..functions import classify, codes, json_rows, masking, money, parsers, tables, text
 from ..session import table
 from ..sources import files
 from .registry import query
@@ -156,8 +156,17 @@ def masked_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC31, SC32: sensitive keys masked at any depth, values found by name at any depth."""
     x = _s('{"user":', F.col("user_id"), ', "Api-Key":"k', F.col("event_id"), '", "in":{"list":[{"accessToken":["a"], "kind":"', F.col("event_type"), '"}], "n":null}}')
-    find = lambda name: masking.json_find(F.col("x"), F.lit(name))
-    return table(spark, sf_dir, "events").select("event_id", x.alias("x")).select("event_id", masking.mask_json(F.col("x")).alias("masked"), find("KIND").alias("kind"), find("User").alias("channel"), find("n").alias("none"))
+    rows = table(spark, sf_dir, "events").select("event_id", x.alias("masked"))
+    values = json_rows.found(rows, "event_id", "masked", ["KIND", "User", "n"])
+    return json_rows.masked(rows, "event_id", "masked").join(values, "event_id").select("event_id", "masked", F.col("KIND").alias("kind"), F.col("User").alias("channel"), F.col("n").alias("none"))
+
+
+@query("""select event_id, '{"a":{"z":' || user_id || '},"filter":[{"kind":"' || event_type || '"}],"page":1}' as canonical, sha256('{"a":{"z":' || user_id || '},"filter":[{"kind":"' || event_type || '"}],"page":1}') as fingerprint from events""")
+def json_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC33: the canonical form of requests without the caller's identity, keys in order, and its digest."""
+    x = _s('{"page": 1, "tenantId": ', F.col("event_id"), ', "filter": [ {"userId":[', F.col("event_id"), '], "kind":"', F.col("event_type"), '"} ], "a":{"storeId":{"x":1},"z":', F.col("user_id"), "}}")
+    rows = json_rows.canonical(table(spark, sf_dir, "events").select("event_id", x.alias("x")), "event_id", "x", "canonical")
+    return rows.select("event_id", "canonical", F.sha2("canonical", 256).alias("fingerprint"))
 
 
 @query("""select o_orderkey, case o_orderstatus when 'F' then 100 when 'O' then 40 else 5 end as progress, case when o_orderkey % 3 = 0 then 'Confirm' when o_orderkey % 3 = 1 then 'Ignore' else 'Keep' end as choice,

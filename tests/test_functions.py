@@ -1,11 +1,13 @@
 """Literals of the scalar functions."""
 
+import json
+import random
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import classify, codes, hashing, masking, money, text
+from marlstone.functions import classify, codes, hashing, json_rows, masking, money, text
 
 
 def run(spark, f, *args):
@@ -73,8 +75,6 @@ def test_masks(spark):
     for x, kind, want in kinds:
         assert run(spark, lambda c, kind=kind: masking.mask(c, kind), x) == want
     assert run(spark, masking.mask_text, "a@b.co 13812345678 11010519491231002X token: abc") == "a***@b.co 138****5678 110105********002X token:***REDACTED***"
-    assert run(spark, masking.mask_json, '{"a": [{"Api-Key": "x"}], "b": 1}') == '{"a": [{"Api-Key": "***REDACTED***"}], "b": 1}' and run(spark, masking.mask_json, "no") == "no"
-    assert run(spark, masking.json_find, '{"x": {"ChannelId": 7}}', "channelid") == "7" and run(spark, masking.json_find, "{}", "a") is None
 
 
 def test_hashes(spark):
@@ -89,3 +89,52 @@ def test_rules(spark):
     assert run(spark, classify.is_non_award, "包1流标") and not run(spark, classify.is_non_award, "某某有限公司")
     assert run(spark, lambda n: classify.backoff_seconds(n.cast("int"), 30, 100), "3") == 100.0
     assert run(spark, lambda s: classify.stage_progress(s, {"won": 100}, 5), "won") == 100 and run(spark, lambda s: classify.normalized_choice(s, ["Keep"], "Drop"), " keep") == "Keep"
+
+
+def _plain_mask(value):
+    if isinstance(value, dict):
+        return {k: masking.MASK if any(s in k.lower().replace("-", "") for s in masking.SENSITIVE_KEYS) else _plain_mask(v) for k, v in value.items()}
+    return [_plain_mask(v) for v in value] if isinstance(value, list) else value
+
+
+def _plain_find(value, name):
+    own = value.items() if isinstance(value, dict) else []
+    for k, v in own:
+        if k.lower() == name and v is not None and not isinstance(v, (dict, list)):
+            return v if isinstance(v, str) else json.dumps(v)
+    for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else []:
+        if (got := _plain_find(v, name)) is not None:
+            return got
+    return None
+
+
+def _plain_clean(value):
+    if isinstance(value, dict):
+        return {k: _plain_clean(v) for k, v in sorted(value.items()) if k.lower() not in json_rows.IDENTITY}
+    return [_plain_clean(v) for v in value] if isinstance(value, list) else value
+
+
+def _any_json(rng, depth=0):
+    if depth > 4 or rng.random() < 0.4:
+        return rng.choice([None, True, 3, -2.5, "x", "a,b", 'q"{}', "é\\", ""])
+    if rng.random() < 0.5:
+        return [_any_json(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return {k: _any_json(rng, depth + 1) for k in rng.sample(["kind", "Password", "Api-Key", "tenantId", "UserId", "b", "n:x", "KIND2"], rng.randint(0, 5))}
+
+
+def test_json_as_rows_against_plain_python(spark):
+    rng = random.Random(8)
+    docs = [_any_json(rng) for _ in range(250)]
+    texts = [json.dumps(d, ensure_ascii=False, indent=rng.choice([None, 2])) for d in docs] + ["no json", None, "{", '{"token":1,"token":{"a":2}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    got = {r["k"]: r["j"] for r in json_rows.masked(df, "k", "j").collect()}
+    assert all(json.loads(got[k]) == _plain_mask(d) for k, d in enumerate(docs))
+    assert [got[k] for k in range(250, 254)] == ["no json", None, "{", '{"token": "***REDACTED***", "token": "***REDACTED***"}']
+    names = ["kind", "B", "n:x"]
+    seen = {r["k"]: [r[n] for n in names] for r in json_rows.found(df, "k", "j", names).collect()}
+    assert len(seen) == len(texts) and all(seen[k] == [_plain_find(d, n.lower()) for n in names] for k, d in enumerate(docs))
+    left = {r["k"]: r["c"] for r in json_rows.canonical(df, "k", "j", "c").collect()}
+    assert all(json.loads(left[k]) == _plain_clean(d) for k, d in enumerate(docs) if d is not None)
+    assert left[250] is None and left[251] is None
+    same = spark.createDataFrame([(1, '{"n":3, "userId":5}'), (2, '{"tenant_id":{"x":[1]},"n":3}')], "k int, j string")
+    assert len({r["f"] for r in json_rows.fingerprints(same, "k", "j", "f").collect()}) == 1
