@@ -12,6 +12,7 @@ pre-tokenizer never joins characters across a blank that a visible character fol
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -29,7 +30,7 @@ from .common import arrow_lines, map_arrow, settle, table
 
 LENGTH = 2048
 END_ID = 0
-REMEMBERED = 500_000  # words that a worker keeps encoded; beyond that it starts anew
+REMEMBERED = 200_000  # words that a worker keeps encoded; beyond that it starts anew
 BLOCK_CHARS = 2_000_000
 # Fixed value: how byte-level tokenizer files of this kind cut a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +43,7 @@ class WordEncoder:
     """Ids of whole texts, as bytes of little-endian unsigned 32-bit numbers, from a tokenizer file's contents."""
 
     def __init__(self, model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part; threads would only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -329,7 +331,8 @@ def pack_pieces(cut: DataFrame, most: int = LENGTH) -> DataFrame:
 
 def pack_documents(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text", most: int = LENGTH, end: int = END_ID, ids: bool = True) -> DataFrame:
     """Pieces of all rows with their sequence and offset; with `ids`, the ids to write there. Cases as for `pieces`."""
-    return pack_pieces(pieces(docs, model, doc_id, text, most, end, ids), most)
+    # Pieces are settled before they are numbered, so that a task holds one Python worker, not two.
+    return pack_pieces(settle(pieces(docs, model, doc_id, text, most, end, ids), "cut"), most)
 
 
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
