@@ -28,7 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math canvas iframe object audio video map head title".split())
+SILENT = frozenset("script style noscript template svg annotation annotation-xml canvas iframe object audio video map head title".split())
 EXCLUDED = frozenset("nav header footer aside form button select textarea dialog menu".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 MARKED = re.compile(
@@ -46,6 +46,7 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 FIXED = frozenset("aside form footer dialog".split())  # elements that an article inside them doesn't leave
 LINKED = 0.3  # share of linked text from which a softly marked section is no part of the article
 SIGMA, REACH = 1.5, 4  # of the Gaussian, in lines
+SENTENCE = re.compile(r"[.!?…。！？:：]\W*$")
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -272,14 +273,15 @@ def under(chosen: set[int], parents: list[int]) -> list[bool]:
 
 
 def without_link_sections(page: PageLines) -> list[Line]:
-    """The lines, less those of softly marked sections that are made of links, or of no content."""
+    """The lines, less those of softly marked sections that are made of links, of no content, or of no sentence."""
     if not page.soft:
         return page.lines
     content = content_lines(page.lines)
     size = totals(page.lines, [len(x.text) for x in page.lines], page.parents)
     linked = totals(page.lines, [x.linked for x in page.lines], page.parents)
     good = totals(page.lines, [len(x.text) if c else 0 for x, c in zip(page.lines, content.tolist(), strict=True)], page.parents)
-    gone = under({e for e in page.soft if linked[e] >= LINKED * size[e] or 2 * good[e] < size[e]}, page.parents)
+    said = totals(page.lines, [int(bool(SENTENCE.search(x.text))) for x in page.lines], page.parents)
+    gone = under({e for e in page.soft if linked[e] >= LINKED * size[e] or 2 * good[e] < size[e] or not said[e]}, page.parents)
     return [x for x in page.lines if not gone[x.element]]
 
 
@@ -300,6 +302,16 @@ def region(found: list[Line], content: np.ndarray, names: list[str], parents: li
     return [max(e for e in range(len(names)) if mass[e] >= 0.9 * mass[0] and names[e] != "p")]
 
 
+def headline(found: list[Line], chosen: set[int], names: list[str], parents: list[int]) -> set[int]:
+    """The heading that stands just beside the chosen element, before it, where the element has none of its own."""
+    first = min(chosen)
+    inside = under(chosen, parents)
+    if first == 0 or any(inside[x.element] and names[x.element] in ("h1", "h2") for x in found):
+        return set()
+    before = [x.element for x in found if names[x.element] == "h1" and x.element < first and parents[x.element] == parents[first]]
+    return set(before) if len(set(before)) == 1 else set()
+
+
 def main_text(html: str) -> str:
     """The article's text: blocks in page order, one space between them; empty if there is none."""
     page = PageLines(html)
@@ -311,7 +323,8 @@ def main_text(html: str) -> str:
         return ""
     content = content_lines(found)
     chosen = set(region(found, content, page.names, page.parents))
-    inside = under(chosen, page.parents)
+    title = headline(found, chosen, page.names, page.parents)
+    inside = under(chosen | title, page.parents)
     named = page.names[min(chosen)] in ("article", "main")
     # Without a named region, unmarked menus are lines that are links and little else, off the clusters.
     kept = [x for x, good in zip(found, content.tolist(), strict=True) if inside[x.element] and (named or good or x.linked < 0.8 * len(x.text))]

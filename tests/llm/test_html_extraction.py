@@ -97,3 +97,14 @@ def test_planted_articles_come_back():
         behind = [rnd.choice(boxes)() for _ in range(rnd.randint(0, 3))]
         page = f"<html><head><title>{escape(word())}</title>{rnd.choice(['</head>', ''])}<body>{''.join(around)}<article>{''.join(body)}</article>{''.join(behind)}"
         assert main_text(page) == " ".join(" ".join(b.split()) for b in blocks), page
+
+
+def test_formulas_share_boxes_and_headlines_beside():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math>"
+    assert main_text(f"<article><p>{STORY} It says {formula} for short.</p></article>").split() == f"{STORY} It says E=m for short.".split()
+    page = f"<article><h1>Head</h1><p>{STORY}</p><div class='share-buttons'>Share</div><section class='related-work'><h2>Related work</h2><p>{STORY}</p></section></article>"
+    assert main_text(page).split() == f"Head {STORY} Related work {STORY}".split()
+    for around in ("<main><h1>Head</h1>{}</main>", "<body><nav>Menu</nav><h1>Head</h1>{}<footer>f</footer></body>"):
+        assert main_text(around.format(f"<article><p>{STORY}</p><p>{STORY}</p></article>")).split() == f"Head {STORY} {STORY}".split()
+    own = f"<body><h1>Site</h1><article><h1>Head</h1><p>{STORY}</p></article></body>"
+    assert main_text(own).split() == f"Head {STORY}".split()
