@@ -39,6 +39,7 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 KINDS = ("plain", "directed", "negated", "reported", "threat", "reported threat")
 STEM = 5  # letters of a stem: learned insults are whole words or stems, written with a star
 PRIOR = np.array([2.0, 3.0, 0.3, 0.6, 2.8, 0.9, -3.0])  # of the kinds and the constant, before any data
+MORE = 0.5  # what a directed insult weighs beyond a plain one
 NEGATED, REPORTED, TARGETED, CLOSED, THREAT = "~", '"', "!", "^", "t"  # marks on a symbol
 SCOPES = {"negation": 2, "report": 8, "target": 4, "behind": 3, "intent": 4}  # symbols that each reaches
 
@@ -159,13 +160,13 @@ class Matcher:
                 out.append((kind_of(o), weight))
             elif o[0] == "h":
                 harm = weight
-                if o.endswith(THREAT) or TARGETED in o:
+                if o.endswith(THREAT):
                     threat = o
             elif o[0] == "y":
                 head, _, marks = o.partition(THREAT)
                 if CLOSED in head:
                     out[insult] = (kind_of(head), out[insult][1])
-                if THREAT in o and TARGETED not in marks:  # else it was one already
+                if THREAT in o:
                     threat = marks
             if threat is not None and NEGATED not in threat:
                 out.append(("reported threat" if REPORTED in threat else "threat", harm))
@@ -189,10 +190,25 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def in_order(w: np.ndarray) -> np.ndarray:
+    """Weights by what a clause says: negated and reported insults at most as much as plain ones, directed ones more, threats at least as much as these.
+
+    One threat alone reaches an even score, whatever the constant. A single word never counts more than a clause that aims at somebody.
+    """
+    w = w.copy()
+    plain, directed, negated, reported, threat, told, constant = range(7)
+    w[plain] = max(w[plain], 0.0)
+    w[[negated, reported]] = np.minimum(w[[negated, reported]], w[plain])
+    w[directed] = max(w[directed], w[plain] + MORE)
+    w[threat] = max(w[threat], w[directed], -w[constant] / math.log(2))
+    w[told] = min(w[told], w[directed])
+    return w
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn towards PRIOR."""
+    """Logistic regression by Newton steps, drawn towards PRIOR, then put in order."""
     if not len(y):
-        return PRIOR.copy()
+        return in_order(PRIOR)
     x = np.column_stack([x, np.ones(len(x))])
     w = PRIOR.copy()
     for _ in range(rounds):
@@ -201,7 +217,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int =
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return in_order(w)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Matcher:

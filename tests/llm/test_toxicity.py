@@ -1,7 +1,10 @@
+import math
 import random
 
+import numpy as np
+
 from marlstone.llm.common import held_out_py
-from marlstone.llm.toxicity import KINDS, PRIOR, SCOPES, Matcher, Transducer, compose, predict, train
+from marlstone.llm.toxicity import KINDS, PRIOR, SCOPES, Matcher, Transducer, compose, in_order, predict, train
 
 
 def test_grammar_marks():
@@ -9,7 +12,7 @@ def test_grammar_marks():
     kinds = lambda t: dict(zip(KINDS, m.features(t) > 0, strict=True))
     assert kinds("what trash.")["plain"] and kinds("you are an idiot")["directed"] and kinds("this is not trash")["negated"]
     assert kinds("he said that they are a moron")["reported"] and kinds("you will burn")["threat"] and not any(kinds("I burn wood").values())
-    assert kinds("a moron, you")["directed"] and kinds("we will kill")["threat"] and kinds("kill them all")["threat"] and not kinds("we never hurt them")["threat"]
+    assert kinds("a moron, you")["directed"] and kinds("we will kill")["threat"] and kinds("kill them all")["threat"] and not kinds("they kill bacteria with heat")["threat"] and not kinds("we never hurt them")["threat"]
     assert kinds("she said they will kill")["reported threat"] and not kinds("she said they will kill")["threat"]
     assert m.score("you idiot. you moron.") > 0.5 > m.score("not trash") and m.score("") == m.score("a quiet day")
 
@@ -50,7 +53,7 @@ def plain_patterns(m, words):
             out.append(["negated" if negated else "reported" if reported else "directed" if target else "plain", weight])
         elif s == "h":
             intended = near(k, "f", SCOPES["intent"])
-            if (intended or target) and not negated:
+            if intended and not negated:
                 out.append(["reported threat" if reported else "threat", weight])
             open_h = None if intended else (k, negated, reported, target, weight)
         elif s == "y":
@@ -59,7 +62,7 @@ def plain_patterns(m, words):
                     out[open_i[0]][0] = "directed"
                 open_i = None
             if open_h and k - open_h[0] <= SCOPES["behind"]:
-                if not open_h[1] and not open_h[3]:
+                if not open_h[1]:
                     out.append(["reported threat" if open_h[2] else "threat", open_h[4]])
                 open_h = None
     return [tuple(x) for x in out]
@@ -72,3 +75,13 @@ def test_grammar_against_plain_rules():
     for _ in range(4000):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(1, 14))]
         assert m.patterns(words) == plain_patterns(m, words), words
+
+
+def test_clauses_weigh_more_than_words():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        w = dict(zip((*KINDS, "constant"), in_order(rng.normal(0, 4, 7)), strict=True))
+        assert max(w["negated"], w["reported"]) <= w["plain"] < w["directed"] <= w["threat"] and w["reported threat"] <= w["directed"]
+        assert w["threat"] * math.log(2) + w["constant"] > -1e-9
+    m = Matcher({}, in_order(PRIOR))
+    assert m.score("I will kill you tomorrow.") >= 0.5 and m.score("You are an idiot.") > m.score("What an idiot.") > m.score("They kill bacteria with heat.")
