@@ -5,8 +5,9 @@ driver packs that table, never pieces. Bins of one filling are a run as well. Fr
 sums of single, pair and triple lengths that are still to be had; the combination found is used as often as all its counts
 allow. A gap that no combination fills takes the best-fitting length and is looked up again with what is left.
 
-Tokens are counted in one pass over the texts. Words and the blank before them are encoded once a worker: the byte-level
-pre-tokenizer never joins characters across a blank that a visible character follows.
+Tokens are counted in one pass over the texts. Texts of plain characters are encoded by merge ranks alone, which gives the same ids; of others the
+words, each with the blank before it, are encoded once a worker: the byte-level pre-tokenizer never joins characters across a blank that a visible
+character follows.
 """
 
 from __future__ import annotations
@@ -30,11 +31,16 @@ from .common import arrow_lines, map_arrow, settle, table
 
 LENGTH = 2048
 END_ID = 0
-REMEMBERED = 200_000  # words that a worker keeps encoded; beyond that it starts anew
-BLOCK_CHARS = 2_000_000
+REMEMBERED = 100_000  # words that a worker keeps encoded; beyond that it starts anew
 # Fixed value: how byte-level tokenizer files of this kind cut a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\x00-\u024f]*")  # characters whose classes all libraries agree on
+STEP = 1000  # characters among which a text of words has a blank and something else
+
+
+def of_words(text: str) -> bool:
+    """Whether a text has no long stretch without a blank or of nothing else: merging such a stretch by ranks takes more than linear time."""
+    return all(text.find(" ", k, k + STEP) >= 0 and not text[k : k + STEP].isspace() for k in range(0, len(text) - STEP + 1, STEP))
 # Blanks in front of visible characters. Characters that some library may take for white space are no cut: fewer cuts do no harm.
 CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​-‍ - ⁠﻿])")
 
@@ -53,15 +59,13 @@ class WordEncoder:
         # Only then do ids of a word not depend on the words around it.
         self.by_words = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True) and not parts.get("normalizer") and not parts.get("truncation")
         self.quick = _ranked(parts) if self.by_words else None
-        self.first: dict[str, bytes] = {}  # without a blank before
-        self.known: dict[str, bytes] = {}  # with one
+        self.known: dict[str, bytes] = {}  # words with the blank before them
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         """Ids of short texts by the merge ranks alone where that is the same, else by the tokenizer."""
         if not self.quick:
             return self._by_tokenizer(texts)
-        plain = PLAIN.fullmatch
-        odd = [t for t in texts if not plain(t)]
+        odd = [t for t in texts if len(t) >= STEP or not PLAIN.fullmatch(t)]
         there = dict(zip(odd, self._by_tokenizer(odd), strict=True))
         ids = self.quick.encode_ordinary
         return [there[t] if t in there else struct.pack(f"<{len(x := ids(t))}I", *x) for t in texts]
@@ -75,28 +79,19 @@ class WordEncoder:
             for text in texts:
                 yield self._by_tokenizer([text])[0]
             return
-        block, size = [], 0
+        quick = self.quick.encode_to_numpy if self.quick else None
         for text in texts:
-            block.append(CUT.split(text))
-            size += len(text)
-            if size > BLOCK_CHARS:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
-
-    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) + len(self.first) > REMEMBERED:
-            self.known, self.first = {}, {}
-        heads = list({words[0] for words in block} - self.first.keys())
-        self.first.update(zip(heads, self._encoded(heads), strict=True))
-        rest = set()
-        for words in block:
-            rest.update(words[1:])
-        rest = list(rest - self.known.keys())
+            if quick and PLAIN.fullmatch(text) and of_words(text):
+                yield quick(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            else:
+                yield self._by_words(CUT.split(text))
+
+    def _by_words(self, words: list[str]) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        rest = list(set(words[1:]) - self.known.keys())
         self.known.update(zip(rest, self._encoded([" " + x for x in rest]), strict=True))
-        get = self.known.__getitem__
-        for words in block:
-            yield self.first[words[0]] + b"".join(map(get, words[1:]))
+        return self._encoded(words[:1])[0] + b"".join(map(self.known.__getitem__, words[1:]))
 
 
 def _ranked(parts: dict):
