@@ -244,13 +244,14 @@ def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
     """Candidate evidence, ranked by a column, or unpivoted from the first to third candidate's columns."""
     rows = filled(with_places(tables).withColumn("package", cell("package_no")), key, ["package"])
     package = normalize_package_no(F.col("package")).alias("package_no")
-    down = rows.withColumn("name", cell("supplier")).filter("name <> ''").select(
-        key, "table_index", "row_index", package, parse_rank(cell("rank")).alias("rank"), clean_org_name(F.col("name")).alias("supplier"), parse_money(cell("amount"), unit_context(_header("amount"), F.lit(""))).alias("amount")
-    )
-    across = F.array(*[F.struct(F.lit(i + 1).alias("rank"), cell(place, "candidates").alias("name")) for i, place in enumerate(("first", "second", "third"))])
-    wide = rows.filter(F.col("places.candidates.any").isNotNull()).select(key, "table_index", "row_index", package, F.inline(across)).filter("name <> ''")
-    wide = wide.select(key, "table_index", "row_index", "package_no", "rank", clean_org_name(F.col("name")).alias("supplier"), F.lit(None).cast("decimal(18,2)").alias("amount"))
-    return down.unionByName(wide)
+    # One pass: the candidate of a row that names one, and those of the columns side by side.
+    one = F.struct(parse_rank(cell("rank")).alias("rank"), cell("supplier").alias("name"), parse_money(cell("amount"), unit_context(_header("amount"), F.lit(""))).alias("amount"))
+    none = F.lit(None).cast("decimal(18,2)").alias("amount")
+    across = [F.struct(F.lit(i + 1).alias("rank"), cell(place, "candidates").alias("name"), none) for i, place in enumerate(("first", "second", "third"))]
+    wide = F.col("places.candidates.any").isNotNull()
+    named = F.filter(F.concat(F.array(one), F.when(wide, F.array(*across)).otherwise(F.array().cast("array<struct<rank:int,name:string,amount:decimal(18,2)>>"))), lambda c: c["name"] != "")
+    found = rows.select(key, "table_index", "row_index", package, F.inline(named))
+    return found.select(key, "table_index", "row_index", "package_no", "rank", clean_org_name(F.col("name")).alias("supplier"), "amount")
 
 
 def tender_rows(tables: DataFrame, key: str) -> DataFrame:

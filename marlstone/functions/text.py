@@ -115,7 +115,16 @@ def keywords(x: Column, most: int = 8) -> Column:
 
 def contains_any(x: Column, words: list[str]) -> Column:
     """Whether the lower-case text holds any of the words."""
-    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(text_or_empty(x)), w))
+    cased = any(w.lower() != w.upper() for w in words)
+    y = F.lower(text_or_empty(x)) if cased else text_or_empty(x)
+
+    def held(z: Column) -> Column:
+        out = F.contains(z, F.lit(words[0].lower()))
+        for w in words[1:]:
+            out = out | F.contains(z, F.lit(w.lower()))
+        return out
+
+    return let(y, held)
 
 
 def source_line(text: Column, offset: Column) -> Column:

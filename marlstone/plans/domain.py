@@ -208,18 +208,26 @@ def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_upsert(new, old, "id", "h", ["source"]).select("id", "outcome")
 
 
-@query("""with t as (select * from orders where o_orderkey = (select min(o_orderkey) from orders where o_orderpriority = '1-URGENT')), c as (select o.o_custkey, o.o_orderkey, o.o_totalprice, least(100,
-(case when o.o_orderpriority = t.o_orderpriority then 35 else 0 end) + (case when o.o_orderstatus = t.o_orderstatus then 25 else 0 end) + (case when year(o.o_orderdate) = year(t.o_orderdate) then 35 else 0 end) + (case when o.o_orderstatus = 'F' then 5 else 0 end)) as s
-from orders o, t where o.o_orderkey <> t.o_orderkey), r as (select *, row_number() over (partition by o_custkey order by s desc, o_totalprice desc, o_orderkey) as rn from c where s > 0)
+@query("""with k as (select *, 'Lot ' || o_orderstatus || ' of project ' || o_custkey % 9 as name, 'P' || o_custkey % 9 as project from orders),
+t as (select * from k where o_orderkey = (select min(o_orderkey) from orders where o_orderpriority = '1-URGENT')),
+w as (select unnest(list_filter(string_split(name, ' '), lambda x: length(x) >= 2)) as word from t),
+c as (select o.o_custkey, o.o_orderkey, o.o_totalprice, least(100,
+(case when o.o_orderpriority = t.o_orderpriority then 35 else 0 end) + (case when o.o_orderstatus = t.o_orderstatus then 25 else 0 end) + (case when year(o.o_orderdate) = year(t.o_orderdate) then 35 else 0 end)
++ (case when exists (select 1 from w where contains(lower(o.name || ' ' || o.o_orderpriority), lower(word)) and word not in ('Lot', 'of', 'project')) then 20 else 0 end) + (case when o.project = t.project then 10 else 0 end) + (case when o.o_orderstatus = 'F' then 5 else 0 end)) as s
+from k o, t where o.o_orderkey <> t.o_orderkey), r as (select *, row_number() over (partition by o_custkey order by s desc, o_totalprice desc, o_orderkey) as rn from c where s > 0)
 select o_custkey, o_orderkey, s / 100 as score from r where rn = 1 order by s desc, o_totalprice desc, o_orderkey limit 50""")
 def historical_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DA15: score against one package (one row), best per supplier, top 50."""
-    orders = table(spark, sf_dir, "orders")
+    """DA15: score of all six terms against one package (one row), best per supplier, top 50."""
+    c = F.col
+    project = (c("o_custkey") % 9).cast("string")
+    orders = table(spark, sf_dir, "orders").withColumns({"name": F.concat(F.lit("Lot "), "o_orderstatus", F.lit(" of project "), project), "project": F.concat(F.lit("P"), project), "year": F.year("o_orderdate")})
     target = orders.filter("o_orderpriority = '1-URGENT'").orderBy("o_orderkey").limit(1)
-    t = target.select(F.col("o_orderkey").alias("t_key"), F.col("o_orderpriority").alias("t_priority"), F.col("o_orderstatus").alias("t_status"), F.year("o_orderdate").alias("t_year"))
-    rows = orders.join(F.broadcast(t), F.col("o_orderkey") != F.col("t_key"))
-    false = F.lit(False)
-    score = scoring.lead_score(F.col("o_orderpriority") == F.col("t_priority"), F.col("o_orderstatus") == F.col("t_status"), F.year("o_orderdate") == F.col("t_year"), false, false, F.col("o_orderstatus") == "F")
+    words = F.filter(text.keywords(c("name")), lambda w: ~w.isin("Lot", "of", "project"))
+    t = target.select(c("o_orderkey").alias("t_key"), c("o_orderpriority").alias("t_priority"), c("o_orderstatus").alias("t_status"), c("year").alias("t_year"), words.alias("t_words"), c("project").alias("t_project"))
+    rows = orders.join(F.broadcast(t), c("o_orderkey") != c("t_key"))
+    said = F.lower(F.concat_ws(" ", "name", "o_orderpriority"))
+    keyword = F.exists("t_words", lambda w: F.contains(said, F.lower(w)))
+    score = scoring.lead_score(c("o_orderpriority") == c("t_priority"), c("o_orderstatus") == c("t_status"), c("year") == c("t_year"), keyword, c("project") == c("t_project"), c("o_orderstatus") == "F")
     rows = rows.withColumn("score", score).filter("score > 0")
     best = rows.groupBy("o_custkey").agg(F.max(F.struct("score", "o_totalprice", -F.col("o_orderkey"))).alias("m")).select("o_custkey", "m.score", "m.o_totalprice", (-F.col("m.col3")).alias("o_orderkey"))
     return best.orderBy(F.desc("score"), F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_custkey", "o_orderkey", F.col("score").cast("double").alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import merging, quality, scoring
+from ..operators import merging, quality, scoring, search
 from ..session import table
 from ..streaming import commands
 from .registry import query
@@ -206,3 +206,11 @@ def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merging.upsert_organisations(old, seen, "name", ["region"], ["contact"], [F.desc("n")])
     key = F.regexp_extract("match_key", "^C([0-9]+)", 1).cast("long")
     return out.select(key.alias("k"), codes.clean_org_name(c("name")).alias("name"), "region", "contact")
+
+
+@query("select p_partkey, p_name as exact, p_brand as folded, '' as unknown from part")
+def cells_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ4: cells by name: exact, ignoring case, else empty."""
+    part = table(spark, sf_dir, "part")
+    cell = lambda name: search.cell_text(c("r"), part.columns, name)
+    return part.select("p_partkey", F.struct("*").alias("r")).select("p_partkey", cell("p_name").alias("exact"), cell(" P_Brand ").alias("folded"), cell("p_none").alias("unknown"))
