@@ -65,6 +65,14 @@ def clean_value(x: Column) -> Column:
     return F.when(plain, F.when(is_unknown_marker(x), F.lit("")).otherwise(text_or_empty(x))).otherwise(cleaned)
 
 
+SPACES = " \t\x0b\f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def without_spaces(x: Column, also: str = "") -> Column:
+    """Entities decoded and all blanks taken out, for looking words up: what clean_value makes of a text holds the same words."""
+    return F.translate(decode_entities(text_or_empty(x)), SPACES + also, "")
+
+
 def clean_and_truncate(x: Column, length: int) -> Column:
     return F.substring(clean_value(x), 1, length)
 

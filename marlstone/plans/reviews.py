@@ -156,7 +156,7 @@ def retried_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CM14: jobs retried by hand as new rows beside the old ones; waiting and running ones are refused."""
     n = c("o_orderkey")
     jobs = table(spark, sf_dir, "orders").select(
-        n.alias("id"), F.lit("kind").alias("job_type"), F.lit("bidops").alias("queue"), F.when(n % 2 == 0, F.concat(F.lit("job"), n)).alias("job_name"), F.when(n % 5 > 0, F.concat(F.lit("k"), n)).alias("deduplication_key"), F.lit("{}").alias("payload"),
+        n.alias("id"), F.lit("kind").alias("job_type"), F.lit("tenders").alias("queue"), F.when(n % 2 == 0, F.concat(F.lit("job"), n)).alias("job_name"), F.when(n % 5 > 0, F.concat(F.lit("k"), n)).alias("deduplication_key"), F.lit("{}").alias("payload"),
         F.when(c("o_orderstatus") == "F", "DeadLetter").when(c("o_orderstatus") == "O", "Running").otherwise("Pending").alias("status"), (n % 10).cast("int").alias("priority"), F.when(n % 4 > 0, 7).otherwise(0).alias("max_attempts"), F.lit(9).alias("attempt_count"),
     )
     last = jobs.agg(F.max("id")).first()[0] or 0
@@ -165,20 +165,20 @@ def retried_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with j as (select o_orderkey as id, o_orderkey % 9 as m, o_custkey + 1 as n from orders)
-select id, case when m = 8 then null else 'BidOps' end as source_module, case when m = 0 then 'Own' when m in (6, 8) then null else 'RawNotice' end as business_type, case when m = 0 then 77 when m in (6, 8) then null else n end as business_id, case when m = 0 then '77' when m in (6, 8) then null when m = 1 then 'c' else cast(n as varchar) end as correlation_id from j""")
+select id, case when m = 8 then null else 'Tenders' end as source_module, case when m = 0 then 'Own' when m in (6, 8) then null else 'RawNotice' end as business_type, case when m = 0 then 77 when m in (6, 8) then null else n end as business_id, case when m = 0 then '77' when m in (6, 8) then null when m = 1 then 'c' else cast(n as varchar) end as correlation_id from j""")
 def inferred_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CM15: a job's business object from its payload at any depth, its key or its result, in that order."""
     k, n = c("o_orderkey"), (c("o_custkey") + 1).cast("string")
     m, none = k % 9, F.lit(None).cast("string")
     text = lambda cases: F.coalesce(*[F.when(m == i, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])) for i, parts in cases.items()])
     jobs = table(spark, sf_dir, "orders").select(
-        k.alias("id"), F.when(m == 8, "other.job").when(m == 7, "BIDOPS.x").otherwise("x").alias("job_type"), F.when(m >= 7, "q").otherwise("BidOps").alias("queue"),
+        k.alias("id"), F.when(m == 8, "other.job").when(m == 7, "TENDERS.x").otherwise("x").alias("job_type"), F.when(m >= 7, "q").otherwise("Tenders").alias("queue"),
         text({0: ['{"rawNoticeId":', n, "}"], 1: ['{"a":{"b":[{"rawNoticeId":0},{"RawNoticeId":"', n, '"}]}}'], 2: ["no json rawNoticeId:", n], 6: ['{"note":"\\"rawNoticeId\\":', n, '"}'], 8: ['{"rawNoticeId":', n, "}"]}).alias("payload"),
-        text({2: ["bidops:attachment-process:t:v:", n, ":9"], 3: ["BidOps:manual-reparse:t:", n], 4: ["bidops:other:raw:", n], 5: ["other:manual-reparse:t:5"]}).alias("deduplication_key"),
+        text({2: ["tenders:attachment-process:t:v:", n, ":9"], 3: ["Tenders:manual-reparse:t:", n], 4: ["tenders:other:raw:", n], 5: ["other:manual-reparse:t:5"]}).alias("deduplication_key"),
         text({5: ["done; rawNoticeId = ", n, " ok"], 6: ["rawNoticeIds = 5"], 7: ['{"x":[{"rawNoticeId":"', n, '"}]}']}).alias("result"),
         none.alias("source_module"), F.when(m == 0, " Own ").alias("business_type"), F.when(m == 0, 77).when(m == 1, -1).cast("long").alias("business_id"), F.when(m == 1, "c").alias("correlation_id"),
     )
-    return commands.inferred_links(jobs).select("id", "source_module", "business_type", "business_id", "correlation_id")
+    return commands.inferred_links(jobs, "Tenders").select("id", "source_module", "business_type", "business_id", "correlation_id")
 
 
 @query("""with s as (select o_custkey, min(o_orderkey // 100) as lo, max(o_orderkey // 100) as hi from orders where o_orderkey % 6 = 0 group by 1)

@@ -161,19 +161,19 @@ def notice_id_in_json(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.nullif(F.regexp_extract(text, IN_JSON, 1), F.lit("")).try_cast("long"))
 
 
-def notice_id_in_key(key: Column) -> Column:
-    """The notice id that a deduplication key of a known kind holds: at the kind's place, else behind a part `raw`."""
+def notice_id_in_key(key: Column, module: str) -> Column:
+    """The notice id that a module's deduplication key of a known kind holds: at the kind's place, else behind a part `raw`."""
     parts = F.filter(F.transform(F.split(F.coalesce(key, F.lit("")), ":"), lambda p: F.trim(p)), lambda p: p != "")
     number = lambda p: F.when(p.rlike("^[0-9]{1,19}$"), p.try_cast("long"))
     positive = lambda n: F.when(n > 0, n)
     part = lambda i: positive(number(F.get(parts, F.lit(i))))
     kind = F.lower(F.get(parts, F.lit(1)))
     behind = F.transform(parts, lambda p, i: F.when((i >= 2) & (F.lower(p) == "raw"), positive(number(F.get(parts, i + 1)))))
-    return F.when(F.lower(F.get(parts, F.lit(0))) == "bidops", F.coalesce(F.when(kind.isin(ID_AT_4), part(4)), F.when(kind.isin(ID_AT_3), part(3)), F.get(F.filter(behind, lambda n: n.isNotNull()), F.lit(0))))
+    return F.when(F.lower(F.get(parts, F.lit(0))) == module.lower(), F.coalesce(F.when(kind.isin(ID_AT_4), part(4)), F.when(kind.isin(ID_AT_3), part(3)), F.get(F.filter(behind, lambda n: n.isNotNull()), F.lit(0))))
 
 
-def inferred_links(jobs: DataFrame, module: str = "BidOps", business_type: str = "RawNotice") -> DataFrame:
-    """jobs with source_module, business_type, business_id and correlation_id filled in from queue and type, payload, key and result, where they lack them.
+def inferred_links(jobs: DataFrame, module: str, business_type: str = "RawNotice") -> DataFrame:
+    """jobs of a module with source_module, business_type, business_id and correlation_id filled in from queue and type, payload, key and result, where they lack them.
 
     jobs: job_type, queue, payload, result, deduplication_key and the four. An id counts from what stands there, the payload's JSON, the key, the result's JSON, an assignment in the result, in that order.
     """
@@ -181,7 +181,7 @@ def inferred_links(jobs: DataFrame, module: str = "BidOps", business_type: str =
     filled = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
     rows = jobs.withColumns({"source_module": F.coalesce(filled("source_module"), F.when(own, F.lit(module))), "business_type": filled("business_type"), "correlation_id": filled("correlation_id"), "business_id": F.when(F.col("business_id") > 0, F.col("business_id"))})
     told = F.nullif(F.regexp_extract(F.coalesce("result", F.lit("")), IN_TEXT, 1), F.lit("")).try_cast("long")
-    found = F.coalesce("business_id", notice_id_in_json(F.col("payload")), notice_id_in_key(F.col("deduplication_key")), notice_id_in_json(F.col("result")), told)
+    found = F.coalesce("business_id", notice_id_in_json(F.col("payload")), notice_id_in_key(F.col("deduplication_key"), module), notice_id_in_json(F.col("result")), told)
     rows = rows.withColumn("__id", F.when(F.lower("source_module") == module.lower(), found))
     known = F.col("__id").isNotNull()
     return rows.withColumns(
@@ -189,13 +189,13 @@ def inferred_links(jobs: DataFrame, module: str = "BidOps", business_type: str =
     ).drop("__id")
 
 
-def backfill_batch(jobs: DataFrame, after_id: int, size: int) -> tuple[DataFrame, int | None]:
+def backfill_batch(jobs: DataFrame, module: str, after_id: int, size: int) -> tuple[DataFrame, int | None]:
     """(rows of the next batch by id that the inference changes, the id to go on behind; None at the end): a run that broke off goes on there."""
     batch = jobs.filter(F.col("id") > after_id).orderBy("id").limit(size)
     last = batch.agg(F.max("id")).first()[0]
     links = ["source_module", "business_type", "business_id", "correlation_id"]
     before = batch.select("id", F.struct(*links).alias("__was"))
-    changed = inferred_links(batch).join(before, "id").filter(~F.struct(*links).eqNullSafe(F.col("__was"))).drop("__was")
+    changed = inferred_links(batch, module).join(before, "id").filter(~F.struct(*links).eqNullSafe(F.col("__was"))).drop("__was")
     return changed, last
 
 

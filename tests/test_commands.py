@@ -38,26 +38,26 @@ JOBS = "id long, job_type string, queue string, payload string, result string, d
 
 
 def test_links_are_inferred(spark):
-    def link(payload=None, result=None, key=None, job_type="bidops.x", queue="q", module=None, kind=None, id_=None, correlation=None):
+    def link(payload=None, result=None, key=None, job_type="tenders.x", queue="q", module=None, kind=None, id_=None, correlation=None):
         df = spark.createDataFrame([(1, job_type, queue, payload, result, key, module, kind, id_, correlation)], JOBS)
-        return tuple(C.inferred_links(df).select("source_module", "business_type", "business_id", "correlation_id").first())
-
-    assert link('{"a":[{"rawNoticeId":"12"}],"RawNoticeId":13}') == ("BidOps", "RawNotice", 12, "12")
-    assert link('{"rawNoticeId":-3,"x":{"rawNoticeId":007}}') == ("BidOps", None, None, None)  # no JSON: a number with leading zeros
-    assert link('{"rawNoticeId":"x"}', key="bidops:structured-parse:t:2:34:5") == ("BidOps", "RawNotice", 34, "34")
-    assert link(key="bidops:manual-reparse:t:0:raw:9") == ("BidOps", "RawNotice", 9, "9")
-    assert link(key="else:manual-reparse:t:5") == ("BidOps", None, None, None)
-    assert link(result="rawNoticeId=44, done") == ("BidOps", "RawNotice", 44, "44")
-    assert link(result="myrawNoticeId=44") == ("BidOps", None, None, None)
+        return tuple(C.inferred_links(df, "Tenders").select("source_module", "business_type", "business_id", "correlation_id").first())
+
+    assert link('{"a":[{"rawNoticeId":"12"}],"RawNoticeId":13}') == ("Tenders", "RawNotice", 12, "12")
+    assert link('{"rawNoticeId":-3,"x":{"rawNoticeId":007}}') == ("Tenders", None, None, None)  # no JSON: a number with leading zeros
+    assert link('{"rawNoticeId":"x"}', key="tenders:structured-parse:t:2:34:5") == ("Tenders", "RawNotice", 34, "34")
+    assert link(key="tenders:manual-reparse:t:0:raw:9") == ("Tenders", "RawNotice", 9, "9")
+    assert link(key="else:manual-reparse:t:5") == ("Tenders", None, None, None)
+    assert link(result="rawNoticeId=44, done") == ("Tenders", "RawNotice", 44, "44")
+    assert link(result="myrawNoticeId=44") == ("Tenders", None, None, None)
     assert link('{"rawNoticeId":1}', job_type="x", module="Other") == ("Other", None, None, None)
-    assert link('{"rawNoticeId":1}', id_=5, kind=" K ", correlation="c") == ("BidOps", "K", 5, "c")
+    assert link('{"rawNoticeId":1}', id_=5, kind=" K ", correlation="c") == ("Tenders", "K", 5, "c")
 
 
 def test_backfill_goes_on_behind_its_last_batch(spark):
-    df = spark.createDataFrame([(i, "bidops.x", "q", f'{{"rawNoticeId":{i}}}', None, None, None, None, None, None) for i in range(1, 8)], JOBS)
+    df = spark.createDataFrame([(i, "tenders.x", "q", f'{{"rawNoticeId":{i}}}', None, None, None, None, None, None) for i in range(1, 8)], JOBS)
     seen, at = [], 0
     while at is not None:
-        changed, at = C.backfill_batch(df, at, 3)
+        changed, at = C.backfill_batch(df, "Tenders", at, 3)
         seen.append(rows(changed, "id", "business_id"))
     assert seen == [[(1, 1), (2, 2), (3, 3)], [(4, 4), (5, 5), (6, 6)], [(7, 7)], []]
 
