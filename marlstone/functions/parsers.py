@@ -13,7 +13,7 @@ from .arrow import from_texts
 from .codes import ORG_ENDS, clean_org_name, extract_lot_no, extract_project_code, extract_project_name, normalize_package_no
 from .money import parse_money
 from .tables import award_rows, parse_tables
-from .text import text_or_empty
+from .text import let, text_or_empty
 
 # Line labels of the documents' language.
 PACKAGE_LINE = re.compile(r"(?:分包编号|包件编号|标包编号|分包|标包|包号|第)?\s*包\s*[:：]?\s*([0-9一二三四五六七八九十]{1,3})|(?:分包编号|包号)\s*[:：]\s*([A-Za-z0-9一二三四五六七八九十]{1,10})")
@@ -101,9 +101,14 @@ def award_evidence(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def _date(x: Column, labels: str) -> Column:
     pattern = rf"(?:{labels})\s*[:：]?\s*(\d{{4}})[-年/.](\d{{1,2}})[-月/.](\d{{1,2}})日?(?:\s*(\d{{1,2}})[:：时](\d{{2}}))?"
-    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(x, pattern, i), F.lit("")), F.lit(default))
-    day = F.concat_ws("-", part(1, ""), F.lpad(part(2, ""), 2, "0"), F.lpad(part(3, ""), 2, "0"))
-    return F.concat(day, F.lit(" "), F.lpad(part(4, "0"), 2, "0"), F.lit(":"), part(5, "00")).try_cast("timestamp_ntz")
+
+    def read(found: Column) -> Column:
+        """The parts of the match alone: the text is searched once."""
+        part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(found, pattern, i), F.lit("")), F.lit(default))
+        day = F.concat_ws("-", part(1, ""), F.lpad(part(2, ""), 2, "0"), F.lpad(part(3, ""), 2, "0"))
+        return F.when(found != "", F.concat(day, F.lit(" "), F.lpad(part(4, "0"), 2, "0"), F.lit(":"), part(5, "00")).try_cast("timestamp_ntz"))
+
+    return let(F.regexp_extract(x, pattern, 0), read)
 
 
 def notice_fields(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -115,8 +120,8 @@ def notice_fields(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         extract_project_code(x).alias("project_code"),
         extract_project_name(x).alias("project_name"),
         extract_lot_no(x).alias("lot_no"),
-        clean_org_name(labelled(BUYER_LABELS)).alias("buyer_name"),
-        clean_org_name(labelled(AGENCY_LABELS)).alias("agency_name"),
-        parse_money(labelled("预算金额|采购预算|项目预算")).alias("budget"),
+        let(labelled(BUYER_LABELS), clean_org_name).alias("buyer_name"),
+        let(labelled(AGENCY_LABELS), clean_org_name).alias("agency_name"),
+        let(labelled("预算金额|采购预算|项目预算"), parse_money).alias("budget"),
         *[_date(x, labels).alias(name) for name, labels in DATES.items()],
     )
