@@ -130,36 +130,59 @@ def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame
     return both.filter(F.col("inner") != F.col("outer")).select(*group, "inner", "outer")
 
 
-def prefix_candidates(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
-    """on, a, b: pairs of distinct texts that may share distinct characters in number of at least `least` times the longer length.
+COMMON = 62  # so many of the commonest characters of all names are bits of one number; rarer ones stay lists
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+    """on, a, b, score: pairs of distinct texts whose shared distinct characters are at least `least` of the longer length, each pair once.
 
     A text of n characters needs ceil(least * n) shared ones. Of its distinct characters, the rarest first, all but that many
-    and one are its prefix: two texts that share enough share a character of their prefixes. The lengths must allow it as well. Texts
-    with fewer distinct characters than they need have no prefix: nothing is lost, for they can't share enough.
+    and one are its prefix: two texts that share enough share a character of their prefixes, and they count as met at the rarest of these
+    alone. Texts with fewer distinct characters than they need have no prefix: nothing is lost, for they can't share enough. Shared
+    characters are counted by bits inside the join, so that pairs that share too few never leave it.
     """
     need = lambda x: F.ceil(F.lit(least) * F.length(x) - 1e-9)
     letters = lambda df, x: df.select(*on, F.col(x).alias("__t")).distinct().withColumn("__l", distinct_letters(F.col("__t")))
     sides = [letters(left, a), letters(right, b)]
-    every = sides[0].unionByName(sides[1]).select(F.explode("__l").alias("__c"))
-    counts = every.groupBy("__c").agg(F.count("*").alias("__n"))
+    counts = sides[0].unionByName(sides[1]).select(F.explode("__l").alias("__c")).groupBy("__c").agg(F.count("*").alias("__n"))
+    # Ranks of an alphabet, 0 the commonest.
+    ranks = counts.select("__c", (F.row_number().over(Window.orderBy(F.desc("__n"), "__c")) - 1).alias("__r"))
+    bit = lambda r: F.expr(f"shiftleft(1L, {COMMON - 1} - {r})")
+    bits = lambda c: F.aggregate(F.filter(c, lambda r: r < COMMON), F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(COMMON - 1) - r)))
+    rare = lambda c: F.filter(c, lambda r: r >= COMMON)
 
     def prefixes(side: DataFrame, x: str) -> DataFrame:
-        each = side.filter(F.size("__l") >= need("__t")).select(*on, "__t", F.size("__l").alias("__d"), F.explode("__l").alias("__c")).join(checked_broadcast(counts), "__c")
-        rare = each.groupBy(*on, "__t", "__d").agg(F.array_sort(F.collect_list(F.struct("__n", "__c"))).alias("__l"))
-        first = F.slice("__l", F.lit(1), (F.col("__d") - need("__t") + 1).cast("int"))
-        return rare.select(*on, F.col("__t").alias(x), F.col("__d").alias(f"__d_{x}"), F.explode(F.transform(first, lambda c: c["__c"])).alias(f"__c_{x}"))
+        each = side.filter(F.size("__l") >= need("__t")).select(*on, "__t", F.explode("__l").alias("__c")).join(checked_broadcast(ranks), "__c")
+        own = each.groupBy(*on, "__t").agg(F.sort_array(F.collect_list("__r"), asc=False).alias("__all"))
+        own = own.withColumn("__first", F.slice("__all", F.lit(1), (F.size("__all") - need("__t") + 1).cast("int")))
+        own = own.select(
+            *on, F.col("__t").alias(x), F.lower("__t").alias(f"{x}_low"), F.length("__t").alias(f"{x}_n"), bits(F.col("__all")).alias(f"{x}_bits"), rare(F.col("__all")).alias(f"{x}_rare"),
+            bits(F.col("__first")).alias(f"{x}_fbits"), rare(F.col("__first")).alias(f"{x}_frare"), F.explode("__first").alias(f"{x}_c"),
+        )
+        return own
+
+    p, q = prefixes(sides[0], "__p"), prefixes(sides[1], "__q")
+    col = F.col
+    both = lambda c: (F.size(f"__p_{c}") > 0) & (F.size(f"__q_{c}") > 0)
+    common = col("__p_fbits").bitwiseAND(col("__q_fbits"))
+    rarest = F.when(both("frare"), F.get(F.array_intersect("__p_frare", "__q_frare"), F.lit(0)))
+    here = F.when(rarest.isNotNull(), col("__p_c") == rarest).otherwise((col("__p_c") < COMMON) & (bit("__p_c") == common.bitwiseAND(-common)))
+    shared = F.bit_count(col("__p_bits").bitwiseAND(col("__q_bits"))) + F.when(both("rare"), F.size(F.array_intersect("__p_rare", "__q_rare"))).otherwise(0)
+    score = shared / F.greatest("__p_n", "__q_n")
+    met = _together(p, q, on, (col("__p_c") == col("__q_c")) & (score >= least) & here)
+    return met.select(*on, col("__p").alias(a), col("__q").alias(b), col("__p_low").alias("__low_a"), col("__q_low").alias("__low_b"), score.alias("score"))
 
-    p, q = prefixes(sides[0], "__a"), prefixes(sides[1], "__b")
-    met = _together(p, q, on, F.col("__c___a") == F.col("__c___b"))
-    longest = F.greatest(need("__a"), need("__b"))
-    return met.filter((F.col("__d___a") >= longest) & (F.col("__d___b") >= longest)).select(*on, F.col("__a").alias(a), F.col("__b").alias(b)).distinct()
+
+def prefix_candidates(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+    """on, a, b: pairs of distinct texts that share distinct characters in number of at least `least` times the longer length."""
+    return alike_pairs(left, right, on, a, b, least).select(*on, a, b)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
     """on, a, b, score: all pairs of distinct name cores of the same `on` whose similarity is at least `least` (0.88 at most).
 
     Equal and containing names meet by a rare run, others by an exact prefix filter on their rarest characters: no pair is made of
-    names that have only `on` in common.
+    names that have only `on` in common, and none twice.
     """
     own = lambda df, x, y: df.select(*on, F.col(x).alias(y)).filter(F.col(y) != "").distinct()
     p, q = own(left, a, "__p"), own(right, b, "__q")
@@ -168,9 +191,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: s
     inside = contained_pairs(lp, lq, on, "__p_low", "__q_low").unionByName(contained_pairs(lq, lp, on, "__q_low", "__p_low").select(*on, "__p_low", "__q_low")).distinct()
     # Back to the names as they are written.
     inside = _together(inside, p, on, F.col("__p_low") == F.lower("__p"))
-    inside = _together(inside, q, on, F.col("__q_low") == F.lower("__q")).select(*on, "__p", "__q")
-    some = inside.unionByName(prefix_candidates(p, q, on, "__p", "__q", least)).distinct()
-    return some.select(*on, F.col("__p").alias(a), F.col("__q").alias(b), core_similarity(F.col("__p"), F.col("__q")).alias("score")).filter(F.col("score") >= least)
+    inside = _together(inside, q, on, F.col("__q_low") == F.lower("__q")).select(*on, F.col("__p").alias(a), F.col("__q").alias(b))
+    inside = inside.withColumn("score", core_similarity(F.col(a), F.col(b)))
+    others = alike_pairs(p.withColumnRenamed("__p", a), q.withColumnRenamed("__q", b), on, a, b, least)
+    others = others.filter(~(F.contains("__low_a", F.col("__low_b")) | F.contains("__low_b", F.col("__low_a")))).select(*on, a, b, "score")
+    return inside.filter(F.col("score") >= least).unionByName(others)
 
 
 def without_fragments(rows: DataFrame, group: list[str], name: str) -> DataFrame:
