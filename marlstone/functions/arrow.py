@@ -10,6 +10,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """values as Arrow; nested ones that many rows share are turned over once and taken by place."""
+    if not pa.types.is_nested(kind):
+        return pa.array(values, kind)
+    known: dict[int, int] = {}
+    places = [known.setdefault(id(v), len(known)) for v in values]
+    if len(known) == len(values):
+        return pa.array(values, kind)
+    first = dict(zip(reversed(places), reversed(values)))
+    return pa.array([first[k] for k in range(len(known))], kind).take(pa.array(places, pa.int64()))
+
+
 def added(rows: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], tuple[list[int] | None, list]], columns: str) -> DataFrame:
     """rows' `keep` columns and those that `work` makes of each batch, described by the DDL text `columns`.
 
@@ -24,7 +36,7 @@ def added(rows: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], tup
         for batch in batches:
             places, made = work(batch)
             kept = [batch[c] if places is None else batch[c].take(pa.array(places, pa.int64())) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*kept, *(c if isinstance(c, pa.Array) else _array(c, k) for c, k in zip(made, kinds, strict=True))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .arrow import from_texts
 from .codes import clean_org_name, normalize_package_no, parse_rank
-from .money import WRITTEN_DIGITS, amount_status, classify_amount, normalize_money, parse_fold, parse_money, unit_context
-from .text import clean_value, contains_any, let
+from .money import TEN_THOUSAND, WRITTEN_DIGITS, amount_status, classify_amount, declares_many, normalize_money, parse_fold, parse_money, unit_context
+from .text import ENTITIES, clean_value, contains_any, let
 
 # Header words of the documents' language by the field that they name.
 FIELDS = {
@@ -91,6 +91,8 @@ class _Tables(HTMLParser):
 
 _TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
+_RULE = re.compile(r":?-{2,}:?")
+_LINES, _BLANKS = re.compile(r"\r\n?|\n"), re.compile(r"\t+|\s{2,}")
 
 
 def _html_spans(text: str) -> list[tuple[int, int]]:
@@ -113,7 +115,14 @@ def _html_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+# A table of nothing but rows of cells without attributes, references or other tags: most are, and two patterns read them.
+_REGULAR = re.compile(r"<table>(?:<tr>(?:<t[dh]>[^<&\r]*</t[dh]>)*</tr>)*</table>")
+_ROW, _CELL = re.compile(r"<tr>(.*?)</tr>", re.S), re.compile(r"<t[dh]>([^<]*)")
+
+
 def _html(text: str) -> list[list[list[str]]]:
+    if _REGULAR.fullmatch(text):
+        return [[[" ".join(c.split()) for c in _CELL.findall(row)] for row in _ROW.findall(text)]]
     parser = _Tables()
     parser.feed(text)
     parser.close()
@@ -128,7 +137,7 @@ def _runs(text: str) -> list[list[list[str]]]:
     out: list[list[list[str]]] = []
     run: list[list[str]] = []
     form = None
-    for line in [*re.split(r"\r\n?|\n", text), ""]:
+    for line in [*_LINES.split(text), ""]:
         cells, own = next(((c, cut) for cut in (_pipe, _blank) if (c := cut(line)) and len(c) >= 2), ([], None))
         if own is not form:
             if len(run) >= 2:
@@ -147,7 +156,7 @@ def _pipe(line: str) -> list[str] | None:
 
 
 def _blank(line: str) -> list[str] | None:
-    return None if "|" in line or not line.strip() else re.split(r"\t+|\s{2,}", line.strip())
+    return None if "|" in line or not line.strip() else _BLANKS.split(line.strip())
 
 
 def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
@@ -164,7 +173,7 @@ def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
     found += _runs(bare(text[at:]))
     out = []
     for rows in found:
-        rows = [r for r in rows if any(c for c in r) and not all(re.fullmatch(r":?-{2,}:?", c or "--") for c in r)]
+        rows = [r for r in rows if any(r) and not all(_RULE.fullmatch(c or "--") for c in r)]
         if len(rows) >= 2:
             out.append((rows[0], rows[1:]))
     return out
@@ -173,7 +182,7 @@ def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
 # What columns are looked for, by group: fields of results and tenders, of procurement lists, what is asked of suppliers, candidates side by side.
 WANTED = {"fields": FIELDS, "listed": LISTED, "asked": ASKED, "candidates": {"first": [CANDIDATES[0]], "second": [CANDIDATES[1]], "third": [CANDIDATES[2]], "any": CANDIDATES}}
 _PLACES = ", ".join(f"{group}: struct<{', '.join(f'{name}: int' for name in names)}>" for group, names in WANTED.items())
-ROWS = f"table_index int, row_index int, headers array<string>, cells array<string>, raw string, places struct<{_PLACES}>"
+ROWS = f"table_index int, row_index int, headers array<string>, cells array<string>, raw string, places struct<{_PLACES}>, many array<boolean>"
 
 
 @lru_cache(maxsize=4096)
@@ -184,23 +193,44 @@ def places_of(headers: tuple[str, ...]) -> dict:
     return {group: {name: first(words) for name, words in names.items()} for group, names in WANTED.items()}
 
 
+_SPACE = re.compile(r"[^\S\r\n\x1c-\x1f]+")
+
+
+@lru_cache(maxsize=4096)
+def many_of(headers: tuple[str, ...]) -> list[bool]:
+    """Whether each header declares ten thousands: what declares_many tells of its text, told once a table."""
+
+    def declares(header: str) -> bool:
+        if "万" not in header:
+            return False
+        for name, char in ENTITIES * 2:  # as often as the text is cleaned
+            header = header.replace(name, char)
+        flat = _SPACE.sub("", header)
+        return any(w in flat for w in TEN_THOUSAND)
+
+    return [declares(h) for h in headers]
+
+
 def table_rows(found: list[tuple[list[str], list[list[str]]]]) -> list[tuple]:
     """ROWS of tables given as headers and rows; the places of columns are found once a table."""
-    return [(ti, ri, headers, cells, " | ".join(cells), places_of(tuple(headers))) for ti, (headers, body) in enumerate(found) for ri, cells in enumerate(body)]
+    return [(ti, ri, headers, cells, " | ".join(cells), places, many) for ti, (headers, body) in enumerate(found) for places, many in [(places_of(tuple(headers)), many_of(tuple(headers)))] for ri, cells in enumerate(body)]
 
 
 def parse_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw, places: one row per table row of each text; null text has none."""
+    """key, table_index, row_index, headers, cells, raw, places, many (which headers declare ten thousands): one row per table row of each text; null text has none."""
     return from_texts(docs, key, text, lambda t: table_rows(tables_of(t)), ROWS)
 
 
 def with_places(tables: DataFrame) -> DataFrame:
-    """tables with `places`, also where they come from elsewhere: found once for each list of headers."""
-    if "places" in tables.columns:
+    """tables with `places` and `many`, also where they come from elsewhere: found once for each list of headers."""
+    if "many" in tables.columns:
         return tables
+    if "places" in tables.columns:
+        tables = tables.drop("places")
     groups = [F.struct(*[find_column(F.col("headers"), words).cast("int").alias(name) for name, words in names.items()]).alias(group) for group, names in WANTED.items()]
-    known = tables.select("headers").distinct().withColumn("places", F.struct(*groups))
-    return tables.join(known, "headers").select(*tables.columns, "places")
+    many = F.transform("headers", lambda h: declares_many(unit_context(h, F.lit(""))))
+    known = tables.select("headers").distinct().withColumns({"places": F.struct(*groups), "many": many})
+    return tables.join(known, "headers").select(*tables.columns, "places", "many")
 
 
 def find_column(headers: Column, aliases: list[str]) -> Column:
@@ -220,8 +250,9 @@ def cell(field: str, group: str = "fields") -> Column:
     return clean_value(F.get("cells", F.col(f"places.{group}.{field}")))
 
 
-def _header(field: str, group: str = "fields") -> Column:
-    return F.get("headers", F.col(f"places.{group}.{field}"))
+def _money(field: str, group: str = "fields") -> Column:
+    """The amount of the cell under a field's header, in the unit that the header declares."""
+    return parse_money(cell(field, group), many=F.coalesce(F.get("many", F.col(f"places.{group}.{field}")), F.lit(False)))
 
 
 def filled(tables: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -236,7 +267,7 @@ def award_rows(tables: DataFrame, key: str) -> DataFrame:
     """Award evidence: package, lot, supplier, amount of each row that names a supplier and whose status is no refusal."""
     rows = with_places(tables).withColumns({"package": cell("package_no"), "lot_no": cell("lot_no"), "lot_name": cell("lot_name"), "name": cell("supplier")})
     rows = filled(rows, key, ["package", "lot_no", "lot_name"]).filter("name <> ''").filter(~contains_any(cell("status"), NOT_AWARDED))
-    amount = parse_money(cell("amount"), unit_context(_header("amount"), F.lit("")))
+    amount = _money("amount")
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), "lot_no", "lot_name", clean_org_name(F.col("name")).alias("supplier"), amount.alias("amount"), "raw")
 
 
@@ -245,7 +276,7 @@ def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
     rows = filled(with_places(tables).withColumn("package", cell("package_no")), key, ["package"])
     package = normalize_package_no(F.col("package")).alias("package_no")
     # One pass: the candidate of a row that names one, and those of the columns side by side.
-    one = F.struct(parse_rank(cell("rank")).alias("rank"), cell("supplier").alias("name"), parse_money(cell("amount"), unit_context(_header("amount"), F.lit(""))).alias("amount"))
+    one = F.struct(parse_rank(cell("rank")).alias("rank"), cell("supplier").alias("name"), _money("amount").alias("amount"))
     none = F.lit(None).cast("decimal(18,2)").alias("amount")
     across = [F.struct(F.lit(i + 1).alias("rank"), cell(place, "candidates").alias("name"), none) for i, place in enumerate(("first", "second", "third"))]
     wide = F.col("places.candidates.any").isNotNull()
@@ -257,7 +288,7 @@ def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
 def tender_rows(tables: DataFrame, key: str) -> DataFrame:
     """Tender packages: scope, budget, ceiling price, guide price, qualification."""
     rows = with_places(tables).withColumn("package", cell("package_no")).filter("package <> ''")
-    money = lambda f: parse_money(cell(f), unit_context(_header(f), F.lit(""))).alias(f)
+    money = lambda f: _money(f).alias(f)
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), cell("package_name").alias("package_name"), cell("scope").alias("scope"), money("budget"), money("ceiling"), money("guide"), cell("qualification").alias("qualification"))
 
 
@@ -274,7 +305,7 @@ def procurement_packages(tables: DataFrame, key: str) -> DataFrame:
     name = F.when(at("package_name").isNotNull(), value("package_name")).otherwise(value("project_name"))
     inside = normalize_package_no(F.regexp_extract(name, "(?:包|标包)\\s*([0-9一二三四五六七八九十]+)", 1))
     number = F.when(inside != "", inside).otherwise(normalize_package_no(value("package_no")))
-    money = lambda f: parse_money(value(f), unit_context(F.get("headers", at(f)), F.lit("")))
+    money = lambda f: _money(f, "listed")
     shown = {"package_name": name, "quantity": F.replace(value("quantity"), F.lit(","), F.lit("")).try_cast("decimal(18,4)"), "budget": money("budget"), "max_price": money("max_price"), "place": value("place"), "period": value("period")}
     rows = rows.withColumns({"package_no": number, **shown}).filter("package_no <> ''")
     order = F.struct("table_index", "row_index")
@@ -332,7 +363,7 @@ def wrapped_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
 
 
 def wrapped_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw, places of tables with wrapped cells; null text has none."""
+    """key, table_index, row_index, headers, cells, raw, places, many of tables with wrapped cells; null text has none."""
     return from_texts(docs, key, text, lambda t: table_rows(wrapped_of(t)), ROWS)
 
 
