@@ -122,6 +122,6 @@ def notice_fields(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         extract_lot_no(x).alias("lot_no"),
         let(labelled(BUYER_LABELS), clean_org_name).alias("buyer_name"),
         let(labelled(AGENCY_LABELS), clean_org_name).alias("agency_name"),
-        let(labelled("预算金额|采购预算|项目预算"), parse_money).alias("budget"),
+        let(labelled("预算金额|采购预算|项目预算"), lambda v: parse_money(v)).alias("budget"),
         *[_date(x, labels).alias(name) for name, labels in DATES.items()],
     )
