@@ -1,14 +1,15 @@
 """Keyed state in streams: newest content by key, an inbox, deliveries with back-off.
 
-Each is a stateful processor: its state lies by key in the state store of the stream's checkpoint, so that a record and what it gives out are one
-commit. A batch that is run again after a crash finds the state of before; batches may come late, twice or out of order.
+Newest content and inbox are stateful processors: their state lies by key in the state store of the stream's checkpoint, so that a record and what
+it gives out are one commit. Deliveries are steps in built-in functions over a table by key, one table a batch. A batch that is run again after
+a crash finds the state of before; batches may come late, twice or out of order.
 Rows travel as rows, not as pandas, so that 64-bit keys beside nulls stay exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.analytics import first_per_key
-from ..session import ready
+from ..session import dropped, ready
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOMES = ("Created", "Changed", "IdentityUpdated", "Refreshed", "Late")
@@ -104,64 +105,101 @@ def inbox(messages: DataFrame, key: list[str], keep_ms: int | None = None) -> Da
     return messages.groupBy(*key).transformWithState(Inbox(messages.columns, keep_ms), messages.schema, "Append", mode)
 
 
-class Deliveries(StatefulProcessor):
-    """Attempts of a message: the first at once, further ones a back-off behind each failure, then a dead letter."""
+@dataclass(frozen=True)
+class Stepped:
+    """A stream and the step that takes each of its batches on from the table of before: run_to_log runs it.
 
-    def __init__(self, key: list[str], most: int, initial: float, longest: float):
-        self.key, self.most, self.initial, self.longest = key, most, initial, longest
+    step(batch, before, clock) gives a table by key whose array `out` holds what the batch gives out for that key; the other columns are the
+    table of after. clock is the watermark in milliseconds that the batch comes upon; null at first.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("attempts", "attempts int, done boolean")
+    stream: DataFrame
+    step: Callable[[DataFrame, DataFrame | None, int | None], tuple[DataFrame, int | None]]
+    key: list[str]
 
-    def _row(self, key, attempt: int, at_ms: int, action: str) -> Row:
-        at = datetime.fromtimestamp(at_ms / 1000, timezone.utc)
-        return Row(**dict(zip(self.key, key, strict=True)), attempt=attempt, due=at, action=action)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        attempts, done = self.state.get() if self.state.exists() else (0, False)
-        for r in sorted((r.asDict() for r in rows), key=lambda r: r["at_ms"]):
-            if done:
-                break
-            if r["event"] == "Enqueued" and not attempts:
-                attempts = 1
-                yield self._row(key, 1, r["at_ms"], "Dispatch")
-            elif r["event"] == "Succeeded":
-                done = True
-            elif r["event"] == "Failed" and attempts >= self.most:
-                done = True
-                yield self._row(key, attempts, r["at_ms"], "DeadLetter")
-            elif r["event"] == "Failed" and attempts:
-                wait = min(self.longest, self.initial * 2 ** (attempts - 1))
-                self.handle.registerTimer(r["at_ms"] + int(wait * 1000))
-        self.state.update((attempts, done))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        attempts, done = self.state.get()
-        if not done:
-            self.state.update((attempts + 1, False))
-            yield self._row(key, attempts + 1, expiredTimerInfo.getExpiryTimeInMs(), "Dispatch")
+def _delivered(most: int, initial: float, longest: float) -> Callable[[Column, Column], Column]:
+    """One event of a message upon its state, for F.aggregate: attempts, done, timers, out."""
 
-    def close(self) -> None:
-        """Nothing is held outside the state."""
+    def step(t: Column, e: Column) -> Column:
+        live, attempts = ~t["done"], t["attempts"]
+        is_ = lambda name: live & (e["event"] == name)
+        dispatch, dead = is_("Enqueued") & (attempts == 0), is_("Failed") & (attempts >= most)
+        wait = (F.least(F.lit(float(longest)), F.lit(float(initial)) * F.pow(F.lit(2.0), attempts - 1)) * 1000).cast("long")
+        row = lambda n, action: F.array(F.struct(n.alias("attempt"), e["at_ms"].alias("at_ms"), F.lit(action).alias("action")))
+        return F.struct(
+            F.when(dispatch, F.lit(1)).otherwise(attempts).alias("attempts"),
+            (t["done"] | is_("Succeeded") | dead).alias("done"),
+            F.when(is_("Failed") & ~dead & (attempts > 0), F.array_union(t["timers"], F.array(e["at_ms"] + wait))).otherwise(t["timers"]).alias("timers"),
+            F.when(dispatch, F.concat(t["out"], row(F.lit(1), "Dispatch"))).when(dead, F.concat(t["out"], row(attempts, "DeadLetter"))).otherwise(t["out"]).alias("out"),
+        )
 
+    return step
 
-def deliveries(events: DataFrame, key: list[str], at: str, event: str, delay: str = "0 seconds", most: int = 5, initial: float = 30, longest: float = 3600) -> DataFrame:
-    """key, attempt, due, action (Dispatch or DeadLetter) from events Enqueued, Succeeded and Failed at event times.
 
-    A failure starts a timer of min(longest, initial * 2^(attempts - 1)) seconds; the watermark (`delay` behind the newest event) lets it fire.
-    """
-    _ready(events)
-    rows = events.withWatermark(at, delay).select(*key, F.unix_millis(at).alias("at_ms"), F.col(event).alias("event"), at)
-    out = T.StructType([*events.select(*key).schema.fields, T.StructField("attempt", T.IntegerType()), T.StructField("due", T.TimestampType()), T.StructField("action", T.StringType())])
-    return rows.groupBy(*key).transformWithState(Deliveries(key, most, initial, longest), out, "Append", "EventTime")
+def deliveries(events: DataFrame, key: list[str], at: str, event: str, delay: str = "0 seconds", most: int = 5, initial: float = 30, longest: float = 3600) -> Stepped:
+    """key, attempt, due, action (Dispatch or DeadLetter) from events Enqueued, Succeeded and Failed at event times: to be run by run_to_log.
 
+    The first attempt is made at once, further ones a back-off behind each failure, then comes a dead letter. A failure starts a timer of
+    min(longest, initial * 2^(attempts - 1)) seconds; the watermark (`delay` behind the newest event) lets it fire behind the events of its batch.
+    Events not later than the watermark that a batch comes upon are late and have no effect. Messages stand in a table by key, which a batch
+    meets in one shuffle: no message costs a call of its own.
+    """
+    ready(events.sparkSession)
+    late = round(events.sparkSession.sql(f"SELECT (timestamp '1970-01-01' + interval {delay}) - timestamp '1970-01-01' AS d").first()["d"].total_seconds() * 1000)
+    start = "array<struct<attempt:int,at_ms:bigint,action:string>>"
+
+    def step(batch: DataFrame, before: DataFrame | None, clock: int | None) -> tuple[DataFrame, int | None]:
+        rows = batch.select(*key, F.unix_millis(at).alias("at_ms"), F.col(event).alias("event"))
+        newest = rows.agg(F.max("at_ms")).first()[0]
+        after = clock if newest is None else max(newest - late, newest - late if clock is None else clock)
+        if clock is not None:
+            rows = rows.filter(F.col("at_ms") > clock)
+        told = rows.filter(F.col("event").isin("Enqueued", "Succeeded", "Failed")).select(*key, F.struct("at_ms", "event").alias("e"), F.lit(None).cast("int").alias("attempts"), F.lit(None).cast("boolean").alias("done"), F.lit(None).cast("array<bigint>").alias("timers"))
+        if before is not None:
+            told = told.unionByName(before.select(*key, F.lit(None).cast("struct<at_ms:bigint,event:string>").alias("e"), "attempts", "done", "timers"))
+        met = told.groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("attempts").alias("attempts"), F.max("done").alias("done"), F.max("timers").alias("timers"))
+        state = F.struct(F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("timers", F.array().cast("array<bigint>")).alias("timers"), F.array().cast(start).alias("out"))
+        t = F.col("t")
+        one = met.select(*key, F.when(F.size("e") > 0, F.aggregate("e", state, _delivered(most, initial, longest))).otherwise(state).alias("t"))
+        due = F.array_sort(F.filter(t["timers"], lambda x: x <= F.lit(after).cast("long")))
+        fired = F.when(t["done"], F.array().cast(start)).otherwise(F.transform(due, lambda x, i: F.struct((t["attempts"] + i + 1).alias("attempt"), x.alias("at_ms"), F.lit("Dispatch").alias("action"))))
+        left = F.when(t["done"], F.array().cast("array<bigint>")).otherwise(F.filter(t["timers"], lambda x: ~F.coalesce(x <= F.lit(after).cast("long"), F.lit(False))))
+        one = one.select(*key, "t", fired.alias("fired"), left.alias("timers"))
+        out = F.transform(F.concat(t["out"], F.col("fired")), lambda o: F.struct(o["attempt"].alias("attempt"), F.timestamp_millis(o["at_ms"]).alias("due"), o["action"].alias("action")))
+        return one.select(*key, (t["attempts"] + F.size("fired")).cast("int").alias("attempts"), t["done"].alias("done"), "timers", out.alias("out")), after
+
+    return Stepped(events, step, key)
+
+
+def _run_steps(rows: Stepped, path: str, keep: Callable[[DataFrame], DataFrame] | None) -> StreamingQuery:
+    """Batch n reads the table of batch n - 1 and writes its own and its log; each is replaced when the batch is repeated."""
+    table = lambda n: f"{path}/table/turn={n}"
 
-def run_to_log(rows: DataFrame, path: str, mode: str = "update", keep: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, clock = batch.sparkSession, None
+        before = None
+        if batch_id:
+            before = spark.read.parquet(table(batch_id - 1)).drop("out")
+            clock = spark.read.parquet(f"{path}/clock/turn={batch_id - 1}").first()["ms"]
+        after, clock = rows.step(batch, before, clock)
+        after.write.mode("overwrite").parquet(table(batch_id))
+        spark.createDataFrame([(clock,)], "ms long").coalesce(1).write.mode("overwrite").parquet(f"{path}/clock/turn={batch_id}")
+        out = spark.read.schema(after.schema).parquet(table(batch_id)).filter(F.size("out") > 0).select(*rows.key, F.inline("out"))
+        (keep(out) if keep else out).write.mode("overwrite").parquet(f"{path}/log/turn={batch_id}")
+        if batch_id > 1:  # a batch that is repeated reads the table of the one before it, none older
+            dropped(spark, table(batch_id - 2))
+
+    return rows.stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def run_to_log(rows: DataFrame | Stepped, path: str, mode: str = "update", keep: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Start a run that adds each micro-batch to a log: a folder a batch under path/log, replaced when the batch is repeated.
 
-    The checkpoint lies beside it; a later run with the same path goes on where this one ends.
+    The checkpoint lies beside it, and for steps their table; a later run with the same path goes on where this one ends.
     """
+    if isinstance(rows, Stepped):
+        return _run_steps(rows, path, keep)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (keep(batch) if keep else batch).write.mode("overwrite").parquet(f"{path}/log/turn={batch_id}")

@@ -171,3 +171,29 @@ def test_deliveries_wait_for_their_timer(spark, tmp_path):
         state.run_to_log(state.deliveries(source, ["id"], "at", "event", most=2), path, "append").awaitTermination(120)
     got = sorted((r["id"], r["attempt"], r["due"].replace(tzinfo=timezone.utc), r["action"]) for r in state.log(spark, path).collect())
     assert got == [(1, 1, t(0), "Dispatch"), (1, 2, t(40), "Dispatch"), (1, 2, t(60), "DeadLetter"), (2, 1, t(5), "Dispatch")]
+
+
+def test_deliveries_of_a_batch_that_breaks_off_and_late_events(spark, tmp_path):
+    """Deliveries run in built-in functions: a repeated batch counts once, two failures start two timers, late events and null keys are as before."""
+    path, t, broken = str(tmp_path), lambda s: datetime.fromtimestamp(1_000_000 + s, timezone.utc), []
+
+    def fail(batch):
+        broken.append(batch.count())
+        assert "Python" not in batch._jdf.queryExecution().executedPlan().toString()
+        if len(broken) == 2:
+            raise RuntimeError("crash")
+        return batch
+
+    batches = [(1, t(0), "Enqueued"), (1, t(10), "Failed"), (1, t(11), "Failed"), (None, t(3), "Enqueued")], [(None, t(5), "Failed"), (3, t(11), "Enqueued"), (4, t(50), "Enqueued")], [(None, t(60), "Succeeded"), (1, t(70), "Failed"), (4, t(51), "Failed")], [(9, t(500), "Tick")]
+    for n, source in enumerate(arrivals(spark, path, "id long, at timestamp, event string", *batches)):
+        run = lambda: state.run_to_log(state.deliveries(source, ["id"], "at", "event", most=3), path, "append", fail).awaitTermination(120)  # noqa: B023, E731
+        if n == 1:
+            with pytest.raises(Exception, match="crash"):
+                run()
+        run()
+    got = sorted((r["turn"], r["id"] or 0, r["attempt"], r["due"].replace(tzinfo=timezone.utc), r["action"]) for r in state.log(spark, path).collect())
+    assert got == [
+        (0, 0, 1, t(3), "Dispatch"), (0, 1, 1, t(0), "Dispatch"), (1, 1, 2, t(40), "Dispatch"), (1, 1, 3, t(41), "Dispatch"), (1, 4, 1, t(50), "Dispatch"),
+        (2, 1, 3, t(70), "DeadLetter"), (3, 4, 2, t(81), "Dispatch"),
+    ]
+    assert sorted(os.listdir(f"{path}/table")) == ["turn=2", "turn=3"]
