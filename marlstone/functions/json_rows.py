@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .masking import MASK, SENSITIVE_KEYS
 
 TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
+CHARACTER = 40  # bytes that a character of a document takes as token rows: a token has some four, its row some 160 bytes
 IDENTITY = ["tenantid", "tenant_id", "storeid", "store_id", "userid", "user_id"]  # fixed values: who asks, no part of what is asked
 
 
@@ -21,12 +23,21 @@ def is_json(x: Column) -> Column:
     return F.get_json_object(x, "$").isNotNull()
 
 
+def _placed(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """rows dealt by their key before they are cut up, by the characters of all documents: documents are shuffled, and not their tokens."""
+    return spread(rows, [key], (rows.agg(F.sum(F.length(column))).first()[0] or 0) * CHARACTER)
+
+
 def tokens(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, pos, tok, level, opens, closes, name, named, starts_in, ends: the tokens of all documents that are JSON.
+    """key, pos, tok, level, opens, closes, name, named, starts_in, ends, begins: the tokens of all documents that are JSON.
 
     level: brackets open around the token, its own included. name: the member's name without quotes, lower case, of a token that begins its value (`named` is true
     then). starts_in: place of the bracket that the token stands in directly. ends: of an opening bracket, the place where it closes.
     """
+    return _tokens(_placed(rows, key, column), key, column)
+
+
+def _tokens(rows: DataFrame, key: str, column: str) -> DataFrame:
     each = rows.filter(is_json(F.col(column))).select(key, F.posexplode(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     w = Window.partitionBy(key).orderBy("pos")
     opens, closes = F.col("tok").isin("{", "["), F.col("tok").isin("}", "]")
@@ -72,31 +83,34 @@ def masked(rows: DataFrame, key: str, column: str) -> DataFrame:
     """rows with the values of sensitive members masked at any depth, whole objects and lists as one; what is not JSON stays."""
     plain = F.replace(F.col("name"), F.lit("-"), F.lit(""))
     sensitive = F.exists(F.array(*[F.lit(s) for s in SENSITIVE_KEYS]), lambda s: F.contains(plain, s))
-    each = _within(tokens(rows, key, column), key, sensitive)
+    placed = _placed(rows, key, column)
+    each = _within(_tokens(placed, key, column), key, sensitive)
     kept = each.filter("not hidden").withColumn("out", F.when(F.col("chosen"), F.lit(f'"{MASK}"')).otherwise(F.col("tok")))
     # A masked object's bracket stands for the whole: it is a value like any other.
     kept = kept.withColumn("tok", F.col("out"))
     done = _joined(kept, key, "__masked", ", ", ": ")
-    return rows.join(done, key, "left").withColumn(column, F.coalesce("__masked", column)).select(*rows.columns)
+    return placed.join(done, key, "left").withColumn(column, F.coalesce("__masked", column)).select(*rows.columns)
 
 
 def found(rows: DataFrame, key: str, column: str, names: list[str]) -> DataFrame:
     """key and, for each name, the first scalar under it, ignoring case: outer objects before inner ones, members in order; null if there is none."""
-    each = tokens(rows, key, column).filter(F.col("named") & ~F.col("opens") & (F.col("tok") != "null") & F.col("name").isin([n.lower() for n in names]))
+    placed = _placed(rows, key, column)
+    each = _tokens(placed, key, column).filter(F.col("named") & ~F.col("opens") & (F.col("tok") != "null") & F.col("name").isin([n.lower() for n in names]))
     text = F.when(F.startswith("tok", F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), "tok", F.lit("}")), "$.v")).otherwise(F.col("tok"))
     firsts = [F.min(F.when(F.col("name") == n.lower(), F.struct("starts_in", "pos", text.alias("t"))))["t"].alias(n) for n in names]
-    return rows.select(key).join(each.groupBy(key).agg(*firsts), key, "left")
+    return placed.select(key).join(each.groupBy(key).agg(*firsts), key, "left")
 
 
 def canonical(rows: DataFrame, key: str, column: str, name: str, without: list[str] = IDENTITY) -> DataFrame:
     """rows with `name`: the document without the caller's identity at any depth, keys in order, no blanks; null for what is not JSON or has a member twice."""
     w = Window.partitionBy(key).orderBy("pos")
-    each = _within(tokens(rows, key, column), key, F.col("name").isin(without))
+    placed = _placed(rows, key, column)
+    each = _within(_tokens(placed, key, column), key, F.col("name").isin(without))
     # The name and the colon before a chosen value go with it.
     gone = F.col("hidden") | F.col("chosen") | F.coalesce(F.lead("chosen").over(w), F.lit(False)) | F.coalesce(F.lead("chosen", 2).over(w) & (F.lead("tok").over(w) == ":"), F.lit(False))
     kept = each.withColumn("__gone", gone).filter("not __gone").withColumn("out", F.col("tok"))
     done = _joined(kept, key, "__left", ",", ":")
-    return rows.join(done, key, "left").withColumn(name, F.to_json(F.try_parse_json("__left"))).drop("__left")
+    return placed.join(done, key, "left").withColumn(name, F.to_json(F.try_parse_json("__left"))).drop("__left")
 
 
 def fingerprints(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:

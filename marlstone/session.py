@@ -68,6 +68,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+TASK_SIZE = 64 * 1024 * 1024  # bytes that a task sorts at a time
+
+
+def spread(rows: DataFrame, on: list[str], size: int) -> DataFrame:
+    """rows dealt by `on` to as many tasks as `size` bytes need: what a task holds does not grow with the table.
+
+    Windows, groups and joins by `on` and more columns behind it need no shuffle of their own. The optimizer's estimate is no measure here: it is
+    boundless for rows that no file holds.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_SIZE)), *on)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; only Spark's own readers touch the path."""
     ready(spark)
