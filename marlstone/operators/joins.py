@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import core_similarity, distinct_letters
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from .analytics import first_per_key
 
 SMALL_SIDE = 64 * 1024 * 1024
+ROW_SIZE = 128  # bytes that a row of a few columns takes where it is sorted
 
 
 def checked_broadcast(rows: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
@@ -56,13 +57,16 @@ def asof_within(left: DataFrame, right: DataFrame, on: list[str], left_time: str
 
     `key` names the left rows: one each. Right rows stand in buckets of a day; how many stand in buckets before gives each its position within its key,
     and a left row learns in its own bucket how many are not too late: the newest of these have the positions just below. So a left row
-    meets only the rows that it keeps, at most `most`, however many its key has, and a hot key is sorted a day at a time.
+    meets only the rows that it keeps, at most `most`, however many its key has, and a hot key is sorted a day at a time. Rows are dealt by key
+    and day to tasks whose number grows with the tables.
     """
     bound = F.col(left_time).cast("timestamp_ntz") + F.expr(f"INTERVAL {days} DAYS")
     day = lambda x: F.unix_date(F.to_date(x))
     start = -(2**31)  # the bucket of rows without a time: before all
     r = right.withColumns({"__t": F.col(right_time).cast("timestamp_ntz"), "__b": F.coalesce(day(F.col(right_time)), F.lit(start))})
     bucket = Window.partitionBy(*on, "__b")
+    n = right.count()
+    r = spread(r, [*on, "__b"], n * ROW_SIZE)
     r = r.withColumn("__turn", F.row_number().over(bucket.orderBy(F.col("__t").desc_nulls_last(), *tie)))
     asks = left.withColumns({"__t": bound, "__b": F.coalesce(day(bound), F.lit(start))})
     # What stands in each bucket, and before it.
@@ -73,7 +77,7 @@ def asof_within(left: DataFrame, right: DataFrame, on: list[str], left_time: str
     # In its own bucket a left row counts those not later than its bound.
     both = asks.select(*on, "__b", "__t", F.struct(*left.columns).alias("__left")).unionByName(r.select(*on, "__b", "__t", F.lit(None).cast(asks.select(F.struct(*left.columns)).schema[0].dataType).alias("__left")))
     upto = F.sum(F.when(F.col("__left").isNull(), 1).otherwise(0)).over(bucket.orderBy(F.col("__t").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = both.withColumn("__own", upto).filter("__left is not null").join(sizes, [*on, "__b"])
+    counted = spread(both, [*on, "__b"], (n + left.count()) * ROW_SIZE).withColumn("__own", upto).filter("__left is not null").join(sizes, [*on, "__b"])
     last = F.col("__upto") - F.col("__n") + F.col("__own")
     wanted = counted.select("__left.*", last.alias("__last")).filter("__last > 0")
     wanted = wanted.select("*", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("__last") - most + 1), F.col("__last"))).alias("__pos"))
