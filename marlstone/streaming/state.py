@@ -98,9 +98,12 @@ def inbox(messages: DataFrame, key: list[str], keep_ms: int | None = None) -> Da
     """One row of each key, in the first batch that holds it; with keep_ms a key is forgotten so long after (by the clock).
 
     The record and the row are one commit: written by a sink that takes a batch once (files, a table), a message has its effect
-    exactly once, whatever batch is repeated.
+    exactly once, whatever batch is repeated. Messages that are nothing but their key pass through Spark's own dropping of duplicates; of
+    others the least of a batch is taken, a key at a time in Python, so that a repeated batch takes the same.
     """
     _ready(messages)
+    if keep_ms is None and set(key) == set(messages.columns):
+        return messages.dropDuplicates(key)
     mode = "None" if keep_ms is None else "ProcessingTime"
     return messages.groupBy(*key).transformWithState(Inbox(messages.columns, keep_ms), messages.schema, "Append", mode)
 

@@ -197,3 +197,12 @@ def test_deliveries_of_a_batch_that_breaks_off_and_late_events(spark, tmp_path):
         (2, 1, 3, t(70), "DeadLetter"), (3, 4, 2, t(81), "Dispatch"),
     ]
     assert sorted(os.listdir(f"{path}/table")) == ["turn=2", "turn=3"]
+
+
+def test_an_inbox_of_bare_keys_runs_without_python(spark, tmp_path):
+    path, big = str(tmp_path), 2**53 + 1
+    for source in arrivals(spark, path, "id long, kind string", [(big, "a"), (big, "a"), (None, "a")], [(big, "a"), (None, "a"), (None, None), (big, "b")]):
+        run = state.run_to_log(state.inbox(source, ["id", "kind"]), path, "append")
+        run.awaitTermination(120)
+        assert "Python" not in run._jsq.explainInternal(False)
+    assert sorted((r["turn"], r["id"] or 0, r["kind"] or "") for r in state.log(spark, path).collect()) == [(0, 0, "a"), (0, big, "a"), (1, 0, ""), (1, big, "b")]
