@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import keys_compatible, org_match_key
 from ..session import settled
 from .analytics import first_per_key
-from .joins import components, contained_either_way, pairs_in_block
-from .scoring import points
+from .joins import block_components, contained_either_way, pairs_in_block
 
 
 SUPPLIER_KEY = "__supplier_key"
@@ -21,30 +20,33 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn(SUPPLIER_KEY, org_match_key(F.col("supplier")))
 
 
-def _both(c: str, same: Column | None = None) -> Column:
-    """Both sides have a value and it is alike."""
-    a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
-    return F.coalesce((F.trim(a.cast("string")) != "") & (F.trim(b.cast("string")) != "") & (F.upper(a.cast("string")) == F.upper(b.cast("string")) if same is None else same), F.lit(False))
+def _both(c: str) -> Column:
+    """Both sides have a value and it is alike, ignoring case: then neither is blank if one is not."""
+    a, b = F.col(f"{c}_a").cast("string"), F.col(f"{c}_b").cast("string")
+    return (F.trim(a) != "") & (F.upper(a) == F.upper(b))
 
 
 def _compatible(c: str) -> Column:
-    """One side lacks a value, or one holds the other."""
-    a, b = F.trim(F.coalesce(f"{c}_a", F.lit(""))), F.trim(F.coalesce(f"{c}_b", F.lit("")))
-    return (a == "") | (b == "") | contained_either_way(a, b)
+    """One side lacks a value, or one holds the other: every text holds the empty one."""
+    a, b = F.lower(F.trim(F.coalesce(f"{c}_a", F.lit("")))), F.lower(F.trim(F.coalesce(f"{c}_b", F.lit(""))))
+    return F.contains(a, b) | F.contains(b, a)
 
 
 def outcome_pair_score() -> Column:
     """Points of a pair of outcome records over COMPARED and SUPPLIER_KEY; 0 where type, rank, supplier, package or lots contradict each other."""
     clash = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
     supplier = keys_compatible(F.col(f"{SUPPLIER_KEY}_a"), F.col(f"{SUPPLIER_KEY}_b"))
-    page = _both("page")
-    evidence_ = _both("evidence", (F.upper("evidence_a") == F.upper("evidence_b")) | ((F.least(F.length("evidence_a"), F.length("evidence_b")) >= 12) & contained_either_way(F.col("evidence_a"), F.col("evidence_b"))))
-    hard = (F.col("outcome_type_a") == F.col("outcome_type_b")) & ~clash("rank") & supplier & ~clash("package_no") & _compatible("lot_no") & _compatible("lot_name")
+    evidence_ = _both("evidence") | ((F.length("evidence_a") >= 12) & (F.length("evidence_b") >= 12) & contained_either_way(F.col("evidence_a"), F.col("evidence_b")))
+    alike = F.col("outcome_type_a") == F.col("outcome_type_b")
+    hard = alike & ~clash("rank") & ~clash("package_no") & supplier & _compatible("lot_no") & _compatible("lot_name")
     rules = [
-        (supplier, 40), (_both("package_no"), 25), (_both("sequence_no") & ~clash("page"), 30), (evidence_, 30), (_compatible("lot_no"), 25), (_compatible("lot_name"), 15),
-        (F.abs(F.col("amount_a") - F.col("amount_b")) < F.lit(0.01).cast("decimal(18,2)"), 10), (F.col("outcome_type_a") == F.col("outcome_type_b"), 10), (page, 10),
+        (_both("package_no"), 25), (_both("sequence_no") & ~clash("page"), 30), (evidence_, 30), (F.abs(F.col("amount_a") - F.col("amount_b")) < F.lit(0.01).cast("decimal(18,2)"), 10), (_both("page"), 10),
     ]
-    return F.when(hard, points(rules)).otherwise(F.lit(0))
+    # Supplier (40), lot number (25), lot name (15) and type (10) are alike wherever nothing contradicts: their points are no question of a pair.
+    score = F.lit(40 + 25 + 15 + 10)
+    for holds, weight in rules:
+        score = score + F.when(F.coalesce(holds, F.lit(False)), weight).otherwise(0)
+    return F.when(hard, score).otherwise(F.lit(0))
 
 
 def outcome_threshold() -> Column:
@@ -57,19 +59,23 @@ def outcome_threshold() -> Column:
 def merge_records(rows: DataFrame, block: list[str], key: str, compared: list[str], score: Column, threshold: Column | int, best: list[Column], fill: list[str], fill_order: list[Column] | None = None, members: str | None = None) -> DataFrame:
     """One row per component of pairs scored at or above the threshold: the best row, its empty fields filled from the others.
 
-    Pairs are made within a block, which is one document's records and so bounded. `score` and `threshold` are over the columns
+    Pairs are made within a block, which is one document's records and so bounded; they are scored once, and components are told block by block. `score` and `threshold` are over the columns
     suffixed _a and _b; `best` ranks survivors and must end in a unique key; a field is filled with the value of the first row
     that has one, by `fill_order` (by `best` where not given). `members` names a column for the size of the component.
     """
-    pairs = pairs_in_block(rows, block, key, compared).filter(score >= threshold).select(f"{key}_a", f"{key}_b")
-    labels = components(pairs, f"{key}_a", f"{key}_b").select(F.col("node").alias(key), F.col("label").alias("__group"))
-    grouped = rows.join(labels, key, "left").withColumn("__group", F.coalesce("__group", key))
+    rows = settled(rows, "records")
+    pairs = settled(pairs_in_block(rows, block, key, compared).filter(score >= threshold).select(*block, f"{key}_a", f"{key}_b"), "pairs")
+    labels = block_components(pairs, block, f"{key}_a", f"{key}_b", pairs.count()).select(F.col("node").alias(key), F.col("label").alias("__group"))
+    labels = settled(labels, "labels")
     w = Window.partitionBy("__group")
-    ranked = grouped.withColumns({"__rn": F.row_number().over(w.orderBy(*best)), "__p": F.row_number().over(w.orderBy(*(fill_order or best)))})
+    ranked = rows.join(labels, key).withColumns({"__rn": F.row_number().over(w.orderBy(*best)), "__p": F.row_number().over(w.orderBy(*(fill_order or best)))})
     first = [F.min_by(F.struct(*rows.columns), "__rn").alias("__s"), F.count("*").alias("__n")]
     filled = ranked.groupBy("__group").agg(*first, *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__p"))).alias(f"__{c}") for c in fill])
     out = [F.coalesce(F.col(f"__s.{c}"), F.col(f"__{c}")).alias(c) if c in fill else F.col(f"__s.{c}").alias(c) for c in rows.columns]
-    return filled.select(*out, *([F.col("__n").alias(members)] if members else []))
+    merged = filled.select(*out, *([F.col("__n").alias(members)] if members else []))
+    # A record that is in no pair stays as it is.
+    alone = rows.join(labels, key, "left_anti")
+    return merged.unionByName(alone.withColumn(members, F.lit(1).cast("long")) if members else alone)
 
 
 def greedy_uncovered(rows: DataFrame, on: list[str], key: str, order: list[Column], covers: Column) -> DataFrame:

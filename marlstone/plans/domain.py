@@ -298,7 +298,7 @@ def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     there = lambda x: c(x).isNotNull().desc()
     best = [F.desc("trust"), F.desc("strength"), there("lot_no"), there("package_no"), there("amount"), F.desc("confidence"), c("id")]
-    merged = merging.merge_records(merging.with_keys(rows), ["notice"], "id", [*merging.COMPARED, merging.SUPPLIER_KEY], merging.outcome_pair_score(), merging.outcome_threshold(), best, ["rank", "package_no", "lot_no", "amount"], [F.desc("strength"), c("id")], "members")
+    merged = merging.merge_records(merging.with_keys(rows), ["notice", "outcome_type"], "id", [*merging.COMPARED, merging.SUPPLIER_KEY], merging.outcome_pair_score(), merging.outcome_threshold(), best, ["rank", "package_no", "lot_no", "amount"], [F.desc("strength"), c("id")], "members")
     return merged.select("notice", "id", "members", "rank", "package_no", "lot_no", c("amount").cast("double").alias("amount"))
 
 
