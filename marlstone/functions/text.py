@@ -12,7 +12,8 @@ NO_SIGNAL = r"[\s_\-—–/\\|,.，。:：;；()（）\[\]【】{}<>《》]"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
 
-TO_CLEAN = r"(?U)[&?？�　]|^\s|\s$|\s\s|[^\S ]"  # what a clean value has none of
+SPACES = " \t\x0b\f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CLEAN = rf"\A(?:[^{SPACES}\r\n&?？�]++(?: [^{SPACES}\r\n&?？�]++)*+)?\z"  # words with one blank between, and nothing to decode or doubt: one walk, no way back
 
 
 def let(value: Column, body) -> Column:
@@ -58,16 +59,13 @@ def clean_value(x: Column) -> Column:
 
     Most values have nothing to clean: one pattern tells, and only the others go through all steps.
     """
-    plain = ~text_or_empty(x).rlike(TO_CLEAN)
+    plain = text_or_empty(x).rlike(CLEAN)
     y = F.regexp_replace(F.translate(decode_entities(text_or_empty(x)), "�　", "? "), r"(?U)^\s+|\s+$", "")
     y = F.regexp_replace(y, r"(?U)[^\S\r\n]+", " ")
     cleaned = let(y, lambda z: F.when(is_unknown_marker(z) | looks_unreadable(z), F.lit("")).otherwise(z))
     return F.when(plain, F.when(is_unknown_marker(x), F.lit("")).otherwise(text_or_empty(x))).otherwise(cleaned)
 
 
-SPACES = " \t\x0b\f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def without_spaces(x: Column, also: str = "") -> Column:
     """Entities decoded and all blanks taken out, for looking words up: what clean_value makes of a text holds the same words."""
     return F.translate(decode_entities(text_or_empty(x)), SPACES + also, "")

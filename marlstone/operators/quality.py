@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import read_decimal
 from ..functions.text import contains_any
 
 # Markers of missing values and words of the documents' language.
@@ -56,7 +57,8 @@ def _amount_suspects(rows: DataFrame, label: str, text: str, held: str) -> DataF
     A rate whose number equals a held amount (to 0.01) stands in an amount field; a number of ten thousands that equals one
     bare, while none is ten thousand times it, was not scaled.
     """
-    number = F.regexp_extract(F.replace(F.col(text), F.lit(","), F.lit("")), NUMBER, 0).try_cast("decimal(22,4)")
+    number = F.regexp_extract(F.replace(F.col(text), F.lit(","), F.lit("")), NUMBER, 0)
+    number = read_decimal(number, "decimal(22,4)")
     flat = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(" "), F.lit(""))
     rate = _holds(F.col(label), RATE_WORDS)
     many = contains_any(flat(label), TEN_THOUSANDS) | contains_any(flat(text), TEN_THOUSANDS)

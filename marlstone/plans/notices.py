@@ -51,7 +51,8 @@ def parsed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_fold = _s((left / 10).cast("decimal(4,1)"))
     written = _pick(F.col("l_orderkey") + F.col("l_linenumber"), _s("下浮率", d, "%"), _s("折扣率", left, "%"), _s("报价系数", (left / 100).cast("decimal(4,2)")), _s(as_fold, " 折"), _s(d))
     numerals = F.translate(F.col("l_quantity").cast("int").cast("string"), "0123456789", "〇壹二叁四伍六柒八玖")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money.parse_rate(written).alias("r"), money.parse_fold(numerals).cast("double").alias("fold"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("w"), numerals.alias("f"))  # made once, then read
+    rows = rows.select("l_orderkey", "l_linenumber", money.parse_rate(F.col("w")).alias("r"), money.parse_fold(F.col("f")).cast("double").alias("fold"))
     return rows.select("l_orderkey", "l_linenumber", F.col("r.rate_type").alias("rate_type"), F.col("r.rate_value").cast("double").alias("rate_value"), "fold")
 
 
