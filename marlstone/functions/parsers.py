@@ -27,12 +27,15 @@ def _outcomes(text: str) -> list[list]:
     rows: list[list] = []
     package, last = "", None
     for n, line in enumerate(text.split("\n"), 1):
-        if m := PACKAGE_LINE.search(line):
+        # Words that every label holds tell most lines without a search.
+        if "包" in line and (m := PACKAGE_LINE.search(line)):
             package, last = m[1] or m[2], None
-        if m := SUPPLIER_LINE.search(line):
+        if not (":" in line or "：" in line):
+            continue
+        if ("人" in line or "供应商" in line or "单位" in line) and (m := SUPPLIER_LINE.search(line)):
             last = [n, package, m[1], None]
             rows.append(last)
-        if (m := AMOUNT_LINE.search(line)) and last is not None and last[3] is None:
+        if last is not None and last[3] is None and ("金额" in line or "价" in line) and (m := AMOUNT_LINE.search(line)):
             last[3] = m[1]
     return rows
 
