@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrow import from_texts
 from .codes import clean_org_name, normalize_package_no, parse_rank
-from .money import TEN_THOUSAND, WRITTEN_DIGITS, amount_status, classify_amount, declares_many, normalize_money, parse_fold, parse_money, unit_context
+from .money import TEN_THOUSAND, WRITTEN_DIGITS, amount_kind, amount_status, declares_many, normalize_money, parse_fold, parse_money, read_decimal, unit_context
 from .text import ENTITIES, clean_value, contains_any, let
 
 # Header words of the documents' language by the field that they name.
@@ -441,16 +441,20 @@ def amounts_of(text: str) -> list[tuple]:
     return rows
 
 
+def _kinds_of(text: str) -> list[tuple]:
+    """amounts_of with the kind that classify_amount gives; surroundings stay only where a unit is still to be found in them."""
+    return [(*row[:5], "" if row[4] else row[5], row[6], amount_kind(row[5])) for row in amounts_of(text)]
+
+
 def extract_amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, at, raw, form, value, unit, amount_type, status, reason, confidence, line: amounts, percents and folds with their places.
 
     A span is claimed by the first form that reads it. A bare number counts only among words of money. Context is
     what stands within AROUND characters, on both sides.
     """
-    found = from_texts(docs, key, text, amounts_of, "at int, raw string, form string, number string, unit string, around string, line int")
+    found = from_texts(docs, key, text, _kinds_of, "at int, raw string, form string, number string, unit string, around string, line int, kind string")
     money = normalize_money(F.col("number"), F.col("unit"), F.col("around"))
-    kind_ = classify_amount(F.col("around"))
-    out = found.withColumns({"m": money, "kind": kind_, "share": F.bround(F.col("number").try_cast("decimal(18,8)") / 100, 6).cast("decimal(18,6)"), "fold": parse_fold(F.col("number"))})
+    out = found.withColumns({"m": money, "share": F.bround(read_decimal(F.col("number"), "decimal(18,8)") / 100, 6).cast("decimal(18,6)"), "fold": parse_fold(F.col("number"))})
     value = F.when(F.col("form") == "money", F.col("m.amount").cast("decimal(24,6)")).when(F.col("form") == "percent", F.col("share")).otherwise(F.col("fold"))
     type_ = F.when(F.col("form") == "money", F.col("kind")).when(F.col("form") == "fold", F.lit("DiscountRate")).when(F.col("kind").isin("DiscountRate", "ReductionRate"), F.col("kind")).otherwise(F.lit("Rate"))
     unit = F.when(F.col("form") == "money", F.col("m.unit")).when(F.col("form") == "percent", F.lit("rate")).otherwise(F.lit("discount"))
