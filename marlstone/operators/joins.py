@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import core_similarity, distinct_letters
-from ..session import shared_folder, spread
+from ..functions.alike import best_of_kinds, name_pairs
+from ..session import TASK_SIZE, settled, shared_folder, spread
 from .analytics import first_per_key
 
 SMALL_SIDE = 64 * 1024 * 1024
 ROW_SIZE = 128  # bytes that a row of a few columns takes where it is sorted
+ARROW_ROWS = 10_000  # rows of a batch that a task gives back
 
 
 def checked_broadcast(rows: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
@@ -25,6 +27,11 @@ def checked_broadcast(rows: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
     return F.broadcast(rows) if int(str(size)) <= most else rows
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows that a join is not to broadcast: the optimizer takes rows that were exploded, or unpacked from a file, for as few bytes as what they come from."""
+    return rows.hint("merge")
+
+
 def lookup(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """Left join to a table with one row per key."""
     return left.join(checked_broadcast(right), on, "left")
@@ -140,47 +147,73 @@ def containing_pairs(names: DataFrame, group: list[str], name: str) -> DataFrame
     return both.filter(F.col("inner") != F.col("outer")).select(*group, "inner", "outer")
 
 
-COMMON = 62  # so many of the commonest characters of all names are bits of one number; rarer ones stay lists
+CELL = 8192  # names of either side that are compared at a time
+CELLS_IN_TASK = 4
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
-    """on, a, b, score: pairs of distinct texts whose shared distinct characters are at least `least` of the longer length, each pair once.
+def in_cells(left: DataFrame, right: DataFrame | None, on: list[str], least: float, inside: bool, key: str | None = None) -> DataFrame:
+    """on, a, b, score of the like names __t of `left` and `right`, rows on, __t (of right also __kind and `key`, see similar_pairs); without `right` pairs a < b of `left`.
 
-    A text of n characters needs ceil(least * n) shared ones. Of its distinct characters, the rarest first, all but that many
-    and one are its prefix: two texts that share enough share a character of their prefixes, and they count as met at the rarest of these
-    alone. Texts with fewer distinct characters than they need have no prefix: nothing is lost, for they can't share enough. Shared
-    characters are counted by bits inside the join, so that pairs that share too few never leave it.
+    Names of a group are dealt by their hash to parts of CELL names, and each pair of parts is a cell: however large a group is, a
+    cell holds two parts and is a group of its own, and cells go to tasks by the number of their pairs. Nothing is broadcast but the numbers of parts of
+    groups with more names than a part has, which are fewer than names by that factor.
     """
-    need = lambda x: F.ceil(F.lit(least) * F.length(x) - 1e-9)
-    letters = lambda df, x: df.select(*on, F.col(x).alias("__t")).distinct().withColumn("__l", distinct_letters(F.col("__t")))
-    sides = [letters(left, a), letters(right, b)]
-    counts = sides[0].unionByName(sides[1]).select(F.explode("__l").alias("__c")).groupBy("__c").agg(F.count("*").alias("__n"))
-    # Ranks of an alphabet, 0 the commonest.
-    ranks = counts.select("__c", (F.row_number().over(Window.orderBy(F.desc("__n"), "__c")) - 1).alias("__r"))
-    bit = lambda r: F.expr(f"shiftleft(1L, {COMMON - 1} - {r})")
-    bits = lambda c: F.aggregate(F.filter(c, lambda r: r < COMMON), F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(COMMON - 1) - r)))
-    rare = lambda c: F.filter(c, lambda r: r >= COMMON)
-
-    def prefixes(side: DataFrame, x: str) -> DataFrame:
-        each = side.filter(F.size("__l") >= need("__t")).select(*on, "__t", F.explode("__l").alias("__c")).join(checked_broadcast(ranks), "__c")
-        own = each.groupBy(*on, "__t").agg(F.sort_array(F.collect_list("__r"), asc=False).alias("__all"))
-        own = own.withColumn("__first", F.slice("__all", F.lit(1), (F.size("__all") - need("__t") + 1).cast("int")))
-        own = own.select(
-            *on, F.col("__t").alias(x), F.lower("__t").alias(f"{x}_low"), F.length("__t").alias(f"{x}_n"), bits(F.col("__all")).alias(f"{x}_bits"), rare(F.col("__all")).alias(f"{x}_rare"),
-            bits(F.col("__first")).alias(f"{x}_fbits"), rare(F.col("__first")).alias(f"{x}_frare"), F.explode("__first").alias(f"{x}_c"),
-        )
-        return own
-
-    p, q = prefixes(sides[0], "__p"), prefixes(sides[1], "__q")
-    col = F.col
-    both = lambda c: (F.size(f"__p_{c}") > 0) & (F.size(f"__q_{c}") > 0)
-    common = col("__p_fbits").bitwiseAND(col("__q_fbits"))
-    rarest = F.when(both("frare"), F.get(F.array_intersect("__p_frare", "__q_frare"), F.lit(0)))
-    here = F.when(rarest.isNotNull(), col("__p_c") == rarest).otherwise((col("__p_c") < COMMON) & (bit("__p_c") == common.bitwiseAND(-common)))
-    shared = F.bit_count(col("__p_bits").bitwiseAND(col("__q_bits"))) + F.when(both("rare"), F.size(F.array_intersect("__p_rare", "__q_rare"))).otherwise(0)
-    score = shared / F.greatest("__p_n", "__q_n")
-    met = _together(p, q, on, (col("__p_c") == col("__q_c")) & (score >= least) & here)
-    return met.select(*on, col("__p").alias(a), col("__q").alias(b), col("__p_low").alias("__low_a"), col("__q_low").alias("__low_b"), score.alias("score"))
+    spark = left.sparkSession
+    keep = [key, "__kind"] if key else []
+    shaped = lambda rows, there: rows.select(*on, "__t", F.lower("__t").alias("__low"), *[F.col(c) if there else F.lit(None).cast(right.schema[c].dataType).alias(c) for c in keep])
+    sides = [settled(shaped(left, False), "names")] + ([settled(shaped(right, True), "names")] if right is not None else [])
+    counted = [side.select(*on, *[F.lit(int(k == n)).cast("long").alias(f"__n{n}") for n in range(2)]) for k, side in enumerate(sides)]
+    counts = counted[0] if right is None else counted[0].unionByName(counted[1])
+    counts = settled(counts.groupBy(*on).agg(F.sum("__n0").alias("__n0"), F.sum("__n1" if right is not None else "__n0").alias("__n1")), "sizes")
+    pairs, copies = counts.agg(F.sum(F.col("__n0").cast("double") * F.col("__n1")), F.sum(F.ceil(F.col("__n1") / CELL) * F.col("__n0") + F.ceil(F.col("__n0") / CELL) * F.col("__n1"))).first()
+    many = F.broadcast(counts.filter((F.col("__n0") > CELL) | (F.col("__n1") > CELL)).select(*[F.col(c).alias(f"__of_{c}") for c in on], *[F.ceil(F.col(f"__n{k}") / CELL).cast("int").alias(f"__parts{k}") for k in range(2)]))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+
+    def dealt(side: DataFrame, k: int) -> DataFrame:
+        parts = [F.coalesce(f"__parts{n}", F.lit(1)) for n in range(2)]
+        own = side.join(many, same, "left").withColumn("__own", F.pmod(F.xxhash64("__t"), parts[k]).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), parts[1 - k] - 1)))
+        if right is None:
+            cell = [F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), (F.col("__own") > F.col("__other")).alias("__second")]
+        else:
+            cell = [F.col("__other" if k else "__own").alias("__i"), F.col("__own" if k else "__other").alias("__j"), F.lit(bool(k)).alias("__second")]
+        return own.select(*on, "__t", "__low", *keep, *cell)
+
+    cells = dealt(sides[0], 0) if right is None else dealt(sides[0], 0).unionByName(dealt(sides[1], 1))
+    tasks = max(spark.sparkContext.defaultParallelism, -int(-(pairs or 0) // (CELLS_IN_TASK * CELL * CELL)), -int(-(copies or 0) * ROW_SIZE // TASK_SIZE))
+    alone = right is None
+    schema = T.StructType([*left.select(*on).schema, T.StructField("a", T.StringType()), T.StructField("b", right.schema[key].dataType if key else T.StringType()), T.StructField("score", T.DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def compared(of: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        upper = alone and of[-1].as_py() == of[-2].as_py()
+        second = rows["__second"]
+        one = rows.filter(pc.invert(second))
+        two = one if upper else rows.filter(second)
+        if key:
+            two = two.sort_by([("__kind", "ascending"), (key, "ascending")])
+        names = [x[c].to_pylist() for c in ("__t", "__low") for x in (one, two)]
+        met = name_pairs(*names, least, inside, upper)
+        if key and two.num_rows:
+            met = best_of_kinds(met, np.array(two["__kind"].combine_chunks().dictionary_encode().indices))
+        a, b = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (one["__t"], two[key or "__t"]))
+        for i, j, score in met:
+            for at in range(0, len(i), ARROW_ROWS):
+                x, y = a.take(pa.array(i[at : at + ARROW_ROWS])), b.take(pa.array(j[at : at + ARROW_ROWS]))
+                if alone:
+                    less = pc.less(x, y)
+                    x, y = pc.if_else(less, x, y), pc.if_else(less, y, x)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(v, len(x)) for v in of[:-2]], x, y, pa.array(score[at : at + ARROW_ROWS])], schema=types)
+
+    return cells.repartition(tasks, *on, "__i", "__j").groupBy(*on, "__i", "__j").applyInArrow(compared, schema)
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+    """on, a, b, score: pairs of distinct texts whose shared distinct characters are at least `least` of the longer length, each pair once."""
+    own = lambda df, x: df.select(*on, F.col(x).alias("__t")).filter(F.col(x) != "").distinct()
+    return in_cells(own(left, a), own(right, b), on, least, False).withColumnsRenamed({"a": a, "b": b})
 
 
 def prefix_candidates(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
@@ -188,24 +221,23 @@ def prefix_candidates(left: DataFrame, right: DataFrame, on: list[str], a: str,
     return alike_pairs(left, right, on, a, b, least).select(*on, a, b)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float, key: str | None = None, kind: list[str] | None = None) -> DataFrame:
     """on, a, b, score: all pairs of distinct name cores of the same `on` whose similarity is at least `least` (0.88 at most).
 
-    Equal and containing names meet by a rare run, others by an exact prefix filter on their rarest characters: no pair is made of
-    names that have only `on` in common, and none twice.
+    With `key` and `kind` on, a, key, score: of right rows, and of each kind of them, only the likest to a name, of these the one of the least key. All are
+    compared either way, but what is only compared stays in its cell. Of small alphabets names are compared by bits, of large ones by an index on
+    their rarest characters; equal and containing names meet by a rare run.
     """
-    own = lambda df, x, y: df.select(*on, F.col(x).alias(y)).filter(F.col(y) != "").distinct()
-    p, q = own(left, a, "__p"), own(right, b, "__q")
-    low = lambda df, x: df.select(*on, F.lower(x).alias(f"{x}_low")).distinct()
-    lp, lq = low(p, "__p"), low(q, "__q")
-    inside = contained_pairs(lp, lq, on, "__p_low", "__q_low").unionByName(contained_pairs(lq, lp, on, "__q_low", "__p_low").select(*on, "__p_low", "__q_low")).distinct()
-    # Back to the names as they are written.
-    inside = _together(inside, p, on, F.col("__p_low") == F.lower("__p"))
-    inside = _together(inside, q, on, F.col("__q_low") == F.lower("__q")).select(*on, F.col("__p").alias(a), F.col("__q").alias(b))
-    inside = inside.withColumn("score", core_similarity(F.col(a), F.col(b)))
-    others = alike_pairs(p.withColumnRenamed("__p", a), q.withColumnRenamed("__q", b), on, a, b, least)
-    others = others.filter(~(F.contains("__low_a", F.col("__low_b")) | F.contains("__low_b", F.col("__low_a")))).select(*on, a, b, "score")
-    return inside.filter(F.col("score") >= least).unionByName(others)
+    own = lambda df, x: df.select(*on, F.col(x).alias("__t")).filter(F.col(x) != "").distinct()
+    if key is None:
+        return in_cells(own(left, a), own(right, b), on, least, True).withColumnsRenamed({"a": a, "b": b})
+    others = right.filter(F.col(b) != "").select(*on, F.col(b).alias("__t"), key, F.to_json(F.struct(*kind), {"ignoreNullFields": "false"}).alias("__kind"))
+    return in_cells(own(left, a), others, on, least, True, key).withColumnsRenamed({"a": a, "b": key})
+
+
+def similar_within(names: DataFrame, on: list[str], name: str, least: float) -> DataFrame:
+    """on, a, b, score: similar_pairs of the names of one table, each pair once with a < b."""
+    return in_cells(names.select(*on, F.col(name).alias("__t")).filter(F.col(name) != "").distinct(), None, on, least, True)
 
 
 def without_fragments(rows: DataFrame, group: list[str], name: str) -> DataFrame:
