@@ -329,7 +329,7 @@ def award_links_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
     names = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("project_name"))
     most = part.agg(F.max("p_partkey").alias("most"))
-    rows = orders.join(F.broadcast(most)).withColumn("p_partkey", F.col("o_custkey") % F.col("most") + 1).join(names, "p_partkey")
+    rows = orders.join(F.broadcast(most)).withColumn("p_partkey", F.col("o_custkey") % F.col("most") + 1).join(J.shuffled(names), "p_partkey")
     rows = rows.select(F.col("o_orderkey").alias("id"), "o_orderstatus", (F.col("o_custkey") % 50).cast("string").alias("package_no"), *[F.lit("").alias(c) for c in ("lot_no", "lot_name", "project_code")], "project_name", F.concat(F.lit("S"), F.col("o_custkey") % 7, F.lit("电力有限公司")).alias("supplier"))
     of = lambda s, key: rows.filter(F.col("o_orderstatus") == s).drop("o_orderstatus").withColumnRenamed("id", key)
     out = linkage.link(of("F", "award_id"), of("P", "candidate_id"), "award_id", "candidate_id", True)
