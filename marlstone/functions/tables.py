@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import from_texts
-from .codes import clean_org_name, normalize_package_no, parse_rank
+from .codes import ORG_ENDS, ORG_LABELS, clean_org_name, normalize_package_no, parse_rank
 from .money import TEN_THOUSAND, WRITTEN_DIGITS, amount_kind, amount_status, declares_many, normalize_money, parse_fold, parse_money, read_decimal, unit_context
-from .text import ENTITIES, clean_value, contains_any, let
+from .text import ENTITIES, clean_text, clean_value, contains_any, let
 
 # Header words of the documents' language by the field that they name.
 FIELDS = {
@@ -182,6 +185,10 @@ def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
 # What columns are looked for, by group: fields of results and tenders, of procurement lists, what is asked of suppliers, candidates side by side.
 WANTED = {"fields": FIELDS, "listed": LISTED, "asked": ASKED, "candidates": {"first": [CANDIDATES[0]], "second": [CANDIDATES[1]], "third": [CANDIDATES[2]], "any": CANDIDATES}}
 _PLACES = ", ".join(f"{group}: struct<{', '.join(f'{name}: int' for name in names)}>" for group, names in WANTED.items())
+TOLD = {
+    "award": "struct<package: string, package_no: string, lot_no: string, lot_name: string, supplier: string, amount: decimal(18,2), odd: boolean>",
+    "listed": "struct<lot_no: string, lot_name: string, package_no: string, package_name: string, quantity: decimal(18,4), budget: decimal(18,2), max_price: decimal(18,2), place: string, period: string, odd: boolean>",
+}
 ROWS = f"table_index int, row_index int, headers array<string>, cells array<string>, raw string, places struct<{_PLACES}>, many array<boolean>"
 
 
@@ -211,14 +218,109 @@ def many_of(headers: tuple[str, ...]) -> list[bool]:
     return [declares(h) for h in headers]
 
 
-def table_rows(found: list[tuple[list[str], list[list[str]]]]) -> list[tuple]:
-    """ROWS of tables given as headers and rows; the places of columns are found once a table."""
-    return [(ti, ri, headers, cells, " | ".join(cells), places, many) for ti, (headers, body) in enumerate(found) for places, many in [(places_of(tuple(headers)), many_of(tuple(headers)))] for ri, cells in enumerate(body)]
+# What a row says where its cells have plain forms, which most have: the same as the columns below tell of them. Other rows are odd, and are left to the columns.
+_DIGITS, _PLAIN_NO = re.compile("[0-9]"), re.compile("包?0*([0-9]*)")
+_NO_INSIDE = re.compile("包[ \t\n\x0b\f\r]*([0-9一二三四五六七八九十]+)")
+_AMOUNT = re.compile(r"([0-9]{1,11})(?:\.([0-9]{1,8}))?(元|万元?)?")
+_QUANTITY = re.compile(r"[0-9]{1,14}(?:\.[0-9]{1,4})?")
+_ORG = re.compile(f"(?![0-9一二三四五六七八九十第]|{ORG_LABELS})[一-龥A-Za-z0-9（）()· ]+")
+_ORG_INSIDE, _ORG_WHOLE, _ORG_HEAD = re.compile(f".{{2}}(?:{ORG_ENDS})"), re.compile(f"[一-龥A-Za-z0-9（）()·]{{2,}}(?:{ORG_ENDS})"), re.compile(f".*(?:{ORG_ENDS})")
+
+
+def _plain_package(value: str) -> str | None:
+    """normalize_package_no of an empty text or a number; None if it is neither."""
+    if not value:
+        return ""
+    m = _PLAIN_NO.fullmatch(value)
+    return (m[1] or "0") if m and value != "包" else None
+
 
+def _plain_money(value: str, many: bool) -> tuple[Decimal | None, bool]:
+    """parse_money of a number with or without its unit, or of a text without digits; and whether it is neither."""
+    value = value.replace(",", "")
+    if not _DIGITS.search(value):
+        return None, False
+    m = _AMOUNT.fullmatch(value)
+    if not m:
+        return None, True
+    number = Decimal(f"{m[1]}.{m[2]}" if m[2] else m[1])
+    return (number * 10000 if (many if m[3] is None else m[3] != "元") else number).quantize(_CENT, ROUND_HALF_EVEN), False
 
-def parse_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw, places, many (which headers declare ten thousands): one row per table row of each text; null text has none."""
-    return from_texts(docs, key, text, lambda t: table_rows(tables_of(t)), ROWS)
+
+_CENT = Decimal("0.01")
+
+
+def _plain_org(value: str) -> str | None:
+    """clean_org_name of a text of name characters and blanks without number, rank or label before it; None for others."""
+    if not value:
+        return ""
+    if not _ORG.fullmatch(value):
+        return None
+    if _ORG_WHOLE.fullmatch(value) or not _ORG_INSIDE.search(value):
+        return value
+    return _ORG_HEAD.match(value)[0]
+
+
+def _awards(places: dict, many: list[bool], body: list[list[str]]) -> Iterator[dict]:
+    """TOLD of each row: what award_rows tells of it, blanks of merged cells filled; the supplier is empty in rows that are none."""
+    p = places["fields"]
+    above = ["", "", ""]
+    for cells in body:
+        at = lambda f: clean_text(cells[p[f]]) if p[f] is not None and p[f] < len(cells) else ""
+        above = [at(f) or old for f, old in zip(("package_no", "lot_no", "lot_name"), above)]
+        name, status = at("supplier"), at("status")
+        if any(w in status for w in NOT_AWARDED):
+            name = ""
+        package, supplier = _plain_package(above[0]), _plain_org(name)
+        amount, odd = _plain_money(at("amount"), p["amount"] is not None and many[p["amount"]])
+        yield {"package": above[0], "package_no": package, "lot_no": above[1], "lot_name": above[2], "supplier": supplier, "amount": amount, "odd": odd or package is None or supplier is None}
+
+
+def _listed(places: dict, many: list[bool], body: list[list[str]]) -> Iterator[dict]:
+    """TOLD of each row: what procurement_packages tells of it, lots carried down."""
+    p = places["listed"]
+    above = ["", ""]
+    for cells in body:
+        at = lambda f: clean_text(cells[p[f]]) if p[f] is not None and p[f] < len(cells) else ""
+        money = lambda f: _plain_money(at(f), p[f] is not None and many[p[f]])
+        above = [at(f) or old for f, old in zip(("lot_no", "lot_name"), above)]
+        name = at("package_name" if p["package_name"] is not None else "project_name")
+        m = _NO_INSIDE.search(name)
+        package = _plain_package(m[1]) if m else _plain_package(at("package_no"))
+        quantity = at("quantity").replace(",", "")
+        number = Decimal(quantity) if (whole := _QUANTITY.fullmatch(quantity)) else None
+        (budget, odd), (most, strange) = money("budget"), money("max_price")
+        odd = odd or strange or package is None or not whole and bool(_DIGIT.search(quantity))
+        yield {"lot_no": above[0], "lot_name": above[1], "package_no": package, "package_name": name, "quantity": number, "budget": budget, "max_price": most, "place": at("place"), "period": at("period"), "odd": odd}
+
+
+_DIGIT = re.compile(r"\d")
+
+
+def told_rows(told: str | None) -> str:
+    """The columns of table_rows."""
+    return f"{ROWS}, {told} {TOLD[told]}" if told else ROWS
+
+
+def table_rows(found: list[tuple[list[str], list[list[str]]]], told: str | None = None) -> list[tuple]:
+    """ROWS of tables given as headers and rows; the places of columns are found once a table. `told`: what each row says as an award or as listed, null in tables of another kind."""
+    out: list[tuple] = []
+    for ti, (headers, body) in enumerate(found):
+        places, many = places_of(tuple(headers)), many_of(tuple(headers))
+        rows = [(ti, ri, headers, cells, " | ".join(cells), places, many) for ri, cells in enumerate(body)]
+        if told:
+            fits = places["fields"]["supplier"] is not None if told == "award" else places["listed"]["package_no"] is not None or places["listed"]["package_name"] is not None
+            rows = [(*r, x) for r, x in zip(rows, (_awards if told == "award" else _listed)(places, many, body) if fits else repeat(None))]
+        out += rows
+    return out
+
+
+def parse_tables(docs: DataFrame, key: str, text: str = "text", told: str | None = None) -> DataFrame:
+    """key, table_index, row_index, headers, cells, raw, places, many (which headers declare ten thousands): one row per table row of each text; null text has none.
+
+    `told` ("award" for award_rows, "listed" for procurement_packages) has the parser tell what plain rows say, so that columns are asked about odd rows only.
+    """
+    return from_texts(docs, key, text, lambda t: table_rows(tables_of(t), told), told_rows(told))
 
 
 def with_places(tables: DataFrame) -> DataFrame:
@@ -265,12 +367,23 @@ def filled(tables: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def award_rows(tables: DataFrame, key: str) -> DataFrame:
     """Award evidence: package, lot, supplier, amount of each row that names a supplier and whose status is no refusal."""
+    if "award" in tables.columns:
+        return _told_awards(tables, key)
     rows = with_places(tables).withColumns({"package": cell("package_no"), "lot_no": cell("lot_no"), "lot_name": cell("lot_name"), "name": cell("supplier")})
     rows = filled(rows, key, ["package", "lot_no", "lot_name"]).filter("name <> ''").filter(~contains_any(cell("status"), NOT_AWARDED))
     amount = _money("amount")
     return rows.select(key, "table_index", "row_index", normalize_package_no(F.col("package")).alias("package_no"), "lot_no", "lot_name", clean_org_name(F.col("name")).alias("supplier"), amount.alias("amount"), "raw")
 
 
+def _told_awards(tables: DataFrame, key: str) -> DataFrame:
+    """award_rows of what the parser has told; columns are asked where a row is odd. Blanks are filled already."""
+    told = lambda f, else_: F.when(F.col("award.odd"), else_).otherwise(F.col(f"award.{f}")).alias(f)
+    rows = tables.filter("award is not null and (award.odd or award.supplier <> '')")
+    rows = rows.filter(~F.col("award.odd") | ((cell("supplier") != "") & ~contains_any(cell("status"), NOT_AWARDED)))
+    package = F.col("award.package")
+    return rows.select(key, "table_index", "row_index", told("package_no", normalize_package_no(package)), "award.lot_no", "award.lot_name", told("supplier", clean_org_name(cell("supplier"))), told("amount", _money("amount")), "raw")
+
+
 def candidate_rows(tables: DataFrame, key: str) -> DataFrame:
     """Candidate evidence, ranked by a column, or unpivoted from the first to third candidate's columns."""
     rows = filled(with_places(tables).withColumn("package", cell("package_no")), key, ["package"])
@@ -300,13 +413,19 @@ def procurement_packages(tables: DataFrame, key: str) -> DataFrame:
     """
     at = lambda f: F.col(f"places.listed.{f}")
     value = lambda f: cell(f, "listed")
-    rows = with_places(tables).filter(at("package_no").isNotNull() | at("package_name").isNotNull())
-    rows = filled(rows.withColumns({f: value(f) for f in ("lot_no", "lot_name")}), key, ["lot_no", "lot_name"])
     name = F.when(at("package_name").isNotNull(), value("package_name")).otherwise(value("project_name"))
     inside = normalize_package_no(F.regexp_extract(name, "(?:包|标包)\\s*([0-9一二三四五六七八九十]+)", 1))
     number = F.when(inside != "", inside).otherwise(normalize_package_no(value("package_no")))
     money = lambda f: _money(f, "listed")
     shown = {"package_name": name, "quantity": F.replace(value("quantity"), F.lit(","), F.lit("")).try_cast("decimal(18,4)"), "budget": money("budget"), "max_price": money("max_price"), "place": value("place"), "period": value("period")}
+    if "listed" in tables.columns:
+        # The parser has told all of it, lots carried down; columns are asked where a row is odd.
+        told = lambda f, else_: F.when(F.col("listed.odd"), else_).otherwise(F.col(f"listed.{f}"))
+        number, shown = told("package_no", number), {f: told(f, x) for f, x in shown.items()}
+        rows = tables.filter("listed is not null").withColumns({f: F.col(f"listed.{f}") for f in ("lot_no", "lot_name")})
+    else:
+        rows = with_places(tables).filter(at("package_no").isNotNull() | at("package_name").isNotNull())
+        rows = filled(rows.withColumns({f: value(f) for f in ("lot_no", "lot_name")}), key, ["lot_no", "lot_name"])
     rows = rows.withColumns({"package_no": number, **shown}).filter("package_no <> ''")
     order = F.struct("table_index", "row_index")
     there = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
@@ -362,9 +481,9 @@ def wrapped_of(text: str) -> list[tuple[list[str], list[list[str]]]]:
     return out
 
 
-def wrapped_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, table_index, row_index, headers, cells, raw, places, many of tables with wrapped cells; null text has none."""
-    return from_texts(docs, key, text, lambda t: table_rows(wrapped_of(t)), ROWS)
+def wrapped_tables(docs: DataFrame, key: str, text: str = "text", told: str | None = None) -> DataFrame:
+    """key, table_index, row_index, headers, cells, raw, places, many of tables with wrapped cells; null text has none. `told` as in parse_tables."""
+    return from_texts(docs, key, text, lambda t: table_rows(wrapped_of(t), told), told_rows(told))
 
 
 # Currencies, units and words around a number that make it money.

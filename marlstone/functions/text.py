@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,25 @@ def clean_value(x: Column) -> Column:
     return F.when(plain, F.when(is_unknown_marker(x), F.lit("")).otherwise(text_or_empty(x))).otherwise(cleaned)
 
 
+_CLEAN_TEXT = re.compile(CLEAN.replace(r"\z", r"\Z"))
+_BLANK_RUNS, _NO_SIGNAL_TEXT = re.compile(f"[{SPACES}]+"), re.compile("[" + SPACES + "\r\n" + NO_SIGNAL[3:])
+_DOUBTED = re.compile("[?？�]+|(?=(?:[^?？�]*[?？�]){2})[?？�0-9]+")
+
+
+def clean_text(x: str | None) -> str:
+    """clean_value of one text, for parsers that have it at hand."""
+    if not x:
+        return ""
+    if not _CLEAN_TEXT.match(x):
+        if "&" in x:
+            for name, char in ENTITIES:
+                x = x.replace(name, char)
+        x = _BLANK_RUNS.sub(" ", x.replace("�", "?").replace("　", " ").strip(SPACES + "\r\n"))
+        if ("?" in x or "？" in x) and _DOUBTED.fullmatch(_NO_SIGNAL_TEXT.sub("", x)):
+            return ""
+    return "" if len(x) < 16 and x.strip(" ").upper() in UNKNOWN_MARKERS else x
+
+
 def without_spaces(x: Column, also: str = "") -> Column:
     """Entities decoded and all blanks taken out, for looking words up: what clean_value makes of a text holds the same words."""
     return F.translate(decode_entities(text_or_empty(x)), SPACES + also, "")

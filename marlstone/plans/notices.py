@@ -215,7 +215,7 @@ def award_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir).withColumn("i", F.row_number().over(_by_line()) - 1)
     line = _s("<tr><td>", F.when(F.col("i") % 2 == 0, _s("包0", F.col("l_linenumber"))).otherwise(""), "</td><td>1、S", F.col("l_suppkey"), "电力有限公司</td><td>", F.format_number(_cents("l_extendedprice"), 2), "</td></tr>")
     docs = _joined(rows, line, "公告<table><tr><th>分包编号</th><th>中标人</th><th>中标金额（万元）</th></tr>", "</table>完")
-    out = tables.award_rows(tables.parse_tables(docs, "l_orderkey"), "l_orderkey")
+    out = tables.award_rows(tables.parse_tables(docs, "l_orderkey", told="award"), "l_orderkey")
     return out.select("l_orderkey", "row_index", "package_no", "supplier", F.col("amount").cast("double").alias("amount"))
 
 
@@ -332,7 +332,7 @@ def wrapped_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir).withColumn("i", F.row_number().over(_by_line()))
     line = F.concat(F.rpad(F.col("i").cast("string"), 8, " "), F.rpad(_s("包", F.col("l_linenumber")), 8, " "), F.rpad(_s("S", F.col("l_suppkey"), "电力"), 20, " "), _cents("l_extendedprice").cast("string"), F.lit("\n" + " " * 16 + "有限公司"))
     head = "结果公告\n\n" + "序号".ljust(8) + "包号".ljust(8) + "中标人".ljust(20) + "中标金额（元）\n"
-    out = tables.award_rows(tables.wrapped_tables(_joined(rows, line, head, "\n\n以上。\n", "\n"), "l_orderkey"), "l_orderkey")
+    out = tables.award_rows(tables.wrapped_tables(_joined(rows, line, head, "\n\n以上。\n", "\n"), "l_orderkey", told="award"), "l_orderkey")
     return out.select("l_orderkey", "row_index", "package_no", "supplier", F.col("amount").cast("double").alias("amount"))
 
 
@@ -349,7 +349,7 @@ def procurement_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         " | ", F.when(~first, _cents("l_extendedprice").cast("string")).otherwise("-"), " | ", _cents("l_extendedprice"), "元 | 地点", F.col("l_suppkey"), " |",
     )
     docs = _joined(rows, line, "采购清单\n| 分标号 | 标段名称 | 标包名称 | 采购数量 | 概算金额（万元） | 行报价最高限价 | 交货地点 |\n| --- | --- | --- | --- | --- | --- | --- |\n", "\n", "\n")
-    out = tables.procurement_packages(tables.parse_tables(docs, "l_orderkey"), "l_orderkey")
+    out = tables.procurement_packages(tables.parse_tables(docs, "l_orderkey", told="listed"), "l_orderkey")
     return out.select("l_orderkey", "lot_no", "lot_name", "package_no", "n_rows", "package_name", *[F.col(c).cast("double").alias(c) for c in ("quantity", "budget", "max_price")], "place")
 
 
