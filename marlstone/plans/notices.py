@@ -288,7 +288,7 @@ def word_box_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         word(_s("包", F.col("l_linenumber")), 0, top), word(_s("S", F.col("l_suppkey")), 100, top), word(_s(_cents("l_extendedprice")), 300, top), word("电力有限公司", 100, top + 10.0)
     )
     words = rows.select("l_orderkey", F.inline(cells)).unionByName(rows.select("l_orderkey").distinct().select("l_orderkey", F.inline(F.array(*[word(t, x, F.lit(0.0)) for t, x in head]))))
-    out = tables.award_rows(files.word_tables(words.withColumn("page", F.lit(1)), "l_orderkey"), "l_orderkey")
+    out = tables.award_rows(files.word_tables(words.withColumn("page", F.lit(1)), "l_orderkey", "award"), "l_orderkey")
     return out.select("l_orderkey", "row_index", "package_no", F.regexp_replace("supplier", " ", "").alias("supplier"), F.col("amount").cast("double").alias("amount"))
 
 
