@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+PIECE = 1_000  # rows of a batch that are worked on at a time: what they become in Python is many times as large
+
+
 def _array(values: list, kind: pa.DataType) -> pa.Array:
     """values as Arrow; nested ones that many rows share are turned over once and taken by place."""
     if not pa.types.is_nested(kind):
@@ -33,7 +36,7 @@ def added(rows: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], tup
     kinds = list(to_arrow_schema(new).types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             places, made = work(batch)
             kept = [batch[c] if places is None else batch[c].take(pa.array(places, pa.int64())) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(c if isinstance(c, pa.Array) else _array(c, k) for c, k in zip(made, kinds, strict=True))], names=schema.names)
